@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from scholion.llm import op4_exact_dedup as op4
+from scholion.llm import op7_minhash as op7
+from scholion.llm import op9_chat as op9
+from scholion.llm import op10_licenses as op10
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4.op4_exact_dedup}
+    return {
+        "op4_exact_dedup": op4.op4_exact_dedup,
+        "op7_minhash": op7.op7_minhash,
+        "op9_chat": op9.op9_chat,
+        "op10_licenses": op10.op10_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": op4.ORACLE}
+    return {"op4_exact_dedup": op4.ORACLE, "op9_chat": op9.ORACLE}
