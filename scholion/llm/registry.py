@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from scholion.llm import op1_packing as op1
 from scholion.llm import op4_exact_dedup as op4
 from scholion.llm import op7_minhash as op7
+from scholion.llm import op8_media as op8
 from scholion.llm import op9_chat as op9
 from scholion.llm import op10_licenses as op10
 
 
 def queries() -> dict:
     return {
+        "op1_packing": op1.op1_packing,
         "op4_exact_dedup": op4.op4_exact_dedup,
         "op7_minhash": op7.op7_minhash,
+        "op8_media": op8.op8_media,
         "op9_chat": op9.op9_chat,
         "op10_licenses": op10.op10_licenses,
     }
