@@ -2,8 +2,8 @@
 
 The text that is scored is the sequence of its lower-cased words, written with one space
 between words and one line feed at the end.  Every byte is written as the bits of a Huffman
-code of the training bytes.  For each bit, predictors of different contexts (the last two
-bytes; the last four; the word so far) look up the counts of zeros and ones that training
+code of the training bytes.  For each bit, predictors of different contexts (the last two,
+four and six bytes; the word so far) look up the counts of zeros and ones that training
 texts had in a hashed slot of (context, code node).  Their log odds are added up under
 weights that belong to the text position's gate (whether the word so far is known), and the
 weights are refined after every bit by the gradient of its cost.  The sum of the bits' costs
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import documents, materialise, ship
 
-#: Slots of the predictors' tables as powers of two: order 2, order 4, word so far.
-SLOTS = (18, 20, 20)
+#: Bytes before the coded byte that make the contexts of the first predictors.
+ORDERS = (2, 4, 6)
+#: Slots of the predictors' tables as powers of two; the last is of the word so far.
+SLOTS = (18, 20, 22, 22)
 #: Added to both counts of a slot.
 SMOOTH = 0.4
 #: Log odds are stored in steps of 1 / SCALE.
@@ -38,12 +40,14 @@ SCALE = 15.0
 #: Bits between restarts of the weights: a text's segments are scored side by side.
 SEGMENT = 2048
 #: Starting weights of unknown and known words, and the step of their refinement.
-WEIGHTS = ((0.30, 0.75, 0.30), (0.15, 0.35, 0.65))
-RATE = 0.004
+WEIGHTS = ((0.20, 0.40, 0.50, 0.30), (0.15, 0.30, 0.40, 0.40))
+RATE = 0.015
 #: Bytes of text that are worked on at once, and in a block of documents.
 BATCH, BLOCK = 1 << 20, 8 << 20
+#: Bytes of text that one task learns from, about: its tables are what it sends on.
+LESSON = 160 << 20
 #: Words whose hashes a Python worker remembers; table entries in a chunk.
-CACHE, CHUNK = 400_000, 1 << 16
+CACHE, CHUNK = 400_000, 1 << 18
 END_BYTE = 10
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -107,15 +111,13 @@ class Bits:
         x = data.astype(np.uint64)
         n = len(x)
         # the bytes before each byte; before a text come zeros
-        order4 = np.zeros(n, np.uint64)
-        for k in range(1, 5):
-            shifted = np.zeros(n, np.uint64)
-            shifted[k:] = x[:-k] << np.uint64(8 * (k - 1))
-            order4 += shifted
-        for k in range(4):  # positions k of a text have only k bytes before them
-            at = first[sizes > k] + k
-            order4[at] &= np.uint64((1 << 8 * k) - 1)
-        order2 = order4 & np.uint64(0xFFFF)
+        most = max(ORDERS)
+        before_it = np.zeros(n, np.uint64)
+        for k in range(1, most + 1):
+            before_it[k:] += x[:-k] << np.uint64(8 * (k - 1))
+        for k in range(most):  # position k of a text has only k bytes before it
+            before_it[first[sizes > k] + k] &= np.uint64((1 << 8 * k) - 1)
+        contexts = [before_it & np.uint64((1 << 8 * order) - 1) for order in ORDERS]
         # the word so far: a polynomial of its bytes, from sums over the whole data
         power = np.full(n, _A)
         power[0] = 1
@@ -132,27 +134,32 @@ class Bits:
         np.cumprod(back, out=back)
         word = (before - np.repeat(before[at], runs)) * np.repeat(back[at], runs)
 
-        lengths = code.length[data]
-        stop = np.cumsum(lengths)
-        where = np.repeat(code.start[data] - (stop - lengths), lengths)
-        where += np.arange(len(where))
-        self.bit = code.bit[where]
-        self.slots = []
-        for k, (context, size) in enumerate(zip((order2, order4, word), SLOTS, strict=True)):
-            h = (context + np.uint64(k)) * _B
-            h ^= h >> np.uint64(31)
-            base = ((h * _A) >> np.uint64(64 - size)).astype(np.int64)
-            slot = np.repeat(base, lengths)
-            slot ^= code.node_hash[k][where]
-            self.slots.append(slot)
+        self.code, self.contexts = code, [*contexts, word]
+        self.lengths = code.length[data]
+        stop = np.cumsum(self.lengths)
+        self.where = np.repeat(code.start[data] - (stop - self.lengths), self.lengths)
+        self.where += np.arange(len(self.where))
+        self.bit = code.bit[self.where]
         #: bits of each text
         self.sizes = np.diff(np.concatenate(([0], stop[np.cumsum(sizes) - 1])))
 
+    def slot(self, k: int) -> np.ndarray:
+        """The slot that predictor k has for each bit."""
+        h = (self.contexts[k] + np.uint64(k)) * _B
+        h ^= h >> np.uint64(31)
+        base = ((h * _A) >> np.uint64(64 - SLOTS[k])).astype(np.int64)
+        slot = np.repeat(base, self.lengths)
+        slot ^= self.code.node_hash[k][self.where]
+        return slot
+
 
 def count_bits(tables: list[np.ndarray], bits: Bits) -> None:
     """Add the bits to tables of (zeros, ones) of each slot."""
-    for table, slot in zip(tables, bits.slots, strict=True):
-        table += np.bincount(slot * 2 + bits.bit, minlength=len(table)).astype(np.uint32)
+    for k, table in enumerate(tables):
+        index = bits.slot(k)
+        index <<= 1
+        index += bits.bit
+        np.add(table, np.bincount(index, minlength=len(table)), out=table, casting="unsafe")
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -163,28 +170,30 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 def mix(bits: Bits, odds: list[np.ndarray]) -> np.ndarray:
     """The cost of each text in bits: weights start anew in each segment of a text and are
     refined bit by bit; all segments advance together."""
-    cells = np.empty((len(bits.bit), 4), np.int8)
-    for k, (table, slot) in enumerate(zip(odds, bits.slots, strict=True)):
-        cells[:, k] = table[slot]
-    cells[:, 3] = bits.bit
-    cells[:, 3] += (cells[:, 2] != 0).astype(np.int8) * 2
+    # eight bytes for each bit: log odds, and last the bit and its gate
+    k_all = len(SLOTS)
+    cells = np.zeros((len(bits.bit), 8), np.int8)
+    for k, table in enumerate(odds):
+        cells[:, k] = table[bits.slot(k)]
+    cells[:, 7] = bits.bit
+    cells[:, 7] += (cells[:, k_all - 1] != 0).astype(np.int8) * 2
     per_text = -(-bits.sizes // SEGMENT)
     owner = np.repeat(np.arange(len(per_text)), per_text)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     lengths = np.minimum(SEGMENT, bits.sizes[owner] - number * SEGMENT)
     lanes, steps = len(owner), int(lengths.max())
     inside = np.arange(SEGMENT) < lengths[:, None]
-    grid = np.zeros((lanes, SEGMENT), np.uint32)
-    grid[inside] = cells.view(np.uint32).ravel()
+    grid = np.zeros((lanes, SEGMENT), np.uint64)
+    grid[inside] = cells.view(np.uint64).ravel()
     grid = np.ascontiguousarray(grid.T)
-    weights = np.empty((2, 3, lanes), np.float32)
+    weights = np.empty((2, k_all, lanes), np.float32)
     weights[:] = np.array(WEIGHTS, np.float32)[:, :, None]
     margin = np.zeros((SEGMENT, lanes), np.float32)
     for t in range(steps):
-        row = grid[t].view(np.int8).reshape(lanes, 4).T
-        x = row[:3] * np.float32(1 / SCALE)
-        y = (row[3] & 1).astype(np.float32)
-        known = (row[3] >> 1).astype(np.float32)
+        row = grid[t].view(np.int8).reshape(lanes, 8).T
+        x = row[:k_all] * np.float32(1 / SCALE)
+        y = (row[7] & 1).astype(np.float32)
+        known = (row[7] >> 1).astype(np.float32)
         both = (weights * x).sum(axis=1)
         s = both[0] + known * (both[1] - both[0])
         margin[t] = s * (2 * y - 1)
@@ -233,11 +242,13 @@ def _train(code: Code):
                 held = []
         for a, b in _batches(held):
             count_bits(tables, Bits(held[a:b], code))
-        flat = np.concatenate(tables)
-        for chunk in range(len(flat) // CHUNK):
-            part = flat[chunk * CHUNK : (chunk + 1) * CHUNK]
-            if part.any():
-                yield pd.DataFrame({"chunk": [chunk], "counts": [part.tobytes()]})
+        at = 0
+        for table in tables:
+            for start in range(0, len(table), CHUNK):
+                part = table[start : start + CHUNK]
+                if part.any():
+                    yield pd.DataFrame({"chunk": [at], "counts": [part.tobytes()]})
+                at += 1
 
     return run
 
@@ -262,14 +273,15 @@ def _as_odds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": batch["chunk"], "counts": [log_odds(np.frombuffer(c, "<u8")).tobytes() for c in batch["counts"]]})
 
 
-def train(texts: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Byte counts and log-odds tables of (text) rows: of a fixed size, whatever the corpus."""
+def train(texts: DataFrame, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Byte counts and log-odds tables of (text) rows of ``size`` bytes: of a fixed size,
+    whatever the corpus.  Tables are summed chunk by chunk as a stream."""
     n = texts.mapInPandas(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(256, np.int64)
     counts[n["byte"].to_numpy(int)] = n["n"].to_numpy(np.int64)
-    chunks = 2 * sum(1 << s for s in SLOTS) // CHUNK
-    parts = texts.mapInPandas(_train(Code(counts)), "chunk int, counts binary")
-    summed = parts.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInPandas(_summed, "chunk int, counts binary")
+    lessons = max(1, -(-size // LESSON))
+    parts = texts.coalesce(lessons).mapInPandas(_train(Code(counts)), "chunk int, counts binary")
+    summed = parts.repartition(24, "chunk").sortWithinPartitions("chunk").mapInPandas(_summed, "chunk int, counts binary")
     found = summed.mapInPandas(_as_odds, "chunk int, counts binary").toPandas()
     flat = np.zeros(sum(1 << s for s in SLOTS), np.int8)
     for chunk, odds in zip(found["chunk"], found["counts"], strict=True):
@@ -321,7 +333,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    counts, odds = train(texts.where("learn").select("text"))
+    counts, odds = train(texts.where("learn").select("text"), size)
 
     keyed = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     packed = keyed.mapInPandas(_packed, "doc_id long, learn boolean, block int, packed binary")
