@@ -66,11 +66,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
-    ``lower`` is far faster than ``translate`` and equal to it on texts whose other
-    characters have no lower case of their own; only the rest is translated.
+    ``lower`` is far faster than ``translate`` and equal to it on ASCII texts and on texts
+    whose other characters have no lower case of their own; only the rest is translated.
     """
     rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    return F.when(F.lower(rest) == rest, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    return (
+        F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
+        .when(F.lower(rest) == rest, F.lower(text))
+        .otherwise(F.translate(text, UPPER, UPPER.lower()))
+    )
 
 
 def heavy_keys(df: DataFrame, digest: Column) -> list[int]:

@@ -1,13 +1,14 @@
 """Exact dedup by deterministic block naming.
 
-Each normalised text is cut into blocks of a fixed number of characters.  Distinct blocks
+Each normalised text is cut into blocks of a fixed number of bytes.  Distinct blocks
 are sorted into integer names; then adjacent pairs of names are sorted into names of their
 own, level by level, until each document has one name.  Two documents of the same number
 of levels have the same last name exactly if their texts are equal: names come from sorted
 whole keys, never from a hash, so there are no collisions.
 
-Built-in Spark functions only.  Text is shuffled once (for the first names); every later
-level moves rows of a few integers, half as many each time.
+Built-in Spark functions only.  Normalised text is written once, so that later passes need
+not normalise it again, and shuffled once (for the first names); every later level moves
+rows of a few integers, half as many each time.
 """
 
 from __future__ import annotations
@@ -17,23 +18,24 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import ascii_lower, documents, materialise, name_groups
 
-#: Characters in a block.
-BLOCK_CHARS = 1024
+#: Bytes in a block.
+BLOCK_BYTES = 1024
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, norm): tkey only tells rows of one id with different texts apart."""
+def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tkey, norm, text_sha256), written to the shared folder.  tkey only tells rows
+    of one id with different texts apart."""
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("tkey", F.xxhash64("norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
+    return materialise(rows.withColumn("tkey", F.xxhash64("norm")).withColumn("text_sha256", F.sha2("norm", 256)), "op4-rows")
 
 
-def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, tkey, levels, name): equal (levels, name) exactly for equal normalised texts."""
-    keyed = _keyed(docs, id_col, text_col)
-    cut = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
-    blocks = keyed.select("doc_id", "tkey", cut.alias("blocks")).select(
-        "doc_id", "tkey", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("i", "block")
-    )
+def document_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, tkey, levels, name) of rows as ``normalised`` gives them: equal (levels, name)
+    exactly for equal texts."""
+    raw = rows.select("doc_id", "tkey", F.col("norm").cast("binary").alias("raw"), F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / block_bytes)).alias("n"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("raw"), (i * block_bytes + 1).cast("int"), F.lit(block_bytes)))
+    blocks = raw.select("doc_id", "tkey", "n", F.posexplode(cut).alias("i", "block"))
     named = name_groups(blocks, ["block"], "name").select("doc_id", "tkey", "n", F.col("i").cast("long").alias("i"), "name")
     level = materialise(named, "op4-level0")
     widest = level.agg(F.max("n")).first()[0] or 0
@@ -60,7 +62,7 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, tkey (64 bits
     that tell rows of one id with different texts apart).
 
@@ -69,11 +71,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each other with the same flags (``drop_exact_duplicates`` keeps one of them).  A null id
     is smaller than any other; a group of null ids only has a null keep_id and stays.
     """
-    rows = materialise(_keyed(docs, id_col, text_col).select("doc_id", "tkey", F.sha2("norm", 256).alias("text_sha256")), "op4-rows")
-    names = document_names(docs, id_col, text_col, block_chars).dropDuplicates(["doc_id", "tkey"])
+    rows = normalised(docs, id_col, text_col)
+    names = document_names(rows, block_bytes).dropDuplicates(["doc_id", "tkey"])
     n = names.select(F.col("doc_id").alias("n_id"), F.col("tkey").alias("n_tkey"), "levels", "name")
     named = materialise(
-        rows.join(n, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("tkey") == F.col("n_tkey"))).select("doc_id", "tkey", "text_sha256", "levels", "name"),
+        rows.drop("norm").join(n, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("tkey") == F.col("n_tkey"))).select("doc_id", "tkey", "text_sha256", "levels", "name"),
         "op4-named",
     )
     groups = materialise(named.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "op4-groups")
