@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from scholion.plans import build, explore, passages, registry
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
+
+
+__all__ = ["build", "explore", "oracle_sql", "passages", "queries"]
