@@ -317,7 +317,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(packed=[packer.compress(written(words_of(t))) for t in batch["text"]]).drop(columns="text")
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
 def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,6 +359,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame(
             {
                 "doc_id": rows["doc_id"].array,
+                "held_out": ~rows["learn"].to_numpy(bool),
                 "n_tokens": sizes,
                 "n_known": np.add.reduceat((seen > 0).astype(np.int64), first),
                 "train_tokens": n_all,
@@ -369,13 +370,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         )
 
     back = local.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
-    scored = packed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, SCORES)
-    return scored.withColumn("held_out", ~F.coalesce(_renamed(learn, id_col), F.lit(False)))
-
-
-def _renamed(learn, id_col: str):
-    """The condition on the output's id column."""
-    return learn if id_col == "doc_id" else F.expr("doc_id IS NOT NULL") & learn
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, SCORES)
 
 
 def training(id_col: str = "doc_id"):
@@ -384,6 +379,4 @@ def training(id_col: str = "doc_id"):
 
 
 def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(documents(spark, sf_dir), training()).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"
-    )
+    return score_texts(documents(spark, sf_dir), training())

@@ -57,9 +57,9 @@ def _labels(labels: DataFrame, id_col: str) -> DataFrame:
 
 def telling_words(texts: DataFrame, labels: DataFrame, size: int = LEXICON, rows: int = LEXICON_ROWS) -> list[str]:
     """Words that tell toxic rows: highest smoothed log ratio of document frequencies times
-    frequency, in the ``rows`` labelled rows of the smallest id hashes."""
+    frequency, in the ``rows`` labelled rows of the smallest id hashes (so few that they are broadcast)."""
     chosen = labels.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    joined = texts.join(chosen, F.col("doc_id") == F.col("label_id"))
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     toxic = F.col("domain").isin(1, 3)
     words = joined.select(toxic.alias("toxic"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
     n = joined.agg(F.count_if(toxic), F.count_if(~toxic)).first()
