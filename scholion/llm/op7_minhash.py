@@ -8,9 +8,13 @@ are confirmed on their full shingle sets.
 
 Documents of equal word sequences are reduced to the one of the smallest id before banding.
 In a bucket, members are first compared with one centre only (the smallest id, then the
-largest); members that end up in one component need no comparison among themselves.  What
-then still lies in a bucket with other components is compared pair by pair, so no candidate
-is dropped, whatever the size of its bucket.
+largest); members that end up in one component need no comparison among themselves.  For the
+documents of buckets that still hold several components, shingles that no other such document
+has are counted: they bound the similarity of every pair from above, exactly, so documents
+and pairs out of reach of the threshold leave.  The rest meets a last centre (of the fewest
+such shingles).  One less the Jaccard similarity is a metric, so two members whose distances
+from the centre differ by more than the threshold allows need no comparison; all others are
+compared pair by pair, each pair in one of its buckets.  No link among candidates is lost.
 """
 
 from __future__ import annotations
@@ -155,18 +159,79 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
+def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size of each full shingle set and of what they share."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    return (
-        pairs.join(right, "b")
-        .join(left, "a")
-        .where(F.least(F.size("s"), F.size("t")) * 100 >= F.greatest(F.size("s"), F.size("t")) * percent)
-        .where(both * 100 >= (F.size("s") + F.size("t") - both) * percent)
-        .select("a", "b")
-    )
+    both = pairs.join(right, "b").join(left, "a")
+    return both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("shared"))
+
+
+class _Links:
+    """Links found so far and the components they make."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.edges = self.tested = spark.createDataFrame([], "a long, b long")
+        self.parts = spark.createDataFrame([], "doc_id long, component_id long")
+
+    def test(self, pairs: DataFrame) -> None:
+        found = materialise(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "op7-pairs")
+        alike = F.col("shared") * 100 >= (F.col("m") + F.col("n") - F.col("shared")) * self.percent
+        links = materialise(similarity(found, self.sets).where(alike).select("a", "b"), "op7-links")
+        self.tested, self.edges = self.tested.unionByName(found), self.edges.unionByName(links)
+        self.parts = components(self.edges)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("part").join(self.parts, "doc_id", "left").withColumn("part", F.coalesce("component_id", "doc_id")).drop("component_id")
+
+    def to_centre(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's members with its centre, where they are not in one component."""
+        centres = self.parts.select(F.col("doc_id").alias("centre"), F.col("component_id").alias("centre_part"))
+        return (
+            self.placed(rows).select("doc_id", "part", "centre").distinct().join(centres, "centre", "left")
+            .where(F.col("part") != F.coalesce("centre_part", "centre"))
+            .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+        )
+
+    def split(self, rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components, with the first component's number."""
+        rows = materialise(self.placed(rows), "op7-placed")
+        several = rows.groupBy("bucket").agg(F.min("part").alias("main"), F.max("part").alias("last")).where("main < last").select("bucket", "main")
+        return materialise(rows.drop("main").join(materialise(several, "op7-split"), "bucket"), "op7-open")
+
+    def reachable(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents that could still have a link: ``own`` counts the shingles that
+        no other document of ``rows`` has, so at most n - own can be shared with any."""
+        docs = rows.select("doc_id").distinct()
+        shingles = self.sets.join(docs, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+        single = shingles.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
+        own = materialise(single.groupBy("doc_id").agg(F.count("*").alias("own_new")), "op7-own")
+        counted = rows.drop("own").join(own, "doc_id", "left").withColumn("own", F.coalesce("own_new", F.lit(0))).drop("own_new")
+        return counted.where((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * self.percent)
+
+    def away(self, rows: DataFrame) -> DataFrame:
+        """Rows of (bucket, centre, doc_id, ...) with each document's distance from the centre
+        of its bucket and the list of its buckets."""
+        pairs = rows.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+        shared = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))
+        far = materialise(similarity(pairs, self.sets).select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - shared).alias("away")), "op7-away")
+        lists = materialise(rows.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets")), "op7-lists")
+        return materialise(rows.join(far, ["centre", "doc_id"]).join(lists, "doc_id"), "op7-rest")
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's members in different components that the bounds allow, each in
+        the least bucket that they share.  Members of the bucket's first component are not
+        paired with each other."""
+        cols = ["doc_id", "n_shingles", "own", "part", "away", "buckets"]
+        one = rows.where("part <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in cols])
+        two = rows.select("bucket", (F.col("part") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"y_{c}") for c in cols])
+        n = F.col("x_n_shingles") + F.col("y_n_shingles")
+        most = F.least(F.col("x_n_shingles") - F.col("x_own"), F.col("y_n_shingles") - F.col("y_own"))
+        near = F.abs(F.col("x_away") - F.col("y_away")) <= 1 - self.percent / 100 + 1e-9
+        fits = (F.col("x_part") != F.col("y_part")) & (F.col("is_main") | (F.col("x_doc_id") < F.col("y_doc_id"))) & near & (most * 100 >= (n - most) * self.percent)
+        first = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket")
+        return one.join(two, "bucket").where(fits & first).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -198,34 +263,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     spark = docs.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    parts = spark.createDataFrame([], "doc_id long, component_id long")
-    tested = spark.createDataFrame([], "a long, b long")
-    for centre in ("low_id", "high_id", None):
-        placed = (
-            members.join(parts, "doc_id", "left")
-            .withColumn("part", F.coalesce("component_id", "doc_id"))
-            .select("bucket", "doc_id", "n_shingles", "part", "low_id", "high_id")
-        )
-        if centre:
-            mid = parts.select(F.col("doc_id").alias(centre), F.col("component_id").alias("centre_part"))
-            found = (
-                placed.select("doc_id", "part", centre).distinct().join(mid, centre, "left")
-                .where(F.col("part") != F.coalesce("centre_part", centre))
-                .select(F.least("doc_id", centre).alias("a"), F.greatest("doc_id", centre).alias("b"))
-            )
-        else:
-            placed = materialise(placed, "op7-placed")
-            split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-            open_rows = materialise(placed.join(materialise(split, "op7-split"), "bucket", "left_semi"), "op7-open")
-            one = open_rows.select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("p"), F.col("n_shingles").alias("m"))
-            two = open_rows.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("q"), F.col("n_shingles").alias("n"))
-            alike = (F.least("m", "n") * 100 >= F.greatest("m", "n") * percent) & (F.col("p") != F.col("q")) & (F.col("a") < F.col("b"))
-            found = one.join(two, "bucket").where(alike).select("a", "b")
-        found = materialise(found.distinct().join(tested, ["a", "b"], "left_anti"), "op7-pairs")
-        links = materialise(_verified(found, sets, percent), "op7-links")
-        tested, edges = tested.unionByName(found), edges.unionByName(links)
-        parts = components(edges)
+    state = _Links(spark, sets, percent)
+    for centre in ("low_id", "high_id"):
+        state.test(state.to_centre(members.select("bucket", "doc_id", "n_shingles", F.col(centre).alias("centre"))))
+    open_rows = members.select("bucket", "doc_id", "n_shingles")
+    for _ in range(2):
+        open_rows = state.reachable(state.split(open_rows))
+    least = open_rows.groupBy("bucket").agg(F.min_by("doc_id", F.struct("own", "doc_id")).alias("centre"))
+    open_rows = materialise(open_rows.join(materialise(least, "op7-centres"), "bucket"), "op7-centred")
+    state.test(state.to_centre(open_rows))
+    state.test(state.across(state.away(state.split(open_rows))))
+    parts = state.parts
 
     whole = materialise(
         firsts.join(parts.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("low", "high", F.coalesce("component_id", "rep").alias("part")),
