@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholion.functions.workers import ship
+
 #: A rank by frequency holds at most this many keys; any other key has at most 1/HEAVY of the rows.
 HEAVY = 1000
 #: A key seen no more often than this is never treated as heavy.
@@ -45,20 +45,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_scholion_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-scholion-")) / "scholion_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._scholion_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -106,3 +92,6 @@ def name_groups(df: DataFrame, keys: list[str], out: str) -> DataFrame:
         names = rows.select(*keys).distinct().withColumn(out, -F.row_number().over(Window.orderBy(*keys)).cast("long"))
         named = named.unionByName(rows.join(F.broadcast(names), keys).select(named.columns))
     return named
+
+
+__all__ = ["HEAVY", "SHARDS", "ascii_lower", "documents", "heavy_keys", "materialise", "name_groups", "shared_dir", "ship"]

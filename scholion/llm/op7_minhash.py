@@ -211,11 +211,11 @@ class _Links:
         return counted.where((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * self.percent)
 
     def away(self, rows: DataFrame) -> DataFrame:
-        """Rows of (bucket, centre, doc_id, ...) with each document's distance from the centre
-        of its bucket and the list of its buckets."""
+        """Rows of (bucket, centre, doc_id, ...) with what each document shares with the centre
+        of its bucket, its distance from it, and the list of its buckets."""
         pairs = rows.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
         shared = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))
-        far = materialise(similarity(pairs, self.sets).select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - shared).alias("away")), "op7-away")
+        far = materialise(similarity(pairs, self.sets).select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - shared).alias("away"), "shared"), "op7-away")
         lists = materialise(rows.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets")), "op7-lists")
         return materialise(rows.join(far, ["centre", "doc_id"]).join(lists, "doc_id"), "op7-rest")
 
@@ -223,11 +223,14 @@ class _Links:
         """Pairs of a bucket's members in different components that the bounds allow, each in
         the least bucket that they share.  Members of the bucket's first component are not
         paired with each other."""
-        cols = ["doc_id", "n_shingles", "own", "part", "away", "buckets"]
+        cols = ["doc_id", "n_shingles", "own", "part", "away", "shared", "buckets"]
         one = rows.where("part <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in cols])
         two = rows.select("bucket", (F.col("part") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"y_{c}") for c in cols])
         n = F.col("x_n_shingles") + F.col("y_n_shingles")
-        most = F.least(F.col("x_n_shingles") - F.col("x_own"), F.col("y_n_shingles") - F.col("y_own"))
+        # two sets share at most the lesser of their parts within the centre, and of their parts
+        # outside it that others have too
+        outside = lambda s: F.greatest(F.col(f"{s}_n_shingles") - F.col(f"{s}_shared") - F.col(f"{s}_own"), F.lit(0))
+        most = F.least("x_shared", "y_shared") + F.least(outside("x"), outside("y"))
         near = F.abs(F.col("x_away") - F.col("y_away")) <= 1 - self.percent / 100 + 1e-9
         fits = (F.col("x_part") != F.col("y_part")) & (F.col("is_main") | (F.col("x_doc_id") < F.col("y_doc_id"))) & near & (most * 100 >= (n - most) * self.percent)
         first = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket")

@@ -230,7 +230,7 @@ def test_op7_odd(spark, odd, none):
     rows = op7.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
-    assert by[5] == by[6] == 5 and by[1] == 1 and by[2] == 2 and by[11] == by[12] == 11 and by[4] == by[13] == 4
+    assert by[5] == by[6] == 5 and by[1] == 1 and by[2] == 2 and by[11] == by[12] == 11 and by[4] == 4 and by[13] == 13
     assert op7.near_duplicates(none).count() == 0
     assert op7.drop_near_duplicates(odd).columns == odd.columns
 
