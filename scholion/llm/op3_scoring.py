@@ -2,8 +2,8 @@
 
 The text that is scored is the sequence of its lower-cased words, written with one space
 between words and one line feed at the end.  Every byte is written as the bits of a Huffman
-code of the training bytes.  For each bit, predictors of different contexts (the last two,
-four and six bytes; the word so far) look up the counts of zeros and ones that training
+code of the training bytes.  For each bit, predictors of different contexts (the last three
+and six bytes; the word so far) look up the counts of zeros and ones that training
 texts had in a hashed slot of (context, code node).  Their log odds are added up under
 weights that belong to the text position's gate (whether the word so far is known), and the
 weights are refined after every bit by the gradient of its cost.  The sum of the bits' costs
@@ -30,22 +30,22 @@ from pyspark.sql import functions as F
 from scholion.llm.common import documents, materialise, ship
 
 #: Bytes before the coded byte that make the contexts of the first predictors.
-ORDERS = (2, 4, 6)
+ORDERS = (3, 6)
 #: Slots of the predictors' tables as powers of two; the last is of the word so far.
-SLOTS = (18, 20, 22, 22)
+SLOTS = (20, 22, 22)
 #: Added to both counts of a slot.
 SMOOTH = 0.4
 #: Log odds are stored in steps of 1 / SCALE.
 SCALE = 15.0
 #: Bits between restarts of the weights: a text's segments are scored side by side.
-SEGMENT = 2048
+SEGMENT = 1024
 #: Starting weights of unknown and known words, and the step of their refinement.
-WEIGHTS = ((0.20, 0.40, 0.50, 0.30), (0.15, 0.30, 0.40, 0.40))
+WEIGHTS = ((0.50, 0.60, 0.30), (0.30, 0.40, 0.40))
 RATE = 0.015
 #: Bytes of text that are worked on at once, and in a block of documents.
 BATCH, BLOCK = 1 << 20, 8 << 20
 #: Bytes of text that one task learns from, about: its tables are what it sends on.
-LESSON = 160 << 20
+LESSON = 128 << 20
 #: Words whose hashes a Python worker remembers; table entries in a chunk.
 CACHE, CHUNK = 400_000, 1 << 18
 END_BYTE = 10
@@ -95,10 +95,23 @@ class Code:
         self.length = np.array([len(p) for p in paths], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         node = np.array([n - 256 for p in paths for n, _ in p], np.uint64)
-        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        self.bit = np.array([b for p in paths for _, b in p], np.int8)
         mixed = (node + np.uint64(1)) * _A
         mixed ^= mixed >> np.uint64(29)
-        self.node_hash = [((mixed * (_B + np.uint64(2 * k))) >> np.uint64(64 - s)).astype(np.int64) for k, s in enumerate(SLOTS)]
+        self.node_hash = ((mixed * _B) >> np.uint64(40)).astype(np.int32)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, kept for the next call."""
+    if len(_known_powers[0]) < n:
+        for k, x in enumerate((int(_A), pow(int(_A), -1, 1 << 64))):
+            p = np.full(2 * n, x, np.uint64)
+            p[0] = 1
+            _known_powers[k] = np.cumprod(p, out=p)
+    return _known_powers[0][:n], _known_powers[1][:n]
+
+
+_known_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 class Bits:
@@ -119,27 +132,23 @@ class Bits:
             before_it[first[sizes > k] + k] &= np.uint64((1 << 8 * k) - 1)
         contexts = [before_it & np.uint64((1 << 8 * order) - 1) for order in ORDERS]
         # the word so far: a polynomial of its bytes, from sums over the whole data
-        power = np.full(n, _A)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        total = np.cumsum((x + np.uint64(1)) * power)
-        before = total - (x + np.uint64(1)) * power
+        power, back = _powers(n)
+        own = (x + np.uint64(1)) * power
+        before = np.cumsum(own) - own
         starts = np.zeros(n, bool)
         starts[first] = True
         starts[1:] |= data[:-1] == 32
         at = np.flatnonzero(starts)
         runs = np.diff(np.append(at, n))
-        back = np.full(n, pow(int(_A), -1, 1 << 64), np.uint64)
-        back[0] = 1
-        np.cumprod(back, out=back)
         word = (before - np.repeat(before[at], runs)) * np.repeat(back[at], runs)
 
         self.code, self.contexts = code, [*contexts, word]
         self.lengths = code.length[data]
         stop = np.cumsum(self.lengths)
-        self.where = np.repeat(code.start[data] - (stop - self.lengths), self.lengths)
-        self.where += np.arange(len(self.where))
-        self.bit = code.bit[self.where]
+        where = np.repeat((code.start[data] - (stop - self.lengths)).astype(np.int32), self.lengths)
+        where += np.arange(len(where), dtype=np.int32)
+        self.bit = code.bit[where]
+        self.node = code.node_hash[where]
         #: bits of each text
         self.sizes = np.diff(np.concatenate(([0], stop[np.cumsum(sizes) - 1])))
 
@@ -147,9 +156,8 @@ class Bits:
         """The slot that predictor k has for each bit."""
         h = (self.contexts[k] + np.uint64(k)) * _B
         h ^= h >> np.uint64(31)
-        base = ((h * _A) >> np.uint64(64 - SLOTS[k])).astype(np.int64)
-        slot = np.repeat(base, self.lengths)
-        slot ^= self.code.node_hash[k][self.where]
+        slot = np.repeat(((h * _A) >> np.uint64(64 - SLOTS[k])).astype(np.int32), self.lengths)
+        slot ^= self.node & np.int32((1 << SLOTS[k]) - 1)
         return slot
 
 
@@ -170,41 +178,46 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 def mix(bits: Bits, odds: list[np.ndarray]) -> np.ndarray:
     """The cost of each text in bits: weights start anew in each segment of a text and are
     refined bit by bit; all segments advance together."""
-    # eight bytes for each bit: log odds, and last the bit and its gate
-    k_all = len(SLOTS)
-    cells = np.zeros((len(bits.bit), 8), np.int8)
+    # four bytes for each bit: log odds, and last the bit and its gate
+    cells = np.empty((len(bits.bit), 4), np.int8)
     for k, table in enumerate(odds):
         cells[:, k] = table[bits.slot(k)]
-    cells[:, 7] = bits.bit
-    cells[:, 7] += (cells[:, k_all - 1] != 0).astype(np.int8) * 2
+    cells[:, 3] = bits.bit + (cells[:, 2] != 0).astype(np.int8) * 2
     per_text = -(-bits.sizes // SEGMENT)
     owner = np.repeat(np.arange(len(per_text)), per_text)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     lengths = np.minimum(SEGMENT, bits.sizes[owner] - number * SEGMENT)
-    lanes, steps = len(owner), int(lengths.max())
-    inside = np.arange(SEGMENT) < lengths[:, None]
-    grid = np.zeros((lanes, SEGMENT), np.uint64)
-    grid[inside] = cells.view(np.uint64).ravel()
-    grid = np.ascontiguousarray(grid.T)
-    weights = np.empty((2, k_all, lanes), np.float32)
+    # longest segments first: those that still run are a prefix of the lanes
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    lengths, owner = lengths[order], owner[order]
+    lanes, steps = len(owner), int(lengths[0])
+    flat = cells.view(np.uint32).ravel()
+    running = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    weights = np.empty((2, 3, lanes), np.float32)
     weights[:] = np.array(WEIGHTS, np.float32)[:, :, None]
-    margin = np.zeros((SEGMENT, lanes), np.float32)
+    cost, share = np.zeros(lanes), np.ones(lanes)
     for t in range(steps):
-        row = grid[t].view(np.int8).reshape(lanes, 8).T
-        x = row[:k_all] * np.float32(1 / SCALE)
-        y = (row[7] & 1).astype(np.float32)
-        known = (row[7] >> 1).astype(np.float32)
-        both = (weights * x).sum(axis=1)
+        n = running[t]
+        row = flat[starts[:n] + t].view(np.int8).reshape(n, 4).T
+        x = row[:3] * np.float32(1 / SCALE)
+        sign = ((row[3] & 1) * np.int8(2) - np.int8(1)).astype(np.float32)
+        known = (row[3] >> 1).astype(np.float32)
+        both = (weights[:, :, :n] * x).sum(axis=1)
         s = both[0] + known * (both[1] - both[0])
-        margin[t] = s * (2 * y - 1)
-        err = y - 1 / (1 + np.exp(-s))
+        # the probability of the bit that came, and the gradient of its cost
+        p = 1 / (1 + np.exp(-s * sign))
+        share[:n] *= p
+        err = (1 - p) * sign
         err *= RATE
         on = err * known
-        weights[1] += on * x
-        weights[0] += (err - on) * x
-    cost = np.log1p(np.exp(-margin)).T
-    cost[~inside] = 0
-    return np.bincount(owner, cost.sum(axis=1, dtype=np.float64), minlength=len(per_text)) / math.log(2)
+        weights[1, :, :n] += on * x
+        err -= on
+        weights[0, :, :n] += err * x
+        if t % 4 == 3 or t == steps - 1:
+            cost -= np.log(share)
+            share[:] = 1
+    return np.bincount(owner, cost, minlength=len(per_text)) / math.log(2)
 
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
