@@ -31,7 +31,8 @@ from scholion.llm.common import documents, materialise, ship
 
 BANDS = 30
 ROWS = 5
-SHINGLE = 4
+#: Words of a shingle, and of those that the query op7_minhash compares.
+SHINGLE, QUERY_SHINGLE = 5, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Words whose hashes a Python worker remembers.
@@ -104,13 +105,13 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _signatures(bands: int, rows: int):
+def _signatures(bands: int, rows: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
-                shingles = shingle_set(words)
+                shingles = shingle_set(words, size)
                 low = high = None
                 keys = None
                 if len(shingles):
@@ -125,10 +126,13 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [shingle_set(words_of(t)).view(np.int64) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
+def _sets(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(words_of(t), size).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,8 +241,8 @@ class _Links:
         return one.join(two, "bucket").where(fits & first).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.  Shingles have ``size`` words.
 
     A null text counts as empty; documents without words have no shingles and are linked
     with nothing.  Ids identify documents: rows that repeat an id share one component.  A
@@ -247,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(
-        texts.mapInPandas(_signatures(bands, rows), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "op7-signed"
+        texts.mapInPandas(_signatures(bands, rows, size), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "op7-signed"
     )
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = materialise(linkable.groupBy("low", "high").agg(F.min("doc_id").alias("rep")), "op7-firsts")
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(banded.join(buckets, "bucket"), "op7-members")
     wanted = members.select("doc_id").distinct()
     sets = materialise(
-        texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets, "doc_id long, shingles array<long>"), "op7-sets"
+        texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets(size), "doc_id long, shingles array<long>"), "op7-sets"
     )
 
     spark = docs.sparkSession
@@ -287,11 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """``docs`` with the document of the smallest id of each component only."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    gone = near_duplicates(docs, id_col, text_col, size=size).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), size=QUERY_SHINGLE)

@@ -235,6 +235,17 @@ def test_op7_odd(spark, odd, none):
     assert op7.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_dedup_stage_takes_five_words(spark, sf_dir):
+    """Two texts alike by 131 of 163 shingles of four words, and by 126 of 166 of five."""
+    import corpus_pipeline as pipeline
+
+    words = [f"w{k}" for k in range(150)]
+    other = [f"x{k}" if k in (20, 50, 80, 110) else w for k, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words) + " z")], "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_dedup(spark, df, sf_dir).collect()} == {1, 2}
+    assert {r.doc_id for r in op7.drop_near_duplicates(df, size=4).collect()} == {1}
+
+
 def test_op8_round_trip(spark, sf_dir, texts, odd, none):
     for r in op8.op8_media(spark, sf_dir).collect():
         raw = texts[r.doc_id].encode()
