@@ -93,7 +93,8 @@ def features(texts: DataFrame, lexicon: list[str]) -> DataFrame:
 
 
 def posteriors(feats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add p: the posterior of each of DOMAINS, by naive Bayes over the bins."""
+    """Add p: the posterior of each of DOMAINS, by naive Bayes over the bins.  A domain of no
+    labelled row has 0, unless none has any: then all are alike."""
     labelled = feats.join(labels, F.col("doc_id") == F.col("label_id"))
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"bin_{k}").alias("bin")) for k in BINS]))
     counted = labelled.select("domain", pairs.alias("x")).groupBy("domain", "x.feature", "x.bin").count().collect()  # domains x bins rows
@@ -106,52 +107,65 @@ def posteriors(feats: DataFrame, labels: DataFrame) -> DataFrame:
         for f, ends in BINS.items():
             logs = [math.log((n.get((d, f, b), 0) + 0.5) / (size + 0.5 * (len(ends) + 1))) for b in range(len(ends) + 1)]
             score = score + F.element_at(F.array(*map(F.lit, logs)), F.col(f"bin_{f}") + 1)
-        scores.append(score)
+        scores.append(score if size or not sum(sizes) else F.lit(float("-inf")))
     with_scores = feats.withColumn("scores", F.array(*scores))
     scaled = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
     total = F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x)
     return with_scores.withColumn("scaled", scaled).withColumn("p", F.transform("scaled", lambda x: x / total)).select("doc_id", "tokens", "p")
 
 
-def _rate(steps: list[list[float]], max_rate: float | None) -> Column:
-    """The rate after the steps, each projected, from 1."""
+def _rate(steps: list[tuple[float, list[float]]], max_rate: float | None) -> Column:
+    """The rate after the steps (momentum, gradient), each projected, from 1."""
     if not steps:
         return F.lit(1.0)
-    moves = F.array(*[F.array(*map(F.lit, g)) for g in steps])
+    moves = F.array(*[F.struct(F.lit(m).alias("momentum"), F.array(*map(F.lit, g)).alias("g")) for m, g in steps])
 
-    def move(rate: Column, g: Column) -> Column:
-        moved = rate - F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    def move(at: Column, step: Column) -> Column:
+        ahead = at["rate"] + step["momentum"] * (at["rate"] - at["old"])
+        moved = ahead - F.aggregate(F.zip_with("p", step["g"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         kept = F.greatest(F.lit(0.0), moved)
-        return kept if max_rate is None else F.least(F.lit(max_rate), kept)
+        return F.struct((kept if max_rate is None else F.least(F.lit(max_rate), kept)).alias("rate"), at["rate"].alias("old"))
 
-    return F.aggregate(moves, F.lit(1.0), move)
+    return F.aggregate(moves, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("old")), move, lambda at: at["rate"])
 
 
 def fit_rates(soft: DataFrame, targets: Mapping[str, float], max_rate: float | None = None, total: float | None = None) -> tuple[Column, dict[str, float]]:
     """(rate as an expression over p, token totals by domain) for (tokens, p) rows.
 
-    ``total`` is the number of tokens to mix; by default as many as there are without
-    repeating any domain.
+    ``total`` is the number of tokens to mix, by default as many as there are; the shares are
+    the targets over the domains that have tokens.  Without a ``max_rate`` residuals are
+    driven to 0, at rates above 1 in domains in short supply.  With one they need not reach 0:
+    the sum of their squares, each over the tokens of its domain, is made least within the
+    bounds by accelerated projected gradients.
     """
     d = range(len(DOMAINS))
-    w = np.array([targets[k] for k in DOMAINS])
-    w = w / w.sum()
     sums = soft.agg(*[F.sum(F.col("tokens") * F.col("p")[k]) for k in d], *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in d for j in d]).first()
     if sums[0] is None:
         return F.lit(1.0), dict.fromkeys(DOMAINS, 0.0)
     have = np.array(sums[: len(DOMAINS)], float)
     curve = np.array(sums[len(DOMAINS) :], float).reshape(len(DOMAINS), -1)
-    goal = w * (total if total is not None else float((have[w > 0] / w[w > 0]).min()))
-    inverse = np.linalg.pinv(curve)
-    steps: list[list[float]] = []
-    got = have
-    for _ in range(STEPS):
-        residual = got - goal
-        if np.abs(residual).max() <= TOLERANCE * max(1.0, goal.sum()):
+    w = np.where(have > 0, [targets[k] for k in DOMAINS], 0.0)
+    if not w.sum():
+        return F.lit(1.0), dict(zip(DOMAINS, map(float, have), strict=True))
+    goal = w / w.sum() * (total if total is not None else float(have.sum()))
+    # the steps' scale: whole Newton steps, or (a row of curve adds up to have) steps that
+    # never overshoot
+    scale = np.linalg.pinv(curve) if max_rate is None else np.diag(np.divide(1.0, have, out=np.zeros(len(have)), where=have > 0))
+    least = TOLERANCE * max(1.0, goal.sum())
+    steps: list[tuple[float, list[float]]] = []
+    got = old = have
+    for turn in range(STEPS):
+        if np.abs(got - goal).max() <= least:
             break
-        steps.append([float(x) for x in inverse @ residual])
+        momentum = 0.0 if max_rate is None else max(0, turn - 1) / (turn + 2)
+        g = scale @ (got + momentum * (got - old) - goal)
+        if np.abs(g).max() <= TOLERANCE:
+            break
+        steps.append((momentum, [float(x) for x in g]))
         rate = _rate(steps, max_rate)
-        got = np.array(soft.agg(*[F.sum(rate * F.col("tokens") * F.col("p")[k]) for k in d]).first(), float)
+        old, got = got, np.array(soft.agg(*[F.sum(rate * F.col("tokens") * F.col("p")[k]) for k in d]).first(), float)
+        if max_rate is not None and np.abs(got - old).max() <= least:
+            break
     return _rate(steps, max_rate), dict(zip(DOMAINS, map(float, got), strict=True))
 
 
@@ -160,8 +174,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 
     ``copies`` is the rate rounded up or down by a fixed hash of the id, so that its mean is
     the rate.  A null text is empty: no tokens, and a posterior from its empty features.
-    Without labels all domains are alike and rates only scale the corpus.  Null ids take no
-    labels; repeated rows are mixed as rows of their own.
+    Without labels all domains are alike and all rates are 1.  Null ids take no labels; repeated rows are mixed as rows of their own.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = _labels(labels, id_col)
@@ -169,12 +182,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
     soft = materialise(posteriors(feats, known), "op6-soft")
     rate, _ = fit_rates(soft, targets, max_rate)
     share = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return soft.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + share).cast("long"))
+    return soft.withColumn("rate", F.round(rate, 9)).withColumn("copies", F.floor(F.col("rate") + share).cast("long"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says; with a ``max_rate`` of 1, no row is
-    repeated and rows of domains in short supply all stay."""
+    repeated, rows of domains in short supply all stay, and only what other domains have above
+    their share of all tokens goes."""
     rates = mixing_rates(docs, labels, targets, max_rate, id_col, text_col).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
     out = docs.join(rates, F.col(id_col).eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
     return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)

@@ -184,6 +184,20 @@ def test_op6_meets_targets(spark, sf_dir, odd, none):
     assert mixed.columns == odd.columns and mixed.count() <= odd.count()
 
 
+def test_op6_size_is_not_set_by_a_scarce_domain(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    tokens = lambda df: df.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
+    assert op6.mix_documents(docs, labels.where("false")).count() == docs.count()
+    good = docs.join(labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    assert tokens(op6.mix_documents(docs, labels.where("toxic = 0")).join(good.select("doc_id"), "doc_id", "left_semi")) > 0.9 * tokens(good)
+    rows = [(100, [float(k == d) for k in range(4)]) for d, n in enumerate((899, 50, 50, 1)) for _ in range(n)]
+    soft = spark.createDataFrame(rows, "tokens long, p array<double>")
+    _, got = op6.fit_rates(soft, op6.TARGETS, 1.0)
+    assert np.allclose([got[d] for d in op6.DOMAINS], [87_000, 3_000, 5_000, 100], rtol=1e-3)
+    _, got = op6.fit_rates(soft, op6.TARGETS)
+    assert np.allclose([got[d] for d in op6.DOMAINS], [87_000, 3_000, 9_000, 1_000], rtol=1e-3)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts.items():
