@@ -2,8 +2,8 @@ r"""License scans by ordered signature rules.
 
 ``RULES`` holds some hundreds of regexes: each hand-written licence name below in each
 hand-written form (named alone, granted in a sentence, as an SPDX tag, as a link).  A rule
-runs only on a text that has its keyword, and no rule runs on a text without a keyword of
-the gate.  Every match is an interval; an interval is suppressed by an overlapping one of
+runs only on a text that has its keywords, each a word that all its matches contain, and no
+rule runs on a text without all keywords of some rule.  Every match is an interval; an interval is suppressed by an overlapping one of
 higher priority, and by one of equal priority that contains it.  What is left gives the
 labels.
 
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import ascii_lower, documents
 
-#: Words of a text (A-Z lower-cased beforehand) and what lies between them.
+#: Words of a text (A-Z lower-cased beforehand).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -33,7 +32,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: (label, keyword, name) of the licences.
+#: (label, keywords, name) of the licences: every match of the name contains each keyword.
 NAMES = (
     ("apache-1.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.0"),
     ("apache-1.1", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.1"),
@@ -43,7 +42,7 @@ NAMES = (
     ("gpl-3.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?3(?:\.0)?\b"),
     ("gpl-2.0", "gpl", r"\bgpl[\W_]*v?2(?:\.0)?\b"),
     ("gpl-3.0", "gpl", r"\bgpl[\W_]*v?3(?:\.0)?\b"),
-    ("lgpl-2.0", "lesser", r"gnu[\W_]+(?:lesser|library)[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
+    ("lgpl-2.0", "gnu general", r"gnu[\W_]+(?:lesser|library)[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
     ("lgpl-2.1", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2\.1\b"),
     ("lgpl-3.0", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?3(?:\.0)?\b"),
     ("lgpl", "lgpl", r"\blgpl\b"),
@@ -60,9 +59,9 @@ NAMES = (
     ("bsd-3-clause", "bsd", r"(?:bsd[\W_]+3[\W_]+clause|3[\W_]+clause[\W_]+bsd|new[\W_]+bsd|modified[\W_]+bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd[\W_]+4[\W_]+clause|original[\W_]+bsd)"),
     ("bsd", "bsd", r"\bbsd[\W_]+(?:style[\W_]+)?licen[cs]e"),
-    ("mit", "mit", r"\bmit[\W_]+licen[cs]e"),
-    ("mit-0", "mit", r"\bmit[\W_]+no[\W_]+attribution"),
-    ("isc", "isc", r"\bisc[\W_]+licen[cs]e"),
+    ("mit", "mit licen", r"\bmit[\W_]+licen[cs]e"),
+    ("mit-0", "mit attribution", r"\bmit[\W_]+no[\W_]+attribution"),
+    ("isc", "isc licen", r"\bisc[\W_]+licen[cs]e"),
     ("zlib", "zlib", r"\bzlib[\W_]+licen[cs]e"),
     ("bsl-1.0", "boost", r"boost[\W_]+software[\W_]+licen[cs]e"),
     ("unlicense", "unlicense", r"\bunlicense\b"),
@@ -72,10 +71,10 @@ NAMES = (
     ("afl-3.0", "academic", r"academic[\W_]+free[\W_]+licen[cs]e"),
     ("osl-3.0", "open software", r"open[\W_]+software[\W_]+licen[cs]e"),
     ("psf-2.0", "python", r"python[\W_]+software[\W_]+foundation[\W_]+licen[cs]e"),
-    ("php-3.01", "php", r"\bphp[\W_]+licen[cs]e"),
-    ("ofl-1.1", "open font", r"(?:sil[\W_]+)?open[\W_]+font[\W_]+licen[cs]e"),
-    ("odbl-1.0", "open data", r"open[\W_]+(?:data[\W_]+commons[\W_]+open[\W_]+)?database[\W_]+licen[cs]e"),
-    ("odc-by-1.0", "open data", r"open[\W_]+data[\W_]+commons[\W_]+attribution"),
+    ("php-3.01", "php licen", r"\bphp[\W_]+licen[cs]e"),
+    ("ofl-1.1", "open font licen", r"(?:sil[\W_]+)?open[\W_]+font[\W_]+licen[cs]e"),
+    ("odbl-1.0", "open database", r"open[\W_]+(?:data[\W_]+commons[\W_]+open[\W_]+)?database[\W_]+licen[cs]e"),
+    ("odc-by-1.0", "open data attribution", r"open[\W_]+data[\W_]+commons[\W_]+attribution"),
     ("gfdl-1.3", "documentation", r"gnu[\W_]+free[\W_]+documentation[\W_]+licen[cs]e"),
     ("cc0-1.0", "cc0", r"\bcc0(?:[\W_]+1\.0)?"),
     ("public-domain", "public domain", r"(?:dedicated[\W_]+to|in)[\W_]+the[\W_]+public[\W_]+domain"),
@@ -94,20 +93,16 @@ FORMS = (
 )
 SPDX = r"spdx-licen[cs]e-identifier:\s*"
 
-#: Texts without any of these have no licence line.
-GATE = ("licen", "gpl", "spdx", "public domain", "rights reserved", "cc0", "creativecommons", "creative commons", "wtfpl", "bsd")
-
-
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, regex, priority), in order of their priority."""
+    """(label, keywords, regex, priority), in order of their priority."""
     names = list(NAMES)
     for part, spelt in CC_PARTS:
         for version in CC_VERSIONS:
             short = part.replace("-", r"[\W_]*")
             long = r"creative[\W_]+commons[\W_]+attribution" + (rf"[\W_]+{spelt}" if spelt else "")
             tail = r"[\W_]+(?:v|version[\W_]+)?" + version.replace(".", r"\.")
-            names.append((f"cc-{part}-{version}", "cc", rf"\bcc[\W_]*{short}{tail}"))
-            names.append((f"cc-{part}-{version}", "creative", long + tail))
+            names.append((f"cc-{part}-{version}", "cc by", rf"\bcc[\W_]*{short}{tail}"))
+            names.append((f"cc-{part}-{version}", "creative commons attribution", long + tail))
     made = [(label, key, form.replace("N", name), priority) for label, key, name in names for priority, form in FORMS]
     labels = sorted({label for label, _, _ in names})
     made += [(label, "spdx", SPDX + label.replace(".", r"\.") + r"(?:-only|-or-later)?\b", 90) for label in labels]
@@ -122,8 +117,22 @@ def rules() -> list[tuple[str, str, str, int]]:
 RULES = rules()
 
 
-def _rule_array(keyword: str) -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rx).alias("regex"), F.lit(p).alias("priority")) for label, key, rx, p in RULES if key == keyword])
+def _has(text: Column, keywords: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(k)) for k in keywords.split(" ")])
+
+
+def _gates() -> list[str]:
+    """Keywords of the rules and words of the base phrases, without those that hold a lesser one's."""
+    every = sorted({key for _, key, _, _ in RULES} | {phrase for phrase, _ in PHRASES})
+    return [k for k in every if not any(o != k and all(any(x in w for w in k.split(" ")) for x in o.split(" ")) for o in every)]
+
+
+#: Texts without all words of any of these have no licence line.
+GATE = _gates()
+
+
+def _rule_array(keywords: str) -> Column:
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rx).alias("regex"), F.lit(p).alias("priority")) for label, key, rx, p in RULES if key == keywords])
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -154,7 +163,7 @@ def detections(text: Column) -> Column:
     and stops are characters, from 0."""
     keys = sorted({key for _, key, _, _ in RULES})
     per_key = [
-        F.when(F.contains(text, F.lit(key)), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r)))).otherwise(
+        F.when(_has(text, key), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r)))).otherwise(
             F.array().cast("array<struct<start:int,stop:int,label:string,priority:int>>")
         )
         for key in keys
@@ -173,8 +182,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     gate_text = F.lower(raw)
-    cc_by = F.contains(gate_text, F.lit("cc")) & F.rlike(gate_text, F.lit(rf"cc{GAP}by"))
-    gate = reduce(lambda a, b: a | b, [F.contains(gate_text, F.lit(k)) for k in GATE], cc_by)
+    gate = reduce(lambda a, b: a | b, [_has(gate_text, k) for k in GATE])
     d = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(raw, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(gate, ascii_lower(raw)).alias("low"))
     d = d.withColumn("spaced", F.when(F.col("low").isNotNull(), F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), " "), F.lit(" "))))
     d = d.withColumn("detections", F.when(F.col("low").isNotNull(), detections(F.col("low"))))
