@@ -4,8 +4,9 @@ Documents are cut into pieces of at most ``capacity`` tokens.  Pieces are dealt
 partitions; each packs its own by best-fit decreasing and computes lower bounds from dual
 feasible functions.  A partition whose bin count meets its bound is certified optimal and
 final.  The others close their full and nearly full bins and release the documents of the
-bins with gaps; released documents of several partitions are put together and packed again,
-round by round, until nothing is released or one partition is left.
+bins with gaps; released documents are dealt anew to as many partitions as they fill and
+packed again, round by round, until nothing is released, one partition held them all, or a
+round saves no bin.  No partition grows beyond its size in the first round.
 
 Each round is one shuffle of released rows (ids and lengths, never texts).
 """
@@ -27,8 +28,6 @@ from scholion.llm.tokens import coder
 CAPACITY = 2048
 #: Pieces that one partition packs, about.
 PIECES = 40_000
-#: Partitions whose released documents meet in the next round.
-MEET = 8
 #: Bins with a larger share of free tokens are released.
 GAP = 1 / 64
 END_ID = 0
@@ -130,19 +129,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
     spread = F.xxhash64("doc_id", "piece", "start")
     rows = pieces.select(F.pmod(spread, F.lit(groups)).alias("key"), "doc_id", "piece", "start", "length", "ids_crc32")
     schema = PACKED_SCHEMA.replace("length long", "start long, length long, ids_crc32 long")
-    done, turn = None, 0
+    done, before, turn = None, None, 0
     while True:
-        last = groups == 1 and turn > 0
-        packed = materialise(rows.groupBy("key").applyInPandas(_pack(capacity, last or groups == 1), schema), f"op1-round{turn}")
+        packed = materialise(rows.groupBy("key").applyInPandas(_pack(capacity, groups == 1), schema), f"op1-round{turn}")
+        # each bin has one piece at its start
+        bins, n_open, open_bins = packed.agg(F.count_if(F.expr("offset = 0")), F.count_if("open"), F.count_if(F.expr("open AND offset = 0"))).first()
         # a sequence is named by round, partition and bin
-        name = F.lit(turn << 56) + F.shiftleft(F.col("key"), 24) + F.col("bin")
-        final = packed.where("NOT open").select("doc_id", "piece", "start", "length", "ids_crc32", name.alias("sequence_id"), "offset")
+        name = F.lit(turn << 48) + F.shiftleft(F.col("key"), 24) + F.col("bin")
+        named = packed.select("open", "doc_id", "piece", "start", "length", "ids_crc32", name.alias("sequence_id"), "offset")
+        if before is not None and bins >= before[1]:
+            return done.unionByName(before[0])  # nothing is saved: the bins that were released stand
+        final = named.where("NOT open").drop("open")
         done = final if done is None else done.unionByName(final)
-        if groups == 1 or packed.where("open").isEmpty():
+        if not n_open:
             return done
-        groups = -(-groups // MEET)
+        before = named.where("open").drop("open"), open_bins
+        groups = -(-n_open // per_partition)
         turn += 1
-        rows = packed.where("open").select(F.pmod("key", F.lit(groups)).alias("key"), "doc_id", "piece", "start", "length", "ids_crc32")
+        spread = F.xxhash64(F.lit(turn), "key", "bin", "offset")
+        rows = packed.where("open").select(F.pmod(spread, F.lit(groups)).alias("key"), "doc_id", "piece", "start", "length", "ids_crc32")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,25 @@ def test_op1_rounds_and_bounds(spark):
     assert out["sequence_id"].nunique() <= 1.04 * op1.lower_bound(lengths, 2048)
 
 
+def test_op1_partitions_keep_their_size(spark, monkeypatch):
+    """Pieces that leave gaps in most bins are released again and again, never into one task."""
+    lengths = np.random.default_rng(4).integers(600, 1101, 3000)
+    df = spark.createDataFrame([(int(k), 0, 0, int(n), 0) for k, n in enumerate(lengths)], op1.PIECE_SCHEMA)
+    most, write = [], op1.materialise
+
+    def watched(frame, label):
+        out = write(frame, label)
+        most.append(out.groupBy("key").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(op1, "materialise", watched)
+    out = op1.pack(df, per_partition=200).toPandas()
+    assert len(most) > 1 and max(most) <= 300
+    assert sorted(out["doc_id"]) == list(range(3000)) and out.groupby("sequence_id")["length"].sum().max() <= 2048
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert list(seq["offset"]) == [0, *np.cumsum(seq["length"])[:-1]]
+
+
 def test_op2_counts_after_edits(spark, coded, odd, texts):
     count = lambda t: len(ids_of(coded, t)) // 4
     rng = np.random.default_rng(5)
