@@ -1,17 +1,27 @@
 """Language-model scoring by online logistic context mixing.
 
-The text that is scored is the sequence of its lower-cased words, written with one space
-between words and one line feed at the end.  Every byte is written as the bits of a Huffman
-code of the training bytes.  For each bit, predictors of different contexts (the last three
-and six bytes; the word so far) look up the counts of zeros and ones that training
-texts had in a hashed slot of (context, code node).  Their log odds are added up under
-weights that belong to the text position's gate (whether the word so far is known), and the
-weights are refined after every bit by the gradient of its cost.  The sum of the bits' costs
-is the text's total; over the bytes, its bits per byte.
-
-Training is counting: each task counts into tables of a fixed size, and tables are summed by
-chunk.  The base model counts words: word hashes are counted per block of documents, summed
-over blocks by Spark, and sent back to the blocks, so no task or driver holds a vocabulary.
+The text that is scored is the sequence of its lower-cased words, each followed by one space,
+and one line feed at the end.  Every byte is written as the bits of a Huffman code of the
+training bytes.  For each bit, predictors of different contexts (the last two, four and six
+bytes; the word so far) give the log odds of the zeros and ones that training texts had at
+that node of the code after that context.  The log odds are added up under weights that belong
+to the bit's gate (how many of the two longest contexts have been there before), and the
+weights are refined from group of bits to group of bits, through the whole text, by the
+gradient of the cost.  The sum of the bits' costs is the text's total; over the bytes, its
+bits per byte.
+
+Counts are kept for every context that occurs, told apart by 56 bits (byte contexts by their
+very bytes), so what is gathered grows with the corpus:
+
+1. Documents are packed into blocks of about BLOCK bytes, one row each.
+2. Each block sends its distinct (context, next byte) keys with their training counts to the
+   shards of the contexts' hashes; there are as many shards as blocks.
+3. A shard adds up the counts of each key and answers every block with the log odds along the
+   code path of each key that it asked for.
+4. A block's answers meet its texts, and its texts are scored.
+
+No task holds more than a block or a shard, and the driver only the counts of 256 bytes.  The
+end of a word is a key as well, and its count is the word's count in the base model.
 """
 
 from __future__ import annotations
@@ -29,41 +39,30 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import documents, materialise, ship
 
-#: Bytes before the coded byte that make the contexts of the first predictors.
-ORDERS = (3, 6)
-#: Slots of the predictors' tables as powers of two; the last is of the word so far.
-SLOTS = (20, 22, 22)
-#: Added to both counts of a slot.
-SMOOTH = 0.4
+#: Bytes before the coded byte that make the contexts of the first predictors; the last
+#: predictor has the word so far.
+ORDERS = (2, 4, 6)
+WORD = len(ORDERS)
+#: Added to both counts of a node.
+SMOOTH = 0.2
 #: Log odds are stored in steps of 1 / SCALE.
 SCALE = 15.0
-#: Bits between restarts of the weights: a text's segments are scored side by side.
-SEGMENT = 1024
-#: Starting weights of unknown and known words, and the step of their refinement.
-WEIGHTS = ((0.50, 0.60, 0.30), (0.30, 0.40, 0.40))
-RATE = 0.015
-#: Bytes of text that are worked on at once, and in a block of documents.
-BATCH, BLOCK = 1 << 20, 8 << 20
-#: Bytes of text that one task learns from, about: its tables are what it sends on.
-LESSON = 128 << 20
-#: Words whose hashes a Python worker remembers; table entries in a chunk.
-CACHE, CHUNK = 400_000, 1 << 18
-END_BYTE = 10
+#: Starting weights, what is added where the longest context or the word is known, and where
+#: both are.
+WEIGHTS = ((0.60, 0.60, 0.30, 0.30), (-0.35, -0.20, 0.10, 0.10), (-0.15, -0.15, 0.0, 0.0))
+#: Step of the weights' refinement, and (groups, bits in a group) in turn; the last for good.
+RATE = 0.005
+GROUPS = ((64, 16), (64, 32), (64, 64), (0, 128))
+#: Log odds of a bit are at most this, either way.
+MOST = 12.0
+#: Bytes of text in a block, sorted at once, and scored at once.
+BLOCK, SORTED, BATCH = 16 << 20, 1 << 20, 2 << 20
+#: Bytes of a word after which its context starts anew.
+PIECE = 256
+END, SPACE = 10, 32
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHash()
-#: The hash of the end token: of a string that is no word.
-END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
+_BYTE = np.uint64(255)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,11 +70,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def written(words: list[bytes]) -> bytes:
-    return b" ".join(words) + b"\n"
+    return b" ".join([*words, b"\n"])
 
 
 class Code:
-    """A Huffman code of the 256 bytes, as one path of (node, bit) for each byte."""
+    """A Huffman code of the 256 bytes, as one path of nodes and bits for each byte."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
@@ -93,297 +92,532 @@ class Code:
                 at = above[at][0]
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
-        node = np.array([n - 256 for p in paths for n, _ in p], np.uint64)
+        self.start = np.cumsum(self.length) - self.length
         self.bit = np.array([b for p in paths for _, b in p], np.int8)
-        mixed = (node + np.uint64(1)) * _A
-        mixed ^= mixed >> np.uint64(29)
-        self.node_hash = ((mixed * _B) >> np.uint64(40)).astype(np.int32)
+        #: bytes from left to right in the tree: those below a node are neighbours
+        self.rank = np.empty(256, np.uint64)
+        self.rank[sorted(range(256), key=lambda b: [x for _, x in paths[b]])] = np.arange(256, dtype=np.uint64)
+        depth = int(self.length.max())
+        self.nodes = np.array([[n for n, _ in p] + [0] * (depth - len(p)) for p in paths], np.int16)
+        self.bits = np.array([[b for _, b in p] + [0] * (depth - len(p)) for p in paths], np.int64)
+        self.sign, self.length32 = self.bit * np.int8(2) - np.int8(1), self.length.astype(np.int32)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _A
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in no set order, number of each given key among them).
+
+    Sorts hashes that carry their position in the low bits; where hashes of different keys
+    are equal, a key may come up more than once.
+    """
+    n = len(keys)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    h = keys * _A
+    h &= ~low
+    h |= np.arange(n, dtype=np.uint64)
+    h.sort()
+    h &= low
+    at = h.view(np.int64)
+    found = keys.take(at)
+    new = np.ones(n, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    number = np.empty(n, np.int32)
+    number[at] = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    return found[new], number
+
+
+def byte_keys(texts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
+    """For each byte of the texts, the six bytes before it and itself.  Before a text come
+    bytes 0, or the seven bytes given."""
+    lead = before or [bytes(7)] * len(texts)
+    data = b"".join(x for pair in zip(lead, texts, strict=True) for x in pair)
+    windows = np.ndarray(len(data) - 7, ">u8", data, 0, (1,)).astype(np.uint64) if len(data) > 7 else np.empty(0, np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    if len(texts) > 1:
+        own = np.ones(len(windows), bool)
+        stops = np.cumsum(sizes + 7)[:-1] - 7
+        own[(stops[:, None] + np.arange(7)).ravel()] = False
+        windows = windows[own]
+    return windows & np.uint64((1 << 56) - 1)
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, kept for the next call."""
-    if len(_known_powers[0]) < n:
+    if len(_powers[0]) < n:
         for k, x in enumerate((int(_A), pow(int(_A), -1, 1 << 64))):
             p = np.full(2 * n, x, np.uint64)
             p[0] = 1
-            _known_powers[k] = np.cumprod(p, out=p)
-    return _known_powers[0][:n], _known_powers[1][:n]
-
-
-_known_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-
-
-class Bits:
-    """The bits of some written texts, with the slot of each predictor."""
-
-    def __init__(self, texts: list[bytes], code: Code):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        first = np.cumsum(sizes) - sizes
-        x = data.astype(np.uint64)
-        n = len(x)
-        # the bytes before each byte; before a text come zeros
-        most = max(ORDERS)
-        before_it = np.zeros(n, np.uint64)
-        for k in range(1, most + 1):
-            before_it[k:] += x[:-k] << np.uint64(8 * (k - 1))
-        for k in range(most):  # position k of a text has only k bytes before it
-            before_it[first[sizes > k] + k] &= np.uint64((1 << 8 * k) - 1)
-        contexts = [before_it & np.uint64((1 << 8 * order) - 1) for order in ORDERS]
-        # the word so far: a polynomial of its bytes, from sums over the whole data
-        power, back = _powers(n)
-        own = (x + np.uint64(1)) * power
-        before = np.cumsum(own) - own
-        starts = np.zeros(n, bool)
-        starts[first] = True
-        starts[1:] |= data[:-1] == 32
-        at = np.flatnonzero(starts)
-        runs = np.diff(np.append(at, n))
-        word = (before - np.repeat(before[at], runs)) * np.repeat(back[at], runs)
-
-        self.code, self.contexts = code, [*contexts, word]
-        self.lengths = code.length[data]
-        stop = np.cumsum(self.lengths)
-        where = np.repeat((code.start[data] - (stop - self.lengths)).astype(np.int32), self.lengths)
-        where += np.arange(len(where), dtype=np.int32)
-        self.bit = code.bit[where]
-        self.node = code.node_hash[where]
-        #: bits of each text
-        self.sizes = np.diff(np.concatenate(([0], stop[np.cumsum(sizes) - 1])))
-
-    def slot(self, k: int) -> np.ndarray:
-        """The slot that predictor k has for each bit."""
-        h = (self.contexts[k] + np.uint64(k)) * _B
-        h ^= h >> np.uint64(31)
-        slot = np.repeat(((h * _A) >> np.uint64(64 - SLOTS[k])).astype(np.int32), self.lengths)
-        slot ^= self.node & np.int32((1 << SLOTS[k]) - 1)
-        return slot
-
-
-def count_bits(tables: list[np.ndarray], bits: Bits) -> None:
-    """Add the bits to tables of (zeros, ones) of each slot."""
-    for k, table in enumerate(tables):
-        index = bits.slot(k)
-        index <<= 1
-        index += bits.bit
-        np.add(table, np.bincount(index, minlength=len(table)), out=table, casting="unsafe")
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    pairs = counts.reshape(-1, 2).astype(np.float64)
-    return np.clip(np.rint(np.log((pairs[:, 1] + SMOOTH) / (pairs[:, 0] + SMOOTH)) * SCALE), -120, 120).astype(np.int8)
-
-
-def mix(bits: Bits, odds: list[np.ndarray]) -> np.ndarray:
-    """The cost of each text in bits: weights start anew in each segment of a text and are
-    refined bit by bit; all segments advance together."""
-    # four bytes for each bit: log odds, and last the bit and its gate
-    cells = np.empty((len(bits.bit), 4), np.int8)
-    for k, table in enumerate(odds):
-        cells[:, k] = table[bits.slot(k)]
-    cells[:, 3] = bits.bit + (cells[:, 2] != 0).astype(np.int8) * 2
-    per_text = -(-bits.sizes // SEGMENT)
-    owner = np.repeat(np.arange(len(per_text)), per_text)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    lengths = np.minimum(SEGMENT, bits.sizes[owner] - number * SEGMENT)
-    # longest segments first: those that still run are a prefix of the lanes
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    lengths, owner = lengths[order], owner[order]
-    lanes, steps = len(owner), int(lengths[0])
-    flat = cells.view(np.uint32).ravel()
-    running = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    weights = np.empty((2, 3, lanes), np.float32)
-    weights[:] = np.array(WEIGHTS, np.float32)[:, :, None]
-    cost, share = np.zeros(lanes), np.ones(lanes)
-    for t in range(steps):
-        n = running[t]
-        row = flat[starts[:n] + t].view(np.int8).reshape(n, 4).T
-        x = row[:3] * np.float32(1 / SCALE)
-        sign = ((row[3] & 1) * np.int8(2) - np.int8(1)).astype(np.float32)
-        known = (row[3] >> 1).astype(np.float32)
-        both = (weights[:, :, :n] * x).sum(axis=1)
-        s = both[0] + known * (both[1] - both[0])
-        # the probability of the bit that came, and the gradient of its cost
-        p = 1 / (1 + np.exp(-s * sign))
-        share[:n] *= p
-        err = (1 - p) * sign
-        err *= RATE
-        on = err * known
-        weights[1, :, :n] += on * x
-        err -= on
-        weights[0, :, :n] += err * x
-        if t % 4 == 3 or t == steps - 1:
-            cost -= np.log(share)
-            share[:] = 1
-    return np.bincount(owner, cost, minlength=len(per_text)) / math.log(2)
-
-
-def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BATCH bytes."""
-    at, size = 0, 0
-    for k, text in enumerate(texts):
+            _powers[k] = np.cumprod(p, out=p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """For each byte of the words, each followed by a space: 56 bits of the hash of the word
+    so far, and the byte.  A word longer than PIECE starts anew after every PIECE bytes, but
+    its end has the hash of the whole word."""
+    data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    sizes = np.array([len(w) + 1 for w in words])
+    first = np.cumsum(sizes) - sizes
+    long = np.flatnonzero(sizes > PIECE)
+    starts = np.sort(np.concatenate([first, *[np.arange(first[k] + PIECE, first[k] + sizes[k], PIECE) for k in long]]))
+    x = data.astype(np.uint64)
+    power, back = _power_table(len(x))
+    own = (x + np.uint64(1)) * power
+    before = np.cumsum(own) - own
+    runs = np.diff(np.append(starts, len(x)))
+    so_far = (before - np.repeat(before[starts], runs)) * np.repeat(back[starts], runs)
+    for k in long:
+        so_far[first[k] + sizes[k] - 1] = np.uint64(xxhash.xxh3_64_intdigest(words[k]))
+    return (_mixed(so_far) & ~_BYTE) | x
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+    """Batches of (numbers, texts, seven bytes before each), longest texts first.  A text of
+    more than BATCH bytes comes alone, in slices that end after a space, in turn."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    held: list[int] = []
+    size = 0
+    for k in order:
+        text = texts[k]
+        if len(text) > BATCH:
+            at = 0
+            while at < len(text):
+                stop = len(text) if len(text) - at <= BATCH else (text.rfind(b" ", at, at + BATCH) + 1 or text.find(b" ", at) + 1)
+                yield [k], [text[at:stop]], [text[max(0, at - 7) : at].rjust(7, b"\0")]
+                at = stop
+            continue
+        held.append(k)
         size += len(text)
         if size >= BATCH:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            yield held, [texts[i] for i in held], [bytes(7)] * len(held)
+            held, size = [], 0
+    if held:
+        yield held, [texts[i] for i in held], [bytes(7)] * len(held)
 
 
-def _byte_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        joined = "\n".join(t for t in batch["text"] if t).encode("utf-8", "surrogatepass").lower()
-        total += np.bincount(np.frombuffer(joined, np.uint8), minlength=256)
-        total[END_BYTE] += len(batch)
-    yield pd.DataFrame({"byte": np.arange(256), "n": total})
+class _Names(dict):
+    """Numbers the words that it is asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Block:
+    """The distinct keys of a block of texts, with their training counts, sorted by shard."""
+
+    def __init__(self, texts: list[bytes], learn: np.ndarray, shards: int):
+        names = _Names()
+        parts, self.word_ids, self.longest = [], [], []
+        taught = np.zeros(0, np.int64)  # training count of each word
+        for numbers, slices, before in _slices(texts):
+            raw = byte_keys(slices, before)
+            known = learn[numbers]
+            counted = None if known.all() else np.repeat(known, [len(s) for s in slices])
+            for a in range(0, len(raw), SORTED):
+                keys, number = distinct(raw[a : a + SORTED])
+                parts.append((keys, np.bincount(number if counted is None else number[counted[a : a + SORTED]], minlength=len(keys)), number))
+            # the words of the slices, and those of the slices to learn from
+            ids = np.fromiter(map(names.__getitem__, b"".join(slices).split()), np.int32)
+            tokens = np.array([s.count(b" ") for s in slices])
+            taught = np.append(taught, np.zeros(len(names) - len(taught), np.int64))
+            taught += np.bincount(ids if counted is None else ids[np.repeat(known, tokens)], minlength=len(names))
+            self.word_ids.append((ids, tokens))
+        words = list(names)
+        # byte contexts: the longest first, shorter ones from its keys
+        keys, number = distinct(np.concatenate([p[0] for p in parts]))
+        n = np.bincount(number, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+        at = 0
+        for own, _, inner in parts:
+            self.longest.append(number[at : at + len(own)][inner])  # the key of each byte
+            at += len(own)
+        kinds: list[tuple[np.ndarray, np.ndarray]] = [(keys, n)]
+        self.shorter: list[np.ndarray] = []
+        for order in ORDERS[-2::-1]:
+            keys, number = distinct(keys & np.uint64((1 << 8 * (order + 1)) - 1))
+            n = np.bincount(number, n, minlength=len(keys)).astype(np.int64)
+            self.shorter.insert(0, number)
+            kinds.insert(0, (keys, n))
+        # words so far, and the end token after no word
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        self.word_start, self.word_size = np.cumsum(sizes) - sizes, sizes
+        start = _mixed(np.zeros(1, np.uint64)) & ~_BYTE | np.uint64(END)
+        keys, self.word_row = distinct(np.concatenate([word_keys(words), start]) if words else start)
+        n = np.bincount(self.word_row, np.append(np.repeat(taught, sizes), learn.sum()), minlength=len(keys)).astype(np.int64)
+        kinds.append((keys, n))
+        #: of each predictor: shard, key, count, and its number before sorting
+        self.sorted = []
+        for kind, (keys, n) in enumerate(kinds):
+            order = np.argsort(keys)
+            shard = shard_of(keys, kind, shards)[order]
+            by_shard = np.argsort(shard, kind="stable")
+            order = order[by_shard]
+            self.sorted.append((shard[by_shard], keys[order], n[order], order))
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, keys and counts) for every shard that has keys of the block."""
+        edges = [np.flatnonzero(np.append(True, s[0][1:] != s[0][:-1])) if len(s[0]) else np.empty(0, np.int64) for s in self.sorted]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for kind, (s, edge) in enumerate(zip(self.sorted, edges, strict=True)):
+            for a, b in zip(edge, np.append(edge[1:], len(s[0])), strict=True):
+                spans.setdefault(int(s[0][a]), [(0, 0)] * len(self.sorted))[kind] = (int(a), int(b))
+        for shard, by_kind in spans.items():
+            yield shard, packed_keys([(s[1][a:b], s[2][a:b]) for s, (a, b) in zip(self.sorted, by_kind, strict=True)])
+
+
+def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """Keys of one context have one shard."""
+    return (((_mixed((keys >> np.uint64(8)) * np.uint64(4) + np.uint64(kind)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def packed_keys(kinds: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Sorted keys as differences, and counts, both by byte planes."""
+    sizes = np.array([len(k) for k, _ in kinds], np.int64).tobytes()
+    keys = b"".join(_planes(np.diff(k, prepend=np.uint64(0))) for k, _ in kinds)
+    counts = np.concatenate([n for _, n in kinds]).astype(np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(sizes + keys + _planes(counts))
+
+
+def unpacked_keys(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    head = 8 * (len(ORDERS) + 1)
+    sizes = np.frombuffer(raw[:head], np.int64)
+    stops = head + 8 * np.cumsum(sizes)
+    counts = np.split(_from_planes(raw[stops[-1] :], np.int64), np.cumsum(sizes)[:-1])
+    return [(np.cumsum(_from_planes(raw[b - 8 * n : b], np.uint64), dtype=np.uint64), c) for n, b, c in zip(sizes, stops, counts, strict=True)]
+
+
+def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds along the code paths of distinct keys sorted by (context, rank of the byte):
+    (first place of each key, values)."""
+    byte = (keys & _BYTE).astype(np.int64)
+    context = keys >> np.uint64(8)
+    length = code.length[byte]
+    start = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.int8)
+    alive = np.arange(len(keys))
+    for depth in range(int(length.max()) if len(keys) else 0):
+        alive = alive[length[alive] > depth]
+        b, c, n = byte[alive], context[alive], counts[alive]
+        node = code.nodes[b, depth]
+        new = np.append(True, (c[1:] != c[:-1]) | (node[1:] != node[:-1]))
+        at = np.flatnonzero(new)
+        ones = n * code.bits[b, depth]
+        total, one = np.add.reduceat(n, at), np.add.reduceat(ones, at)
+        odds = np.clip(np.rint(np.log((one + SMOOTH) / (total - one + SMOOTH)) * SCALE), -120, 120).astype(np.int8)
+        out[start[alive] + depth] = odds[np.cumsum(new) - 1]
+    return start, out
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each length, one after another."""
+    stop = np.cumsum(length)
+    return np.repeat(start - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def answered(blobs: list[bytes], code: Code) -> tuple[list[bytes], int]:
+    """The answer to each blob of one shard, and the number of training words that end here.
+
+    An answer holds, for each key in order, the log odds along its path, and then the counts
+    of the keys of the word predictor that end a word."""
+    asked = [unpacked_keys(b) for b in blobs]
+    paths: list[list[np.ndarray]] = [[] for _ in blobs]
+    ends: list[np.ndarray] = []
+    n_words = 0
+    for kind in range(len(ORDERS) + 1):
+        given = np.concatenate([a[kind][0] for a in asked])
+        ranked = (given & ~_BYTE) | code.rank[(given & _BYTE).astype(np.int64)]
+        order = np.argsort(ranked)
+        new = np.append(True, ranked[order][1:] != ranked[order][:-1])[: len(given)]
+        number = np.empty(len(given), np.int64)
+        number[order] = np.cumsum(new) - 1
+        keys = given[order[new]]
+        counts = np.bincount(number, np.concatenate([a[kind][1] for a in asked]), minlength=len(keys)).astype(np.int64)
+        start, odds = path_odds(keys, counts, code)
+        length = code.length[(keys & _BYTE).astype(np.int64)]
+        at = 0
+        for k, a in enumerate(asked):
+            rows = number[at : at + len(a[kind][0])]
+            at += len(rows)
+            paths[k].append(odds[_spread(start[rows], length[rows])])
+            if kind == WORD:
+                byte = keys[rows] & _BYTE
+                ends.append(counts[rows[(byte == SPACE) | (byte == END)]])
+        if kind == WORD:
+            byte = keys & _BYTE
+            n_words = int(np.count_nonzero(counts[(byte == SPACE) | (byte == END)]))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    out = []
+    for own, end in zip(paths, ends, strict=True):
+        sizes = np.array([*map(len, own), len(end)], np.int64)
+        out.append(pack(sizes.tobytes() + b"".join(p.tobytes() for p in own) + _planes(end)))
+    return out, n_words
+
+
+class Scorer:
+    """Scores the texts of a block from the answers to its keys, in order of shards."""
+
+    def __init__(self, block: Block, answers: list[bytes], code: Code):
+        self.block, self.code = block, code
+        kinds = len(ORDERS) + 1
+        odds: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+        ends = []
+        for blob in answers:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            sizes = np.frombuffer(raw[: 8 * (kinds + 1)], np.int64)
+            at = 8 * (kinds + 1)
+            for kind in range(kinds):
+                odds[kind].append(np.frombuffer(raw, np.int8, sizes[kind], at))
+                at += int(sizes[kind])
+            ends.append(_from_planes(raw[at:], np.int64))
+        # log odds of the bit that comes, along the path of each key
+        paths = []
+        for (_, keys, _, order), parts in zip(block.sorted, odds, strict=True):
+            byte = (keys & _BYTE).astype(np.int64)
+            length = code.length[byte]
+            start = np.empty(len(keys), np.int64)
+            start[order] = np.cumsum(length) - length
+            paths.append((start, np.concatenate(parts) * code.sign[_spread(code.start[byte], length)]))
+        # the longest context's keys have those of the shorter ones: one record for each node
+        _, keys, _, order = block.sorted[WORD - 1]
+        length = np.empty(len(keys), np.int64)
+        length[order] = code.length[(keys & _BYTE).astype(np.int64)]
+        self.first = (np.cumsum(length) - length).astype(np.int32)
+        self.record = np.zeros((int(length.sum()), 4), np.int8)
+        number = np.arange(len(keys))
+        for kind in range(WORD - 1, -1, -1):
+            if kind < WORD - 1:
+                number = block.shorter[kind][number]
+            self.record[:, kind] = paths[kind][1][_spread(paths[kind][0][number], length)]
+        self.record = self.record.view(np.uint32).ravel()
+        self.word_first, self.word_odds = paths[WORD][0][block.word_row].astype(np.int32), paths[WORD][1]
+        # training counts of the words, and last of the end
+        _, keys, _, order = block.sorted[WORD]
+        byte = keys & _BYTE
+        count = np.zeros(len(keys), np.int64)
+        count[order[(byte == SPACE) | (byte == END)]] = np.concatenate(ends)
+        self.seen = count[block.word_row[np.append(block.word_start + block.word_size - 1, len(block.word_row) - 1)]]
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, known tokens, sum of log10 of count + 1, cost in bits) of each text."""
+        tokens, known = np.ones(len(texts), np.int64), np.full(len(texts), int(self.seen[-1] > 0))
+        logs, cost = np.full(len(texts), math.log10(self.seen[-1] + 1)), np.zeros(len(texts))
+        log_seen, is_known = np.log10(self.seen + 1.0), (self.seen > 0).astype(np.int64)
+        longest, weights = iter(self.block.longest), None
+        for (numbers, slices, before), (ids, n) in zip(_slices(texts), self.block.word_ids, strict=True):
+            data = np.frombuffer(b"".join(slices), np.uint8)
+            keys = np.concatenate([next(longest) for _ in range(0, len(data), SORTED)])
+            row = np.full(len(data), len(self.word_first) - 1)
+            row[data != END] = _spread(self.block.word_start[ids], self.block.word_size[ids])
+            owner = np.repeat(np.arange(len(slices)), n)
+            tokens[numbers] += n
+            known[numbers] += np.bincount(owner, is_known[ids], len(slices)).astype(np.int64)
+            logs[numbers] += np.bincount(owner, log_seen[ids], len(slices))
+            carried = weights if before[0].strip(b"\0") else None
+            bits, weights = mix(*self._records(data, keys, self.word_first[row], np.array([len(s) for s in slices])), carried)
+            cost[numbers] += bits
+        return tokens, known, logs, cost
+
+    def _records(self, data: np.ndarray, keys: np.ndarray, word_first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Four log odds for each bit, and the bits of each text."""
+        length = self.code.length32[data]
+        stop = np.cumsum(length, dtype=np.int32)
+        start = stop - length
+        places = np.arange(stop[-1] + 1, dtype=np.int32)
+        cells = np.zeros(len(places), np.uint32)  # the last is of no bit
+        cells[:-1] = self.record.take(np.repeat(self.first[keys] - start, length) + places[:-1])
+        cells.view(np.int8).reshape(-1, 4)[:-1, WORD] = self.word_odds.take(np.repeat(word_first - start, length) + places[:-1])
+        return cells, np.diff(np.append(0, stop[np.cumsum(sizes) - 1]))
+
+
+def _groups(most: int, carried: bool) -> Iterator[tuple[int, int]]:
+    """(start, bits) of the groups of a text of ``most`` bits."""
+    at = 0
+    for turns, size in GROUPS[-1:] if carried else GROUPS:
+        turn = 0
+        while at < most and (turn < turns or not turns):
+            yield at, size
+            at += size
+            turn += 1
+
+
+def mix(cells: np.ndarray, per_text: np.ndarray, carried: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The cost in bits of each text, and the weights at the end.
+
+    A cell holds four bytes: what each predictor gives for the bit that came, as log odds.
+    All texts advance together, group by group; the weights of a text are refined after each
+    of its groups.  ``carried`` are the weights after an earlier slice of the text.
+    """
+    lanes, none = len(per_text), len(cells) - 1
+    order = np.argsort(-per_text, kind="stable")  # those that still run are the first lanes
+    first, per_text = (np.cumsum(per_text) - per_text)[order], per_text[order]
+    if carried is None:
+        carried = np.empty((len(WEIGHTS), WORD + 1, lanes), np.float32)
+        carried[:] = np.array(WEIGHTS, np.float32)[:, :, None]
+        plan = _groups(int(per_text.max()), False)
+    else:
+        plan = _groups(int(per_text.max()), True)
+    weights, cost, within = carried, np.zeros(lanes), np.arange(max(g[1] for g in GROUPS))[:, None]
+    for at, size in plan:
+        n = int(np.searchsorted(-per_text, -at, side="left"))
+        index = (first[:n] + at) + within[:size]
+        short = int(np.searchsorted(-per_text[:n], -(at + size), side="right"))
+        if short < n:  # texts that end within the group
+            over = within[:size] >= (per_text[short:n] - at)
+            index[:, short:][over] = none
+            cost[short:n] -= math.log(2) * over.sum(axis=0)
+        odds = np.ascontiguousarray(cells.take(index).view(np.int8).reshape(size, n, WORD + 1).transpose(2, 0, 1)).astype(np.float32)
+        a, b = odds[WORD - 1] != 0, odds[WORD] != 0
+        gates = [None, (a | b).astype(np.float32), (a & b).astype(np.float32)]
+        w = weights[:, :, None, :n]
+        both = gates[1] * w[1]
+        both += w[0]
+        both += gates[2] * w[2]
+        both *= odds
+        s = both.sum(axis=0)
+        s *= np.float32(1 / SCALE)
+        np.clip(s, -MOST, MOST, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.divide(1, s, out=s)  # the probability of the other bit
+        p = 1 - s
+        p[::2] *= p[1::2]
+        cost[:n] -= np.log(p[::2]).sum(axis=0)
+        s *= np.float32(RATE / SCALE * math.sqrt(GROUPS[0][1] / size))
+        for g, gate in enumerate(gates):
+            weights[g, :, :n] += np.einsum("ij,kij->kj", s if gate is None else s * gate, odds)
+    bits = np.empty(lanes)
+    bits[order] = cost / math.log(2)
+    return bits, weights
+
+
+BLOCKS = "block long, doc_ids array<long>, learn array<boolean>, sizes array<int>, packed binary, byte_counts array<long>"
+
+
+def _packed(size: int):
+    """One row for each block of about ``size`` bytes."""
 
-def _train(code: Code):
-    """Rows (chunk, counts) of the tables of one task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        total = 0
+
+        def block(rows: list[tuple]) -> pd.DataFrame:
+            data = b"".join(t for _, _, t in rows)
+            learnt = np.frombuffer(b"".join(t for _, x, t in rows if x), np.uint8)
+            packed = zstandard.ZstdCompressor(level=3).compress(data)
+            ids, learn = [None if pd.isna(d) else int(d) for d, _, _ in rows], [bool(x) for _, x, _ in rows]
+            one = (number, ids, learn, [len(t) for _, _, t in rows], packed, np.bincount(learnt, minlength=256))
+            return pd.DataFrame([one], columns=["block", "doc_ids", "learn", "sizes", "packed", "byte_counts"])
+
+        for batch in batches:
+            for doc_id, learn, text in zip(batch["doc_id"], batch["learn"], batch["text"], strict=True):
+                held.append((doc_id, learn, written(words_of(text))))
+                total += len(held[-1][2])
+                if total >= size:
+                    yield block(held)
+                    held, total = [], 0
+                    number += 1
+        if held:
+            yield block(held)
+
+    return run
 
+
+def _texts(packed: bytes, sizes) -> list[bytes]:
+    data, stops = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def _asked(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(2 << s, np.uint32) for s in SLOTS]
-        held: list[bytes] = []
         for batch in batches:
-            held += [written(words_of(t)) for t in batch["text"]]
-            if sum(map(len, held)) >= BATCH:
-                for a, b in _batches(held):
-                    count_bits(tables, Bits(held[a:b], code))
-                held = []
-        for a, b in _batches(held):
-            count_bits(tables, Bits(held[a:b], code))
-        at = 0
-        for table in tables:
-            for start in range(0, len(table), CHUNK):
-                part = table[start : start + CHUNK]
-                if part.any():
-                    yield pd.DataFrame({"chunk": [at], "counts": [part.tobytes()]})
-                at += 1
+            for number, learn, sizes, packed in zip(batch["block"], batch["learn"], batch["sizes"], batch["packed"], strict=True):
+                blobs = list(Block(_texts(packed, sizes), np.array(learn, bool), shards).blobs())
+                yield pd.DataFrame({"block": number, "shard": [s for s, _ in blobs], "blob": [b for _, b in blobs]})
 
     return run
 
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of counts over runs of one chunk; rows come sorted by chunk."""
-    now, total = None, None
-    for batch in batches:
-        for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
-            part = np.frombuffer(counts, "<u4" if len(counts) == 4 * CHUNK else "<u8")
-            if chunk != now:
-                if now is not None:
-                    yield pd.DataFrame({"chunk": [now], "counts": [total.tobytes()]})
-                now, total = chunk, np.zeros(CHUNK, np.uint64)
-            total += part
-    if now is not None:
-        yield pd.DataFrame({"chunk": [now], "counts": [total.tobytes()]})
-
-
-def _as_odds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"chunk": batch["chunk"], "counts": [log_odds(np.frombuffer(c, "<u8")).tobytes() for c in batch["counts"]]})
-
-
-def train(texts: DataFrame, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Byte counts and log-odds tables of (text) rows of ``size`` bytes: of a fixed size,
-    whatever the corpus.  Tables are summed chunk by chunk as a stream."""
-    n = texts.mapInPandas(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(256, np.int64)
-    counts[n["byte"].to_numpy(int)] = n["n"].to_numpy(np.int64)
-    lessons = max(1, -(-size // LESSON))
-    parts = texts.coalesce(lessons).mapInPandas(_train(Code(counts)), "chunk int, counts binary")
-    summed = parts.repartition(24, "chunk").sortWithinPartitions("chunk").mapInPandas(_summed, "chunk int, counts binary")
-    found = summed.mapInPandas(_as_odds, "chunk int, counts binary").toPandas()
-    flat = np.zeros(sum(1 << s for s in SLOTS), np.int8)
-    for chunk, odds in zip(found["chunk"], found["counts"], strict=True):
-        flat[chunk * CHUNK // 2 : (chunk + 1) * CHUNK // 2] = np.frombuffer(odds, np.int8)
-    return counts, np.split(flat, np.cumsum([1 << s for s in SLOTS])[:-1])
-
-
-def _block_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(block, word, n): words of the block by hash, with their training count."""
-    held: dict[int, list[tuple[np.ndarray, bool]]] = {}
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for block, packed, learn in zip(batch["block"], batch["packed"], batch["learn"], strict=True):
-            held.setdefault(block, []).append((_hashed(unpack(packed)), learn))
-    for block, docs in held.items():
-        words, at = np.unique(np.concatenate([h for h, _ in docs]), return_inverse=True)
-        learn = np.repeat(np.array([x for _, x in docs]), [len(h) for h, _ in docs])
-        yield pd.DataFrame({"block": block, "word": words.view(np.int64), "n": np.bincount(at[learn], minlength=len(words))})
-
-
-def _hashed(text: bytes) -> np.ndarray:
-    """Hashes of the words of a written text, then of the end."""
-    words = text.split()
-    h = np.empty(len(words) + 1, np.uint64)
-    h[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    h[-1] = END_HASH
-    return h
-
-
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        yield batch.assign(packed=[packer.compress(written(words_of(t))) for t in batch["text"]]).drop(columns="text")
-
-
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-
-
-def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, seen double, score double, n_bytes long"
+
+
+def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, n_bytes (of the written text; bits per byte are -score / log10(2) / n_bytes).
 
-    ``learn`` is a condition on the id column: rows to learn from.  A null text is empty and
-    has the end token only.  Null and repeated ids are rows like any other.  With nothing to
-    learn from, all counts are 0.  Words are told apart by 64 bits of their hash.
+    ``learn`` is a condition on the columns of ``docs``: rows to learn from; where it is null,
+    a row is held out.  A null or empty text has the end token only.  Null and repeated ids are
+    rows like any other; equal texts have equal scores.  With nothing to learn from, all counts
+    are 0 and every bit costs 1.  An empty table gives no row.  A very long text is worked on
+    in slices, at whose edges contexts and weights go on; only a single word is held whole.
+    Words are told apart by 56 bits of their hash.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK))
-    counts, odds = train(texts.where("learn").select("text"), size)
-
-    keyed = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    packed = keyed.mapInPandas(_packed, "doc_id long, learn boolean, block int, packed binary")
-    local = materialise(packed.repartition(blocks, "block").mapInPandas(_block_words, "block int, word long, n long"), "op3-words")
-    vocabulary = materialise(local.groupBy("word").agg(F.sum("n").alias("c")), "op3-vocabulary")
-    known = vocabulary.where("c > 0").agg(F.sum("c"), F.count("*")).first()
-    n_all, v_all = int(known[0] or 0), int(known[1])
-    sent = spark.sparkContext.broadcast((counts, odds))
-
-    def score(key: tuple, rows: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
-        byte_counts, tables = sent.value
-        code = Code(byte_counts)
-        vocab = vocab.sort_values("word")
-        words, c = vocab["word"].to_numpy(np.int64), vocab["c"].to_numpy(np.float64)
-        unpack = zstandard.ZstdDecompressor().decompress
-        texts = [unpack(p) for p in rows["packed"]]
-        hashed = [_hashed(t) for t in texts]
-        sizes = np.array([len(h) for h in hashed])
-        seen = c[np.searchsorted(words, np.concatenate(hashed).view(np.int64))]
-        first = np.cumsum(sizes) - sizes
-        base = np.add.reduceat(np.log10((seen + 1) / (n_all + v_all + 1)), first)
-        bits = np.concatenate([mix(Bits(texts[a:b], code), tables) for a, b in _batches(texts)])
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].array,
-                "held_out": ~rows["learn"].to_numpy(bool),
-                "n_tokens": sizes,
-                "n_known": np.add.reduceat((seen > 0).astype(np.int64), first),
-                "train_tokens": n_all,
-                "base_score": base,
-                "score": -bits * math.log10(2),
-                "n_bytes": [len(t) for t in texts],
-            }
-        )
-
-    back = local.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, SCORES)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
+    blocks = materialise(texts.mapInPandas(_packed(block_bytes), BLOCKS), "op3-blocks")
+    shards = max(1, blocks.count())
+    byte_counts = np.zeros(256, np.int64)
+    for r in blocks.select(F.posexplode("byte_counts").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        byte_counts[r["byte"]] = r["n"]
+
+    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        answers, n_words = answered(list(rows["blob"]), Code(byte_counts))
+        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "blob": answers, "n_words": [n_words, *[0] * (len(rows) - 1)]})
+
+    asked = blocks.select("block", "learn", "sizes", "packed").mapInPandas(_asked(shards), "block long, shard int, blob binary")
+    answers = materialise(asked.groupBy("shard").applyInPandas(answer, "block long, shard int, blob binary, n_words long"), "op3-answers")
+
+    def score(key: tuple, rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        blobs = blobs.sort_values("shard")
+        out = []
+        for ids, learn, sizes, packed in zip(rows["doc_ids"], rows["learn"], rows["sizes"], rows["packed"], strict=True):
+            texts = _texts(packed, sizes)
+            learn = np.array(learn, bool)
+            scorer = Scorer(Block(texts, learn, shards), list(blobs["blob"]), Code(byte_counts))
+            tokens, known, seen, bits = scorer.scores(texts)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"),
+                        "held_out": ~learn,
+                        "n_tokens": tokens,
+                        "n_known": known,
+                        "seen": seen,
+                        "score": -bits * math.log10(2),
+                        "n_bytes": np.array(sizes, np.int64),
+                    }
+                )
+            )
+        return pd.concat(out)
+
+    n_all = int(byte_counts[SPACE] + byte_counts[END])  # each training token ends in one of these
+    v_all = int(answers.agg(F.sum("n_words")).first()[0] or 0)
+    sent = blocks.select("block", "doc_ids", "learn", "sizes", "packed")
+    scored = sent.groupBy("block").cogroup(answers.select("block", "shard", "blob").groupBy("block")).applyInPandas(score, SCORES)
+    base = F.col("seen") - F.col("n_tokens") * math.log10(n_all + v_all + 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
 
 
 def training(id_col: str = "doc_id"):

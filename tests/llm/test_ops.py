@@ -123,7 +123,7 @@ def test_op2_counts_after_edits(spark, coded, odd, texts):
     assert got[5].edits == 2 and got[7].leaves_encoded == 0
 
 
-def test_op3_base_and_gain(spark, sf_dir, texts, odd, none):
+def test_op3_base(spark, sf_dir, texts, odd, none):
     rows = op3.op3_scoring(spark, sf_dir).collect()
     seen = Counter()
     for d, t in texts.items():
@@ -137,24 +137,91 @@ def test_op3_base_and_gain(spark, sf_dir, texts, odd, none):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(seen[w] > 0 for w in words), n)
         assert math.isclose(r.base_score, sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
         assert r.score < 0
-    bits = -sum(r.score for r in rows) / math.log10(2) / sum(r.n_bytes for r in rows)
-    assert bits < 4
-    assert op3.score_texts(odd, op3.training()).count() == odd.count()
+    # neither blocks nor shards change a score
+    small = {r.doc_id: r for r in op3.score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), op3.training(), block_bytes=30_000).collect()}
+    for r in rows:
+        assert math.isclose(r.score, small[r.doc_id].score, rel_tol=1e-4) and math.isclose(r.base_score, small[r.doc_id].base_score, rel_tol=1e-9)
+    long = spark.createDataFrame([(1, "so many words " * 30_000), (2, "x" * 70_000 + " y"), (None, "so many"), (None, "so many")], "doc_id long, text string")
+    got = op3.score_texts(long.unionByName(odd.select("doc_id", "text")), op3.training()).collect()
+    assert len(got) == 4 + odd.count() and {r.n_tokens for r in got if r.doc_id == 1} >= {90_001}
     assert op3.score_texts(none, op3.training()).count() == 0
+    free = op3.score_texts(odd, F.lit(False)).collect()
+    assert all(math.isclose(r.score, -8 * r.n_bytes * math.log10(2), rel_tol=1e-5) and r.n_known == 0 for r in free)
+
+
+def scorer_of(texts, learn):
+    code = op3.Code(np.bincount(np.frombuffer(b"".join(t for t, x in zip(texts, learn, strict=True) if x), np.uint8), minlength=256))
+    block = op3.Block(texts, learn, 3)
+    answers = [op3.answered([blob], code)[0][0] for _, blob in sorted(block.blobs())]
+    return op3.Scorer(block, answers, code)
+
+
+def test_op3_gains_on_every_predictor(spark, monkeypatch):
+    """Held-out bits per byte of the mix are below those of each predictor, and of the words."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    given = [op3.written(op3.words_of(t)) for t in texts.values()]
+    learn = np.array([zlib.crc32(str(d).encode()) % 7 != 2 for d in texts])
+    scorer, size = scorer_of(given, learn), np.array(list(map(len, given)))
+    per_byte = lambda bits: bits[~learn].sum() / size[~learn].sum()
+    tokens, _, logs, bits = scorer.scores(given)
+    n, v = tokens[learn].sum(), len({w for t, x in zip(given, learn, strict=True) if x for w in t.split()}) + 1
+    alone = [per_byte((tokens * math.log10(n + v + 1) - logs) / math.log10(2))]
+    with monkeypatch.context() as m:
+        m.setattr(op3, "RATE", 0.0)
+        for k in range(op3.WORD + 1):
+            m.setattr(op3, "WEIGHTS", (tuple(float(j == k) for j in range(op3.WORD + 1)), (0.0,) * 4, (0.0,) * 4))
+            alone.append(per_byte(scorer.scores(given)[3]))
+        m.setattr(op3, "WEIGHTS", ((0.25,) * 4, (0.0,) * 4, (0.0,) * 4))
+        alone.append(per_byte(scorer.scores(given)[3]))
+    assert per_byte(bits) < min(alone), (per_byte(bits), alone)
+
+
+def test_op3_counts_every_context(monkeypatch):
+    """The log odds of each bit against counts made text by text, over two blocks of one shard."""
+    given = [b"ab ab ba \n", b"a b \n", b"abab \n", b"\n"]
+    learn = np.array([True, True, False, True])
+    code = op3.Code(np.bincount(np.frombuffer(b"".join(t for t, x in zip(given, learn, strict=True) if x), np.uint8), minlength=256))
+    blocks = [op3.Block(given[:2], learn[:2], 1), op3.Block(given[2:], learn[2:], 1)]
+    answers, n_words = op3.answered([next(b.blobs())[1] for b in blocks], code)
+    assert n_words == 5  # ab, ba, a, b and the end
+    seen = Counter()
+
+    def contexts(text):
+        padded = bytes(6) + text
+        for i, byte in enumerate(text):
+            word = text[text.rfind(b" ", 0, i) + 1 : i]
+            yield byte, [*[padded[6 + i - n : 6 + i] for n in op3.ORDERS], b"w" + word]
+
+    for text, x in zip(given, learn, strict=True):
+        for byte, which in contexts(text) if x else ():
+            for c in which:
+                for node, bit in zip(code.nodes[byte], code.bits[byte][: code.length[byte]], strict=False):
+                    seen[len(c) if c[:1] != b"w" else "w", c, int(node), int(bit)] += 1
+    for at, block in enumerate(blocks):
+        part = given[2 * at : 2 * at + 2]
+        scorer = op3.Scorer(block, [answers[at]], code)
+        cells = []
+        monkeypatch.setattr(op3, "mix", lambda c, n, w, cells=cells: (cells.append(c), (np.zeros(len(n)), w))[1])
+        scorer.scores(part)
+        got = cells[0].view(np.int8).reshape(-1, 4)[:-1].tolist()
+        want = []
+        for text in sorted(part, key=lambda t: -len(t)):
+            for byte, which in contexts(text):
+                for node, bit in zip(code.nodes[byte], code.bits[byte][: code.length[byte]], strict=False):
+                    pairs = [[seen[len(c) if c[:1] != b"w" else "w", c, int(node), x] for x in (bit, 1 - bit)] for c in which]
+                    want.append([round(math.log((y + op3.SMOOTH) / (n + op3.SMOOTH)) * op3.SCALE) for y, n in pairs])
+        assert got == want
 
 
 def test_op3_is_a_distribution():
     """All texts of a few bytes over two letters have probabilities that add up to at most 1."""
-    texts = [b"ab ab ba\n", b"a b\n", b"abab\n"]
-    code = op3.Code(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
-    tables = [np.zeros(2 << s, np.uint32) for s in op3.SLOTS]
-    op3.count_bits(tables, op3.Bits(texts, code))
-    odds = [op3.log_odds(t) for t in tables]
-    every = [bytes(x) for n in range(0, 4) for x in np.ndindex(*([256] * n)) if n < 2 and 10 not in x] + [b"ab", b"ba", b"aa", b"bb"]
-    cost = op3.mix(op3.Bits([t + b"\n" for t in every], code), odds)
-    assert 0.01 < (2.0**-cost).sum() <= 1 + 1e-6
-    together, alone = op3.mix(op3.Bits(texts, code), odds), [op3.mix(op3.Bits([t], code), odds)[0] for t in texts]
-    assert np.allclose(together, alone)
+    texts = [b"ab ab ba \n", b"a b \n", b"abab \n"]
+    every = [bytes([x]) + b" \n" for x in range(256) if bytes([x]).split()] + [t + b" \n" for t in (b"ab", b"ba", b"aa", b"bb")] + [b"\n"]
+    scorer = scorer_of(texts + every, np.arange(len(texts + every)) < 3)
+    cost = scorer.scores(texts + every)[3]
+    assert 0.01 < (2.0 ** -cost[3:]).sum() <= 1 + 1e-6
+    alone = [scorer_of(texts + [t], np.array([True] * 3 + [False])).scores(texts + [t])[3][3] for t in every[-5:]]
+    assert np.allclose(alone, cost[-5:], rtol=1e-4)
 
 
 def test_op4_equals_sql(spark, sf_dir, duck, odd, none):
