@@ -32,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,21 +55,27 @@ GROUPS = ((64, 16), (64, 32), (64, 64), (0, 128))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 16 << 20, 1 << 20, 2 << 20
-#: Bytes of a word after which its context starts anew.
-PIECE = 256
+BLOCK, SORTED, BATCH = 16 << 20, 1 << 20, 1 << 20
 END, SPACE = 10, 32
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.uint64(255)
 
 
+#: A-Z to a-z, and white space to spaces.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def written(words: list[bytes]) -> bytes:
-    return b" ".join([*words, b"\n"])
+def written(text: str | None) -> bytes:
+    """The words of the text, each with a space behind it, and a line feed."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).strip(b" ")
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return raw + b" \n" if raw else b"\n"
 
 
 class Code:
@@ -92,15 +97,13 @@ class Code:
                 at = above[at][0]
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.bit = np.array([b for p in paths for _, b in p], np.int8)
         #: bytes from left to right in the tree: those below a node are neighbours
         self.rank = np.empty(256, np.uint64)
         self.rank[sorted(range(256), key=lambda b: [x for _, x in paths[b]])] = np.arange(256, dtype=np.uint64)
         depth = int(self.length.max())
         self.nodes = np.array([[n for n, _ in p] + [0] * (depth - len(p)) for p in paths], np.int16)
         self.bits = np.array([[b for _, b in p] + [0] * (depth - len(p)) for p in paths], np.int64)
-        self.sign, self.length32 = self.bit * np.int8(2) - np.int8(1), self.length.astype(np.int32)
+        self.signs, self.length32 = (2 * self.bits - 1).astype(np.int8), self.length.astype(np.int32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -109,6 +112,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_numbers = [np.arange(1, dtype=np.int32)]
+
+
+def _places(n: int) -> np.ndarray:
+    """0, 1, ... n - 1, kept for the next call."""
+    if len(_numbers[0]) < n:
+        _numbers[0] = np.arange(2 * n, dtype=np.int32)
+    return _numbers[0][:n]
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys in no set order, number of each given key among them).
 
@@ -119,17 +132,18 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << n.bit_length()) - 1)
     h = keys * _A
     h &= ~low
-    h |= np.arange(n, dtype=np.uint64)
+    h |= _places(n).view(np.uint32)
     h.sort()
     h &= low
     at = h.view(np.int64)
     found = keys.take(at)
     new = np.ones(n, bool)
     np.not_equal(found[1:], found[:-1], out=new[1:])
+    found = found[new]
     number = np.empty(n, np.int32)
     number[at] = np.cumsum(new, dtype=np.int32)
     number -= 1
-    return found[new], number
+    return found, number
 
 
 def byte_keys(texts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
@@ -160,24 +174,18 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """For each byte of the words, each followed by a space: 56 bits of the hash of the word
-    so far, and the byte.  A word longer than PIECE starts anew after every PIECE bytes, but
-    its end has the hash of the whole word."""
-    data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-    sizes = np.array([len(w) + 1 for w in words])
-    first = np.cumsum(sizes) - sizes
-    long = np.flatnonzero(sizes > PIECE)
-    starts = np.sort(np.concatenate([first, *[np.arange(first[k] + PIECE, first[k] + sizes[k], PIECE) for k in long]]))
+def words_so_far(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the word so far at each byte of written texts, first byte of each word)."""
     x = data.astype(np.uint64)
     power, back = _power_table(len(x))
-    own = (x + np.uint64(1)) * power
-    before = np.cumsum(own) - own
+    starts = np.flatnonzero(np.append(True, (data[:-1] == SPACE) | (data[:-1] == END)))
     runs = np.diff(np.append(starts, len(x)))
-    so_far = (before - np.repeat(before[starts], runs)) * np.repeat(back[starts], runs)
-    for k in long:
-        so_far[first[k] + sizes[k] - 1] = np.uint64(xxhash.xxh3_64_intdigest(words[k]))
-    return (_mixed(so_far) & ~_BYTE) | x
+    own = (x + np.uint64(1)) * power
+    so_far = np.cumsum(own)
+    so_far -= own
+    so_far -= np.repeat(so_far[starts], runs)
+    so_far *= np.repeat(back[starts], runs)
+    return so_far, starts[data[starts] != END]
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
@@ -204,64 +212,88 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[b
         yield held, [texts[i] for i in held], [bytes(7)] * len(held)
 
 
-class _Names(dict):
-    """Numbers the words that it is asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Block:
-    """The distinct keys of a block of texts, with their training counts, sorted by shard."""
+    """The distinct keys of a block of texts, sorted by shard; with their training counts, or
+    (without ``learn``) with the numbers of the keys of each byte."""
 
-    def __init__(self, texts: list[bytes], learn: np.ndarray, shards: int):
-        names = _Names()
-        parts, self.word_ids, self.longest = [], [], []
-        taught = np.zeros(0, np.int64)  # training count of each word
+    def __init__(self, texts: list[bytes], shards: int, learn: np.ndarray | None = None):
+        asks = learn is not None
+        found, counts, inner = [], [], []  # byte contexts
+        hashes, word_keys, word_sizes, taught, self.words = [], [], [], [], []
         for numbers, slices, before in _slices(texts):
-            raw = byte_keys(slices, before)
-            known = learn[numbers]
-            counted = None if known.all() else np.repeat(known, [len(s) for s in slices])
+            raw, sizes = byte_keys(slices, before), [len(s) for s in slices]
+            known = np.repeat(learn[numbers], sizes) if asks else None
             for a in range(0, len(raw), SORTED):
                 keys, number = distinct(raw[a : a + SORTED])
-                parts.append((keys, np.bincount(number if counted is None else number[counted[a : a + SORTED]], minlength=len(keys)), number))
-            # the words of the slices, and those of the slices to learn from
-            ids = np.fromiter(map(names.__getitem__, b"".join(slices).split()), np.int32)
-            tokens = np.array([s.count(b" ") for s in slices])
-            taught = np.append(taught, np.zeros(len(names) - len(taught), np.int64))
-            taught += np.bincount(ids if counted is None else ids[np.repeat(known, tokens)], minlength=len(names))
-            self.word_ids.append((ids, tokens))
-        words = list(names)
+                found.append(keys)
+                if asks:
+                    counts.append(np.bincount(number[known[a : a + SORTED]], minlength=len(keys)).astype(np.int32))
+                else:
+                    inner.append(number)
+            # words are told apart by their hashes; one of each gives the keys of its bytes
+            data = np.frombuffer(b"".join(slices), np.uint8)
+            so_far, starts = words_so_far(data)
+            ends = np.flatnonzero(data == SPACE)
+            own, number = distinct(_mixed(so_far[ends]))
+            one = np.empty(len(own), np.int64)
+            one[number] = np.arange(len(ends))
+            size = ends[one] - starts[one] + 1
+            places = _spread(starts[one], size)
+            hashes.append(own)
+            word_keys.append((_mixed(so_far[places]) & ~_BYTE) | data[places])
+            word_sizes.append(size)
+            if asks:
+                taught.append(np.bincount(number[known[ends]], minlength=len(own)))
+            else:
+                self.words.append(number)
+        own, number = distinct(np.concatenate(hashes))
+        one = np.empty(len(own), np.int64)
+        one[number] = np.arange(len(number))
+        size = np.concatenate(word_sizes)
+        places = _spread((np.cumsum(size) - size)[one], size[one])
+        end = _mixed(np.zeros(1, np.uint64)) & ~_BYTE | np.uint64(END)
+        keys, row = distinct(np.append(np.concatenate(word_keys)[places], end))
+        self.word_size = size[one]
+        self.word_start = np.cumsum(self.word_size) - self.word_size
+        n = None
+        if asks:
+            of_word = np.bincount(number, np.concatenate(taught), minlength=len(own))
+            n = np.bincount(row, np.append(np.repeat(of_word, self.word_size), learn.sum()), minlength=len(keys))
+        else:
+            self.word_row = row
+            self.words = [number[a : a + len(h)][w] for a, h, w in zip(np.cumsum([0, *map(len, hashes)]), hashes, self.words, strict=False)]
+        kinds = [(keys, n)]
         # byte contexts: the longest first, shorter ones from its keys
-        keys, number = distinct(np.concatenate([p[0] for p in parts]))
-        n = np.bincount(number, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-        at = 0
-        for own, _, inner in parts:
-            self.longest.append(number[at : at + len(own)][inner])  # the key of each byte
-            at += len(own)
-        kinds: list[tuple[np.ndarray, np.ndarray]] = [(keys, n)]
+        edges = np.cumsum([0, *map(len, found)])
+        every = np.concatenate(found)
+        del found
+        keys, number = distinct(every)
+        del every
+        if asks:
+            n = np.zeros(len(keys), np.int64)
+            for a, c in zip(edges, counts, strict=False):
+                n += np.bincount(number[a : a + len(c)], c, len(keys)).astype(np.int64)
+        else:
+            self.longest = []
+            while inner:  # from the last, and each is given up
+                i = inner.pop()
+                self.longest.insert(0, number[edges[len(inner)] : edges[len(inner) + 1]][i])
+        kinds.insert(0, (keys, n))
         self.shorter: list[np.ndarray] = []
         for order in ORDERS[-2::-1]:
             keys, number = distinct(keys & np.uint64((1 << 8 * (order + 1)) - 1))
-            n = np.bincount(number, n, minlength=len(keys)).astype(np.int64)
+            if asks:
+                n = np.bincount(number, n, minlength=len(keys))
             self.shorter.insert(0, number)
             kinds.insert(0, (keys, n))
-        # words so far, and the end token after no word
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
-        self.word_start, self.word_size = np.cumsum(sizes) - sizes, sizes
-        start = _mixed(np.zeros(1, np.uint64)) & ~_BYTE | np.uint64(END)
-        keys, self.word_row = distinct(np.concatenate([word_keys(words), start]) if words else start)
-        n = np.bincount(self.word_row, np.append(np.repeat(taught, sizes), learn.sum()), minlength=len(keys)).astype(np.int64)
-        kinds.append((keys, n))
         #: of each predictor: shard, key, count, and its number before sorting
         self.sorted = []
         for kind, (keys, n) in enumerate(kinds):
             order = np.argsort(keys)
             shard = shard_of(keys, kind, shards)[order]
             by_shard = np.argsort(shard, kind="stable")
-            order = order[by_shard]
-            self.sorted.append((shard[by_shard], keys[order], n[order], order))
+            order = order[by_shard].astype(np.int32)
+            self.sorted.append((shard[by_shard] if asks else None, keys[order], n[order].astype(np.int64) if asks else None, order))
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
         """(shard, keys and counts) for every shard that has keys of the block."""
@@ -306,8 +338,8 @@ def unpacked_keys(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds along the code paths of distinct keys sorted by (context, rank of the byte):
-    (first place of each key, values)."""
+    """Log odds of the bits along the code paths of distinct keys sorted by (context, rank of
+    the byte), for the bit of the path: (first place of each key, values)."""
     byte = (keys & _BYTE).astype(np.int64)
     context = keys >> np.uint64(8)
     length = code.length[byte]
@@ -323,14 +355,14 @@ def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndar
         ones = n * code.bits[b, depth]
         total, one = np.add.reduceat(n, at), np.add.reduceat(ones, at)
         odds = np.clip(np.rint(np.log((one + SMOOTH) / (total - one + SMOOTH)) * SCALE), -120, 120).astype(np.int8)
-        out[start[alive] + depth] = odds[np.cumsum(new) - 1]
+        out[start[alive] + depth] = odds[np.cumsum(new) - 1] * code.signs[b, depth]
     return start, out
 
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each length, one after another."""
     stop = np.cumsum(length)
-    return np.repeat(start - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
+    return np.repeat(start - (stop - length), length) + _places(int(stop[-1]) if len(stop) else 0)
 
 
 def answered(blobs: list[bytes], code: Code) -> tuple[list[bytes], int]:
@@ -364,7 +396,7 @@ def answered(blobs: list[bytes], code: Code) -> tuple[list[bytes], int]:
         if kind == WORD:
             byte = keys & _BYTE
             n_words = int(np.count_nonzero(counts[(byte == SPACE) | (byte == END)]))
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     out = []
     for own, end in zip(paths, ends, strict=True):
         sizes = np.array([*map(len, own), len(end)], np.int64)
@@ -388,25 +420,28 @@ class Scorer:
                 odds[kind].append(np.frombuffer(raw, np.int8, sizes[kind], at))
                 at += int(sizes[kind])
             ends.append(_from_planes(raw[at:], np.int64))
-        # log odds of the bit that comes, along the path of each key
+        # where the path of each key starts
         paths = []
         for (_, keys, _, order), parts in zip(block.sorted, odds, strict=True):
             byte = (keys & _BYTE).astype(np.int64)
             length = code.length[byte]
             start = np.empty(len(keys), np.int64)
             start[order] = np.cumsum(length) - length
-            paths.append((start, np.concatenate(parts) * code.sign[_spread(code.start[byte], length)]))
+            paths.append((start, np.concatenate(parts)))
         # the longest context's keys have those of the shorter ones: one record for each node
         _, keys, _, order = block.sorted[WORD - 1]
         length = np.empty(len(keys), np.int64)
         length[order] = code.length[(keys & _BYTE).astype(np.int64)]
         self.first = (np.cumsum(length) - length).astype(np.int32)
         self.record = np.zeros((int(length.sum()), 4), np.int8)
-        number = np.arange(len(keys))
+        number = np.arange(len(keys), dtype=np.int32)
         for kind in range(WORD - 1, -1, -1):
             if kind < WORD - 1:
                 number = block.shorter[kind][number]
-            self.record[:, kind] = paths[kind][1][_spread(paths[kind][0][number], length)]
+            for a in range(0, len(keys), SORTED // 8):
+                part = slice(a, a + SORTED // 8)
+                own = paths[kind][1][_spread(paths[kind][0][number[part]], length[part])]
+                self.record[self.first[a] : self.first[a] + len(own), kind] = own
         self.record = self.record.view(np.uint32).ravel()
         self.word_first, self.word_odds = paths[WORD][0][block.word_row].astype(np.int32), paths[WORD][1]
         # training counts of the words, and last of the end
@@ -422,11 +457,12 @@ class Scorer:
         logs, cost = np.full(len(texts), math.log10(self.seen[-1] + 1)), np.zeros(len(texts))
         log_seen, is_known = np.log10(self.seen + 1.0), (self.seen > 0).astype(np.int64)
         longest, weights = iter(self.block.longest), None
-        for (numbers, slices, before), (ids, n) in zip(_slices(texts), self.block.word_ids, strict=True):
+        for (numbers, slices, before), ids in zip(_slices(texts), self.block.words, strict=True):
             data = np.frombuffer(b"".join(slices), np.uint8)
             keys = np.concatenate([next(longest) for _ in range(0, len(data), SORTED)])
             row = np.full(len(data), len(self.word_first) - 1)
             row[data != END] = _spread(self.block.word_start[ids], self.block.word_size[ids])
+            n = np.array([s.count(b" ") for s in slices])
             owner = np.repeat(np.arange(len(slices)), n)
             tokens[numbers] += n
             known[numbers] += np.bincount(owner, is_known[ids], len(slices)).astype(np.int64)
@@ -441,7 +477,7 @@ class Scorer:
         length = self.code.length32[data]
         stop = np.cumsum(length, dtype=np.int32)
         start = stop - length
-        places = np.arange(stop[-1] + 1, dtype=np.int32)
+        places = _places(int(stop[-1]) + 1)
         cells = np.zeros(len(places), np.uint32)  # the last is of no bit
         cells[:-1] = self.record.take(np.repeat(self.first[keys] - start, length) + places[:-1])
         cells.view(np.int8).reshape(-1, 4)[:-1, WORD] = self.word_odds.take(np.repeat(word_first - start, length) + places[:-1])
@@ -532,7 +568,7 @@ def _packed(size: int):
 
         for batch in batches:
             for doc_id, learn, text in zip(batch["doc_id"], batch["learn"], batch["text"], strict=True):
-                held.append((doc_id, learn, written(words_of(text))))
+                held.append((doc_id, learn, written(text)))
                 total += len(held[-1][2])
                 if total >= size:
                     yield block(held)
@@ -553,7 +589,7 @@ def _asked(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, learn, sizes, packed in zip(batch["block"], batch["learn"], batch["sizes"], batch["packed"], strict=True):
-                blobs = list(Block(_texts(packed, sizes), np.array(learn, bool), shards).blobs())
+                blobs = list(Block(_texts(packed, sizes), shards, np.array(learn, bool)).blobs())
                 yield pd.DataFrame({"block": number, "shard": [s for s, _ in blobs], "blob": [b for _, b in blobs]})
 
     return run
@@ -595,7 +631,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         for ids, learn, sizes, packed in zip(rows["doc_ids"], rows["learn"], rows["sizes"], rows["packed"], strict=True):
             texts = _texts(packed, sizes)
             learn = np.array(learn, bool)
-            scorer = Scorer(Block(texts, learn, shards), list(blobs["blob"]), Code(byte_counts))
+            scorer = Scorer(Block(texts, shards), list(blobs["blob"]), Code(byte_counts))
             tokens, known, seen, bits = scorer.scores(texts)
             out.append(
                 pd.DataFrame(

@@ -151,15 +151,14 @@ def test_op3_base(spark, sf_dir, texts, odd, none):
 
 def scorer_of(texts, learn):
     code = op3.Code(np.bincount(np.frombuffer(b"".join(t for t, x in zip(texts, learn, strict=True) if x), np.uint8), minlength=256))
-    block = op3.Block(texts, learn, 3)
-    answers = [op3.answered([blob], code)[0][0] for _, blob in sorted(block.blobs())]
-    return op3.Scorer(block, answers, code)
+    answers = [op3.answered([blob], code)[0][0] for _, blob in sorted(op3.Block(texts, 3, learn).blobs())]
+    return op3.Scorer(op3.Block(texts, 3), answers, code)
 
 
 def test_op3_gains_on_every_predictor(spark, monkeypatch):
     """Held-out bits per byte of the mix are below those of each predictor, and of the words."""
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
-    given = [op3.written(op3.words_of(t)) for t in texts.values()]
+    given = [op3.written(t) for t in texts.values()]
     learn = np.array([zlib.crc32(str(d).encode()) % 7 != 2 for d in texts])
     scorer, size = scorer_of(given, learn), np.array(list(map(len, given)))
     per_byte = lambda bits: bits[~learn].sum() / size[~learn].sum()
@@ -181,8 +180,8 @@ def test_op3_counts_every_context(monkeypatch):
     given = [b"ab ab ba \n", b"a b \n", b"abab \n", b"\n"]
     learn = np.array([True, True, False, True])
     code = op3.Code(np.bincount(np.frombuffer(b"".join(t for t, x in zip(given, learn, strict=True) if x), np.uint8), minlength=256))
-    blocks = [op3.Block(given[:2], learn[:2], 1), op3.Block(given[2:], learn[2:], 1)]
-    answers, n_words = op3.answered([next(b.blobs())[1] for b in blocks], code)
+    blocks = [op3.Block(given[:2], 1), op3.Block(given[2:], 1)]
+    answers, n_words = op3.answered([next(op3.Block(given[k : k + 2], 1, learn[k : k + 2]).blobs())[1] for k in (0, 2)], code)
     assert n_words == 5  # ab, ba, a, b and the end
     seen = Counter()
 
