@@ -10,8 +10,8 @@ weights are refined from group of bits to group of bits, through the whole text,
 gradient of the cost.  The sum of the bits' costs is the text's total; over the bytes, its
 bits per byte.
 
-Counts are kept for every context that occurs, told apart by 56 bits (byte contexts by their
-very bytes), so what is gathered grows with the corpus:
+Counts are kept for every context that occurs (byte contexts by their very bytes, the word so
+far by 40 bits of a hash, whole words by 56), so what is gathered grows with the corpus:
 
 1. Documents are packed into blocks of about BLOCK bytes, one row each.
 2. Each block sends its distinct (context, next byte) keys with their training counts to the
@@ -55,8 +55,10 @@ GROUPS = ((64, 16), (64, 32), (64, 64), (0, 128))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 16 << 20, 1 << 20, 1 << 20
+BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 1 << 20
 END, SPACE = 10, 32
+#: Bits below the byte in the word predictor's keys.
+TAIL = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.uint64(255)
@@ -146,6 +148,22 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, number
 
 
+def byte_of(keys: np.ndarray, kind: int) -> np.ndarray:
+    return ((keys >> np.uint64(TAIL if kind == WORD else 0)) & _BYTE).astype(np.int64)
+
+
+def context_of(keys: np.ndarray, kind: int) -> np.ndarray:
+    return keys >> np.uint64(TAIL + 8 if kind == WORD else 8)
+
+
+def word_keys(so_far: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """40 bits of the hash of the word so far, the byte, and where it ends the word 16 bits
+    more, by which words are told apart."""
+    h = _mixed(so_far)
+    tail = np.where(byte == SPACE, (h >> np.uint64(8)) & np.uint64(0xFFFF), np.uint64(0))
+    return (h >> np.uint64(24) << np.uint64(24)) | (byte.astype(np.uint64) << np.uint64(TAIL)) | tail
+
+
 def byte_keys(texts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
     """For each byte of the texts, the six bytes before it and itself.  Before a text come
     bytes 0, or the seven bytes given."""
@@ -219,7 +237,7 @@ class Block:
     def __init__(self, texts: list[bytes], shards: int, learn: np.ndarray | None = None):
         asks = learn is not None
         found, counts, inner = [], [], []  # byte contexts
-        hashes, word_keys, word_sizes, taught, self.words = [], [], [], [], []
+        hashes, of_words, word_sizes, taught, self.words = [], [], [], [], []
         for numbers, slices, before in _slices(texts):
             raw, sizes = byte_keys(slices, before), [len(s) for s in slices]
             known = np.repeat(learn[numbers], sizes) if asks else None
@@ -240,7 +258,7 @@ class Block:
             size = ends[one] - starts[one] + 1
             places = _spread(starts[one], size)
             hashes.append(own)
-            word_keys.append((_mixed(so_far[places]) & ~_BYTE) | data[places])
+            of_words.append(word_keys(so_far[places], data[places]))
             word_sizes.append(size)
             if asks:
                 taught.append(np.bincount(number[known[ends]], minlength=len(own)))
@@ -251,8 +269,8 @@ class Block:
         one[number] = np.arange(len(number))
         size = np.concatenate(word_sizes)
         places = _spread((np.cumsum(size) - size)[one], size[one])
-        end = _mixed(np.zeros(1, np.uint64)) & ~_BYTE | np.uint64(END)
-        keys, row = distinct(np.append(np.concatenate(word_keys)[places], end))
+        end = word_keys(np.zeros(1, np.uint64), np.array([END]))
+        keys, row = distinct(np.append(np.concatenate(of_words)[places], end))
         self.word_size = size[one]
         self.word_start = np.cumsum(self.word_size) - self.word_size
         n = None
@@ -308,7 +326,7 @@ class Block:
 
 def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
     """Keys of one context have one shard."""
-    return (((_mixed((keys >> np.uint64(8)) * np.uint64(4) + np.uint64(kind)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+    return (((_mixed(context_of(keys, kind) * np.uint64(4) + np.uint64(kind)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -321,32 +339,35 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
 
 
 def packed_keys(kinds: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    """Sorted keys as differences, and counts, both by byte planes."""
+    """Sorted keys as differences, the words' ends, and counts, by byte planes."""
     sizes = np.array([len(k) for k, _ in kinds], np.int64).tobytes()
-    keys = b"".join(_planes(np.diff(k, prepend=np.uint64(0))) for k, _ in kinds)
-    counts = np.concatenate([n for _, n in kinds]).astype(np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(sizes + keys + _planes(counts))
+    words = kinds[WORD][0]
+    tails = words[byte_of(words, WORD) == SPACE].astype(np.uint16)
+    heads = [*[k for k, _ in kinds[:WORD]], words >> np.uint64(TAIL)]
+    keys = b"".join(_planes(np.diff(k, prepend=np.uint64(0))) for k in heads)
+    return zstandard.ZstdCompressor(level=1).compress(sizes + keys + _planes(np.concatenate([n for _, n in kinds])) + _planes(tails))
 
 
 def unpacked_keys(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    head = 8 * (len(ORDERS) + 1)
+    head = 8 * (WORD + 1)
     sizes = np.frombuffer(raw[:head], np.int64)
     stops = head + 8 * np.cumsum(sizes)
-    counts = np.split(_from_planes(raw[stops[-1] :], np.int64), np.cumsum(sizes)[:-1])
-    return [(np.cumsum(_from_planes(raw[b - 8 * n : b], np.uint64), dtype=np.uint64), c) for n, b, c in zip(sizes, stops, counts, strict=True)]
+    keys = [np.cumsum(_from_planes(raw[b - 8 * n : b], np.uint64), dtype=np.uint64) for n, b in zip(sizes, stops, strict=True)]
+    keys[WORD] = keys[WORD] << np.uint64(TAIL)
+    keys[WORD][byte_of(keys[WORD], WORD) == SPACE] |= _from_planes(raw[stops[-1] + 8 * sizes.sum() :], np.uint16)
+    counts = np.split(_from_planes(raw[stops[-1] : stops[-1] + 8 * sizes.sum()], np.int64), np.cumsum(sizes)[:-1])
+    return list(zip(keys, counts, strict=True))
 
 
-def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the bits along the code paths of distinct keys sorted by (context, rank of
-    the byte), for the bit of the path: (first place of each key, values)."""
-    byte = (keys & _BYTE).astype(np.int64)
-    context = keys >> np.uint64(8)
+def path_odds(context: np.ndarray, byte: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the bits along the code paths of keys sorted by context and rank of the
+    byte, for the bit of the path: (first place of each key, values)."""
     length = code.length[byte]
     start = np.cumsum(length) - length
     out = np.empty(int(length.sum()), np.int8)
-    alive = np.arange(len(keys))
-    for depth in range(int(length.max()) if len(keys) else 0):
+    alive = np.arange(len(byte))
+    for depth in range(int(length.max()) if len(byte) else 0):
         alive = alive[length[alive] > depth]
         b, c, n = byte[alive], context[alive], counts[alive]
         node = code.nodes[b, depth]
@@ -376,26 +397,28 @@ def answered(blobs: list[bytes], code: Code) -> tuple[list[bytes], int]:
     n_words = 0
     for kind in range(len(ORDERS) + 1):
         given = np.concatenate([a[kind][0] for a in asked])
-        ranked = (given & ~_BYTE) | code.rank[(given & _BYTE).astype(np.int64)]
+        byte, context = byte_of(given, kind), context_of(given, kind)
+        ranked = context << np.uint64(8) | code.rank[byte]
+        if kind == WORD:
+            ranked = ranked << np.uint64(TAIL) | given & np.uint64((1 << TAIL) - 1)
         order = np.argsort(ranked)
         new = np.append(True, ranked[order][1:] != ranked[order][:-1])[: len(given)]
         number = np.empty(len(given), np.int64)
         number[order] = np.cumsum(new) - 1
-        keys = given[order[new]]
-        counts = np.bincount(number, np.concatenate([a[kind][1] for a in asked]), minlength=len(keys)).astype(np.int64)
-        start, odds = path_odds(keys, counts, code)
-        length = code.length[(keys & _BYTE).astype(np.int64)]
+        first = order[new]
+        byte, context = byte[first], context[first]
+        counts = np.bincount(number, np.concatenate([a[kind][1] for a in asked]), minlength=len(first)).astype(np.int64)
+        start, odds = path_odds(context, byte, counts, code)
+        length, ending = code.length[byte], (byte == SPACE) | (byte == END)
         at = 0
         for k, a in enumerate(asked):
             rows = number[at : at + len(a[kind][0])]
             at += len(rows)
             paths[k].append(odds[_spread(start[rows], length[rows])])
             if kind == WORD:
-                byte = keys[rows] & _BYTE
-                ends.append(counts[rows[(byte == SPACE) | (byte == END)]])
+                ends.append(counts[rows[ending[rows]]])
         if kind == WORD:
-            byte = keys & _BYTE
-            n_words = int(np.count_nonzero(counts[(byte == SPACE) | (byte == END)]))
+            n_words = int(np.count_nonzero(counts[ending]))
     pack = zstandard.ZstdCompressor(level=3).compress
     out = []
     for own, end in zip(paths, ends, strict=True):
@@ -422,16 +445,15 @@ class Scorer:
             ends.append(_from_planes(raw[at:], np.int64))
         # where the path of each key starts
         paths = []
-        for (_, keys, _, order), parts in zip(block.sorted, odds, strict=True):
-            byte = (keys & _BYTE).astype(np.int64)
-            length = code.length[byte]
+        for kind, ((_, keys, _, order), parts) in enumerate(zip(block.sorted, odds, strict=True)):
+            length = code.length[byte_of(keys, kind)]
             start = np.empty(len(keys), np.int64)
             start[order] = np.cumsum(length) - length
             paths.append((start, np.concatenate(parts)))
         # the longest context's keys have those of the shorter ones: one record for each node
         _, keys, _, order = block.sorted[WORD - 1]
         length = np.empty(len(keys), np.int64)
-        length[order] = code.length[(keys & _BYTE).astype(np.int64)]
+        length[order] = code.length[byte_of(keys, WORD - 1)]
         self.first = (np.cumsum(length) - length).astype(np.int32)
         self.record = np.zeros((int(length.sum()), 4), np.int8)
         number = np.arange(len(keys), dtype=np.int32)
@@ -446,9 +468,10 @@ class Scorer:
         self.word_first, self.word_odds = paths[WORD][0][block.word_row].astype(np.int32), paths[WORD][1]
         # training counts of the words, and last of the end
         _, keys, _, order = block.sorted[WORD]
-        byte = keys & _BYTE
+        byte = byte_of(keys, WORD)
         count = np.zeros(len(keys), np.int64)
         count[order[(byte == SPACE) | (byte == END)]] = np.concatenate(ends)
+        block.sorted = None  # not needed any more
         self.seen = count[block.word_row[np.append(block.word_start + block.word_size - 1, len(block.word_row) - 1)]]
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -561,7 +584,7 @@ def _packed(size: int):
         def block(rows: list[tuple]) -> pd.DataFrame:
             data = b"".join(t for _, _, t in rows)
             learnt = np.frombuffer(b"".join(t for _, x, t in rows if x), np.uint8)
-            packed = zstandard.ZstdCompressor(level=3).compress(data)
+            packed = zstandard.ZstdCompressor(level=5).compress(data)
             ids, learn = [None if pd.isna(d) else int(d) for d, _, _ in rows], [bool(x) for _, x, _ in rows]
             one = (number, ids, learn, [len(t) for _, _, t in rows], packed, np.bincount(learnt, minlength=256))
             return pd.DataFrame([one], columns=["block", "doc_ids", "learn", "sizes", "packed", "byte_counts"])
