@@ -45,7 +45,7 @@ WORD = len(ORDERS)
 #: Added to both counts of a node.
 SMOOTH = 0.2
 #: Log odds are stored in steps of 1 / SCALE.
-SCALE = 15.0
+SCALE = 4.0
 #: Starting weights, what is added where the longest context or the word is known, and where
 #: both are.
 WEIGHTS = ((0.60, 0.60, 0.30, 0.30), (-0.35, -0.20, 0.10, 0.10), (-0.15, -0.15, 0.0, 0.0))
@@ -55,7 +55,7 @@ GROUPS = ((64, 16), (64, 32), (64, 64), (0, 128))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 1 << 20
+BLOCK, SORTED, BATCH = 10 << 20, 1 << 20, 1 << 20
 END, SPACE = 10, 32
 #: Bits below the byte in the word predictor's keys.
 TAIL = 16
@@ -120,7 +120,7 @@ _numbers = [np.arange(1, dtype=np.int32)]
 def _places(n: int) -> np.ndarray:
     """0, 1, ... n - 1, kept for the next call."""
     if len(_numbers[0]) < n:
-        _numbers[0] = np.arange(2 * n, dtype=np.int32)
+        _numbers[0] = np.arange(n + n // 4, dtype=np.int32)
     return _numbers[0][:n]
 
 
@@ -139,6 +139,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h &= low
     at = h.view(np.int64)
     found = keys.take(at)
+    del keys
     new = np.ones(n, bool)
     np.not_equal(found[1:], found[:-1], out=new[1:])
     found = found[new]
@@ -186,7 +187,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, kept for the next call."""
     if len(_powers[0]) < n:
         for k, x in enumerate((int(_A), pow(int(_A), -1, 1 << 64))):
-            p = np.full(2 * n, x, np.uint64)
+            p = np.full(n + n // 4, x, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p, out=p)
     return _powers[0][:n], _powers[1][:n]
@@ -264,54 +265,66 @@ class Block:
                 taught.append(np.bincount(number[known[ends]], minlength=len(own)))
             else:
                 self.words.append(number)
+        kinds = [self._word_kind(hashes, of_words, word_sizes, taught, learn)]
+        del hashes, of_words, word_sizes, taught
+        kinds = self._byte_kinds(found, counts, inner) + kinds
+        #: of each predictor: shard, key, count, and its number before sorting
+        self.sorted = []
+        for kind, (keys, n) in enumerate(kinds):
+            order = np.argsort(keys)
+            shard = shard_of(keys, kind, shards)[order]
+            by_shard = np.argsort(shard, kind="stable")
+            order = order[by_shard].astype(np.int32)
+            self.sorted.append((shard[by_shard] if asks else None, keys[order], n[order].astype(np.int64) if asks else None, order))
+
+    def _word_kind(self, hashes: list, of_words: list, sizes: list, taught: list, learn: np.ndarray | None) -> tuple:
+        """Keys of the words so far and counts, from the words of each batch: hash, keys of the
+        bytes, size, training count."""
+        edges = np.cumsum([0, *map(len, hashes)])
         own, number = distinct(np.concatenate(hashes))
         one = np.empty(len(own), np.int64)
         one[number] = np.arange(len(number))
-        size = np.concatenate(word_sizes)
-        places = _spread((np.cumsum(size) - size)[one], size[one])
-        end = word_keys(np.zeros(1, np.uint64), np.array([END]))
-        keys, row = distinct(np.append(np.concatenate(of_words)[places], end))
-        self.word_size = size[one]
+        # words are numbered in order of the batch that gives their keys
+        by_batch = np.argsort(one)
+        one, rank = one[by_batch], np.empty(len(own), np.int32)
+        rank[by_batch] = np.arange(len(own))
+        number = rank[number]
+        keys = []
+        for k, (part, size) in enumerate(zip(of_words, sizes, strict=True)):
+            mine = one[np.searchsorted(one, edges[k]) : np.searchsorted(one, edges[k + 1])] - edges[k]
+            keys.append(part[_spread((np.cumsum(size) - size)[mine], size[mine])])
+        self.word_size = np.concatenate(sizes)[one]
         self.word_start = np.cumsum(self.word_size) - self.word_size
-        n = None
-        if asks:
-            of_word = np.bincount(number, np.concatenate(taught), minlength=len(own))
-            n = np.bincount(row, np.append(np.repeat(of_word, self.word_size), learn.sum()), minlength=len(keys))
-        else:
+        keys, row = distinct(np.concatenate([*keys, word_keys(np.zeros(1, np.uint64), np.array([END]))]))
+        if learn is None:
             self.word_row = row
-            self.words = [number[a : a + len(h)][w] for a, h, w in zip(np.cumsum([0, *map(len, hashes)]), hashes, self.words, strict=False)]
-        kinds = [(keys, n)]
-        # byte contexts: the longest first, shorter ones from its keys
+            self.words = [number[a : a + len(h)][w] for a, h, w in zip(edges, hashes, self.words, strict=False)]
+            return keys, None
+        of_word = np.bincount(number, np.concatenate(taught), minlength=len(own))
+        return keys, np.bincount(row, np.append(np.repeat(of_word, self.word_size), learn.sum()), minlength=len(keys))
+
+    def _byte_kinds(self, found: list, counts: list, inner: list) -> list[tuple]:
+        """Keys and counts of the byte contexts, from the longest's keys of each batch."""
         edges = np.cumsum([0, *map(len, found)])
         every = np.concatenate(found)
-        del found
+        found.clear()
         keys, number = distinct(every)
         del every
-        if asks:
-            n = np.zeros(len(keys), np.int64)
-            for a, c in zip(edges, counts, strict=False):
-                n += np.bincount(number[a : a + len(c)], c, len(keys)).astype(np.int64)
-        else:
-            self.longest = []
-            while inner:  # from the last, and each is given up
-                i = inner.pop()
-                self.longest.insert(0, number[edges[len(inner)] : edges[len(inner) + 1]][i])
-        kinds.insert(0, (keys, n))
+        n = np.zeros(len(keys), np.int64) if counts else None
+        for a, c in zip(edges, counts, strict=False):
+            n += np.bincount(number[a : a + len(c)], c, len(keys)).astype(np.int64)
+        self.longest = []
+        while inner:  # from the last, and each is given up
+            i = inner.pop()
+            self.longest.insert(0, number[edges[len(inner)] : edges[len(inner) + 1]][i])
+        kinds = [(keys, n)]
         self.shorter: list[np.ndarray] = []
         for order in ORDERS[-2::-1]:
             keys, number = distinct(keys & np.uint64((1 << 8 * (order + 1)) - 1))
-            if asks:
-                n = np.bincount(number, n, minlength=len(keys))
+            n = np.bincount(number, n, minlength=len(keys)) if counts else None
             self.shorter.insert(0, number)
             kinds.insert(0, (keys, n))
-        #: of each predictor: shard, key, count, and its number before sorting
-        self.sorted = []
-        for kind, (keys, n) in enumerate(kinds):
-            order = np.argsort(keys)
-            shard = shard_of(keys, kind, shards)[order]
-            by_shard = np.argsort(shard, kind="stable")
-            order = order[by_shard].astype(np.int32)
-            self.sorted.append((shard[by_shard] if asks else None, keys[order], n[order].astype(np.int64) if asks else None, order))
+        return kinds
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
         """(shard, keys and counts) for every shard that has keys of the block."""
@@ -618,7 +631,7 @@ def _asked(shards: int):
     return run
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, seen double, score double, n_bytes long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, seen double, score double, n_bytes long, n_words long"
 
 
 def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
@@ -645,36 +658,34 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         answers, n_words = answered(list(rows["blob"]), Code(byte_counts))
         return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "blob": answers, "n_words": [n_words, *[0] * (len(rows) - 1)]})
 
-    asked = blocks.select("block", "learn", "sizes", "packed").mapInPandas(_asked(shards), "block long, shard int, blob binary")
-    answers = materialise(asked.groupBy("shard").applyInPandas(answer, "block long, shard int, blob binary, n_words long"), "op3-answers")
-
-    def score(key: tuple, rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        blobs = blobs.sort_values("shard")
-        out = []
-        for ids, learn, sizes, packed in zip(rows["doc_ids"], rows["learn"], rows["sizes"], rows["packed"], strict=True):
-            texts = _texts(packed, sizes)
-            learn = np.array(learn, bool)
-            scorer = Scorer(Block(texts, shards), list(blobs["blob"]), Code(byte_counts))
-            tokens, known, seen, bits = scorer.scores(texts)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"),
-                        "held_out": ~learn,
-                        "n_tokens": tokens,
-                        "n_known": known,
-                        "seen": seen,
-                        "score": -bits * math.log10(2),
-                        "n_bytes": np.array(sizes, np.int64),
-                    }
-                )
-            )
-        return pd.concat(out)
-
-    n_all = int(byte_counts[SPACE] + byte_counts[END])  # each training token ends in one of these
-    v_all = int(answers.agg(F.sum("n_words")).first()[0] or 0)
     sent = blocks.select("block", "doc_ids", "learn", "sizes", "packed")
-    scored = sent.groupBy("block").cogroup(answers.select("block", "shard", "blob").groupBy("block")).applyInPandas(score, SCORES)
+    asked = sent.select("block", "learn", "sizes", "packed").mapInPandas(_asked(shards), "block long, shard int, blob binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, blob binary, n_words long")
+
+    def score(key: tuple, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        ids, learn, sizes, packed = rows.iloc[0][["doc_ids", "learn", "sizes", "packed"]]  # a block is one row
+        n_words = int(given["n_words"].sum())
+        blobs = list(given.sort_values("shard")["blob"])
+        del rows, given
+        texts = _texts(packed, sizes)
+        scorer = Scorer(Block(texts, shards), blobs, Code(byte_counts))
+        tokens, known, seen, bits = scorer.scores(texts)
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"),
+                "held_out": ~np.array(learn, bool),
+                "n_tokens": tokens,
+                "n_known": known,
+                "seen": seen,
+                "score": -bits * math.log10(2),
+                "n_bytes": np.array(sizes, np.int64),
+                "n_words": [n_words, *[0] * (len(texts) - 1)],
+            }
+        )
+
+    scored = materialise(sent.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORES), "op3-scores")
+    n_all = int(byte_counts[SPACE] + byte_counts[END])  # each training token ends in one of these
+    v_all = int(scored.agg(F.sum("n_words")).first()[0] or 0)
     base = F.col("seen") - F.col("n_tokens") * math.log10(n_all + v_all + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
 
