@@ -51,11 +51,11 @@ SCALE = 4.0
 WEIGHTS = ((0.60, 0.60, 0.30, 0.30), (-0.35, -0.20, 0.10, 0.10), (-0.15, -0.15, 0.0, 0.0))
 #: Step of the weights' refinement, and (groups, bits in a group) in turn; the last for good.
 RATE = 0.005
-GROUPS = ((64, 16), (64, 32), (64, 64), (0, 128))
+GROUPS = ((64, 16), (64, 32), (64, 64), (64, 128), (0, 256))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 10 << 20, 1 << 20, 1 << 20
+BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 3 << 19
 END, SPACE = 10, 32
 #: Bits below the byte in the word predictor's keys.
 TAIL = 16
