@@ -24,10 +24,12 @@ _own_dir: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary
-    one where that is unset (a single machine)."""
+    one where that is unset and the master is local (a single machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-scholion-"))
     return "file://" + _own_dir[0]
@@ -45,6 +47,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct, row, beside the given keys: no column of it can clash with what
+    an operator adds.  ``row.*`` gives the columns back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -94,4 +102,4 @@ def name_groups(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return named
 
 
-__all__ = ["HEAVY", "SHARDS", "ascii_lower", "documents", "heavy_keys", "materialise", "name_groups", "shared_dir", "ship"]
+__all__ = ["HEAVY", "SHARDS", "ascii_lower", "documents", "heavy_keys", "materialise", "name_groups", "private", "shared_dir", "ship"]

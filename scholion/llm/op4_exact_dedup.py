@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import ascii_lower, documents, materialise, name_groups
+from scholion.llm.common import ascii_lower, documents, materialise, name_groups, private
 
 #: Bytes in a block.
 BLOCK_BYTES = 1024
@@ -85,11 +85,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each group of equal texts; columns as before."""
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_doc_id"), F.col("tkey").alias("keep_tkey")).distinct()
-    keyed = docs.withColumn("own_tkey", F.xxhash64(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    same = F.col(id_col).eqNullSafe(F.col("keep_doc_id")) & (F.col("own_tkey") == F.col("keep_tkey"))
-    return keyed.join(keep, same, "left_semi").dropDuplicates([id_col, "own_tkey"]).drop("own_tkey")
+    """``docs`` without all but one row of each group of equal texts; columns as before.
+
+    Null texts are one group with the empty ones.  Of rows that repeat an id and its text, one
+    stays, whichever.  An empty table stays empty.
+    """
+    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_tkey")).distinct()
+    keyed = private(docs, own_id=F.col(id_col), own_tkey=F.xxhash64(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
+    same = F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_tkey") == F.col("keep_tkey"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["own_id", "own_tkey"]).select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ half the logarithm of the number of trigrams for each language, does not fall.
 is given the language of the largest remaining proportion, which is also its score.
 
 Counting is a Spark aggregation of (language, trigram bucket) rows that are summed within
-each task first.  The model is a table of languages by BUCKETS numbers, whatever the corpus,
-and is the only thing that the driver holds.
+each task first; each language's sums become one row.  The model is a table of languages by
+BUCKETS numbers (128 KB for each value of lang), whatever the corpus, and is the only thing
+that the driver holds and sends.  Every value of lang is learned; a column of more values than
+MOST_LANGUAGES is taken to be no language and raises an error.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ BUCKETS = 1 << 15
 SMOOTH = 0.5
 #: Rounds of expectation-maximisation for each language set.
 ROUNDS = 12
-#: Most languages that are learned: those of the most training texts.  Bounds the model.
-LANGUAGES = 256
+#: Values of lang that a model can have: all living languages.  Bounds the model at 1 GB.
+MOST_LANGUAGES = 8192
 UNKNOWN = "und"
 
 
@@ -53,6 +55,13 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
+def _likelihood(rows: pd.DataFrame) -> pd.DataFrame:
+    """The likelihood of every bucket in one language: at most BUCKETS rows come in."""
+    n = np.full(BUCKETS, SMOOTH)
+    n[rows["bucket"].to_numpy(np.int64)] += rows["n"].to_numpy(np.int64)
+    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "likelihood": [(n / n.sum()).astype(np.float32).tobytes()]})
+
+
 class Model:
     """Log-likelihood of each bucket in each language."""
 
@@ -65,7 +74,7 @@ class Model:
             return UNKNOWN, 0.0, {}
         buckets, n = np.unique(trigrams(text), return_counts=True)
         total = int(n.sum())
-        like = self.likelihood[:, buckets]
+        like = self.likelihood[:, buckets].astype(np.float64)
         penalty = 0.5 * np.log(total)
         chosen = np.arange(len(self.languages))
         share, fit = _em(like, n, np.full(len(chosen), 1 / len(chosen)))
@@ -93,24 +102,26 @@ def _em(like: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray,
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learn from (text, lang) rows; rows of a null text or lang are left out."""
+    """Learn from (text, lang) rows; rows of a null text or lang are left out.  Without rows the
+    model has no language."""
     ship(labelled.sparkSession)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").toPandas()
-    languages = sorted(top["lang"])
-    counts = rows.where(F.col("lang").isin(languages)).mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((len(languages), BUCKETS), SMOOTH)
-    index = {lang: k for k, lang in enumerate(languages)}
-    found = counts.toPandas()  # at most LANGUAGES * BUCKETS rows
-    table[found["lang"].map(index).to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
-    return Model(languages, table / table.sum(axis=1, keepdims=True))
+    counts = rows.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("lang").applyInPandas(_likelihood, "lang string, likelihood binary").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    languages = [r["lang"] for r in found]
+    return Model(languages, np.stack([np.frombuffer(r["likelihood"], np.float32) for r in found]) if found else np.empty((0, BUCKETS), np.float32))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and lang_shares (language to proportion).
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Two columns for each row of ``docs``: row, a struct of all its columns, and found, a
+    struct of lang_pred, score and lang_shares (language to proportion).
 
     A null text, a text without a letter, or a model without languages gives ``und``, score
-    0 and no shares.  Only the text is read, so other nulls and repeated rows do not matter.
+    0 and no shares.  Of languages of equal proportion the first by name is taken.  Only the
+    text is read, and all of it, so other nulls, repeated rows and clashing names do not
+    matter.  An empty table gives no row.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood))
@@ -121,7 +132,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for series in texts:
             yield pd.DataFrame([own.infer(t) for t in series], columns=["lang_pred", "score", "lang_shares"])
 
-    return docs.withColumn("inferred_language", infer(F.col(text_col)))
+    return docs.select(F.struct("*").alias("row"), infer(F.col(text_col)).alias("found"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -133,4 +144,4 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out()))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "inferred_language.lang_pred", "inferred_language.score")
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "found.lang_pred", "found.score")

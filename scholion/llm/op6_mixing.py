@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, materialise
+from scholion.llm.common import documents, materialise, private
 
 DOMAINS = ("good", "good_toxic", "poor", "poor_toxic")
 #: Share of all mixed tokens that each domain is to have.
@@ -174,7 +174,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 
     ``copies`` is the rate rounded up or down by a fixed hash of the id, so that its mean is
     the rate.  A null text is empty: no tokens, and a posterior from its empty features.
-    Without labels all domains are alike and all rates are 1.  Null ids take no labels; repeated rows are mixed as rows of their own.
+    Without labels all domains are alike and all rates are 1.  Null ids take no labels;
+    repeated rows are mixed as rows of their own.  A very long text counts as its tokens do.
+    An empty table gives no row.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = _labels(labels, id_col)
@@ -188,10 +190,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says; with a ``max_rate`` of 1, no row is
     repeated, rows of domains in short supply all stay, and only what other domains have above
-    their share of all tokens goes."""
+    their share of all tokens goes.  Rows that repeat an id, and those of a null id, all take the
+    largest number of copies among them.  Empty texts have no tokens and stay by their domain's
+    rate; an empty table stays empty."""
     rates = mixing_rates(docs, labels, targets, max_rate, id_col, text_col).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    out = docs.join(rates, F.col(id_col).eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    out = private(docs, own_id=F.col(id_col)).join(rates, F.col("own_id").eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

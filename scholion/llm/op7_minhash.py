@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, materialise, ship
+from scholion.llm.common import documents, materialise, private, ship
 
 BANDS = 30
 ROWS = 5
@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty; documents without words have no shingles and are linked
     with nothing.  Ids identify documents: rows that repeat an id share one component.  A
-    null id is linked with nothing and stays, with a null component.
+    null id is linked with nothing and stays, with a null component.  A very long text is
+    one more set; it is never cut.  An empty table gives no row.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -292,9 +293,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component only."""
+    """``docs`` with the document of the smallest id of each component only.
+
+    Rows without words and rows of a null id all stay; rows that repeat an id stay or go
+    together.  An empty table stays empty.
+    """
     gone = near_duplicates(docs, id_col, text_col, size=size).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return private(docs, own_id=F.col(id_col).cast("long")).join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,8 @@ class WordCoder(dict):
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, 4 bytes each."""
         raw = text.encode("utf-8", "replace")
-        if b"<|" not in raw:
+        # a letter may compose with a mark (U+0300 to U+036F) in one case only, and composing comes first
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
             raw = raw.lower()
         return b"".join(map(self.__getitem__, raw.split()))
 

@@ -42,7 +42,7 @@ def ids_of(coded, text):
 
 
 def test_coder_equals_tokenizer(coded, texts, odd):
-    for text in [*list(texts.values())[:60], *[r.text or "" for r in odd.select("text").collect()], "don't we'LL <|STARTOFTEXT|>a<|startoftext|> \x1c\x85 日本 ﬁ ½ x² ÷ ŉ"]:
+    for text in [*list(texts.values())[:60], *[r.text or "" for r in odd.select("text").collect()], "don't we'LL <|STARTOFTEXT|>a<|startoftext|> \x1c\x85 日本 ﬁ ½ x² ÷ ŉ", "T\u0308he J\u030c H\u0331 W\u030a Y\u030a \u00c8 A\u0300bc"]:
         assert coded[0].encode(text) == ids_of(coded, text)
 
 
@@ -252,8 +252,27 @@ def test_op5_held_out_accuracy(spark, sf_dir, docs, odd, none):
     shares = model.infer(en + " " + de)[2]
     assert set(shares) == {"en", "de"} and abs(shares["en"] - 0.5) < 0.15
     got = op5.predict(odd, model).collect()
-    assert len(got) == odd.count() and all(r.inferred_language.lang_pred == "und" for r in got if not any(map(str.isalpha, r.text or "")))
-    assert op5.predict(odd, op5.fit(none)).where("inferred_language.lang_pred <> 'und'").count() == 0
+    assert len(got) == odd.count() and all(r.found.lang_pred == "und" for r in got if not any(map(str.isalpha, r.row.text or "")))
+    assert op5.predict(odd, op5.fit(none)).where("found.lang_pred <> 'und'").count() == 0
+    assert op5.predict(none, model).count() == 0
+
+
+def test_op5_learns_every_language_and_em_is_exact(spark):
+    """300 languages of one word each are all told apart; shares equal those of plain EM."""
+    words = [f"{a}{b}{c}" for a in "bcdfghjkl" for b in "aeiou" for c in "mnpqrstvwx"][:300]
+    df = spark.createDataFrame([(k, f"{w} " * 20, f"l{k}") for k, w in enumerate(words)], "doc_id long, text string, lang string")
+    model = op5.fit(df)
+    assert len(model.languages) == 300
+    assert all(r.found.lang_pred == r.row.lang for r in op5.predict(df, model).collect())
+    text = f"{words[0]} " * 30 + f"{words[7]} " * 10
+    found = model.infer(text)
+    rows = [model.languages.index(lang) for lang in found[2]]
+    like = model.likelihood[rows][:, op5.trigrams(text)].astype(float)
+    share = np.full(len(rows), 1 / len(rows))
+    for _ in range(300):
+        parts = share[:, None] * like
+        share = (parts / parts.sum(axis=0)).mean(axis=1)
+    assert found[0] == "l0" and np.allclose(share, list(found[2].values()), atol=0.02)
 
 
 def test_op6_meets_targets(spark, sf_dir, odd, none):
@@ -454,6 +473,21 @@ def test_op10_gates_lose_no_match(spark):
         assert want and {tuple(x) for x in r.detections or []} == want, given[r.doc_id]
 
 
+def test_stages_on_odd_tables(spark, sf_dir, odd, none):
+    """Every stage keeps its columns on tables of nulls, repeats and clashing names."""
+    import corpus_pipeline as pipeline
+
+    for clash in (odd, none):
+        taken = {c: F.lit("x") for c in ("row", "found", "own_id", "own_tkey", "keep_id", "keep_tkey", "gone_id", "mix_id", "mix_copies", "inferred_language", "col")}
+        given = clash.withColumns(taken)
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, given, sf_dir)
+            assert out.columns == given.columns
+            rows = out.collect()
+            assert len(rows) <= given.count() and all(r.own_tkey == "x" for r in rows) and (clash is none or rows)
+        assert pipeline.packing(spark, given, sf_dir).where("piece = 0").count() == given.count()
+
+
 def test_pipeline(spark, sf_dir, docs, texts):
     import corpus_pipeline as pipeline
 
