@@ -14,31 +14,35 @@ from scholion.llm.common import documents, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a language that the model knows; ``und`` is rejected.  The language
-    predicted takes the place of a missing one only."""
+    """Keep documents of a language that the model knows; ``und`` (a text that is null or has no
+    letter) is rejected.  The language predicted takes the place of a missing one only.  Rows
+    are judged one by one: repeats and null ids stay or go with their text; without a labelled
+    row nothing can be told, and nothing stays."""
     model = op5_language.fit(docs.where(~op5_language.held_out()))
-    found = op5_language.predict(docs, model)
-    kept = found.where(F.col("inferred_language.lang_pred") != op5_language.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "inferred_language.lang_pred")).select(*docs.columns)
+    kept = op5_language.predict(docs, model).where(F.col("found.lang_pred") != op5_language.UNKNOWN)
+    return kept.select(*[F.coalesce("row.lang", "found.lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts: that of the largest id.  Null texts are
+    one group with the empty ones; an id and text that repeat are kept once."""
     return op4_exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates on shingles of five words."""
+    """Keep one document of each group of near-duplicates on shingles of five words: that of the
+    smallest id.  Texts without words and rows of a null id stay."""
     return op7_minhash.drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin out over-represented domains; no document is repeated."""
+    """Thin out over-represented domains; no document is repeated.  Domains without a label are
+    not thought of, and without any label all documents stay."""
     return op6_mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents that are left."""
+    """Pack all documents that are left; a null or empty text is its end token alone."""
     return op1_packing.pack_documents(docs)
 
 
