@@ -118,9 +118,31 @@ def test_op2_counts_after_edits(spark, coded, odd, texts):
             text = text[:start] + new + text[min(a + n, len(text)) :]
             assert tree.text == text and tree.total == count(text)
     edits = spark.createDataFrame([(5, 0, 4, 7, "dog"), (5, 1, 0, 0, None), (99, 0, 0, 1, "x"), (2, 0, 0, 9, "new")], "doc_id long, seq int, start int, stop int, new string")
-    got = {r.doc_id: r for r in op2.count_with_edits(odd.where("doc_id IS NOT NULL"), edits).collect()}
+    given = odd.where("doc_id IS NOT NULL")
+    got = {r.doc_id: r for r in op2.count_with_edits(given, op2.build_trees(given), edits).collect()}
     assert got[5].tokens_after == count("The dog sat on the mat by the door today.") and got[2].tokens_after == 1 and got[1].tokens_before == 0
     assert got[5].edits == 2 and got[7].leaves_encoded == 0
+    assert op2.count_with_edits(odd, op2.build_trees(odd), edits).count() == odd.count()
+    none = odd.where("false")
+    assert op2.count_with_edits(none, op2.build_trees(none), edits).count() == 0
+
+
+def test_op2_query(spark, sf_dir, coded, docs):
+    """Counts of the edited texts, made anew from the whole texts."""
+    count = lambda t: len(ids_of(coded, t)) // 4
+    given, edits = {r.doc_id: r for r in docs.collect()}, defaultdict(list)
+    for e in op2.edits_of(docs).orderBy("doc_id", "seq").collect():
+        edits[e.doc_id].append(e)
+    rows = op2.op2_counts(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(given)
+    for r in rows:
+        text = given[r.doc_id].text or ""
+        assert r.tokens_before == count(text) and r.edits == 3
+        for e in edits[r.doc_id]:
+            a = min(e.start, len(text))
+            text = text[:a] + e.new + text[min(e.stop, len(text)) :]
+        assert r.tokens_after == count(text)
+    assert sum(r.leaves_encoded for r in rows) < 5 * len(rows)
 
 
 def test_op3_base(spark, sf_dir, texts, odd, none):
@@ -422,11 +444,12 @@ def test_op10_base(spark, sf_dir, texts, odd, none):
 
 
 def test_op10_rules(spark):
-    given = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "Licensed under CC BY-NC 4.0.", "see https://creativecommons.org/licenses/by-sa/3.0/", "no such thing", "GNU Lesser General Public License version 2.1 applies"]
+    given = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "Licensed under CC BY-NC 4.0.", "see https://creativecommons.org/licenses/by-sa/3.0/", "no such thing", "GNU Lesser General Public License version 2.1 applies", "Apache License, 2019", "Permission is hereby granted, free\nof charge, to any person obtaining a copy of this software"]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, len(r.detections or [])) for r in op10.scan_licenses(df).collect()}
     assert len(op10.RULES) > 300 and got[0] == ("apache,apache-2.0", 1) and got[1][0] == "mit" and got[2] == ("cc-by,cc-by-nc-4.0", 1)
     assert got[3][0] == "cc-by-sa-3.0" and got[4] == ("", 0) and "lgpl-2.1" in got[5][0]
+    assert got[6] == ("apache", 0) and got[7] == ("mit", 1)
 
 
 def written_out(parsed, gap):
