@@ -1,7 +1,8 @@
 r"""License scans by ordered signature rules.
 
 ``RULES`` holds some hundreds of regexes: each hand-written licence name below in each
-hand-written form (named alone, granted in a sentence, as an SPDX tag, as a link).  A rule
+hand-written form (named alone, granted in a sentence, as an SPDX tag, as a link), and
+sentences of the licences' own texts.  A rule
 runs only on a text that has its keywords, each a word that all its matches contain, and no
 rule runs on a text without all keywords of some rule.  Every match is an interval; an interval is suppressed by an overlapping one of
 higher priority, and by one of equal priority that contains it.  What is left gives the
@@ -34,9 +35,9 @@ PHRASES = (
 
 #: (label, keywords, name) of the licences: every match of the name contains each keyword.
 NAMES = (
-    ("apache-1.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.0"),
-    ("apache-1.1", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.1"),
-    ("apache-2.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?2(?:\.0)?"),
+    ("apache-1.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.0\b"),
+    ("apache-1.1", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.1\b"),
+    ("apache-2.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?2(?:\.0)?\b"),
     ("gpl-1.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1(?:\.0)?\b"),
     ("gpl-2.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?2(?:\.0)?\b"),
     ("gpl-3.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?3(?:\.0)?\b"),
@@ -48,10 +49,10 @@ NAMES = (
     ("lgpl", "lgpl", r"\blgpl\b"),
     ("agpl-3.0", "affero", r"gnu[\W_]+affero[\W_]+general[\W_]+public[\W_]+licen[cs]e"),
     ("agpl", "agpl", r"\bagpl\b"),
-    ("mpl-1.1", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1\.1"),
-    ("mpl-2.0", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?"),
-    ("epl-1.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?"),
-    ("epl-2.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?"),
+    ("mpl-1.1", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1\.1\b"),
+    ("mpl-2.0", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
+    ("epl-1.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?\b"),
+    ("epl-2.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
     ("eupl-1.2", "european", r"european[\W_]+union[\W_]+public[\W_]+licen[cs]e"),
     ("cddl-1.0", "common development", r"common[\W_]+development[\W_]+and[\W_]+distribution[\W_]+licen[cs]e"),
     ("cpl-1.0", "common public", r"common[\W_]+public[\W_]+licen[cs]e"),
@@ -66,8 +67,8 @@ NAMES = (
     ("bsl-1.0", "boost", r"boost[\W_]+software[\W_]+licen[cs]e"),
     ("unlicense", "unlicense", r"\bunlicense\b"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b"),
-    ("artistic-1.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?"),
-    ("artistic-2.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?"),
+    ("artistic-1.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?\b"),
+    ("artistic-2.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
     ("afl-3.0", "academic", r"academic[\W_]+free[\W_]+licen[cs]e"),
     ("osl-3.0", "open software", r"open[\W_]+software[\W_]+licen[cs]e"),
     ("psf-2.0", "python", r"python[\W_]+software[\W_]+foundation[\W_]+licen[cs]e"),
@@ -81,6 +82,25 @@ NAMES = (
     ("proprietary", "rights reserved", r"all[\W_]+rights[\W_]+reserved"),
 )
 
+#: (label, keywords, sentence) of the licences' own texts, their words with any gap between.
+TEXTS = (
+    ("mit", "permission hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsl-1.0", "permission organization", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "permission distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution binary", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse derived", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising acknowledgment", "all advertising materials mentioning features or use of this software must display the following acknowledgment"),
+    ("gpl", "redistribute modify", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute modify", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("mpl-2.0", "source mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("zlib", "altered misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("cc0-1.0", "waiving", "has dedicated the work to the public domain by waiving all of his or her rights"),
+    ("ofl-1.1", "font reserved", "no modified version of the font software may use the reserved font name"),
+    ("public-domain", "disclaims", "the author disclaims copyright to this source code"),
+)
+
 #: Creative Commons: parts and versions, from which their names are made.
 CC_PARTS = (("by", ""), ("by-sa", "sharealike"), ("by-nd", "noderivatives"), ("by-nc", "noncommercial"), ("by-nc-sa", "noncommercial[\\W_]+sharealike"), ("by-nc-nd", "noncommercial[\\W_]+noderivatives"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -100,10 +120,11 @@ def rules() -> list[tuple[str, str, str, int]]:
         for version in CC_VERSIONS:
             short = part.replace("-", r"[\W_]*")
             long = r"creative[\W_]+commons[\W_]+attribution" + (rf"[\W_]+{spelt}" if spelt else "")
-            tail = r"[\W_]+(?:v|version[\W_]+)?" + version.replace(".", r"\.")
+            tail = r"[\W_]+(?:v|version[\W_]+)?" + version.replace(".", r"\.") + r"\b"
             names.append((f"cc-{part}-{version}", "cc by", rf"\bcc[\W_]*{short}{tail}"))
             names.append((f"cc-{part}-{version}", "creative commons attribution", long + tail))
     made = [(label, key, form.replace("N", name), priority) for label, key, name in names for priority, form in FORMS]
+    made += [(label, key, r"[\W_]+".join(sentence.split(" ")), 75) for label, key, sentence in TEXTS]
     labels = sorted({label for label, _, _ in names})
     made += [(label, "spdx", SPDX + label.replace(".", r"\.") + r"(?:-only|-or-later)?\b", 90) for label in labels]
     made += [
@@ -177,8 +198,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels, score, detections.
 
     A null text counts as empty: no words, no labels (empty strings), score 0.  The score is
-    the highest priority left, as a share of 100; base phrases alone give 0.5.  Rows are
-    independent, so null and repeated ids need no care.
+    the highest priority left, as a share of 100; base phrases alone give 0.5.  Of intervals of
+    one priority and one place, the first label by name stays.  Rows are independent, so null
+    and repeated ids need no care; a very long text is scanned whole, and an empty table gives
+    no row.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     gate_text = F.lower(raw)
