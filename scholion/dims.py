@@ -92,6 +92,31 @@ FRACTION_WORDS = {
 #: Spellings that are put right, the first by its value.
 NUMBER_SPELLINGS = {"thiry seven": "40", "thiry": "thirty", "fourty": "forty"}
 
+#: Endings of units in lower case, and how many characters go; the first that fits counts.
+UNIT_ENDINGS = ((r"^(incense|frankincense|bronze)$", 0), (r"^..+[sz]es$", 1), (r"^..+es$", 2), (r"^..*[^s]s$", 1))
+#: What is replaced in HTML, in this order.
+ENGLISH_MARKUP = (
+    ("יהוה", "HASHEM"),
+    (r'<sup class="footnote-marker">[^<]*</sup>\s*<i class="footnote">.*?</i>', ""),
+    ("</?small>", ""),
+    ("<[^>]+>", " "),
+)
+ENGLISH_DASHES, ENGLISH_QUOTES = "—–", "‘’"
+HEBREW_MARKUP = (
+    (r'<span class="mam-spi-[^"]*">\{[^}]*\}</span>', ""),
+    (r'<span class="mam-kq">.*?</span>', ""),
+    ("</?(?:small|b)>", ""),
+    ("<[^>]+>", " "),
+    ("&nbsp;", " "),
+    ("&thinsp;", ""),
+    ("\u05be", " "),
+    ("\u05c3", ":"),
+    ("[\u0591-\u05c2\u05c4-\u05c7]", ""),
+    (" +", " "),
+)
+#: White space in a character class.
+WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
 #: (source type, order, English name, Hebrew name, name in keys, category).
 BOOKS = (
     ("TN", 1, "Bereishit", "בראשית", "Genesis", "Torah"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,8 +21,10 @@ def nfkd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
-def _sub(text: Column, pattern: str, new: str) -> Column:
-    return F.regexp_replace(text, pattern, new)
+def _substituted(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in steps:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def clean_english(html: Column, keep_quotes: bool = False) -> Column:
@@ -33,22 +34,16 @@ def clean_english(html: Column, keep_quotes: bool = False) -> Column:
     texts do not go through Python.
     """
     ship(SparkSession.active())
-    t = F.replace(html, F.lit("יהוה"), F.lit("HASHEM"))
-    t = _sub(t, r'<sup class="footnote-marker">[^<]*</sup>\s*<i class="footnote">.*?</i>', "")
-    t = _sub(_sub(t, "</?small>", ""), "<[^>]+>", " ")
-    t = F.translate(t, "—–‘’" if keep_quotes else "—–", "--''" if keep_quotes else "--")
-    t = F.when(F.octet_length(t) == F.char_length(t), t).otherwise(_sub(nfkd(t), r"[^\x00-\x7F]", ""))
-    return F.trim(_sub(t, r"\s+", " "))
+    dashes, quotes = dims.ENGLISH_DASHES, dims.ENGLISH_QUOTES
+    t = F.translate(_substituted(html, dims.ENGLISH_MARKUP), dashes + (quotes if keep_quotes else ""), "-" * len(dashes) + ("'" * len(quotes) if keep_quotes else ""))
+    t = F.when(F.octet_length(t) == F.char_length(t), t).otherwise(F.regexp_replace(nfkd(t), r"[^\x00-\x7F]", ""))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def clean_hebrew(html: Column) -> Column:
-    """Plain text of Hebrew HTML without points; collapses spaces only."""
-    t = _sub(html, r'<span class="mam-spi-[^"]*">\{[^}]*\}</span>', "")
-    t = _sub(t, r'<span class="mam-kq">.*?</span>', "")
-    t = _sub(_sub(t, "</?(?:small|b)>", ""), "<[^>]+>", " ")
-    t = F.replace(F.replace(t, F.lit("&nbsp;"), F.lit(" ")), F.lit("&thinsp;"), F.lit(""))
-    t = F.translate(t, "־׃", " :")
-    return F.trim(_sub(_sub(t, "[֑-ׂׄ-ׇ]", ""), " +", " "))
+    """Plain text of Hebrew HTML without points; spaces are collapsed, other white space
+    goes at both ends only."""
+    return F.regexp_replace(_substituted(html, dims.HEBREW_MARKUP), rf"^[{dims.WHITE}]+|[{dims.WHITE}]+$", "")
 
 
 def tag_inventory(df: DataFrame, html: str) -> DataFrame:
@@ -60,7 +55,7 @@ def tag_inventory(df: DataFrame, html: str) -> DataFrame:
 def italic_terms(df: DataFrame, html: str) -> DataFrame:
     """(term): distinct non-empty italicised terms without inner tags."""
     found = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<i\b[^>]*>(.*?)</i>"), F.lit(1)))
-    return df.select(found.alias("raw")).select(F.trim(_sub(F.col("raw"), "<[^>]+>", "")).alias("term")).where("term <> ''").distinct()
+    return df.select(found.alias("raw")).select(F.trim(F.regexp_replace("raw", "<[^>]+>", "")).alias("term")).where("term <> ''").distinct()
 
 
 def drop_third_content(passages: DataFrame, content: str = "content") -> DataFrame:
@@ -91,74 +86,69 @@ def title_case(name: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
 
 
-def _decimal_text(value: float, digits: int | None = None) -> str:
-    if value == int(value):
-        return str(int(value))
-    return f"{round(value, digits):.{digits}f}".rstrip("0").rstrip(".") if digits else repr(value)
+def _lookup(word: Column, table: dict[str, int]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word)
 
 
-def _words_value(text: str) -> float | None:
-    """The number that words spell: units add up, hundreds and scales multiply what stands
-    before them, a fraction word divides it."""
-    for wrong, right in dims.NUMBER_SPELLINGS.items():
-        text = text.replace(wrong, right)
-    words = [w for w in re.split(r"[\s-]+", text.strip()) if w not in ("", "and")]
-    if not words:
-        return None
-    share = dims.FRACTION_WORDS.get(words[-1]) or dims.FRACTION_WORDS.get(words[-1].removesuffix("s"))
-    if share:
-        over = 1.0 if len(words) == 1 else _words_value(" ".join(words[:-1]))
-        if over is not None and over == int(over) and over >= 0:
-            return over / share
-    done = part = 0
-    for w in words:
-        if w in dims.NUMBER_WORDS:
-            part += dims.NUMBER_WORDS[w]
-        elif w in dims.NUMBER_SCALES:
-            part = (part or 1) * dims.NUMBER_SCALES[w]
-            if w != "hundred":
-                done, part = done + part, 0
-        else:
-            return None
-    return done + part if done + part or words == ["zero"] else None
-
+def spelt_number(text: Column) -> Column:
+    """The value of a number in lower-case words, as a double; null where it is none.
 
-@F.pandas_udf(T.StringType())
-def _spelt_number(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(text: str) -> str | None:
-        value = _words_value(text)
-        return None if value is None else _decimal_text(value, 6)
-
-    for s in texts:
-        yield s.map(one, na_action="ignore")
+    Fraction words at the end divide what stands before them (1 if nothing does), as long as
+    that is whole.  Of the other words, each unit adds to the open part, a hundred multiplies
+    it, and a greater scale multiplies it and closes it.
+    """
+    for wrong, right in dims.NUMBER_SPELLINGS.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    words = F.filter(F.split(text, r"[\s-]+"), lambda w: ~w.isin("", "and"))
+    share = lambda w: F.coalesce(_lookup(w, dims.FRACTION_WORDS), _lookup(F.regexp_replace(w, "s$", ""), dims.FRACTION_WORDS))
+    n_plain = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(share(w).isNull(), i + 1))), F.lit(0))
+    plain = F.slice(words, F.lit(1), n_plain)
+    shares = F.transform(F.slice(words, n_plain + 1, F.size(words) - n_plain), share)
+
+    def add(acc: Column, w: Column) -> Column:
+        unit, scale = _lookup(w, dims.NUMBER_WORDS), _lookup(w, dims.NUMBER_SCALES)
+        grown = F.greatest(acc["open"], F.lit(1)) * scale
+        closes = scale > 100
+        return F.struct(
+            (acc["closed"] + F.when(closes, grown).otherwise(0)).cast("long").alias("closed"),
+            # an unknown word makes the open part null for good
+            F.when(acc["open"].isNotNull(), F.coalesce(acc["open"] + unit, F.when(closes, 0).otherwise(grown))).cast("long").alias("open"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("closed"), F.lit(0).cast("long").alias("open"))
+    total = F.aggregate(plain, start, add, lambda acc: acc["closed"] + acc["open"])
+    base = F.when(F.size(plain) == 0, F.when(F.size(shares) > 0, 1)).when((total > 0) | (plain == F.array(F.lit("zero"))), total)
+    return F.aggregate(shares, base.cast("double"), lambda v, d: F.when(v == F.floor(v), v / d))
 
 
 def normalize_numbers(df: DataFrame, col: str, out: str = "number") -> DataFrame:
     """add the canonical decimal text of a number, null where it is none.
 
-    Digits and fractions are expressions; only distinct values that are spelt in words go
-    through Python, and are joined back.
+    Decimals keep their digits; fractions are rounded to six.  Expressions only, so there is
+    no join and no Python.
     """
-    ship(df.sparkSession)
     raw = F.trim(F.lower(F.col(col)))
     fixed = raw
     for wrong, right in dims.NUMBER_SPELLINGS.items():
         fixed = F.when(raw == wrong, F.lit(right)).otherwise(fixed)
     cleaned = F.translate(fixed, ",_", "")
-
-    def shown(value: Column) -> Column:
-        whole = value == F.floor(value)
-        return F.when(whole, F.floor(value).cast("string")).when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", ""))
-
-    decimal = F.when(F.rlike(cleaned, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$")), cleaned.try_cast("double"))
+    whole = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string"))
+    rounded = lambda v: F.when(v.isNotNull(), F.coalesce(whole(v), F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", "")))
+    number = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+    value = F.when(F.rlike(cleaned, F.lit(number)), cleaned.try_cast("double"))
+    # the digits as they stand, without a plus, zeros in front and zeros behind
+    body = F.regexp_replace(F.regexp_replace(cleaned, r"^[+-]?0*", ""), r"(\.\d*?)0+$", "$1")
+    digits = F.concat(F.when(F.startswith(cleaned, F.lit("-")), "-").otherwise(""), F.when(F.startswith(body, F.lit(".")), "0").otherwise(""), body)
+    decimal = F.coalesce(whole(value), F.when(F.contains(cleaned, F.lit("e")), value.cast("string")).otherwise(digits))
     group = lambda pattern, k: F.regexp_extract(cleaned, pattern, k).try_cast("double")
     frac, mixed = r"^(-?\d+)\s*/\s*(\d+)$", r"^(-?\d+)\s+(\d+)\s*/\s*(\d+)$"
-    is_fraction = F.rlike(cleaned, F.lit(frac)) | F.rlike(cleaned, F.lit(mixed))
-    value = F.coalesce(decimal, F.try_divide(group(frac, 1), group(frac, 2)), group(mixed, 1) + F.try_divide(group(mixed, 2), group(mixed, 3)))
-    keyed = df.withColumn("number_raw", cleaned).withColumn("number_value", value).withColumn("number_words", value.isNull() & ~is_fraction & (cleaned != ""))
-    spelt = keyed.where("number_words").select(F.col("number_raw").alias("spelt_raw")).distinct().withColumn("spelt", _spelt_number("spelt_raw"))
-    joined = keyed.join(spelt, F.col("number_words") & (F.col("number_raw") == F.col("spelt_raw")), "left")
-    return joined.withColumn(out, F.coalesce(shown(F.col("number_value")), "spelt")).drop("number_raw", "number_value", "number_words", "spelt_raw", "spelt")
+    return df.withColumn(
+        out,
+        F.when(value.isNotNull(), decimal)
+        .when(F.rlike(cleaned, F.lit(frac)), rounded(F.try_divide(group(frac, 1), group(frac, 2))))
+        .when(F.rlike(cleaned, F.lit(mixed)), rounded(group(mixed, 1) + F.try_divide(group(mixed, 2), group(mixed, 3))))
+        .when(fixed != "", rounded(spelt_number(fixed))),
+    )
 
 
 def match_fixed(value: Column, allowed: tuple[str, ...]) -> Column:
@@ -178,9 +168,9 @@ def normalize_unit(value: Column) -> Column:
     """lower case and a plain singular; null where nothing is left."""
     v = F.trim(F.lower(value))
     cut = lambda n: F.substring(v, F.lit(1), F.char_length(v) - n)
-    es = F.endswith(v, F.lit("es")) & (F.char_length(v) > 3) & ~v.isin("incense", "frankincense", "bronze")
-    out = F.when(es, F.when(F.rlike(v, F.lit("(ses|zes)$")), cut(1)).otherwise(cut(2)))
-    out = out.when(F.endswith(v, F.lit("s")) & ~F.endswith(v, F.lit("ss")) & (F.char_length(v) > 2), cut(1)).otherwise(v)
+    out = v
+    for pattern, n in reversed(dims.UNIT_ENDINGS):
+        out = F.when(F.rlike(v, F.lit(pattern)), cut(n)).otherwise(out)
     return F.when(out != "", out)
 
 

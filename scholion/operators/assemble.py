@@ -88,13 +88,15 @@ def assemble_passages(refs: DataFrame, segments: DataFrame) -> tuple[DataFrame,
 
 
 def validate_passages(df: DataFrame) -> DataFrame:
-    """Add ``errors``: what is wrong with each passage."""
-    d = with_sort_key(df)
+    """Add ``errors``: what is wrong with each passage; rows of a null key have all errors
+    of the key."""
+    rows = df.select(F.struct("*").alias("given"), "key", "content")
+    d = with_sort_key(rows)
     chapter = F.try_element_at(F.split("key", "_"), F.lit(3)).try_cast("int")
     checks = {
         "unknown book": F.col("book_order").isNull(),
         "bad chapter": F.coalesce(chapter < 0, F.lit(True)),
-        "no section": F.trim("section") == "",
+        "no section": F.coalesce(F.trim("section") == "", F.lit(True)),
         "no content": ~F.coalesce(F.exists("content", lambda c: F.trim(c) != ""), F.lit(False)),
     }
-    return df.join(d.select("key", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()])).alias("errors")).dropDuplicates(["key"]), "key")
+    return d.select("given.*", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()])).alias("errors"))

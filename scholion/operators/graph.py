@@ -6,32 +6,15 @@ joins, and each level is cut off by a checkpoint in the shared folder.
 
 from __future__ import annotations
 
-import uuid
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion import dims
+from scholion.functions.shared import cut_lineage
 from scholion.operators.lookup import ends
 
 MAX_DEPTH = 10
 
-_own_dir: list[str] = []
-
-
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder that driver and executors share, and read again: spark.checkpoint.dir,
-    or a temporary folder where that is unset (one machine)."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-scholion-"))
-        shared = _own_dir[0]
-    path = f"{shared.rstrip('/')}/scholion/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def siblings(rels: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(self, sibling): other children of any father or mother."""

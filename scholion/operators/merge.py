@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.functions.shared import cut_lineage
 
 def parse_merge_names(rows: DataFrame) -> DataFrame:
     """H1: (list, row, entity_type, ordinal, name): names between bars, trimmed, in lower case,
@@ -43,8 +44,8 @@ def merge_targets(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """H3: (list, row, dup_key, target_key, final_name): the entity of the final name, else the
     first in list order, is the target of the others.
 
-    Rows of a list work on what the rows before them left.  Rows that share an entity with an
-    earlier row are left for another round (``rounds``)."""
+    Of rows that share an entity, only the first has targets here: the others depend on what it
+    leaves (``apply_merge`` takes them in turn)."""
     todo = plan_merge(rows, entities).where("status = 'merge'")
     hits = _hits(todo, entities).join(todo.select("list", "row", "final_name"), ["list", "row"])
     first_row = F.min(F.struct("list", "row")).over(Window.partitionBy("key"))
@@ -114,13 +115,36 @@ def repoint_meta(meta: DataFrame, mapping: DataFrame, rel_map: DataFrame) -> Dat
     return out.withColumn("entity_keys", F.coalesce("new_entities", empty)).withColumn("rel_keys", F.coalesce("new_rels", empty)).select(*meta.columns)
 
 
+def _ready(rows: DataFrame) -> DataFrame:
+    """(list, row) of the rows that share no name with an earlier one of their type."""
+    own = parse_merge_names(rows).select("list", "row", "entity_type", "name").unionByName(rows.select("list", "row", "entity_type", F.lower(F.trim("final_name")).alias("name")))
+    late = F.min(F.struct("list", "row")).over(Window.partitionBy("entity_type", "name")) != F.struct("list", "row")
+    return own.withColumn("late", late).groupBy("list", "row").agg(F.bool_or("late").alias("late")).where("NOT late").select("list", "row")
+
+
 def apply_merge(entities: DataFrame, rels: DataFrame, meta: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """H7: all tables after one round of merges, and the list with its rows marked."""
-    mapping = merge_targets(rows, entities)
-    new_rels, rel_map = repoint_rels(rels, mapping)
-    done = mapping.select("list", "row").distinct().withColumn("now", F.lit("true"))
-    marked = rows.join(done, ["list", "row"], "left").withColumn("merged", F.coalesce("now", "merged")).drop("now")
-    return {"entities": fold_entities(entities, mapping), "rels": new_rels, "meta": repoint_meta(meta, mapping, rel_map), "rows": marked}
+    """H7: all tables after all merges, and the list with its rows marked.
+
+    Rows work in order on what the rows before them left.  Each round takes all rows that
+    share no name with an earlier open one, so there are as many rounds as the longest chain
+    of rows has, whatever their number; tables are written between rounds.
+    """
+    closed = F.lower(F.trim(F.coalesce("merged", F.lit("")))).isin("true", "yes", "1") | (F.trim(F.coalesce("final_name", F.lit(""))) == "")
+    left = cut_lineage(rows.where(~closed), "merge-rows")
+    done = None
+    while not left.isEmpty():
+        now = cut_lineage(left.join(_ready(left), ["list", "row"], "left_semi"), "merge-now")
+        mapping = cut_lineage(merge_targets(now, entities), "merge-map")
+        rels, rel_map = repoint_rels(rels, mapping)
+        rel_map = cut_lineage(rel_map, "merge-rel-map")
+        rels, meta = cut_lineage(rels, "merge-rels"), cut_lineage(repoint_meta(meta, mapping, rel_map), "merge-meta")
+        entities = cut_lineage(fold_entities(entities, mapping), "merge-entities")
+        merged = mapping.select("list", "row").distinct().withColumn("now", F.lit("true"))
+        done = merged if done is None else done.unionByName(merged)
+        left = cut_lineage(left.join(now.select("list", "row"), ["list", "row"], "left_anti"), "merge-rows")
+    if done is not None:
+        rows = rows.join(done, ["list", "row"], "left").withColumn("merged", F.coalesce("now", "merged")).drop("now")
+    return {"entities": entities, "rels": rels, "meta": meta, "rows": rows}
 
 
 def merge_tallies(plan: DataFrame) -> DataFrame:

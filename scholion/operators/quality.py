@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholion import dims
 from scholion.functions.text import word_count
 
 MEASURES = ("mean", "median", "p20", "p80", "min", "max", "std", "total", "valid")
@@ -44,20 +45,22 @@ def _stats(value: Column) -> list[Column]:
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
         F.stddev_pop(value).alias("std"),
-        F.sum(value).cast("double").alias("total"),
-        F.sum((value > 0).cast("int")).cast("double").alias("valid"),
+        F.count("*").cast("double").alias("total"),
+        F.count(value).cast("double").alias("valid"),
     ]
 
 
 def word_stats(df: DataFrame, text: str, by: str) -> DataFrame:
-    """L4: measures of the number of words by group.  Percentiles are exact: they count
-    distinct lengths, which are few, on the map side."""
-    return df.select(by, word_count(F.col(text)).alias("v")).groupBy(by).agg(*_stats(F.col("v")))
+    """L4: measures of the number of words by group, the number of documents (total) and of
+    those with a text (valid).  Percentiles are exact: they count distinct lengths, which are
+    few, on the map side."""
+    words = F.when(F.col(text).isNotNull(), word_count(F.col(text)))
+    return df.select(by, words.alias("v")).groupBy(by).agg(*_stats(F.col("v")))
 
 
 def char_stats(df: DataFrame, text: str, by: str) -> DataFrame:
     """Measures of the number of characters by group."""
-    return df.select(by, F.coalesce(F.char_length(text), F.lit(0)).alias("v")).groupBy(by).agg(*_stats(F.col("v")))
+    return df.select(by, F.char_length(text).alias("v")).groupBy(by).agg(*_stats(F.col("v")))
 
 
 def length_warnings(df: DataFrame, text: str, key: str = "key") -> DataFrame:
@@ -87,21 +90,20 @@ def distribution_warnings(df: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def content_issues(df: DataFrame, text: str, key: str = "key") -> DataFrame:
-    """(key, issues): the rules that a text breaks, sorted."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.char_length(t), F.lit(1))
-    hits = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    words = word_count(t)
-    letters = F.char_length(F.regexp_replace(t, r"\s+", ""))
+    """(key, issues): the rules that a text breaks, sorted; a null text is unreadable, and an
+    empty one breaks none."""
+    t, n = F.col(text), F.char_length(text)
+    more_than = lambda pattern, ratio: (n > 0) & (F.regexp_count(t, F.lit(pattern)) / n > ratio)
     rules = {
-        "html": F.rlike(t, F.lit("<[^>]+>")),
-        "special_chars": hits(r"[^\w\s.,;:!?'\"()\-]") / n > 0.05,
-        "control_chars": F.rlike(t, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")),
-        "whitespace_run": F.rlike(t, F.lit(r"\s{5,}")),
-        "non_ascii": hits(r"[^\x00-\x7F]") / n > 0.1,
+        "unreadable": t.isNull(),
+        "html": F.rlike(t, F.lit("[<>]|&(?:nbsp|lt|gt|amp);")),
+        "special_chars": more_than(rf"[^a-zA-Z0-9{dims.WHITE}.,!?;:'\"-]", 0.05),
+        "control_chars": F.rlike(t, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")),
+        "whitespace_run": F.rlike(t, F.lit(f"[{dims.WHITE}]{{5,}}")),
+        "non_ascii": more_than(r"[^\x00-\x7F]", 0.1),
         "null_bytes": F.contains(t, F.lit("\x00")),
-        "no_sentence_end": ~F.rlike(t, F.lit("[.!?]")),
-        "long_words": (words > 0) & (letters / F.greatest(words, F.lit(1)) > 20),
+        "no_sentence_end": (n > 0) & ~F.rlike(t, F.lit("[.!?]")),
+        "long_words": (word_count(t) > 0) & (n / F.greatest(word_count(t), F.lit(1)) > 20),
     }
     return df.select(F.col(key), F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in sorted(rules.items())])).alias("issues"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion import dims
+from scholion.functions.shared import cut_lineage
 
 
 def identity(strict: bool = False, prefix: str = "") -> Column:
@@ -94,11 +95,11 @@ def entity_key(identity_col: Column) -> Column:
 
 
 def build_entities(ents: DataFrame, existing: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """One row for each identity of the mentions, from its first in import order
+    """One row for each identity of the mentions, from its first (whose ``passage`` it has) in import order
     (``import_order``, any orderable column); ``is_new`` unless ``existing`` (identity, key)
     has it."""
     rank = F.struct("import_order", "category", "ordinal")
-    fields = ["category", "name", "number_category", "en_unit", "en_context"]
+    fields = ["category", "name", "number_category", "en_unit", "en_context", "passage"]
     built = with_identity(ents, strict).groupBy("identity").agg(F.min_by(F.struct(*fields), rank).alias("first"), F.count("*").alias("mentions"))
     out = built.select("identity", "first.*", "mentions")
     if existing is None:
@@ -146,13 +147,39 @@ def build_meta(passages: DataFrame, mentions: DataFrame, entities: DataFrame, pa
     return out.withColumn("entity_keys", F.coalesce("entity_keys", empty)).withColumn("rel_keys", F.coalesce("rel_keys", empty))
 
 
-def build_graph(passages: DataFrame, mentions: DataFrame, rels: DataFrame) -> dict[str, DataFrame]:
+def resolve_stored(built: DataFrame, rels: DataFrame, entities: DataFrame, stored_rels: DataFrame) -> DataFrame:
+    """(identity, old_key): the stored entity of each built one that has one.  Persons are told
+    apart by their families in the passage that mentions them first; others by identity."""
+    families = family_context(rels).select("passage", F.col("person").alias("name"), "fathers", "mothers", "spouses")
+    empty = F.array().cast("array<string>")
+    persons = built.where("category = 'Person'").select("identity", "passage", F.lower("name").alias("name")).join(families, ["passage", "name"], "left")
+    persons = persons.select("identity", "name", *[F.coalesce(c, empty).alias(c) for c in ("fathers", "mothers", "spouses")])
+    known = resolve_persons(persons, entities, stored_rels).where("key IS NOT NULL")
+    columns = {"category": "entityType", "name": "display_en_name", "number_category": "numberCategory"}
+    old = entities.where("entityType <> 'Person'").select("key", "en_unit", "en_context", *[F.col(b).alias(a) for a, b in columns.items()])
+    others = with_identity(old).groupBy("identity").agg(F.min("key").alias("old_key"))
+    return persons.select("identity", "name").join(known, "name").select("identity", F.col("key").alias("old_key")).unionByName(others)
+
+
+def build_graph(passages: DataFrame, mentions: DataFrame, rels: DataFrame, entities: DataFrame | None = None, stored_rels: DataFrame | None = None) -> dict[str, DataFrame]:
     """Entities, rels, passage metadata and rejects of cleaned mentions (with
-    import_order) and rels (with rel_type)."""
-    entities = build_entities(mentions)
+    import_order) and rels (with rel_type).
+
+    With stored ``entities`` and ``stored_rels``, what is there already keeps its key: entities
+    say so in ``is_new``, and only new rels are returned.  A new person whose key a stored
+    namesake has takes one that its first passage is part of.
+    """
+    built = build_entities(mentions)
+    if entities is not None:
+        made = entity_key(F.col("identity"))
+        taken = entities.select(F.col("key").alias("taken_key")).distinct()
+        found = built.drop("key", "is_new").join(resolve_stored(built, rels, entities, stored_rels), "identity", "left").join(taken, made == F.col("taken_key"), "left")
+        own = F.when(F.col("taken_key").isNull(), made).otherwise(entity_key(F.concat_ws("\x1f", "identity", "passage")))
+        built = found.withColumn("is_new", F.col("old_key").isNull()).withColumn("key", F.coalesce("old_key", own)).drop("old_key", "taken_key")
+    built = cut_lineage(built, "graph-entities")
     terms = rels.select("passage", F.col("term1").alias("term")).unionByName(rels.select("passage", F.col("term2").alias("term")))
-    made, tied, rejects = build_rels(rels, resolve_term_keys(terms, mentions, entities))
-    return {"entities": entities, "rels": made, "meta": build_meta(passages, mentions, entities, tied), "rejects": rejects}
+    made, tied, rejects = build_rels(rels, resolve_term_keys(terms, mentions, built), stored_rels)
+    return {"entities": built, "rels": made, "meta": build_meta(passages, mentions, built, tied), "rejects": rejects}
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "key", ignore_null: bool = True) -> DataFrame:
@@ -172,6 +199,12 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "key", ignore_null: boo
     return joined.select(key, *[value(c).alias(c) for c in cols], op.alias("op"))
 
 
+def deleted_count(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(deleted): how many rows went."""
+    n = before.agg(F.count("*").alias("n")).unionByName(after.agg((-F.count("*")).alias("n")))
+    return n.agg(F.sum("n").alias("deleted"))
+
+
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows that stay; a predicate that is null deletes nothing."""
     return df.where(~F.coalesce(predicate, F.lit(False)))

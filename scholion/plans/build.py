@@ -64,9 +64,9 @@ def f4(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.title_case(F.col("p_name")).alias("name"))
 
 
-@query("f5_numbers", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) || '.5' WHEN 2 THEN '37' ELSE NULL END AS number FROM part WHERE p_size > 0")
+@query("f5_numbers", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) || '.5' WHEN 2 THEN '37' ELSE NULL END AS number FROM part")
 def f5(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 0")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey") % 4
     raw = F.when(k == 0, F.concat(F.col("p_size") * 3, F.lit("/3"))).when(k == 1, F.concat("p_size", F.lit(" 1/2"))).when(k == 2, F.lit("Thirty-seven")).otherwise(F.concat("p_name", F.lit("!")))
     return text.normalize_numbers(p.withColumn("raw", raw), "raw").select("p_partkey", "number")
@@ -78,20 +78,25 @@ def f6(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.normalize_category(raw).alias("category"))
 
 
-@query("f7_units", "SELECT DISTINCT regexp_replace(p_name, '(es|s)$', '') AS unit FROM part WHERE NOT regexp_matches(p_name, '(ss|ses|zes)$')")
+UNIT_NAME = "p_name || CASE p_partkey % 6 WHEN 0 THEN 's' WHEN 1 THEN 'ses' WHEN 2 THEN 'zes' WHEN 3 THEN 'ss' WHEN 4 THEN 'ches' ELSE '' END"
+
+
+@query("f7_units", f"SELECT DISTINCT CASE WHEN regexp_matches(u, '[sz]es$') THEN u[:-2] WHEN regexp_matches(u, 'es$') THEN u[:-3] WHEN regexp_matches(u, '[^s]s$') THEN u[:-2] ELSE u END AS unit FROM (SELECT {UNIT_NAME} AS u FROM part)")
 def f7(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("NOT p_name RLIKE '(ss|ses|zes)$'")
-    return p.select(text.normalize_unit(F.upper("p_name")).alias("unit")).distinct()
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(text.normalize_unit(F.upper(F.expr(UNIT_NAME))).alias("unit")).distinct()
 
 
-@query("f8_contexts", "SELECT doc_id, CASE WHEN len(string_split_regex(trim(text), '\\s+')) <= 6 AND trim(text) <> '' THEN lower(trim(text)) END AS context FROM documents WHERE length(text) < 2000")
+@query("f8_contexts", "SELECT doc_id, CASE WHEN len(string_split_regex(trim(text), '\\s+')) <= 6 AND trim(text) <> '' THEN lower(trim(text)) END AS context FROM documents")
 def f8(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 2000").select("doc_id", text.check_context(F.col("text")).alias("context"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.check_context(F.col("text")).alias("context"))
+
+
+TRIBES_SQL = f"SELECT passage, CASE WHEN ordinal % 2 = 0 THEN 'TribeOfIsrael' ELSE category END AS category, ordinal, name FROM ({MENTION_SQL})"
 
 
-@query("f9_tribes", f"SELECT passage, category, ordinal, name FROM ({MENTION_SQL})")
+@query("f9_tribes", f"SELECT * FROM ({TRIBES_SQL}) WHERE category <> 'TribeOfIsrael' OR name = 'dan'")
 def f9(spark, sf_dir):
-    return extract.filter_tribes(mentions(spark, sf_dir))
+    return extract.filter_tribes(_sql(spark, sf_dir, TRIBES_SQL))
 
 
 @query("f10_demonyms", "SELECT c_custkey AS passage, CASE c_custkey % 3 WHEN 0 THEN 'Egypt' WHEN 1 THEN 'Moab' ELSE c_mktsegment END AS name FROM customer")
@@ -209,17 +214,16 @@ def g1(spark, sf_dir):
     return resolve.build_entities(_long_mentions(spark, sf_dir)).select("category", F.lower("name").alias("name"), "mentions")
 
 
-@query("g3_family_context", "SELECT passage, person, coalesce(string_agg(DISTINCT father, ',' ORDER BY father), '') AS fathers, coalesce(string_agg(DISTINCT spouse, ',' ORDER BY spouse), '') AS spouses FROM (SELECT 'p' AS passage, lower(term1) AS person, lower(term2) AS father, NULL AS spouse FROM rels WHERE rel_type = 'childOfFather' UNION ALL SELECT 'p', lower(term1), NULL, NULL FROM rels WHERE rel_type = 'childOfMother' UNION ALL SELECT 'p', lower(term1), NULL, lower(term2) FROM rels WHERE rel_type = 'spouseOf' UNION ALL SELECT 'p', lower(term2), NULL, lower(term1) FROM rels WHERE rel_type = 'spouseOf') GROUP BY passage, person")
+@query("g3_family_context", "SELECT passage, person, coalesce(string_agg(DISTINCT father, ',' ORDER BY father), '') AS fathers, coalesce(string_agg(DISTINCT mother, ',' ORDER BY mother), '') AS mothers, coalesce(string_agg(DISTINCT spouse, ',' ORDER BY spouse), '') AS spouses FROM (SELECT 'p' AS passage, lower(term1) AS person, lower(term2) AS father, NULL AS mother, NULL AS spouse FROM rels WHERE rel_type = 'childOfFather' UNION ALL SELECT 'p', lower(term1), NULL, lower(term2), NULL FROM rels WHERE rel_type = 'childOfMother' UNION ALL SELECT 'p', lower(term1), NULL, NULL, lower(term2) FROM rels WHERE rel_type = 'spouseOf' UNION ALL SELECT 'p', lower(term2), NULL, NULL, lower(term1) FROM rels WHERE rel_type = 'spouseOf') GROUP BY passage, person")
 def g3(spark, sf_dir):
     c = resolve.family_context(derive(spark, sf_dir, "rels").withColumn("passage", F.lit("p")))
-    return c.select("passage", "person", F.array_join("fathers", ",").alias("fathers"), F.array_join("spouses", ",").alias("spouses"))
+    return c.select("passage", "person", *[F.array_join(k, ",").alias(k) for k in ("fathers", "mothers", "spouses")])
 
 
-@query("g4_stored_context", "SELECT r.term1 AS key, string_agg(DISTINCT b.display_en_name, ',' ORDER BY b.display_en_name) FILTER (r.rel_type = 'childOfMother') AS mothers FROM rels r JOIN entities a ON a.key = r.term1 JOIN entities b ON b.key = r.term2 WHERE r.rel_type IN ('childOfFather', 'childOfMother') GROUP BY r.term1")
+@query("g4_stored_context", "WITH named AS (SELECT * FROM rels WHERE rel_type IN ('childOfFather', 'childOfMother', 'spouseOf') AND term1 IN (SELECT key FROM entities) AND term2 IN (SELECT key FROM entities)), both_ways AS (SELECT term1 AS key, rel_type, term2 AS other FROM named UNION ALL SELECT term2, rel_type, term1 FROM named WHERE rel_type = 'spouseOf') SELECT r.key, string_agg(DISTINCT b.display_en_name, ',' ORDER BY b.display_en_name) FILTER (r.rel_type = 'childOfFather') AS fathers, string_agg(DISTINCT b.display_en_name, ',' ORDER BY b.display_en_name) FILTER (r.rel_type = 'childOfMother') AS mothers, string_agg(DISTINCT b.display_en_name, ',' ORDER BY b.display_en_name) FILTER (r.rel_type = 'spouseOf') AS spouses FROM both_ways r JOIN entities b ON b.key = r.other GROUP BY r.key")
 def g4(spark, sf_dir):
-    r = derive(spark, sf_dir, "rels").where("rel_type <> 'spouseOf'")
-    c = resolve.stored_family_context(r, derive(spark, sf_dir, "entities"))
-    return c.select("key", F.nullif(F.array_join("mothers", ","), F.lit("")).alias("mothers"))
+    c = resolve.stored_family_context(derive(spark, sf_dir, "rels"), derive(spark, sf_dir, "entities"))
+    return c.select("key", *[F.nullif(F.array_join(k, ","), F.lit("")).alias(k) for k in ("fathers", "mothers", "spouses")])
 
 
 def _named_persons(spark, sf_dir):
@@ -267,18 +271,49 @@ def g9(spark, sf_dir):
     return _graph(spark, sf_dir)["rels"].agg(F.count("*").alias("rels"))
 
 
-@query("g10_build_meta", f"SELECT passage AS key, count(DISTINCT (category, lower(name))) AS entities FROM ({MENTION_SQL}) GROUP BY passage")
+@query("g10_build_meta", f"SELECT passage AS key, string_agg(DISTINCT category || ':' || lower(name), '|' ORDER BY category || ':' || lower(name)) AS entities FROM ({MENTION_SQL}) GROUP BY passage")
 def g10(spark, sf_dir):
-    return _graph(spark, sf_dir)["meta"].select("key", F.size("entity_keys").cast("long").alias("entities"))
+    g = _graph(spark, sf_dir)
+    named = g["entities"].select(F.col("key").alias("entity_key"), F.concat_ws(":", "category", F.lower("name")).alias("name"))
+    seen = g["meta"].select("key", F.explode("entity_keys").alias("entity_key")).join(named, "entity_key")
+    return seen.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("entities"))
+
+
+STORED_SQL = """SELECT 'S' || CAST(s_suppkey AS STRING) AS key, 'Person' AS entityType, 'supplier ' || CAST(s_suppkey AS STRING) AS display_en_name, NULL AS numberCategory, NULL AS en_unit, NULL AS en_context FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT 'T' || CAST(min(r_regionkey) AS STRING), 'TribeOfIsrael', 'Dan', NULL, NULL, NULL FROM region"""
+STORED_RELS_SQL = """SELECT 'k' || CAST(s_suppkey AS STRING) AS key, 'childOfFather' AS rel_type, 'S' || CAST(s_suppkey AS STRING) AS term1, 'S2' AS term2 FROM supplier WHERE s_suppkey % 4 = 0"""
 
 
-@query("g11_build_graph")
+@query(
+    "g11_build_graph",
+    f"""WITH m AS ({MENTION_SQL}), o AS ({STORED_SQL}), f AS ({STORED_RELS_SQL})
+    SELECT DISTINCT m.category, lower(m.name) AS name, o.key, o.key IS NULL AS is_new FROM m LEFT JOIN o ON o.entityType = m.category AND lower(o.display_en_name) = lower(m.name)""",
+)
 def g11(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    out = g["entities"].agg(F.lit("entities").alias("part"), F.count("*").alias("n"))
-    for part in ("rels", "meta", "rejects"):
-        out = out.unionByName(g[part].agg(F.lit(part).alias("part"), F.count("*").alias("n")))
-    return out
+    """The build beside stored entities: half the suppliers (some with a stored father) and a
+    tribe.  Mentions without a family are the first of their name."""
+    m = _long_mentions(spark, sf_dir)
+    passages = m.select(F.col("passage").alias("key")).distinct()
+    g = resolve.build_graph(passages, m, _sql(spark, sf_dir, GRAPH_RELS), _sql(spark, sf_dir, STORED_SQL), _sql(spark, sf_dir, STORED_RELS_SQL))
+    return g["entities"].select("category", F.lower("name").alias("name"), F.when(~F.col("is_new"), F.col("key")).alias("key"), "is_new")
+
+
+NUMBER_SQL = "SELECT p_name AS name, 'Number' AS category, p_brand AS en_unit, p_type AS en_context, CASE WHEN p_partkey % 2 = 0 THEN 'Money' END AS number_category, CAST(p_partkey AS STRING) AS passage, p_partkey AS import_order, 0 AS ordinal FROM part"
+
+
+@query("g2_number_identity", f"""SELECT 'default' AS kind, lower(en_unit) || '|' || lower(en_context) || '|' || coalesce(lower(number_category), '') AS number, count(*) AS mentions FROM ({NUMBER_SQL}) GROUP BY 2
+  UNION ALL SELECT 'strict', lower(en_unit) || '|' || lower(en_context) || '|' || coalesce(lower(number_category), '') || '|' || lower(name), count(*) FROM ({NUMBER_SQL}) GROUP BY 2""")
+def g2(spark, sf_dir):
+    n = _sql(spark, sf_dir, NUMBER_SQL)
+    parts = [F.lower("en_unit"), F.lower("en_context"), F.coalesce(F.lower("number_category"), F.lit(""))]
+    both = [resolve.build_entities(n, strict=strict).select(F.lit(kind).alias("kind"), F.concat_ws("|", *parts, *([F.lower("name")] if strict else [])).alias("number"), "mentions") for kind, strict in (("default", False), ("strict", True))]
+    return both[0].unionByName(both[1])
+
+
+@query("g13_deleted", "SELECT count(*) AS deleted FROM entities WHERE placeType = 'City'")
+def g13b(spark, sf_dir):
+    e = derive(spark, sf_dir, "entities")
+    return resolve.deleted_count(e, resolve.delete_where(e, F.col("placeType") == "City"))
 
 
 @query("g12_upsert", "SELECT key, CASE WHEN CAST(substring(key, 2) AS BIGINT) % 2 = 0 THEN 'new' ELSE display_en_name END AS display_en_name, CASE WHEN CAST(substring(key, 2) AS BIGINT) % 2 = 0 THEN 'updated' ELSE 'kept' END AS op FROM entities WHERE key LIKE 'C%' UNION ALL SELECT 'X' || key, 'new', 'inserted' FROM entities WHERE key LIKE 'S%'")
@@ -352,20 +387,48 @@ def h5(spark, sf_dir):
     return merge.repoint_rels(derive(spark, sf_dir, "rels"), merge.merge_targets(_merge_rows(spark, sf_dir), e))[0]
 
 
-@query("h6_repoint_meta", f"WITH {MAP_SQL} SELECT p.key, count(DISTINCT coalesce(m.target_key, p.entity_key)) AS n FROM passage_entity p LEFT JOIN m ON m.dup_key = p.entity_key GROUP BY p.key")
+@query("h6_repoint_meta", f"WITH {MAP_SQL} SELECT p.key, string_agg(DISTINCT coalesce(m.target_key, p.entity_key), ',' ORDER BY coalesce(m.target_key, p.entity_key)) AS entities FROM passage_entity p LEFT JOIN m ON m.dup_key = p.entity_key GROUP BY p.key")
 def h6(spark, sf_dir):
     e = derive(spark, sf_dir, "entities")
     mapping = merge.merge_targets(_merge_rows(spark, sf_dir), e)
     _, rel_map = merge.repoint_rels(derive(spark, sf_dir, "rels"), mapping)
-    return merge.repoint_meta(meta(spark, sf_dir), mapping, rel_map).select("key", F.size("entity_keys").cast("long").alias("n"))
+    return merge.repoint_meta(meta(spark, sf_dir), mapping, rel_map).select("key", F.array_join("entity_keys", ",").alias("entities"))
+
+
+def _chained_rows(spark, sf_dir):
+    """The rows above, and after them rows that join every third target with the next one: they
+    meet what the first rows left."""
+    rows = _merge_rows(spark, sf_dir)
+    nxt = F.format_string("customer#%09d", F.col("row") + 2)
+    name = F.format_string("customer#%09d", F.col("row"))
+    late = rows.where("row % 6 = 2").select("list", (F.col("row") + 1_000_000_000).alias("row"), "entity_type", name.alias("final_name"), F.concat_ws("|", nxt, name).alias("names"), F.lit(None).cast("string").alias("merged"))
+    return rows.unionByName(late)
 
 
-@query("h7_apply_merge", f"SELECT row, CASE WHEN status = 'merge' OR status = 'merged_already' THEN 'true' END AS merged FROM ({PLAN_SQL})")
+CHAIN_SQL = f"""WITH p AS ({PLAN_SQL}), late AS (SELECT a.c_custkey AS k, b.c_custkey AS nxt FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 2 WHERE a.c_custkey % 6 = 2),
+gone AS (SELECT row + 1 AS k FROM p WHERE status = 'merge' UNION ALL SELECT nxt FROM late WHERE nxt IS NOT NULL)
+"""
+
+
+@query("h7_apply_merge", CHAIN_SQL + "SELECT row, CASE WHEN status = 'merge' OR status = 'merged_already' THEN 'true' END AS merged FROM p UNION ALL SELECT k + 1000000000, CASE WHEN nxt IS NOT NULL THEN 'true' END FROM late")
 def h7(spark, sf_dir):
-    done = merge.apply_merge(derive(spark, sf_dir, "entities"), derive(spark, sf_dir, "rels"), meta(spark, sf_dir), _merge_rows(spark, sf_dir))
+    done = merge.apply_merge(derive(spark, sf_dir, "entities"), derive(spark, sf_dir, "rels"), meta(spark, sf_dir), _chained_rows(spark, sf_dir))
     return done["rows"].select("row", "merged")
 
 
+@query(
+    "h7_merged_entities",
+    CHAIN_SQL
+    + """SELECT e.key, CASE WHEN l.nxt IS NULL THEN CASE WHEN p.row IS NULL THEN '' ELSE 'C' || CAST(p.row + 1 AS STRING) END
+        ELSE concat_ws(',', 'C' || CAST(p.row + 1 AS STRING), 'C' || CAST(q.row + 1 AS STRING), 'C' || CAST(l.nxt AS STRING)) END AS alias_keys
+      FROM entities e LEFT JOIN p ON e.key = 'C' || CAST(p.row AS STRING) AND p.status = 'merge' LEFT JOIN late l ON e.key = 'C' || CAST(l.k AS STRING)
+      LEFT JOIN p q ON q.row = l.nxt AND q.status = 'merge' WHERE e.key NOT IN (SELECT 'C' || CAST(k AS STRING) FROM gone)""",
+)
+def h7b(spark, sf_dir):
+    done = merge.apply_merge(derive(spark, sf_dir, "entities"), derive(spark, sf_dir, "rels"), meta(spark, sf_dir), _chained_rows(spark, sf_dir))
+    return done["entities"].select("key", F.array_join("alias_keys", ",").alias("alias_keys"))
+
+
 @query("h8_tallies", f"SELECT 'person_to_merge.csv' AS list, status, count(*) AS n FROM ({PLAN_SQL}) GROUP BY status UNION ALL SELECT 'person_to_merge.csv', NULL, count(*) FROM ({PLAN_SQL}) UNION ALL SELECT NULL, NULL, count(*) FROM ({PLAN_SQL})")
 def h8(spark, sf_dir):
     return merge.merge_tallies(merge.plan_merge(_merge_rows(spark, sf_dir), derive(spark, sf_dir, "entities")))
@@ -415,10 +478,10 @@ def i4(spark, sf_dir):
     return enrich.add_display_names(_patches(spark, sf_dir), derive(spark, sf_dir, "entities")).select("passage", "display_en_name")
 
 
-@query("i5_worklist", "SELECT count(*) AS passages FROM (SELECT DISTINCT p.key FROM passage_entity p JOIN entities e ON e.key = p.entity_key WHERE e.entityType = 'Person' AND (e.display_heb_name = '' OR e.timePeriod IS NULL) OR e.entityType = 'Number' AND (e.display_heb_name = '' OR e.heb_unit = '') OR e.entityType = 'Symbol' AND (e.display_heb_name = '' OR e.symbolType IS NULL))")
+@query("i5_worklist", "SELECT DISTINCT p.key FROM passage_entity p JOIN entities e ON e.key = p.entity_key WHERE e.entityType = 'Person' AND (e.display_heb_name = '' OR e.timePeriod IS NULL) OR e.entityType = 'Number' AND (e.display_heb_name = '' OR e.heb_unit = '') OR e.entityType = 'Symbol' AND (e.display_heb_name = '' OR e.symbolType IS NULL)")
 def i5(spark, sf_dir):
     work = enrich.enrichment_worklist(meta(spark, sf_dir), derive(spark, sf_dir, "entities"))
-    return work.where("todo LIKE '[{%'").agg(F.count("*").alias("passages"))
+    return work.where("todo LIKE '[{%'").select("key")
 
 
 @query("i6_usage", "WITH u AS (SELECT event_type AS provider, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(floor(value) AS BIGINT) AS tokens_out FROM events) SELECT provider, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum((tokens_in * 0.075 + tokens_out * 0.3) / 1e6), 6) AS cost FROM u GROUP BY ROLLUP (provider)")

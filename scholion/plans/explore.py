@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholion import dims
+from scholion.functions.shared import shared_dir
 from scholion.operators import graph, lookup, search
 from scholion.plans.derived import derive, meta
 from scholion.plans.passages import BOOKS_SQL, SECTION_SQL, passages
 from scholion.plans.registry import query
+from scholion.sources import io
 
 HEB = "coalesce(trim({0}), '') <> ''"
 
@@ -23,7 +27,9 @@ def keys_of(df, col="key"):
 
 @query("a3_scan_entities", "SELECT key, entityType, display_en_name FROM entities")
 def a3(spark, sf_dir):
-    return ents(spark, sf_dir).select("key", "entityType", "display_en_name")
+    path = f"{shared_dir(spark)}/a3-{uuid.uuid4().hex}"
+    ents(spark, sf_dir).write.parquet(path)
+    return io.scan_table(spark, path).select("key", "entityType", "display_en_name")
 
 
 @query("b1_lookup", "SELECT key, display_en_name FROM entities WHERE key = 'C7'")
@@ -31,9 +37,9 @@ def b1(spark, sf_dir):
     return lookup.lookup_by_key(ents(spark, sf_dir), "C7").select("key", "display_en_name")
 
 
-@query("b2_lookup_keys", "SELECT key FROM entities WHERE key IN (SELECT 'C' || CAST(o_custkey AS STRING) FROM orders WHERE o_orderkey % 100 = 1)")
+@query("b2_lookup_keys", "SELECT key FROM entities WHERE key IN (SELECT 'C' || CAST(o_custkey AS STRING) FROM orders)")
 def b2(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 100 = 1")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return lookup.lookup_by_keys(ents(spark, sf_dir), o.select(F.concat(F.lit("C"), "o_custkey").alias("key"))).select("key")
 
 
@@ -76,13 +82,12 @@ def b9(spark, sf_dir):
     return lookup.neighbours(r, e, r.select(F.col("term2").alias("key")), ["childOfFather", "childOfMother"], "incoming")
 
 
-@query("b10_passages_with", "SELECT entity_key AS wanted, count(*) AS n FROM passage_entity WHERE entity_key IN (SELECT key FROM entities) GROUP BY entity_key")
+@query("b10_passages_with", "SELECT entity_key AS wanted, key FROM passage_entity WHERE entity_key IN (SELECT key FROM entities)")
 def b10(spark, sf_dir):
-    return lookup.passages_with(meta(spark, sf_dir), ents(spark, sf_dir)).groupBy("wanted").agg(F.count("*").alias("n"))
+    return lookup.passages_with(meta(spark, sf_dir), ents(spark, sf_dir)).select("wanted", "key")
 
 
-FACETED = """m.passage_type IN ('LAW', 'STORY') AND EXISTS (SELECT 1 FROM passage_entity e WHERE e.key = m.key AND e.entity_key IN ('S1', 'S2', 'S3', 'S4'))
-  AND EXISTS (SELECT 1 FROM passage_entity e WHERE e.key = m.key)"""
+FACETED = "m.passage_type IN ('LAW', 'STORY') AND m.key IN (SELECT e.key FROM passage_entity e WHERE e.entity_key IN ('S1', 'S2', 'S3', 'S4'))"
 
 
 @query("b11_facets", f"SELECT m.key FROM passage_rows m WHERE {FACETED}")
@@ -168,13 +173,13 @@ def j2(spark, sf_dir):
     return graph.siblings(derive(spark, sf_dir, "rels"))
 
 
-@query("j3_links", LINKS_SQL + "SELECT l.key, count(DISTINCT coalesce(e.display_en_name, l.other)) AS n FROM links l LEFT JOIN entities e ON e.key = l.other GROUP BY l.key")
+@query("j3_links", LINKS_SQL + "SELECT DISTINCT l.key, coalesce(e.display_en_name, l.other) AS name FROM links l LEFT JOIN entities e ON e.key = l.other")
 def j3(spark, sf_dir):
-    return graph.navigation_links(ents(spark, sf_dir), derive(spark, sf_dir, "rels")).select("key", F.size("links").cast("long").alias("n"))
+    return graph.navigation_links(ents(spark, sf_dir), derive(spark, sf_dir, "rels")).select("key", F.explode(F.map_keys("links")).alias("name"))
 
 
 DEPTH = 2
-CENTERS = "SELECT key AS center FROM entities WHERE entityType = 'Person' AND key LIKE 'C%' AND CAST(substring(key, 2) AS BIGINT) % 5 = 0"
+CENTERS = "SELECT key AS center FROM entities WHERE entityType = 'Person'"
 GRAPH_SQL = f"""
 WITH centers AS ({CENTERS}),
 fam AS (SELECT key AS rel_key, rel_type, term1, term2 FROM rels WHERE rel_type IN ('childOfFather', 'childOfMother', 'spouseOf')),
@@ -195,7 +200,7 @@ kids AS (SELECT DISTINCT e.center, e.term1 AS key, e.term2 AS parent FROM edges
 
 def _graph(spark, sf_dir):
     e = ents(spark, sf_dir)
-    centers = e.where("entityType = 'Person' AND key LIKE 'C%' AND CAST(substring(key, 2) AS BIGINT) % 5 = 0").select("key")
+    centers = e.where("entityType = 'Person'").select("key")
     return graph.family_graph(e, derive(spark, sf_dir, "rels"), centers, DEPTH)
 
 
@@ -226,9 +231,9 @@ def k1(spark, sf_dir):
     return search.number_occurrences(ents(spark, sf_dir), meta(spark, sf_dir), values).select("value", "category", "unit", "context", "summary", "key", "total")
 
 
-@query("k2_query_values", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'negative' END AS error FROM part WHERE p_size > 0")
+@query("k2_query_values", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'negative' END AS error FROM part")
 def k2(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 0")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("-"), "p_size")).when(F.col("p_partkey") % 4 == 1, F.concat(F.col("p_size") * 2, F.lit(" / 2"))).otherwise(F.col("p_size").cast("string"))
     return search.normalize_query_values(p.withColumn("raw", raw)).select("p_partkey", "value", "error")
 
@@ -265,17 +270,18 @@ def k5(spark, sf_dir):
     return search.rerank(v.select("key"), ranking).select("key", F.col("rank").cast("long").alias("rank"))
 
 
-@query("k6_answer", "WITH f AS (SELECT key FROM passage_rows WHERE passage_type = 'PROPHECY') SELECT f.key, count(DISTINCT e.display_en_name) AS names FROM f JOIN passage_entity p ON p.key = f.key JOIN entities e ON e.key = p.entity_key GROUP BY f.key")
+@query("k6_answer", "WITH f AS (SELECT key FROM passage_rows WHERE passage_type = 'PROPHECY') SELECT f.key, string_agg(DISTINCT e.display_en_name, '|' ORDER BY e.display_en_name) AS names FROM f JOIN passage_entity p ON p.key = f.key JOIN entities e ON e.key = p.entity_key GROUP BY f.key")
 def k6(spark, sf_dir):
     found = lookup.facet_filter(meta(spark, sf_dir), passage_types=["PROPHECY"])
     out = search.answer(found, passages(spark, sf_dir), ents(spark, sf_dir))
-    return out.select("key", F.size("entity_names").cast("long").alias("names"))
+    return out.select("key", F.array_join(F.array_sort(F.array_distinct("entity_names")), "|").alias("names"))
 
 
-@query("k7_upsert_vectors", "SELECT vec_id AS key FROM embeddings")
+@query("k7_upsert_vectors", "SELECT vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE CAST(embedding[1] AS DOUBLE) END AS first FROM embeddings")
 def k7(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return search.upsert_vectors(v.where("key % 3 = 0"), v).select("key")
+    stale = v.where("key % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+    return search.upsert_vectors(stale, v).select("key", F.col("embedding")[0].cast("double").alias("first"))
 
 
 @query("k8_query_sheet", RANK_SQL + "SELECT query, key, rank FROM k WHERE rank <= 1 + query % 7")

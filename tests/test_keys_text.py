@@ -33,6 +33,7 @@ def test_clean_english(spark):
 def test_clean_hebrew(spark):
     html = ['בְרא<b>ש</b>י־ת׃&nbsp;<span class="mam-spi-pe">{x}</span>א']
     assert column(spark, html, text.clean_hebrew) == ["בראשי ת: א"]
+    assert column(spark, ["\t א  ב\n", "\u00a0א\tב "], text.clean_hebrew) == ["א ב", "א\tב"]
 
 
 def test_title_case(spark):
@@ -40,8 +41,8 @@ def test_title_case(spark):
 
 
 def test_numbers(spark):
-    given = ["7", "1,000", "3/4", "2 1/2", "4/2", "thirty seven", "Thirty-seven", "two hundred and five", "one half", "three quarters", "five thousand", "zero", "thiry seven", "fourty", "1/0", "many", "", None, "1/12", "0.5"]
-    want = ["7", "1000", "0.75", "2.5", "2", "37", "37", "205", "0.5", "0.75", "5000", "0", "40", "40", None, None, None, None, "0.083333", "0.5"]
+    given = ["7", "1,000", "3/4", "2 1/2", "4/2", "thirty seven", "Thirty-seven", "two hundred and five", "one half", "three quarters", "five thousand", "zero", "thiry seven", "fourty", "1/0", "many", "", None, "1/12", "0.5", "-007.2500", "+.125", "3.14159265", "two thirds", "five hundred thousand twelve", "hundred", "one thousand, two", "and", "four halfs fifths", "half third", "zero fifths"]
+    want = ["7", "1000", "0.75", "2.5", "2", "37", "37", "205", "0.5", "0.75", "5000", "0", "40", "40", None, None, None, None, "0.083333", "0.5", "-7.25", "0.125", "3.14159265", "0.666667", "500012", "100", None, None, "0.4", None, "0"]
     df = spark.createDataFrame(list(enumerate(given)), "k int, v string")
     assert [r.number for r in text.normalize_numbers(df, "v").orderBy("k").collect()] == want
 
