@@ -55,7 +55,9 @@ GROUPS = ((64, 16), (64, 32), (64, 64), (64, 128), (0, 256))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 3 << 19
+BLOCK, SORTED, BATCH = 12 << 20, 3 << 19, 3 << 19
+#: Bytes of text whose records are gathered at once.
+PART = 1 << 18
 END, SPACE = 10, 32
 #: Bits below the byte in the word predictor's keys.
 TAIL = 16
@@ -512,11 +514,16 @@ class Scorer:
         """Four log odds for each bit, and the bits of each text."""
         length = self.code.length32[data]
         stop = np.cumsum(length, dtype=np.int32)
-        start = stop - length
-        places = _places(int(stop[-1]) + 1)
-        cells = np.zeros(len(places), np.uint32)  # the last is of no bit
-        cells[:-1] = self.record.take(np.repeat(self.first[keys] - start, length) + places[:-1])
-        cells.view(np.int8).reshape(-1, 4)[:-1, WORD] = self.word_odds.take(np.repeat(word_first - start, length) + places[:-1])
+        cells = np.zeros(int(stop[-1]) + 1, np.uint32)  # the last is of no bit
+        fourth = cells.view(np.int8).reshape(-1, 4)[:, WORD]
+        at = 0
+        for a in range(0, len(data), PART):
+            n, end = length[a : a + PART], int(stop[min(a + PART, len(data)) - 1])
+            start = stop[a : a + PART] - n - np.int32(at)
+            places = _places(end - at)
+            cells[at:end] = self.record.take(np.repeat(self.first[keys[a : a + PART]] - start, n) + places)
+            fourth[at:end] = self.word_odds.take(np.repeat(word_first[a : a + PART] - start, n) + places)
+            at = end
         return cells, np.diff(np.append(0, stop[np.cumsum(sizes) - 1]))
 
 
