@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from scholion.llm.common import documents, materialise, ship
 from scholion.llm.tokens import coder
 
 CAPACITY = 2048
+#: Rows whose texts are Python strings at once.
+ROWS = 500
 #: Pieces that one partition packs, about.
 PIECES = 40_000
 #: Bins with a larger share of free tokens are released.
@@ -41,19 +44,21 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
     ``capacity`` ids.  A null or empty text is the single END_ID."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = coder(tokenizer).encode
         step = 4 * capacity
+        kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = ids_of(text or "") + END_ID.to_bytes(4, "little")
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECE_SCHEMA)
+            for first in range(0, batch.num_rows, ROWS):
+                rows, out = batch.slice(first, ROWS), []
+                for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
+                    ids = ids_of(text or "") + END_ID.to_bytes(4, "little")
+                    for piece, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -55,7 +55,7 @@ GROUPS = ((64, 16), (64, 32), (64, 64), (64, 128), (0, 256))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 12 << 20, 3 << 19, 3 << 19
+BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 2 << 20
 #: Bytes of text whose records are gathered at once.
 PART = 1 << 18
 END, SPACE = 10, 32

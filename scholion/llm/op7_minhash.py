@@ -36,7 +36,7 @@ SHINGLE, QUERY_SHINGLE = 5, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Words whose hashes a Python worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: Shingles that are permuted at once.
 CHUNK = 2048
 
