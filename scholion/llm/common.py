@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ def private(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str) -> None:
+    """Give up what other operators remember in this Python worker: workers outlive stages."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
+def cached(owner: str, clear: Callable[[], None]) -> None:
+    """Say how the memory of ``owner`` is given up."""
+    _caches[owner] = clear
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -102,4 +118,4 @@ def name_groups(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return named
 
 
-__all__ = ["HEAVY", "SHARDS", "ascii_lower", "documents", "heavy_keys", "materialise", "name_groups", "private", "shared_dir", "ship"]
+__all__ = ["HEAVY", "SHARDS", "ascii_lower", "cached", "documents", "heavy_keys", "keep_only", "materialise", "name_groups", "private", "shared_dir", "ship"]

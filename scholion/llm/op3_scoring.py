@@ -50,12 +50,12 @@ SCALE = 4.0
 #: both are.
 WEIGHTS = ((0.60, 0.60, 0.30, 0.30), (-0.35, -0.20, 0.10, 0.10), (-0.15, -0.15, 0.0, 0.0))
 #: Step of the weights' refinement, and (groups, bits in a group) in turn; the last for good.
-RATE = 0.005
-GROUPS = ((64, 16), (64, 32), (64, 64), (64, 128), (0, 256))
+RATE = 0.0035
+GROUPS = ((64, 32), (64, 64), (64, 128), (0, 256))
 #: Log odds of a bit are at most this, either way.
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
-BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 2 << 20
+BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 3 << 19
 #: Bytes of text whose records are gathered at once.
 PART = 1 << 18
 END, SPACE = 10, 32
@@ -554,13 +554,13 @@ def mix(cells: np.ndarray, per_text: np.ndarray, carried: np.ndarray | None = No
         plan = _groups(int(per_text.max()), False)
     else:
         plan = _groups(int(per_text.max()), True)
-    weights, cost, within = carried, np.zeros(lanes), np.arange(max(g[1] for g in GROUPS))[:, None]
+    weights, cost, within = carried, np.zeros(lanes), np.arange(max(g[1] for g in GROUPS))
     for at, size in plan:
         n = int(np.searchsorted(-per_text, -at, side="left"))
-        index = (first[:n] + at) + within[:size]
+        index = (first[:n] + at) + within[:size, None]
         short = int(np.searchsorted(-per_text[:n], -(at + size), side="right"))
         if short < n:  # texts that end within the group
-            over = within[:size] >= (per_text[short:n] - at)
+            over = within[:size, None] >= (per_text[short:n] - at)
             index[:, short:][over] = none
             cost[short:n] -= math.log(2) * over.sum(axis=0)
         odds = np.ascontiguousarray(cells.take(index).view(np.int8).reshape(size, n, WORD + 1).transpose(2, 0, 1)).astype(np.float32)
@@ -604,7 +604,7 @@ def _packed(size: int):
         def block(rows: list[tuple]) -> pd.DataFrame:
             data = b"".join(t for _, _, t in rows)
             learnt = np.frombuffer(b"".join(t for _, x, t in rows if x), np.uint8)
-            packed = zstandard.ZstdCompressor(level=5).compress(data)
+            packed = zstandard.ZstdCompressor(level=3).compress(data)
             ids, learn = [None if pd.isna(d) else int(d) for d, _, _ in rows], [bool(x) for _, x, _ in rows]
             one = (number, ids, learn, [len(t) for _, _, t in rows], packed, np.bincount(learnt, minlength=256))
             return pd.DataFrame([one], columns=["block", "doc_ids", "learn", "sizes", "packed", "byte_counts"])

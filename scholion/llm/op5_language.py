@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, ship
+from scholion.llm.common import documents, keep_only, ship
 
 #: Buckets that trigrams are hashed to.
 BUCKETS = 1 << 15
@@ -43,6 +43,7 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keep_only("op5")
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, lang_shares map<string,double>")
     def infer(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keep_only("op5")
         own = Model(*sent.value)
         for series in texts:
             yield pd.DataFrame([own.infer(t) for t in series], columns=["lang_pred", "score", "lang_shares"])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, materialise, private, ship
+from scholion.llm.common import cached, documents, keep_only, materialise, private, ship
 
 BANDS = 30
 ROWS = 5
@@ -54,6 +54,7 @@ class _WordHash(dict):
 
 
 _hashes = _WordHash()
+cached("op7", _hashes.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -107,6 +108,7 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
 
 def _signatures(bands: int, rows: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("op7")
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

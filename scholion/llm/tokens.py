@@ -13,6 +13,8 @@ import unicodedata
 import regex
 from tokenizers import Tokenizer
 
+from scholion.llm.common import cached, keep_only
+
 #: Chunks and pre-tokens that a Python worker remembers.
 CACHE = 600_000
 #: Chunks of these characters need no Unicode rules beyond lower-casing and letter classes.
@@ -70,10 +72,12 @@ class WordCoder(dict):
 
 
 _coders: dict[str, WordCoder] = {}
+cached("tokens", _coders.clear)
 
 
 def coder(path: str) -> WordCoder:
     """The coder of a vocabulary file, kept by the Python worker between tasks."""
+    keep_only("tokens")
     if path not in _coders:
         _coders[path] = WordCoder(path)
     return _coders[path]
