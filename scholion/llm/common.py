@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,16 @@ def cached(owner: str, clear: Callable[[], None]) -> None:
     _caches[owner] = clear
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: it waits beside an executor's
+    heap for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -118,4 +131,4 @@ def name_groups(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return named
 
 
-__all__ = ["HEAVY", "SHARDS", "ascii_lower", "cached", "documents", "heavy_keys", "keep_only", "materialise", "name_groups", "private", "shared_dir", "ship"]
+__all__ = ["HEAVY", "SHARDS", "ascii_lower", "cached", "documents", "give_back", "heavy_keys", "keep_only", "materialise", "name_groups", "private", "shared_dir", "ship"]

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, materialise, ship
+from scholion.llm.common import documents, give_back, materialise, ship
 from scholion.llm.tokens import coder
 
 CAPACITY = 2048
@@ -57,6 +57,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
                         part = ids[at : at + step]
                         out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                rows = out = None
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import documents, keep_only, ship
+from scholion.llm.common import documents, give_back, keep_only, ship
 
 #: Buckets that trigrams are hashed to.
 BUCKETS = 1 << 15
@@ -133,6 +133,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         own = Model(*sent.value)
         for series in texts:
             yield pd.DataFrame([own.infer(t) for t in series], columns=["lang_pred", "score", "lang_shares"])
+            series = None
+        give_back()
 
     return docs.select(F.struct("*").alias("row"), infer(F.col(text_col)).alias("found"))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import cached, documents, keep_only, materialise, private, ship
+from scholion.llm.common import cached, documents, give_back, keep_only, materialise, private, ship
 
 BANDS = 30
 ROWS = 5
@@ -124,6 +124,8 @@ def _signatures(bands: int, rows: int, size: int):
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "low", "high", "bands"]).astype(
                 {"doc_id": "Int64", "low": "Int64", "high": "Int64"}
             )
+            batch = out = None
+        give_back()
 
     return run
 
