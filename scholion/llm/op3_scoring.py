@@ -56,8 +56,8 @@ GROUPS = ((64, 32), (64, 64), (64, 128), (0, 256))
 MOST = 12.0
 #: Bytes of text in a block, sorted at once, and scored at once.
 BLOCK, SORTED, BATCH = 12 << 20, 1 << 20, 3 << 19
-#: Bytes of text whose records are gathered at once.
-PART = 1 << 18
+#: Bytes of text whose records are gathered at once, and bits that are mixed at once.
+PART, MIXED = 1 << 18, 1 << 15
 END, SPACE = 10, 32
 #: Bits below the byte in the word predictor's keys.
 TAIL = 16
@@ -275,7 +275,7 @@ class Block:
         for kind, (keys, n) in enumerate(kinds):
             order = np.argsort(keys)
             shard = shard_of(keys, kind, shards)[order]
-            by_shard = np.argsort(shard, kind="stable")
+            by_shard = _by_number(shard)
             order = order[by_shard].astype(np.int32)
             self.sorted.append((shard[by_shard] if asks else None, keys[order], n[order].astype(np.int64) if asks else None, order))
 
@@ -344,6 +344,15 @@ def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
     return (((_mixed(context_of(keys, kind) * np.uint64(4) + np.uint64(kind)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_number(x: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 up, 16 bits at a time, as NumPy has a radix sort for these."""
+    order, high = np.argsort(x.astype(np.uint16), kind="stable"), x >> 16
+    while high.any():
+        order = order[np.argsort(high[order].astype(np.uint16), kind="stable")]
+        high = high >> 16
+    return order
+
+
 def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
 
@@ -385,13 +394,13 @@ def path_odds(context: np.ndarray, byte: np.ndarray, counts: np.ndarray, code: C
     for depth in range(int(length.max()) if len(byte) else 0):
         alive = alive[length[alive] > depth]
         b, c, n = byte[alive], context[alive], counts[alive]
-        node = code.nodes[b, depth]
+        node = code.nodes[:, depth].take(b)
         new = np.append(True, (c[1:] != c[:-1]) | (node[1:] != node[:-1]))
         at = np.flatnonzero(new)
-        ones = n * code.bits[b, depth]
+        ones = n * code.bits[:, depth].take(b)
         total, one = np.add.reduceat(n, at), np.add.reduceat(ones, at)
         odds = np.clip(np.rint(np.log((one + SMOOTH) / (total - one + SMOOTH)) * SCALE), -120, 120).astype(np.int8)
-        out[start[alive] + depth] = odds[np.cumsum(new) - 1] * code.signs[b, depth]
+        out[start[alive] + depth] = odds[np.cumsum(new) - 1] * code.signs[:, depth].take(b)
     return start, out
 
 
@@ -548,41 +557,44 @@ def mix(cells: np.ndarray, per_text: np.ndarray, carried: np.ndarray | None = No
     lanes, none = len(per_text), len(cells) - 1
     order = np.argsort(-per_text, kind="stable")  # those that still run are the first lanes
     first, per_text = (np.cumsum(per_text) - per_text)[order], per_text[order]
+    plan = _groups(int(per_text.max()), carried is not None)
     if carried is None:
-        carried = np.empty((len(WEIGHTS), WORD + 1, lanes), np.float32)
-        carried[:] = np.array(WEIGHTS, np.float32)[:, :, None]
-        plan = _groups(int(per_text.max()), False)
-    else:
-        plan = _groups(int(per_text.max()), True)
+        carried = np.empty((lanes, WORD + 1, len(WEIGHTS)), np.float32)
+        carried[:] = np.array(WEIGHTS, np.float32).T
     weights, cost, within = carried, np.zeros(lanes), np.arange(max(g[1] for g in GROUPS))
+    third, fourth = (np.uint32(0xFF << 8 * k) for k in (WORD - 1, WORD))
     for at, size in plan:
         n = int(np.searchsorted(-per_text, -at, side="left"))
-        index = (first[:n] + at) + within[:size, None]
         short = int(np.searchsorted(-per_text[:n], -(at + size), side="right"))
-        if short < n:  # texts that end within the group
-            over = within[:size, None] >= (per_text[short:n] - at)
-            index[:, short:][over] = none
-            cost[short:n] -= math.log(2) * over.sum(axis=0)
-        odds = np.ascontiguousarray(cells.take(index).view(np.int8).reshape(size, n, WORD + 1).transpose(2, 0, 1)).astype(np.float32)
-        a, b = odds[WORD - 1] != 0, odds[WORD] != 0
-        gates = [None, (a | b).astype(np.float32), (a & b).astype(np.float32)]
-        w = weights[:, :, None, :n]
-        both = gates[1] * w[1]
-        both += w[0]
-        both += gates[2] * w[2]
-        both *= odds
-        s = both.sum(axis=0)
-        s *= np.float32(1 / SCALE)
-        np.clip(s, -MOST, MOST, out=s)
-        np.exp(s, out=s)
-        s += 1
-        np.divide(1, s, out=s)  # the probability of the other bit
-        p = 1 - s
-        p[::2] *= p[1::2]
-        cost[:n] -= np.log(p[::2]).sum(axis=0)
-        s *= np.float32(RATE / SCALE * math.sqrt(GROUPS[0][1] / size))
-        for g, gate in enumerate(gates):
-            weights[g, :, :n] += np.einsum("ij,kij->kj", s if gate is None else s * gate, odds)
+        rate = np.float32(RATE / SCALE * math.sqrt(GROUPS[0][1] / size))
+        for a in range(0, n, MIXED // size):
+            b = min(a + MIXED // size, n)
+            index = (first[a:b, None] + at) + within[:size]
+            if short < b:  # texts that end within the group
+                ending = max(a, short)
+                over = within[:size] >= (per_text[ending:b, None] - at)
+                index[ending - a :][over] = none
+                cost[ending:b] -= math.log(2) * over.sum(axis=1)
+            found = cells.take(index)
+            odds = found.view(np.int8).reshape(b - a, size, WORD + 1).astype(np.float32)
+            x, y = (found & third) != 0, (found & fourth) != 0
+            gates = (x | y, x & y)
+            by_gate = odds @ weights[a:b]
+            s = by_gate[..., 1] * gates[0]
+            s += by_gate[..., 0]
+            s += by_gate[..., 2] * gates[1]
+            s *= np.float32(1 / SCALE)
+            np.clip(s, -MOST, MOST, out=s)
+            np.exp(s, out=s)
+            s += 1
+            # the probability of the other bit: under every gate, and where the gates are open
+            other = np.empty((b - a, len(WEIGHTS), size), np.float32)
+            np.divide(1, s, out=other[:, 0])
+            for k, gate in enumerate(gates):
+                np.multiply(other[:, 0], gate, out=other[:, k + 1])
+            p = 1 - other[:, 0]
+            cost[a:b] -= np.log(p[:, : size // 2] * p[:, size // 2 :]).sum(axis=1)
+            weights[a:b] += ((other @ odds) * rate).transpose(0, 2, 1)
     bits = np.empty(lanes)
     bits[order] = cost / math.log(2)
     return bits, weights
