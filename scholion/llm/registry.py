@@ -12,6 +12,9 @@ from scholion.llm import op7_minhash as op7
 from scholion.llm import op8_media as op8
 from scholion.llm import op9_chat as op9
 from scholion.llm import op10_licenses as op10
+from scholion.llm import op11_search as op11
+from scholion.llm import op12_periods as op12
+from scholion.llm import op13_quality as op13
 
 
 def queries() -> dict:
@@ -26,6 +29,9 @@ def queries() -> dict:
         "op8_media": op8.op8_media,
         "op9_chat": op9.op9_chat,
         "op10_licenses": op10.op10_licenses,
+        "op11_search": op11.op11_search,
+        "op12_periods": op12.op12_periods,
+        "op13_quality": op13.op13_quality,
     }
 
 
