@@ -324,11 +324,11 @@ def test_op6_size_is_not_set_by_a_scarce_domain(spark, sf_dir, docs):
     assert np.allclose([got[d] for d in op6.DOMAINS], [87_000, 3_000, 9_000, 1_000], rtol=1e-3)
 
 
-def brute_components(texts):
+def brute_components(texts, size=4):
     sets = {}
     for d, t in texts.items():
         w = op7.words_of(t)
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
     def find(x):
@@ -362,8 +362,9 @@ def test_op7_dense_cluster(spark):
             w[at] = f"x{int(rng.integers(0, 4))}"
         texts[d + 1] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op7.near_duplicates(df).collect()}
-    assert got == brute_components(texts)
+    for size in (4, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op7.near_duplicates(df, size=size).collect()}
+        assert got == brute_components(texts, size)
 
 
 def test_op7_odd(spark, odd, none):
@@ -526,7 +527,7 @@ def test_pipeline(spark, sf_dir, docs, texts):
     for d in sorted(kept):
         last[texts[d].translate(LOWER)] = d
     assert at["exact_dedup"] == set(last.values())
-    want = brute_components({d: texts[d] for d in at["exact_dedup"]})
+    want = brute_components({d: texts[d] for d in at["exact_dedup"]}, 5)
     assert at["near_dedup"] == {d for d, v in want.items() if v[2]}
     assert at["mixing"] <= at["near_dedup"]
     packed = {r.doc_id for r in pipeline.run(spark, sf_dir).collect()}
