@@ -92,8 +92,6 @@ FRACTION_WORDS = {
 #: Spellings that are put right, the first by its value.
 NUMBER_SPELLINGS = {"thiry seven": "40", "thiry": "thirty", "fourty": "forty"}
 
-#: Endings of units in lower case, and how many characters go; the first that fits counts.
-UNIT_ENDINGS = ((r"^(incense|frankincense|bronze)$", 0), (r"^..+[sz]es$", 1), (r"^..+es$", 2), (r"^..*[^s]s$", 1))
 #: What is replaced in HTML, in this order.
 ENGLISH_MARKUP = (
     ("יהוה", "HASHEM"),

@@ -121,13 +121,13 @@ def spelt_number(text: Column) -> Column:
     return F.aggregate(shares, base.cast("double"), lambda v, d: F.when(v == F.floor(v), v / d))
 
 
-def normalize_numbers(df: DataFrame, col: str, out: str = "number") -> DataFrame:
-    """add the canonical decimal text of a number, null where it is none.
+def number_text(value: Column) -> Column:
+    """the canonical decimal text of a number, null where it is none.
 
     Decimals keep their digits; fractions are rounded to six.  Expressions only, so there is
     no join and no Python.
     """
-    raw = F.trim(F.lower(F.col(col)))
+    raw = F.trim(F.lower(value))
     fixed = raw
     for wrong, right in dims.NUMBER_SPELLINGS.items():
         fixed = F.when(raw == wrong, F.lit(right)).otherwise(fixed)
@@ -135,22 +135,26 @@ def normalize_numbers(df: DataFrame, col: str, out: str = "number") -> DataFrame
     whole = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string"))
     rounded = lambda v: F.when(v.isNotNull(), F.coalesce(whole(v), F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", "")))
     number = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
-    value = F.when(F.rlike(cleaned, F.lit(number)), cleaned.try_cast("double"))
+    plain = F.when(F.rlike(cleaned, F.lit(number)), cleaned.try_cast("double"))
     # the digits as they stand, without a plus, zeros in front and zeros behind
     body = F.regexp_replace(F.regexp_replace(cleaned, r"^[+-]?0*", ""), r"(\.\d*?)0+$", "$1")
     digits = F.concat(F.when(F.startswith(cleaned, F.lit("-")), "-").otherwise(""), F.when(F.startswith(body, F.lit(".")), "0").otherwise(""), body)
-    decimal = F.coalesce(whole(value), F.when(F.contains(cleaned, F.lit("e")), value.cast("string")).otherwise(digits))
+    decimal = F.coalesce(whole(plain), F.when(F.contains(cleaned, F.lit("e")), plain.cast("string")).otherwise(digits))
     group = lambda pattern, k: F.regexp_extract(cleaned, pattern, k).try_cast("double")
     frac, mixed = r"^(-?\d+)\s*/\s*(\d+)$", r"^(-?\d+)\s+(\d+)\s*/\s*(\d+)$"
-    return df.withColumn(
-        out,
-        F.when(value.isNotNull(), decimal)
+    return (
+        F.when(plain.isNotNull(), decimal)
         .when(F.rlike(cleaned, F.lit(frac)), rounded(F.try_divide(group(frac, 1), group(frac, 2))))
         .when(F.rlike(cleaned, F.lit(mixed)), rounded(group(mixed, 1) + F.try_divide(group(mixed, 2), group(mixed, 3))))
-        .when(fixed != "", rounded(spelt_number(fixed))),
+        .when(fixed != "", rounded(spelt_number(fixed)))
     )
 
 
+def normalize_numbers(df: DataFrame, col: str, out: str = "number") -> DataFrame:
+    """add the canonical text of a number column."""
+    return df.withColumn(out, number_text(F.col(col)))
+
+
 def match_fixed(value: Column, allowed: tuple[str, ...]) -> Column:
     """The allowed value that equals the text, in any case; else null."""
     out = F.lit(None).cast("string")
@@ -165,12 +169,16 @@ def normalize_category(value: Column) -> Column:
 
 
 def normalize_unit(value: Column) -> Column:
-    """lower case and a plain singular; null where nothing is left."""
+    """lower case and a plain singular; null where nothing is left.
+
+    Words of four letters or more that end in "ses" or "zes" lose one letter, in another "es"
+    two; words of three or more that end in one "s" lose it.
+    """
     v = F.trim(F.lower(value))
     cut = lambda n: F.substring(v, F.lit(1), F.char_length(v) - n)
-    out = v
-    for pattern, n in reversed(dims.UNIT_ENDINGS):
-        out = F.when(F.rlike(v, F.lit(pattern)), cut(n)).otherwise(out)
+    ends = lambda e: F.endswith(v, F.lit(e))
+    es = ends("es") & (F.char_length(v) > 3)
+    out = F.when(es & (ends("ses") | ends("zes")), cut(1)).when(es, cut(2)).when(ends("s") & ~ends("ss") & (F.char_length(v) > 2), cut(1)).otherwise(v)
     return F.when(out != "", out)
 
 

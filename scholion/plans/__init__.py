@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholion.plans import build, explore, passages, registry
+from scholion.plans import build, explore, imports, passages, registry
 
 
 def queries() -> dict:
@@ -13,4 +13,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(registry.ORACLES)
 
 
-__all__ = ["build", "explore", "oracle_sql", "passages", "queries"]
+__all__ = ["build", "explore", "imports", "oracle_sql", "passages", "queries"]

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholion import dims
-from scholion.functions.shared import shared_dir
-from scholion.operators import graph, lookup, search
+from scholion.functions.shared import cut_lineage, shared_dir
+from scholion.operators import graph, lookup, postings, search
 from scholion.plans.derived import derive, meta
 from scholion.plans.passages import BOOKS_SQL, SECTION_SQL, passages
 from scholion.plans.registry import query
@@ -25,6 +25,16 @@ def keys_of(df, col="key"):
     return df.select(F.col(col).alias("key"))
 
 
+def posted(spark, sf_dir):
+    """Numbered passages and their postings, from rows of keys and pairs: no arrays are built."""
+    rows, mentions = derive(spark, sf_dir, "passage_rows"), derive(spark, sf_dir, "passage_entity")
+    numbered = cut_lineage(postings.number_passages(rows.select("key", "summary_en", "summary_heb")), "numbered")
+    part = lambda df, facet, value: df.select("key", F.lit(facet).alias("facet"), F.col(value).alias("value"))
+    own = rows.select("key").withColumns({"passage_types": F.array().cast("array<string>"), "entity_keys": F.array().cast("array<string>"), "rel_keys": F.array().cast("array<string>")})
+    pairs = part(rows, "type", "passage_type").unionByName(part(rows, "rel", "rel_key")).unionByName(part(mentions, "entity", "entity_key")).unionByName(postings.facet_pairs(own))
+    return postings.store_postings(postings.build_postings(pairs, numbered)), numbered
+
+
 @query("a3_scan_entities", "SELECT key, entityType, display_en_name FROM entities")
 def a3(spark, sf_dir):
     path = f"{shared_dir(spark)}/a3-{uuid.uuid4().hex}"
@@ -84,7 +94,7 @@ def b9(spark, sf_dir):
 
 @query("b10_passages_with", "SELECT entity_key AS wanted, key FROM passage_entity WHERE entity_key IN (SELECT key FROM entities)")
 def b10(spark, sf_dir):
-    return lookup.passages_with(meta(spark, sf_dir), ents(spark, sf_dir)).select("wanted", "key")
+    return postings.passages_with(*posted(spark, sf_dir), ents(spark, sf_dir))
 
 
 FACETED = "m.passage_type IN ('LAW', 'STORY') AND m.key IN (SELECT e.key FROM passage_entity e WHERE e.entity_key IN ('S1', 'S2', 'S3', 'S4'))"
@@ -92,12 +102,24 @@ FACETED = "m.passage_type IN ('LAW', 'STORY') AND m.key IN (SELECT e.key FROM pa
 
 @query("b11_facets", f"SELECT m.key FROM passage_rows m WHERE {FACETED}")
 def b11(spark, sf_dir):
+    return postings.facet_passages(*posted(spark, sf_dir), type=["LAW", "STORY"], entity=["S1", "S2", "S3", "S4"]).select("key")
+
+
+@query("b11_rel_facet", "SELECT m.key FROM passage_rows m WHERE m.rel_key IN ('b1', 'b2', 'b4', 'b7') AND m.key IN (SELECT e.key FROM passage_entity e WHERE e.entity_key LIKE 'S%')")
+def b11b(spark, sf_dir):
+    suppliers = [r["key"] for r in ents(spark, sf_dir).where("key LIKE 'S%'").select("key").limit(2000).collect()]
+    return postings.facet_passages(*posted(spark, sf_dir), rel=["b1", "b2", "b4", "b7"], entity=suppliers).select("key")
+
+
+@query("b11_array_facets", f"SELECT m.key FROM passage_rows m WHERE {FACETED}")
+def b11c(spark, sf_dir):
+    """The same facets over the arrays of metadata that has no postings."""
     return lookup.facet_filter(meta(spark, sf_dir), passage_types=["LAW", "STORY"], entity_keys=["S1", "S2", "S3", "S4"]).select("key")
 
 
 @query("b12_source_facets", f"SELECT m.key FROM passage_rows m WHERE {FACETED} AND m.key LIKE 'TN!_Genesis!_%' ESCAPE '!'")
 def b12(spark, sf_dir):
-    return lookup.facet_filter(meta(spark, sf_dir), passage_types=["LAW", "STORY"], entity_keys=["S1", "S2", "S3", "S4"], src_types=["TN"], books=["Genesis", "Sotah"]).select("key")
+    return postings.facet_passages(*posted(spark, sf_dir), type=["LAW", "STORY"], entity=["S1", "S2", "S3", "S4"], source=["TN"], book=["Genesis", "Sotah"]).select("key")
 
 
 @query("b13_book", "SELECT key FROM passages WHERE key LIKE 'BT!_Shabbat!_%' ESCAPE '!'")
@@ -228,7 +250,7 @@ def j9(spark, sf_dir):
 @query("k1_number_occurrences", "SELECT e.display_en_name AS value, e.numberCategory AS category, e.en_unit AS unit, e.en_context AS context, m.summary_en AS summary, m.key, count(*) OVER (PARTITION BY e.display_en_name) AS total FROM entities e JOIN passage_entity p ON p.entity_key = e.key JOIN passage_rows m ON m.key = p.key WHERE e.entityType = 'Number' AND e.display_en_name IN ('7', '40')")
 def k1(spark, sf_dir):
     values = ents(spark, sf_dir).where("display_en_name IN ('7', '40')").select(F.col("display_en_name").alias("value")).distinct()
-    return search.number_occurrences(ents(spark, sf_dir), meta(spark, sf_dir), values).select("value", "category", "unit", "context", "summary", "key", "total")
+    return postings.number_occurrences(*posted(spark, sf_dir), ents(spark, sf_dir), values).select("value", "category", "unit", "context", "summary", "key", "total")
 
 
 @query("k2_query_values", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'negative' END AS error FROM part")
@@ -243,10 +265,21 @@ SEARCH_SQL = SECTION_SQL.replace("FROM passages)", "FROM passage_rows)", 1)
 
 @query("k3_search_passages", SEARCH_SQL + f", m AS (SELECT * FROM passage_rows m WHERE {FACETED}) SELECT o.key, m.summary_en, b.en_name || ' (' || b.category || ') ' || split_part(o.key, '_', 4) AS citation_en FROM o JOIN m ON m.key = o.key JOIN {BOOKS_SQL} ON b.db_name = o.book ORDER BY priority, o.book_order, s1, s2, s3, o.key LIMIT 50")
 def k3(spark, sf_dir):
-    found = search.search_passages(meta(spark, sf_dir), 50, passage_types=["LAW", "STORY"], entity_keys=["S1", "S2", "S3", "S4"])
+    found = postings.search_passages(*posted(spark, sf_dir), 50, type=["LAW", "STORY"], entity=["S1", "S2", "S3", "S4"])
     return found.select("key", "summary_en", "citation_en")
 
 
+RANKED_SQL = "SELECT key, row_number() OVER (ORDER BY summary_en DESC) AS rank FROM passage_rows WHERE passage_type <> 'LAW'"
+
+
+@query("k3_ranked", f"WITH r AS ({RANKED_SQL}) SELECT m.key, r.rank FROM passage_rows m JOIN r ON r.key = m.key WHERE {FACETED} ORDER BY r.rank LIMIT 25")
+def k3b(spark, sf_dir):
+    """Faceted search by similarity: passages without a rank come last."""
+    ranking = spark.sql(RANKED_SQL.replace("FROM passage_rows", "FROM {rows}"), rows=derive(spark, sf_dir, "passage_rows"))
+    found = postings.search_passages(*posted(spark, sf_dir), 25, ranking, type=["LAW", "STORY"], entity=["S1", "S2", "S3", "S4"])
+    return found.select("key", F.col("rank").cast("long").alias("rank"))
+
+
 def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
 

@@ -25,7 +25,11 @@ def read_keyed_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     key = F.replace(F.regexp_replace(name, r"\.json$", ""), F.lit(";"), F.lit(":"))
     text = F.trim(F.regexp_replace("value", "^﻿", ""))
-    raw = files.select(key.alias("key"), text.alias("text"))
+    return parse_keyed(files.select(key.alias("key"), text.alias("text")), schema)
+
+
+def parse_keyed(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """A1: (rows, rejects) of JSON documents as text (key, text)."""
     inner = F.from_json(F.concat(F.lit('{"s":'), "text", F.lit("}")), "s string")["s"]
     raw = raw.withColumn("text", F.when(F.startswith("text", F.lit('"')), inner).otherwise(F.col("text")))
     full = T._parse_datatype_string(schema).add("_corrupt", "string")
