@@ -29,3 +29,10 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/scholion/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_still(df: DataFrame) -> bool:
+    """Whether the files of a stored table are there."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()[:1]]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)

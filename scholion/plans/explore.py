@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholion import dims
-from scholion.functions.shared import cut_lineage, shared_dir
-from scholion.operators import graph, lookup, postings, search
+from scholion.functions.shared import cut_lineage, shared_dir, stored_still
+from scholion.operators import graph, lookup, postings, search, vectors
 from scholion.plans.derived import derive, meta
 from scholion.plans.passages import BOOKS_SQL, SECTION_SQL, passages
 from scholion.plans.registry import query
@@ -25,8 +25,19 @@ def keys_of(df, col="key"):
     return df.select(F.col(col).alias("key"))
 
 
+_posted: dict = {}
+
+
 def posted(spark, sf_dir):
-    """Numbered passages and their postings, from rows of keys and pairs: no arrays are built."""
+    """Postings and numbered passages, stored once for each session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _posted or not all(stored_still(df) for df in _posted[at]):
+        _posted[at] = _post(spark, sf_dir)
+    return _posted[at]
+
+
+def _post(spark, sf_dir):
+    """From rows of keys and pairs: no arrays are built."""
     rows, mentions = derive(spark, sf_dir, "passage_rows"), derive(spark, sf_dir, "passage_entity")
     numbered = cut_lineage(postings.number_passages(rows.select("key", "summary_en", "summary_heb")), "numbered")
     part = lambda df, facet, value: df.select("key", F.lit(facet).alias("facet"), F.col(value).alias("value"))
@@ -292,7 +303,8 @@ RANK_SQL = f"WITH r AS (SELECT q.vec_id AS query, v.vec_id AS key, {DISTANCE} AS
 def k4(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     q = v.where("key % 50 = 0").select(F.col("key").alias("query"), F.col("embedding").alias("vector"))
-    return search.vector_rank(v, q, 20).select("query", "key", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    found, _ = vectors.nearest_vectors(vectors.build_cells(v), q, 20)
+    return found.select("query", "key", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("k5_rerank", f"WITH r AS (SELECT v.vec_id AS key, {DISTANCE} AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.vec_id % 2 = 0), k AS (SELECT key, row_number() OVER (ORDER BY distance, key) AS rank FROM r) SELECT e.vec_id AS key, k.rank FROM embeddings e LEFT JOIN k ON k.key = e.vec_id")
@@ -321,7 +333,7 @@ def k7(spark, sf_dir):
 def k8(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     sheet = v.where("key % 50 = 0").select(F.col("key").alias("query"), F.col("embedding").alias("vector"), (1 + F.col("key") % 7).cast("int").alias("max_sources"))
-    return search.run_query_sheet(sheet, v).select("query", "key", F.col("rank").cast("long").alias("rank"))
+    return vectors.run_query_sheet(vectors.build_cells(v), sheet).select("query", "key", F.col("rank").cast("long").alias("rank"))
 
 
 @query("k9_select_options", "SELECT key, display_en_name, display_heb_name, coalesce(timePeriod, 'No Time Period') AS timePeriod, isWoman, isNonJew, isGroup FROM entities WHERE entityType = 'Person'")
