@@ -6,10 +6,14 @@ entity_type, final_name, names, merged).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.functions.components import components
 from scholion.functions.shared import cut_lineage
+from scholion.functions.workers import ship
+
 
 def parse_merge_names(rows: DataFrame) -> DataFrame:
     """H1: (list, row, entity_type, ordinal, name): names between bars, trimmed, in lower case,
@@ -58,38 +62,53 @@ def merge_targets(rows: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def fold_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
-    """H4: targets with the fields of their duplicates folded in; other entities as they are.
-
-    Names and aliases are united in order without repeats in any case (the final name and
-    duplicates' keys among them), role lists united, flags OR-ed, other fields filled where
-    empty by the first duplicate that has one.
+    """H4: targets with the fields of their duplicates folded in, by the order of their ranks;
+    other entities as they are."""
+    e = F.lit("entity").alias("kind")
+    once = mapping.select("target_key", F.lit(1).alias("pos"), e, F.col("target_key").alias("key"), F.lit(None).cast("string").alias("final_name")).distinct()
+    dups = mapping.select("target_key", F.explode(F.array(F.struct((F.col("rank") * 2).alias("pos"), e, F.col("dup_key").alias("key"), F.lit(None).cast("string").alias("final_name")), F.struct((F.col("rank") * 2 + 1).alias("pos"), F.lit("merged").alias("kind"), F.col("dup_key").alias("key"), F.col("final_name")))).alias("s"))
+    return fold_steps(entities, once.unionByName(dups.select("target_key", "s.*")))
+
+
+def fold_steps(entities: DataFrame, steps: DataFrame) -> DataFrame:
+    """H4: each target after all that was folded into it, directly or through its duplicates.
+
+    ``steps`` (target_key, pos, kind, key, final_name) are in the order in which one list grows:
+    an ``entity`` step adds what the entity of the key has, a ``merged`` step notes that the
+    duplicate of the key went into another under the final name.  Names, aliases (with the
+    duplicates' keys) and lists are united in that order without repeats in any case, flags
+    OR-ed, other fields filled where empty by the first that has one; the last final name is
+    the target's.  Entities without steps stay as they are.
     """
-    member = mapping.select(F.col("dup_key").alias("key"), "target_key", "final_name", "rank").unionByName(
-        mapping.select(F.col("target_key").alias("key"), "target_key", "final_name", F.lit(1).alias("rank")).distinct()
-    )
-    rows = entities.join(member, "key")
     lists = [c for c, t in entities.dtypes if t == "array<string>"]
     flags = [c for c, t in entities.dtypes if t == "boolean"]
     plain = [c for c, t in entities.dtypes if t == "string" and c not in ("key", "entityType", "display_en_name")]
+    rows = steps.where("kind = 'entity'").join(entities, "key").unionByName(steps.where("kind = 'merged'"), allowMissingColumns=True)
+    noted = {"alias_keys": F.array("key"), "all_en_names": F.array("final_name")}
 
-    def united(c: str):
-        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda x: x["v"]))
+    def united(c: str) -> Column:
+        added = F.when(F.col("kind") == "merged", noted.get(c, F.array().cast("array<string>"))).otherwise(F.col(c))
+        grown = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(added, F.array().cast("array<string>")).alias("v"))))
+        return F.flatten(F.transform(grown, lambda x: x["v"]))
 
+    full = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
     agg = rows.groupBy("target_key").agg(
-        F.first("final_name").alias("final_name"),
-        F.min_by("entityType", "rank").alias("entityType"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "key", "display_en_name")))).alias("dups"),
+        F.max_by("final_name", F.when(F.col("final_name").isNotNull(), F.col("pos"))).alias("final_name"),
+        F.min_by("entityType", F.when(F.col("entityType").isNotNull(), F.col("pos"))).alias("entityType"),
         *[united(c).alias(c) for c in lists],
         *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in flags],
-        *[F.min_by(F.when(F.trim(F.col(c)) != "", F.col(c)), F.when(F.trim(F.col(c)) != "", F.col("rank"))).alias(c) for c in plain],
+        *[F.min_by(full(c), F.when(full(c).isNotNull(), F.col("pos"))).alias(c) for c in plain],
     )
-    names = F.concat(F.array("final_name"), "all_en_names", F.transform("dups", lambda d: d["display_en_name"]))
-    once = lambda a: F.filter(F.transform(a, lambda x, i: F.when((x != "") & (F.array_position(F.transform(a, lambda y: F.lower(y)), F.lower(x)) == i + 1), x)), lambda x: x.isNotNull())
-    agg = agg.withColumn("all_en_names", names).withColumn("alias_keys", F.concat("alias_keys", F.transform("dups", lambda d: d["key"])))
+
+    def once(a: Column) -> Column:
+        """The first of each text in any case, without blanks."""
+        low = F.transform(a, F.lower)
+        return F.filter(F.transform(F.arrays_zip(a.alias("v"), low.alias("low")), lambda x, i: F.when((x["v"] != "") & (F.array_position(low, x["low"]) == i + 1), x["v"])), lambda x: x.isNotNull())
+
     for c in lists:
         agg = agg.withColumn(c, once(F.col(c)))
     folded = agg.withColumn("display_en_name", F.lower(F.trim("final_name"))).withColumn("key", F.col("target_key")).select(*entities.columns)
-    return entities.join(member.select("key").distinct(), "key", "left_anti").unionByName(folded)
+    return entities.join(steps.where("kind = 'entity'").select("key").distinct(), "key", "left_anti").unionByName(folded)
 
 
 def repoint_rels(rels: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,38 +134,96 @@ def repoint_meta(meta: DataFrame, mapping: DataFrame, rel_map: DataFrame) -> Dat
     return out.withColumn("entity_keys", F.coalesce("new_entities", empty)).withColumn("rel_keys", F.coalesce("new_rels", empty)).select(*meta.columns)
 
 
-def _ready(rows: DataFrame) -> DataFrame:
-    """(list, row) of the rows that share no name with an earlier one of their type."""
-    own = parse_merge_names(rows).select("list", "row", "entity_type", "name").unionByName(rows.select("list", "row", "entity_type", F.lower(F.trim("final_name")).alias("name")))
-    late = F.min(F.struct("list", "row")).over(Window.partitionBy("entity_type", "name")) != F.struct("list", "row")
-    return own.withColumn("late", late).groupBy("list", "row").agg(F.bool_or("late").alias("late")).where("NOT late").select("list", "row")
+class _Names:
+    """Which entities have which name while a component's rows are worked off."""
+
+    def __init__(self, hits: pd.DataFrame):
+        self.of: dict[str, list[str]] = {}
+        for name, key in zip(hits["name"], hits["key"], strict=True):
+            self.of.setdefault(name, []).append(key)
+        self.steps: dict[str, list[tuple[str, str, str | None]]] = {}
+
+    def merge(self, final: str, names: list[str]) -> str:
+        """The status of a row, after doing what it says."""
+        found: dict[str, str] = {}
+        for name in names:
+            have = self.of.get(name, [])
+            if len(have) > 1:
+                return "ambiguous"
+            if have:
+                found[name] = have[0]
+        if len(found) < 2:
+            return "nothing"
+        canonical = final.strip().lower()
+        target = found.get(canonical, next(iter(found.values())))
+        own = self.steps.setdefault(target, [("entity", target, None)])
+        for name, key in found.items():
+            self.of[name] = []
+            if key != target:
+                own += [*self.steps.pop(key, [("entity", key, None)]), ("merged", key, final)]
+        self.of[canonical] = [*self.of.get(canonical, []), target][:2]
+        return "merge"
+
+
+_REPLAYED = "list string, row long, status string, target_key string, pos int, kind string, key string, final_name string"
+
+
+def _replay(rows: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+    """One component's rows in order: the status of each, and the steps of each target."""
+    state, out = _Names(hits), []
+    for r in rows.sort_values(["list", "row"]).itertuples():
+        out.append((r.list, r.row, state.merge(r.final_name, list(r.names)), None, None, None, None, None))
+    for target, steps in state.steps.items():
+        out += [(None, None, None, target, pos, *step) for pos, step in enumerate(steps)]
+    columns = ["list", "row", "status", "target_key", "pos", "kind", "key", "final_name"]
+    return pd.DataFrame(out, columns=columns).astype({"row": "Int64", "pos": "Int32"})
+
+
+def replay_merge(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H2, H3, H8 over a whole run: (rows with the status that each has at its own turn, steps).
+
+    Rows depend on each other only through names that they share, their final names among them;
+    the components of that graph are found by pointer jumping, so a chain of n rows takes log n
+    rounds, and each is worked off in order in one group.  A group holds names and keys of a list
+    that is kept by hand, never entities.  A name of two entities stays ambiguous for good, so two
+    keys a name are enough.  A row is at its turn by list, then row.
+    """
+    ship(rows.sparkSession)
+    done = F.lower(F.trim(F.coalesce("merged", F.lit("")))).isin("true", "yes", "1")
+    ruled = F.when(done, "merged_already").when(F.trim(F.coalesce("final_name", F.lit(""))) == "", "error")
+    rows = cut_lineage(rows.withColumn("ruled", ruled), "merge-rows")
+    left = rows.where("ruled IS NULL")
+    given = parse_merge_names(left)
+    node = F.concat_ws("\x1f", F.lit("row"), "list", "row")
+    named = given.select("list", "row", "entity_type", "name").unionByName(left.select("list", "row", "entity_type", F.lower(F.trim("final_name")).alias("name")))
+    edges = named.select(node.alias("a"), F.concat_ws("\x1f", F.lit("name"), "entity_type", "name").alias("b"))
+    parts = cut_lineage(components(edges), "merge-parts")
+    lists = given.groupBy("list", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("names"))
+    turns = left.drop("names").join(lists, ["list", "row"], "left").withColumn("node", node).join(parts, "node")
+    turns = turns.select("component", "list", "row", "final_name", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    known = entities.groupBy(F.concat_ws("\x1f", F.lit("name"), "entityType", F.lower("display_en_name")).alias("node"), F.lower("display_en_name").alias("name")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    hits = known.join(parts, "node").select(F.col("component").alias("part"), "name", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
+    out = cut_lineage(turns.groupBy("component").cogroup(hits.groupBy("part")).applyInPandas(_replay, _REPLAYED), "merge-replayed")
+    own = out.where("status IS NOT NULL").select("list", "row", "status")
+    statuses = rows.join(own, ["list", "row"], "left").withColumn("status", F.coalesce("ruled", "status")).drop("ruled")
+    return statuses, out.where("kind IS NOT NULL").select("target_key", "pos", "kind", "key", "final_name")
 
 
 def apply_merge(entities: DataFrame, rels: DataFrame, meta: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """H7: all tables after all merges, and the list with its rows marked.
+    """H7: all tables after all merges, and the list with its rows marked and with the status
+    that each had at its turn.
 
-    Rows work in order on what the rows before them left.  Each round takes all rows that
-    share no name with an earlier open one, so there are as many rounds as the longest chain
-    of rows has, whatever their number; tables are written between rounds.
+    The rows are worked off on names and keys alone; then entities are folded, rels and metadata
+    moved to the last targets, once for the whole run.
     """
-    closed = F.lower(F.trim(F.coalesce("merged", F.lit("")))).isin("true", "yes", "1") | (F.trim(F.coalesce("final_name", F.lit(""))) == "")
-    left = cut_lineage(rows.where(~closed), "merge-rows")
-    done = None
-    while not left.isEmpty():
-        now = cut_lineage(left.join(_ready(left), ["list", "row"], "left_semi"), "merge-now")
-        mapping = cut_lineage(merge_targets(now, entities), "merge-map")
-        rels, rel_map = repoint_rels(rels, mapping)
-        rel_map = cut_lineage(rel_map, "merge-rel-map")
-        rels, meta = cut_lineage(rels, "merge-rels"), cut_lineage(repoint_meta(meta, mapping, rel_map), "merge-meta")
-        entities = cut_lineage(fold_entities(entities, mapping), "merge-entities")
-        merged = mapping.select("list", "row").distinct().withColumn("now", F.lit("true"))
-        done = merged if done is None else done.unionByName(merged)
-        left = cut_lineage(left.join(now.select("list", "row"), ["list", "row"], "left_anti"), "merge-rows")
-    if done is not None:
-        rows = rows.join(done, ["list", "row"], "left").withColumn("merged", F.coalesce("now", "merged")).drop("now")
-    return {"entities": entities, "rels": rels, "meta": meta, "rows": rows}
+    statuses, steps = replay_merge(rows, entities)
+    mapping = steps.where("kind = 'entity' AND key <> target_key").select(F.col("key").alias("dup_key"), "target_key")
+    rels, rel_map = repoint_rels(rels, mapping)
+    marked = statuses.withColumn("merged", F.when(F.col("status") == "merge", "true").otherwise(F.col("merged")))
+    return {"entities": fold_steps(entities, steps), "rels": rels, "meta": repoint_meta(meta, mapping, cut_lineage(rel_map, "merge-rel-map")), "rows": marked}
 
 
 def merge_tallies(plan: DataFrame) -> DataFrame:
-    """H8: (list, status, n) by list and status, by list, and in all (nulls mark totals)."""
+    """H8: (list, status, n) by list and status, by list, and in all (nulls mark totals), of a
+    plan or of the rows of a run."""
     return plan.rollup("list", "status").agg(F.count("*").alias("n"))

@@ -434,6 +434,13 @@ def h8(spark, sf_dir):
     return merge.merge_tallies(merge.plan_merge(_merge_rows(spark, sf_dir), derive(spark, sf_dir, "entities")))
 
 
+@query("h8_run_tallies", CHAIN_SQL + """, s AS (SELECT row, CASE WHEN status = 'merge' THEN 'merge' ELSE status END AS status FROM p UNION ALL SELECT k + 1000000000, CASE WHEN nxt IS NOT NULL THEN 'merge' ELSE 'nothing' END FROM late)
+    SELECT 'person_to_merge.csv' AS list, status, count(*) AS n FROM s GROUP BY status UNION ALL SELECT 'person_to_merge.csv', NULL, count(*) FROM s UNION ALL SELECT NULL, NULL, count(*) FROM s""")
+def h8b(spark, sf_dir):
+    """Tallies of a run whose later rows meet what the first ones left."""
+    return merge.merge_tallies(merge.replay_merge(_chained_rows(spark, sf_dir), derive(spark, sf_dir, "entities"))[0])
+
+
 def _patches(spark, sf_dir):
     """Enrichment patches for customers, from labelled documents."""
     d = spark.read.parquet(f"{sf_dir}/labels.parquet")
