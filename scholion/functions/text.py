@@ -52,10 +52,52 @@ def tag_inventory(df: DataFrame, html: str) -> DataFrame:
     return df.select(tags.alias("tag")).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
+#: Named references of HTML that terms have.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&thinsp;": "\u2009", "&amp;": "&"}
+
+
+def decode_references(value: Column) -> Column:
+    """Text with its numeric and most common named character references written out."""
+    pieces = F.regexp_extract_all(value, F.lit(r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z]+;|[^&]+|&"), F.lit(0))
+
+    def written(p: Column) -> Column:
+        inner = lambda start: F.substr(p, F.lit(start), F.char_length(p) - start)
+        number = F.when(F.rlike(p, F.lit("^&#[xX]")), F.conv(inner(4), 16, 10)).when(F.startswith(p, F.lit("&#")), inner(3)).cast("long")
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        named = F.try_element_at(F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair]), p)
+        return F.when(number.between(1, 0x10FFFF), letter).otherwise(F.coalesce(named, p))
+
+    return F.array_join(F.transform(pieces, written), "")
+
+
+def italics(html: Column) -> Column:
+    """The whole inner text of every <i>, tags taken out, inner ones before those around them.
+
+    A fold over tags and what stands between: an <i> opens a text, all open texts grow, a </i>
+    closes the last one.  What is never closed goes to the end; a </i> too many closes nothing.
+    """
+    tokens = F.regexp_extract_all(html, F.lit("</?[a-zA-Z!?][^>]*>|[^<]+|<"), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = F.rlike(t, F.lit(r"(?i)^<i(\s[^>]*)?/?>$")), F.rlike(t, F.lit(r"(?i)^</i\s*>$"))
+        tag = F.rlike(t, F.lit("^</?[a-zA-Z!?][^>]*>$"))
+        held = F.size(acc["open"])
+        open_ = F.when(opens, F.concat(acc["open"], F.array(F.lit("")))).when(closes, F.slice(acc["open"], F.lit(1), F.greatest(held - 1, F.lit(0)))).when(tag | (held == 0), acc["open"])
+        return F.struct(
+            open_.otherwise(F.transform(acc["open"], lambda s: F.concat(s, t))).alias("open"),
+            F.when(closes & (held > 0), F.concat(acc["done"], F.slice(acc["open"], F.lit(-1), F.lit(1)))).otherwise(acc["done"]).alias("done"),
+        )
+
+    return F.aggregate(tokens, F.struct(none.alias("open"), none.alias("done")), step, lambda acc: F.concat(acc["done"], F.reverse(acc["open"])))
+
+
 def italic_terms(df: DataFrame, html: str) -> DataFrame:
-    """(term): distinct non-empty italicised terms without inner tags."""
-    found = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<i\b[^>]*>(.*?)</i>"), F.lit(1)))
-    return df.select(found.alias("raw")).select(F.trim(F.regexp_replace("raw", "<[^>]+>", "")).alias("term")).where("term <> ''").distinct()
+    """(term): distinct non-empty italicised terms, nested ones too, without tags and with
+    character references written out."""
+    edges = rf"^[{dims.WHITE}]+|[{dims.WHITE}]+$"
+    terms = df.where(F.rlike(F.col(html), F.lit(r"(?i)<i[\s>/]"))).select(F.explode(F.array_distinct(italics(F.col(html)))).alias("raw"))
+    return terms.select(F.regexp_replace(decode_references(F.col("raw")), edges, "").alias("term")).where("term <> ''").distinct()
 
 
 def drop_third_content(passages: DataFrame, content: str = "content") -> DataFrame:

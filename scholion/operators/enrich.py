@@ -76,6 +76,34 @@ def enrichment_tally(entities: DataFrame, patches: DataFrame, field: str = "disp
     return p.withColumn("before", before).withColumn("status", status).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def enrichment_states(entities: DataFrame, patches: DataFrame) -> DataFrame:
+    """Each patch entry with what it changes, given what the entries before it left:
+    (passage, import_order, ordinal, key, status, changed).
+
+    status is missing (no entity), updated or unchanged; changed lists the fields of the
+    entity's type that take another value, and roles where a role is new.  The state before an
+    entry is the last valid value of each field, from one sorted pass by key; a role is new at
+    its first entry, so no set of roles is carried along.
+    """
+    order = F.struct("import_order", "ordinal")
+    fields = [c for c in FIELDS if c in patches.columns and c in entities.columns]
+    stored = entities.select("key", "entityType", F.coalesce("roles", F.array().cast("array<string>")).alias("old_roles"), *[F.col(c).alias(f"old_{c}") for c in fields])
+    before = Window.partitionBy("key").orderBy("import_order", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    p = patches.select("passage", "import_order", "ordinal", "key", "roles", *[F.when(_valid(patches, c), F.col(c)).alias(c) for c in fields])
+    firsts = p.select("key", order.alias("at"), F.explode("roles").alias("role")).groupBy("key", "role").agg(F.min("at").alias("at")).groupBy("key", "at").agg(F.collect_set("role").alias("first_roles"))
+    held = p.select("*", *[F.last(c, ignorenulls=True).over(before).alias(f"before_{c}") for c in fields])
+    joined = held.withColumn("at", order).join(firsts, ["key", "at"], "left").join(stored, "key", "left")
+
+    def differs(c: str) -> Column:
+        own = F.lit(True) if FIELDS[c] is None else F.col("entityType").isin(*FIELDS[c])
+        return own & F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.coalesce(f"before_{c}", f"old_{c}"))
+
+    roles = (F.col("entityType") == "Person") & (F.size(F.array_except("first_roles", "old_roles")) > 0)
+    changed = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in fields], F.when(roles, F.lit("roles"))))
+    status = F.when(F.col("entityType").isNull(), "missing").when(F.size(changed) > 0, "updated").otherwise("unchanged")
+    return joined.select("passage", "import_order", "ordinal", "key", status.alias("status"), F.when(F.col("entityType").isNotNull(), changed).otherwise(F.array().cast("array<string>")).alias("changed"))
+
+
 def add_display_names(patches: DataFrame, entities: DataFrame) -> DataFrame:
     """I4."""
     return patches.drop("display_en_name").join(entities.select("key", "display_en_name"), "key", "left")

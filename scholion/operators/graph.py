@@ -18,10 +18,46 @@ MAX_DEPTH = 10
 
 def siblings(rels: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(self, sibling): other children of any father or mother."""
-    parents = rels.where(F.col("rel_type").isin("childOfFather", "childOfMother")).select(F.col("term1").alias("self"), F.col("term2").alias("parent"))
+    parents = parent_links(rels)
     mine = parents if keys is None else parents.join(keys.select(F.col("key").alias("self")).distinct(), "self", "left_semi")
-    others = parents.select(F.col("self").alias("sibling"), "parent")
-    return mine.join(others, "parent").where("self <> sibling").select("self", "sibling").distinct()
+    return expand_classes(sibling_classes(parents), mine)
+
+
+#: Children that one row of a class holds.
+MEMBERS = 1000
+
+
+def sibling_classes(children: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group..., parent, n, part, members) of (group..., parent, self): the children of a parent
+    as rows of MEMBERS at most, about, and how many there are in all.
+
+    A family of n children is n members, not n times n pairs; pairs are made by
+    ``expand_classes`` for those who are asked for.  Parts are dealt by hash, so a parent of
+    very many children is spread over tasks.
+    """
+    keys = [*group, "parent"]
+    own = children.select(*keys, "self").distinct()
+    counted = own.join(own.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    dealt = counted.withColumn("part", F.pmod(F.xxhash64("self"), F.ceil(F.col("n") / MEMBERS)).cast("int"))
+    return dealt.groupBy(*keys, "n", "part").agg(F.array_sort(F.collect_list("self")).alias("members"))
+
+
+def parent_links(rels: DataFrame) -> DataFrame:
+    """(self, parent) of father and mother rels."""
+    return rels.where(F.col("rel_type").isin("childOfFather", "childOfMother")).select(F.col("term1").alias("self"), F.col("term2").alias("parent"))
+
+
+def expand_classes(classes: DataFrame, members: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group..., self, sibling): the siblings of the members (group..., parent, self) asked for."""
+    keys = [*group, "parent"]
+    rows = members.select(*keys, "self").distinct().join(classes, keys)
+    return rows.select(*group, "self", F.explode("members").alias("sibling")).where("self <> sibling").distinct()
+
+
+def sibling_counts(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(self, parent, siblings): how many siblings a member has by each parent, without a pair."""
+    sizes = classes.select("parent", "n").distinct()
+    return members.select("self", "parent").distinct().join(sizes, "parent").select("self", "parent", (F.col("n") - 1).alias("siblings"))
 
 
 def profile_links(entities: DataFrame, rels: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -54,13 +90,21 @@ def navigation_links(entities: DataFrame, rels: DataFrame, keys: DataFrame | Non
 
 
 def family_graph(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within ``depth`` hops (1 to 10) of each centre (key).
+    """(nodes, edges) with the sibling classes of ``family_classes`` written out as edges."""
+    nodes, edges, classes = family_classes(entities, rels, centers, depth)
+    members = classes.select("center", "parent", F.explode("members").alias("self"))
+    pairs = expand_classes(classes, members, ("center",)).where("self < sibling")
+    return nodes, edges.unionByName(pairs.select("center", F.col("self").alias("source"), F.col("sibling").alias("target"), F.lit("Sibling").alias("label"), F.lit("sibling").alias("kind")))
+
+
+def family_classes(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, sibling classes) within ``depth`` hops (1 to 10) of each centre (key).
 
     nodes: center, key, hop, name, is_center, is_woman; only entities that exist.
     edges: center, source, target, label, kind; an edge may have an unknown end.  Of rels of one
     type between two nodes the one of the smallest key stays, in its direction.  The centre's
-    siblings are always complete, and children of one known parent are joined by sibling edges.
-    An unknown centre has no graph.
+    siblings are always complete, and children of one known parent are one class (center, parent,
+    n, part, members).  An unknown centre has no graph.
     """
     depth = max(1, min(MAX_DEPTH, depth))
     known = entities.where("entityType = 'Person'").select("key", F.col("display_en_name").alias("name"), "isWoman")
@@ -93,10 +137,9 @@ def family_graph(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth
     label = F.when(F.col("rel_type") == "childOfFather", "Father").when(F.col("rel_type") == "childOfMother", "Mother").otherwise("Spouse")
     shown = real.select("center", F.col("term1").alias("source"), F.col("term2").alias("target"), label.alias("label"), F.lit("rel").alias("kind"))
     child = edges.where("rel_type <> 'spouseOf'").select("center", F.col("term1").alias("key"), F.col("term2").alias("parent")).distinct().join(nodes.select("center", "key"), ["center", "key"], "left_semi")
-    sib = child.join(child.select("center", "parent", F.col("key").alias("other")), ["center", "parent"]).where("key < other").select("center", F.col("key").alias("source"), F.col("other").alias("target")).distinct()
-    edges_out = shown.unionByName(sib.select("center", "source", "target", F.lit("Sibling").alias("label"), F.lit("sibling").alias("kind")))
+    classes = cut_lineage(sibling_classes(child.select("center", "parent", F.col("key").alias("self")), ("center",)), "sibling-classes")
     nodes_out = nodes.join(known, "key").select("center", "key", "hop", "name", (F.col("key") == F.col("center")).alias("is_center"), F.coalesce("isWoman", F.lit(False)).alias("is_woman"))
-    return nodes_out, edges_out
+    return nodes_out, shown, classes
 
 
 def generation_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

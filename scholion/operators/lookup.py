@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import re._parser as _sre
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,79 @@ def search_names(entities: DataFrame, pattern: str, entity_type: str | None = No
     return entities.where(hit & _type_is(entity_type))
 
 
+NAME_COLUMNS, NAME_LISTS = ("display_en_name", "display_heb_name"), ("all_en_names", "all_heb_names")
+#: Combinations of branches that are told apart; a pattern of more is scanned for.
+BRANCHES = 64
+
+
+def _small(text: Column) -> Column:
+    """A-Z in lower case: what a pattern in any case makes no difference between."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def name_trigrams(entities: DataFrame) -> DataFrame:
+    """(trigram, key): all runs of three characters of an entity's names, once each."""
+    empty = F.array().cast("array<string>")
+    names = F.concat(F.array(*NAME_COLUMNS), *[F.coalesce(c, empty) for c in NAME_LISTS])
+    each = entities.select("key", F.explode(F.array_distinct(F.array_compact(names))).alias("name")).select("key", _small(F.col("name")).alias("name"))
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("name") - 2), lambda i: F.substr("name", i, F.lit(3)))
+    return each.where("char_length(name) >= 3").select(F.explode(F.array_distinct(grams)).alias("trigram"), "key").distinct()
+
+
+def required_texts(pattern: str) -> list[set[str]] | None:
+    """Trigrams that a match must hold, as alternatives of which one has all of its own; None
+    where a match may do without."""
+    try:
+        parsed = _sre.parse(pattern)
+    except re.error:
+        return None
+
+    def runs(items) -> list[list[str]] | None:
+        """Alternatives of literal runs of a sequence, None if there are too many."""
+        found: list[list[str]] = [[""]]
+        cut = lambda: [[*a, ""] for a in found]
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                letter = chr(arg)
+                found = [[*a[:-1], a[-1] + (letter.lower() if letter.isascii() else letter)] for a in found]
+                continue
+            inner = None
+            if kind == "SUBPATTERN":
+                inner = runs(arg[-1])
+            elif kind == "BRANCH":
+                parts = [runs(b) for b in arg[1]]
+                inner = None if None in parts else [a for p in parts for a in p]
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                inner = runs(arg[2])
+            elif kind == "AT":
+                continue
+            found = cut()
+            if inner is not None:
+                found = [[*a, *b, ""] for a in found for b in inner]
+            if len(found) > BRANCHES:
+                return None
+        return found
+
+    alternatives = runs(parsed)
+    grams = [{t[i : i + 3] for t in a for i in range(len(t) - 2)} for a in alternatives or [[]]]
+    return grams if all(grams) else None
+
+
+def search_names_indexed(entities: DataFrame, trigrams: DataFrame, pattern: str, entity_type: str | None = None, literal: bool = False) -> DataFrame:
+    """B6 by ``name_trigrams``: literal parts of the pattern choose candidates, the pattern
+    confirms them.  A pattern without three literal characters in a row is scanned for.  Inline
+    flags are not looked into: such patterns are scanned for, too."""
+    needed = required_texts(re.escape(pattern) if literal else pattern) if literal or "(?" not in pattern else None
+    if needed is None:
+        return search_names(entities, pattern, entity_type, literal)
+    hits = None
+    for grams in needed:
+        own = trigrams.where(F.col("trigram").isin(*sorted(grams))).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("key")
+        hits = own if hits is None else hits.unionByName(own)
+    return search_names(entities.join(hits, "key", "left_semi"), pattern, entity_type, literal)
+
+
 def rels_touching(rels: DataFrame, keys: DataFrame) -> DataFrame:
     """Rels with either end in ``keys``: two equi-joins and one row for each rel."""
     k = keys.select(F.col("key").alias("touched")).distinct()

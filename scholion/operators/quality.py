@@ -63,6 +63,57 @@ def char_stats(df: DataFrame, text: str, by: str) -> DataFrame:
     return df.select(by, F.char_length(text).alias("v")).groupBy(by).agg(*_stats(F.col("v")))
 
 
+def length_histogram(df: DataFrame, value: Column, by: str) -> DataFrame:
+    """(by, v, n): how many rows of each group have each length, a null one too.  Histograms of
+    old and new rows are merged by ``merge_histograms``; lengths are few, so they stay small."""
+    return df.select(by, value.cast("long").alias("v")).groupBy(by, "v").agg(F.count("*").alias("n"))
+
+
+def merge_histograms(*parts: DataFrame) -> DataFrame:
+    """One histogram of several, as if their rows had been counted together."""
+    by = parts[0].columns[0]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(by, "v").agg(F.sum("n").alias("n"))
+
+
+def histogram_stats(hist: DataFrame) -> DataFrame:
+    """L3-L5 from a histogram: the measures of word_stats and char_stats, percentiles exact."""
+    by = hist.columns[0]
+    v, n, known = F.col("v"), F.col("n"), F.when(F.col("v").isNotNull(), F.col("n"))
+    sums = hist.groupBy(by).agg(
+        (F.sum(v * n) / F.sum(known)).alias("mean"),
+        *[F.percentile(v, F.lit(q), n).alias(name) for name, q in (("median", 0.5), ("p20", 0.2), ("p80", 0.8))],
+        F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"), F.sum(n).cast("double").alias("total"), F.coalesce(F.sum(known), F.lit(0)).cast("double").alias("valid"),
+    )
+    apart = hist.join(sums.select(by, "mean"), by).groupBy(by).agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(known)).alias("std"))
+    return sums.join(apart, by).select(by, *MEASURES)
+
+
+def histogram_warnings(hist: DataFrame) -> DataFrame:
+    """L7 from a histogram: (by, mean, std, wide, outliers)."""
+    by = hist.columns[0]
+    stats = histogram_stats(hist).select(by, "mean", "std")
+    far = hist.join(stats, by).groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("v") > F.col("mean") + 3 * F.col("std"), F.col("n"))), F.lit(0)).alias("outliers"))
+    return stats.join(far, by).select(by, "mean", "std", "outliers", (F.col("std") > 2 * F.col("mean")).alias("wide"))
+
+
+def length_sketch(df: DataFrame, value: Column, by: str) -> DataFrame:
+    """(by, sketch): mergeable quantile sketches, where lengths are too many for a histogram."""
+    return df.select(by, value.cast("long").alias("v")).groupBy(by).agg(F.kll_sketch_agg_bigint("v").alias("sketch"))
+
+
+def sketch_percentiles(*sketches: DataFrame) -> DataFrame:
+    """(by, median, p20, p80), approximate, of one or several tables of sketches together."""
+    by = sketches[0].columns[0]
+    out = sketches[0]
+    for s in sketches[1:]:
+        out = out.unionByName(s)
+    merged = out.groupBy(by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return merged.select(by, *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias(name) for name, q in (("median", 0.5), ("p20", 0.2), ("p80", 0.8))])
+
+
 def length_warnings(df: DataFrame, text: str, key: str = "key") -> DataFrame:
     """(key, warning): no or few words or characters, much white space."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -54,18 +54,20 @@ def stored_family_context(rels: DataFrame, entities: DataFrame) -> DataFrame:
     return looks.groupBy("key").agg(of("childOfFather", "fathers"), of("childOfMother", "mothers"), of("spouseOf", "spouses"))
 
 
-def resolve_persons(new: DataFrame, entities: DataFrame, rels: DataFrame) -> DataFrame:
+def resolve_persons(new: DataFrame, entities: DataFrame, rels: DataFrame, order: str | None = None) -> DataFrame:
     """(name, key): the stored person that each new person (name, fathers, mothers,
     spouses) is, or null for a new one.
 
     Without a family the first of the name matches.  Else the first whose stored family is
     empty or shares a father, mother or spouse, or who is tied by marriage: a father of one is
-    the spouse of a mother of the other.  Candidates come in order of their keys.
+    the spouse of a mother of the other.  Candidates come in the order of the column ``order`` of
+    the entities (when they were stored), without one in that of their keys.
     """
-    persons = entities.where("entityType = 'Person'").select("key", F.lower("display_en_name").alias("name"))
+    place = F.lit(0) if order is None else F.col(order)
+    persons = entities.where("entityType = 'Person'").select("key", F.lower("display_en_name").alias("name"), F.struct(place.alias("place"), F.col("key").alias("key")).alias("place"))
     empty = F.array().cast("array<string>")
     stored = persons.join(stored_family_context(rels, entities), "key", "left").select(
-        "key", "name", *[F.coalesce(c, empty).alias(f"old_{c}") for c in ("fathers", "mothers", "spouses")]
+        "key", "name", "place", *[F.coalesce(c, empty).alias(f"old_{c}") for c in ("fathers", "mothers", "spouses")]
     )
     cand = new.select(F.lower("name").alias("name"), *[F.coalesce(c, empty).alias(c) for c in ("fathers", "mothers", "spouses")]).join(stored, "name")
     shares = F.lit(False)
@@ -74,7 +76,7 @@ def resolve_persons(new: DataFrame, entities: DataFrame, rels: DataFrame) -> Dat
     no_family = (F.size("fathers") == 0) & (F.size("mothers") == 0) & (F.size("spouses") == 0)
     no_stored = (F.size("old_fathers") == 0) & (F.size("old_mothers") == 0) & (F.size("old_spouses") == 0)
 
-    first = persons.groupBy("name").agg(F.min("key").alias("first_key"))
+    first = persons.groupBy("name").agg(F.min_by("key", "place").alias("first_key"))
     couples = rels.where("rel_type = 'spouseOf'").select("term1", "term2")
     couples = couples.unionByName(couples.select(F.col("term2").alias("term1"), F.col("term1").alias("term2"))).distinct()
     pairs = cand.select("name", "key", F.explode("fathers").alias("he"), "old_mothers").select("name", "key", "he", F.explode("old_mothers").alias("she")).unionByName(
@@ -86,7 +88,7 @@ def resolve_persons(new: DataFrame, entities: DataFrame, rels: DataFrame) -> Dat
         .join(couples, ["term1", "term2"], "left_semi").select("name", "key").distinct().withColumn("in_law", F.lit(True))
     )
     good = cand.join(in_law, ["name", "key"], "left").where(no_family | no_stored | shares | F.coalesce("in_law", F.lit(False)))
-    return new.select(F.lower("name").alias("name")).distinct().join(good.groupBy("name").agg(F.min("key").alias("key")), "name", "left")
+    return new.select(F.lower("name").alias("name")).distinct().join(good.groupBy("name").agg(F.min_by("key", "place").alias("key")), "name", "left")
 
 
 def entity_key(identity_col: Column) -> Column:

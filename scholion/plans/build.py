@@ -138,14 +138,13 @@ TERM_ENTS = "SELECT CAST(o_orderkey AS STRING) AS passage, 'Person' AS category,
     FROM r LEFT JOIN p ON p.passage = r.passage LEFT JOIN e a ON a.passage = r.passage AND a.name = r.term1 LEFT JOIN e b ON b.passage = r.passage AND b.name = r.term2""",
 )
 def f16(spark, sf_dir):
-    plural = F.concat(F.lower("term2"), F.lit("s"))
     rels = rel_rows(spark, sf_dir)
     known = _sql(spark, sf_dir, TERM_ENTS)
     # terms in other case and in the plural are matched all the same
-    changed = rels.withColumn("term1", F.lower("term1")).withColumn("term2", plural)
-    out = extract.validate_rels(changed, known)
-    back = F.upper(F.regexp_replace("term2", "s$", ""))
-    return out.withColumn("term1", F.upper("term1")).withColumn("term2", back).withColumn("reason", F.when((F.col("term1") == F.col("term2")) & F.col("reason").isNotNull(), "self_relation").otherwise(F.col("reason")))
+    plural = lambda c: F.concat(F.lower(c), F.lit("s"))
+    out = extract.validate_rels(rels.withColumn("term1", plural("term1")).withColumn("term2", plural("term2")), known)
+    back = lambda c: F.upper(F.regexp_replace(c, "s$", ""))
+    return out.withColumn("term1", back("term1")).withColumn("term2", back("term2"))
 
 
 @query("f17_dedup_rels", f"SELECT passage, rel_field, term1, term2, min(ordinal) AS ordinal FROM ({REL_SQL}) GROUP BY ALL")
@@ -244,6 +243,30 @@ def g5(spark, sf_dir):
     return resolve.resolve_persons(new, e, derive(spark, sf_dir, "rels").where("rel_type = 'childOfFather'"))
 
 
+ORDER_SQL = "5000000 - CAST(substring(key, 2) AS BIGINT) * 7 % 1000"
+
+
+@query("g5_stored_order", f"""WITH p AS (SELECT key, 'name ' || CAST(CAST(substring(key, 2) AS BIGINT) % 50 AS STRING) AS name, {ORDER_SQL} AS place FROM entities WHERE key LIKE 'C%') SELECT name, arg_min(key, (place, key)) AS key FROM p GROUP BY name""")
+def g5b(spark, sf_dir):
+    """Mentions without a family are the person of their name that was stored first."""
+    e = _named_persons(spark, sf_dir).withColumn("stored_at", F.expr(ORDER_SQL))
+    empty = F.array().cast("array<string>")
+    new = e.select(F.col("display_en_name").alias("name")).distinct().select("name", empty.alias("fathers"), empty.alias("mothers"), empty.alias("spouses"))
+    return resolve.resolve_persons(new, e, derive(spark, sf_dir, "rels"), "stored_at")
+
+
+@query("g6_tied_by_marriage", """WITH p AS (SELECT CAST(substring(key, 2) AS BIGINT) AS k, key, display_en_name AS name FROM entities WHERE key LIKE 'C%')
+  SELECT a.name, a.key FROM p a JOIN p h ON h.k = CAST(floor(a.k / 3.0) AS BIGINT) + 2 WHERE a.k > 3 AND CAST(floor(a.k / 3.0) AS BIGINT) % 2 = 1""")
+def g6(spark, sf_dir):
+    """Persons by a father who is no stored parent, but the spouse of the stored mother."""
+    e = derive(spark, sf_dir, "entities").where("key LIKE 'C%'")
+    number = F.substring("key", 2, 20).cast("long")
+    father = F.format_string("customer#%09d", F.floor(number / 3) + 2)
+    new = e.where(number > 3).select(F.col("display_en_name").alias("name"), F.array(father).alias("fathers"), F.array().cast("array<string>").alias("mothers"), F.array().cast("array<string>").alias("spouses"))
+    rels = derive(spark, sf_dir, "rels").where("rel_type IN ('childOfMother', 'spouseOf')")
+    return resolve.resolve_persons(new, e, rels).where("key IS NOT NULL")
+
+
 GRAPH_RELS = """SELECT CAST(l_orderkey AS STRING) AS passage, 'comparedTo' AS rel_field, l_linenumber AS ordinal, 'supplier ' || CAST(l_suppkey AS STRING) AS term1, p_name AS term2, 'comparedTo' AS rel_type
   FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber % 4 = 0"""
 
@@ -271,6 +294,24 @@ def g9(spark, sf_dir):
     return _graph(spark, sf_dir)["rels"].agg(F.count("*").alias("rels"))
 
 
+KEYED_SQL = f"""m AS ({MENTION_SQL}), r AS ({GRAPH_RELS}), ids AS (SELECT passage, category, lower(name) AS name, 'e' || substring(sha256(lower(category) || chr(31) || lower(name)), 1, 24) AS key, CASE category WHEN 'Person' THEN 0 WHEN 'TribeOfIsrael' THEN 2 WHEN 'Symbol' THEN 4 ELSE 8 END AS rank FROM m),
+  own AS (SELECT passage, name, arg_min(key, (rank, key)) AS key FROM ids GROUP BY passage, name), every AS (SELECT name, arg_min(key, (rank, key)) AS key FROM ids GROUP BY name),
+  keyed AS (SELECT r.passage, r.rel_type, r.term1, r.term2, coalesce(a.key, b.key) AS key1, coalesce(c.key, d.key) AS key2 FROM r LEFT JOIN own a ON a.passage = r.passage AND a.name = lower(term1) LEFT JOIN every b ON b.name = lower(term1) LEFT JOIN own c ON c.passage = r.passage AND c.name = lower(term2) LEFT JOIN every d ON d.name = lower(term2))"""
+
+
+@query("g8_keys", f"WITH {KEYED_SQL} SELECT passage, term1 AS term, key1 AS key FROM keyed UNION SELECT passage, term2, key2 FROM keyed")
+def g8b(spark, sf_dir):
+    m = _long_mentions(spark, sf_dir)
+    rels = _sql(spark, sf_dir, GRAPH_RELS)
+    terms = rels.select("passage", F.col("term1").alias("term")).unionByName(rels.select("passage", F.col("term2").alias("term")))
+    return resolve.resolve_term_keys(terms, m, resolve.build_entities(m))
+
+
+@query("g9_rels", f"WITH {KEYED_SQL} SELECT DISTINCT 'r' || substring(sha256(rel_type || chr(31) || key1 || chr(31) || key2), 1, 24) AS key, rel_type, key1 AS term1, key2 AS term2 FROM keyed WHERE key1 IS NOT NULL AND key2 IS NOT NULL")
+def g9b(spark, sf_dir):
+    return _graph(spark, sf_dir)["rels"]
+
+
 @query("g10_build_meta", f"SELECT passage AS key, string_agg(DISTINCT category || ':' || lower(name), '|' ORDER BY category || ':' || lower(name)) AS entities FROM ({MENTION_SQL}) GROUP BY passage")
 def g10(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -480,6 +521,21 @@ def i3(spark, sf_dir):
     return enrich.enrichment_tally(derive(spark, sf_dir, "entities"), _patches(spark, sf_dir))
 
 
+@query(
+    "i3_states",
+    """WITH p AS (SELECT doc_id, 'C' || CAST(doc_id % 400 AS STRING) AS key, CASE WHEN quality = 1 THEN 'heb ' || CAST(doc_id AS STRING) END AS heb, CASE WHEN doc_id % 2 = 0 THEN 'Tanach' END AS period, toxic = 1 AS woman FROM labels),
+    w AS (SELECT p.*, e.key AS known, e.role, coalesce(last_value(heb IGNORE NULLS) OVER b, e.display_heb_name) AS heb0, coalesce(last_value(period IGNORE NULLS) OVER b, e.timePeriod) AS period0, coalesce(last_value(woman IGNORE NULLS) OVER b, e.isWoman) AS woman0,
+      row_number() OVER (PARTITION BY p.key ORDER BY doc_id) AS n FROM p LEFT JOIN entities e ON e.key = p.key WINDOW b AS (PARTITION BY p.key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, CASE WHEN known IS NULL THEN '' ELSE concat_ws(',', CASE WHEN heb IS NOT NULL AND heb IS DISTINCT FROM heb0 THEN 'display_heb_name' END, CASE WHEN period IS NOT NULL AND period IS DISTINCT FROM period0 THEN 'timePeriod' END,
+      CASE WHEN woman IS NOT NULL AND woman IS DISTINCT FROM woman0 THEN 'isWoman' END, CASE WHEN n = 1 AND role <> 'King' THEN 'roles' END) END AS changed FROM w)
+    SELECT 'p' || CAST(doc_id AS STRING) AS passage, CASE WHEN known IS NULL THEN 'missing' WHEN changed = '' THEN 'unchanged' ELSE 'updated' END AS status, changed FROM c""",
+)
+def i3b(spark, sf_dir):
+    """What each patch changes, all fields, flags and roles, given the patches before it."""
+    states = enrich.enrichment_states(derive(spark, sf_dir, "entities"), enrich.match_enums(_patches(spark, sf_dir))[0])
+    return states.select("passage", "status", F.array_join("changed", ",").alias("changed"))
+
+
 @query("i4_display_names", "SELECT 'p' || CAST(doc_id AS STRING) AS passage, e.display_en_name FROM labels LEFT JOIN entities e ON e.key = 'C' || CAST(doc_id % 400 AS STRING)")
 def i4(spark, sf_dir):
     return enrich.add_display_names(_patches(spark, sf_dir), derive(spark, sf_dir, "entities")).select("passage", "display_en_name")

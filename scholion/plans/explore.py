@@ -81,7 +81,9 @@ def b5(spark, sf_dir):
 
 @query("b6_search_names", "SELECT key FROM entities WHERE regexp_matches(display_en_name, '(?i)RING|er#0+1') AND entityType <> 'Nation'")
 def b6(spark, sf_dir):
-    return lookup.search_names(ents(spark, sf_dir), "RING|er#0+1").where("entityType <> 'Nation'").select("key")
+    e = ents(spark, sf_dir)
+    trigrams = cut_lineage(lookup.name_trigrams(e).sortWithinPartitions("trigram"), "trigrams")
+    return lookup.search_names_indexed(e, trigrams, "RING|er#0+1").where("entityType <> 'Nation'").select("key")
 
 
 @query("b7_rels_touching", "SELECT DISTINCT key FROM rels WHERE term1 IN ('C8', 'N3') OR term2 IN ('C8', 'N3')")
@@ -179,6 +181,11 @@ def b20(spark, sf_dir):
     return lookup.distinct_values(ents(spark, sf_dir), "numberCategory", F.col("entityType") == "Number")
 
 
+@query("b20_find", "SELECT key FROM entities WHERE isNonJew ORDER BY key LIMIT 40")
+def b20c(spark, sf_dir):
+    return lookup.find(ents(spark, sf_dir), F.col("isNonJew"), 40).select("key")
+
+
 @query("b20_count", "SELECT count(*) AS n FROM entities WHERE isNonJew")
 def b20b(spark, sf_dir):
     return lookup.count(ents(spark, sf_dir), F.col("isNonJew"))
@@ -206,6 +213,13 @@ def j2(spark, sf_dir):
     return graph.siblings(derive(spark, sf_dir, "rels"))
 
 
+@query("j2_sibling_classes", "WITH c AS (SELECT DISTINCT term1 AS self, term2 AS parent FROM rels WHERE rel_type IN ('childOfFather', 'childOfMother')) SELECT self, parent, count(*) OVER (PARTITION BY parent) - 1 AS siblings FROM c")
+def j2b(spark, sf_dir):
+    """How many siblings each child has by each parent, from classes and without pairs."""
+    links = graph.parent_links(derive(spark, sf_dir, "rels"))
+    return graph.sibling_counts(graph.sibling_classes(links), links)
+
+
 @query("j3_links", LINKS_SQL + "SELECT DISTINCT l.key, coalesce(e.display_en_name, l.other) AS name FROM links l LEFT JOIN entities e ON e.key = l.other")
 def j3(spark, sf_dir):
     return graph.navigation_links(ents(spark, sf_dir), derive(spark, sf_dir, "rels")).select("key", F.explode(F.map_keys("links")).alias("name"))

@@ -59,6 +59,26 @@ def a7(spark, sf_dir):
     return io.snapshot_tables(tables(spark, sf_dir, "nation", "customer")).where("data LIKE '{%}'").groupBy("coll").agg(F.count("*").alias("n"))
 
 
+@query("a4_merge_lists", "SELECT CASE c_custkey % 3 WHEN 0 THEN 'person_to_merge.csv' ELSE 'place_to_merge.csv' END AS list, CASE c_custkey % 3 WHEN 0 THEN 'Person' ELSE 'Place' END AS entity_type, c_name AS final_name, c_name || '|' || CAST(c_custkey AS STRING) AS names, count(*) AS n FROM customer WHERE c_custkey % 3 < 2 GROUP BY ALL")
+def a4(spark, sf_dir):
+    """Lists with a header, blank rows and a file of no type, from customers; a row twice is two."""
+    c = tables(spark, sf_dir, "customer")["customer"]
+    name = F.element_at(F.array(F.lit("person_to_merge.csv"), F.lit("Place_to_merge.csv"), F.lit("other.csv")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    line = F.concat("c_name", F.lit(","), "c_name", F.lit("|"), "c_custkey", F.lit(",\n,,\n"))
+    files = c.select(name.alias("list"), line.alias("line")).groupBy("list").agg(F.concat(F.lit("final_display_name,display_names_to_join,merged\r\n"), F.array_join(F.collect_list("line"), "")).alias("value"))
+    rows, _ = io.parse_merge_lists(files)
+    return rows.groupBy(F.lower("list").alias("list"), "entity_type", "final_name", "names").agg(F.count("*").alias("n"))
+
+
+@query("a9_append", "SELECT n_nationkey, n_name, 2 AS n FROM nation")
+def a9(spark, sf_dir):
+    path = f"{shared_dir(spark)}/a9-{uuid.uuid4().hex}"
+    nation = tables(spark, sf_dir, "nation")["nation"]
+    for _ in range(2):
+        io.append_rows(nation, path, ("n_regionkey",))
+    return spark.read.parquet(path).groupBy("n_nationkey", "n_name").agg(F.count("*").alias("n"))
+
+
 @query("a8_glossary", "SELECT DISTINCT lower(p_name) AS term, '' AS translation, '' AS notes FROM part")
 def a8(spark, sf_dir):
     return io.glossary(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_name").alias("term")))
@@ -156,7 +176,7 @@ def d3(spark, sf_dir):
     return text.tag_inventory(spark.read.parquet(f"{sf_dir}/pages.parquet"), "html")
 
 
-@query("d4_italic_terms", "SELECT DISTINCT trim(regexp_replace(t, '<[^>]+>', '', 'g')) AS term FROM (SELECT unnest(regexp_extract_all(replace(replace(html, '<h1', '<i'), '</h1>', '</i>'), '<i\\b[^>]*>((?:.|\\n)*?)</i>', 1)) AS t FROM pages) WHERE trim(regexp_replace(t, '<[^>]+>', '', 'g')) <> ''")
+@query("d4_italic_terms", "SELECT DISTINCT trim(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')) AS term FROM (SELECT unnest(regexp_extract_all(replace(replace(html, '<h1', '<i'), '</h1>', '</i>'), '<i\\b[^>]*>((?:.|\\n)*?)</i>', 1)) AS t FROM pages) WHERE trim(regexp_replace(t, '<[^>]+>', '', 'g')) <> ''")
 def d4(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.replace(F.replace("html", F.lit("<h1"), F.lit("<i")), F.lit("</h1>"), F.lit("</i>")).alias("html"))
     return text.italic_terms(pages, "html")
@@ -262,6 +282,14 @@ def l4(spark, sf_dir):
     return _rounded(quality.word_stats(docs(spark, sf_dir), "text", "lang"))
 
 
+@query("l4_merged_stats", STATS_SQL.format(WORDS_SQL.format("text")))
+def l4b(spark, sf_dir):
+    """Statistics of an old and a new batch, merged from their histograms."""
+    d, words = docs(spark, sf_dir), F.when(F.col("text").isNotNull(), text.word_count(F.col("text")))
+    parts = [quality.length_histogram(d.where(f"doc_id % 3 {op} 0"), words, "lang") for op in ("=", "<>")]
+    return _rounded(quality.histogram_stats(quality.merge_histograms(*parts)))
+
+
 @query("l5_char_stats", STATS_SQL.format("length(text)"))
 def l5(spark, sf_dir):
     return _rounded(quality.char_stats(docs(spark, sf_dir), "text", "lang"))
@@ -276,6 +304,17 @@ def l6(spark, sf_dir):
     return quality.length_warnings(docs(spark, sf_dir), "text", "doc_id")
 
 
+L7_SQL = "WITH s AS (SELECT lang, avg(n_chars) AS mean, stddev_pop(n_chars) AS std FROM documents GROUP BY lang) SELECT s.lang, round(mean, 4) AS mean, round(std, 4) AS std, std > 2 * mean AS wide, count(*) FILTER (n_chars > mean + 3 * std) AS outliers FROM documents d JOIN s ON d.lang = s.lang GROUP BY s.lang, mean, std"
+
+
+@query("l7_merged_distribution", L7_SQL)
+def l7b(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    parts = [quality.length_histogram(d.where(f"doc_id % 3 {op} 0"), F.col("n_chars"), "lang") for op in ("=", "<>")]
+    found = quality.histogram_warnings(quality.merge_histograms(*parts))
+    return found.select("lang", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "wide", "outliers")
+
+
 @query("l7_distribution", "WITH s AS (SELECT lang, avg(n_chars) AS mean, stddev_pop(n_chars) AS std FROM documents GROUP BY lang) SELECT s.lang, round(mean, 4) AS mean, round(std, 4) AS std, std > 2 * mean AS wide, count(*) FILTER (n_chars > mean + 3 * std) AS outliers FROM documents d JOIN s ON d.lang = s.lang GROUP BY s.lang, mean, std")
 def l7(spark, sf_dir):
     d = quality.distribution_warnings(docs(spark, sf_dir), "n_chars", "lang")

@@ -56,8 +56,14 @@ def read_merge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """A4: (rows, rejects) of a directory of merge lists named after an entity type, such as
     ``person_to_merge.csv``; a header is optional, blank rows go; rows of other files reject.
     A row is the number of its line; lists are kept by hand, so a file is read whole."""
-    files = spark.read.text(path, pathGlobFilter="*.csv", wholetext=True).withColumn("file", F.url_decode("_metadata.file_name"))
-    lines = files.select(F.col("file").alias("list"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line"))
+    files = spark.read.text(path, pathGlobFilter="*.csv", wholetext=True).select(F.url_decode("_metadata.file_name").alias("list"), "value")
+    return parse_merge_lists(files)
+
+
+def parse_merge_lists(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A4: (rows, rejects) of merge lists as text (list, value)."""
+    spark = files.sparkSession
+    lines = files.select("list", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line"))
     cells = F.from_csv("line", "final_name string, names string, merged string")
     rows = lines.select("list", F.col("row").cast("long").alias("row"), cells.alias("c")).select("list", "row", "c.*")
     rows = rows.where("trim(coalesce(final_name, '') || coalesce(names, '')) <> '' AND lower(trim(coalesce(final_name, ''))) <> 'final_display_name'")
