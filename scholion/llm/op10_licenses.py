@@ -1,12 +1,12 @@
 r"""License scans by ordered signature rules.
 
-``RULES`` holds some hundreds of regexes: each hand-written licence name below in each
-hand-written form (named alone, granted in a sentence, as an SPDX tag, as a link), and
-sentences of the licences' own texts.  A rule
-runs only on a text that has its keywords, each a word that all its matches contain, and no
-rule runs on a text without all keywords of some rule.  Every match is an interval; an interval is suppressed by an overlapping one of
-higher priority, and by one of equal priority that contains it.  What is left gives the
-labels.
+``RULES`` holds some hundreds of regexes: each hand-written licence name below, long and short,
+in each hand-written form (named alone, granted in a sentence, as an SPDX tag), the Creative
+Commons names made of parts and versions, addresses of licence pages, and sentences of the
+licences' own texts.  A rule runs only on a text that has its keywords, each a word that all its
+matches contain, and no rule runs on a text without all keywords of some rule.  Every match is
+an interval; an interval is suppressed by an overlapping one of higher priority, and by one of
+equal priority that contains it.  What is left gives the labels.
 
 One pass over the rows, no shuffle and no join; built-in Spark functions only.
 """
@@ -35,24 +35,57 @@ PHRASES = (
 
 #: (label, keywords, name) of the licences: every match of the name contains each keyword.
 NAMES = (
-    ("apache-1.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.0\b"),
-    ("apache-1.1", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1\.1\b"),
-    ("apache-2.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?2(?:\.0)?\b"),
-    ("gpl-1.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?1(?:\.0)?\b"),
-    ("gpl-2.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?2(?:\.0)?\b"),
-    ("gpl-3.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v[\W_]*)?3(?:\.0)?\b"),
-    ("gpl-2.0", "gpl", r"\bgpl[\W_]*v?2(?:\.0)?\b"),
-    ("gpl-3.0", "gpl", r"\bgpl[\W_]*v?3(?:\.0)?\b"),
-    ("lgpl-2.0", "gnu general", r"gnu[\W_]+(?:lesser|library)[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
-    ("lgpl-2.1", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2\.1\b"),
-    ("lgpl-3.0", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?3(?:\.0)?\b"),
+    ("apache-1.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1\.0\b"),
+    ("apache-1.1", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("apache-2.0", "apache", r"apache[\W_]+(?:software[\W_]+)?licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("gpl-1.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1(?:\.0)?\b"),
+    ("gpl-2.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("gpl-3.0", "gnu", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?3(?:\.0)?\b"),
+    ("gpl-2.0", "gpl", r"\bgpl[\W_]*(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("gpl-3.0", "gpl", r"\bgpl[\W_]*(?:version[\W_]*|v[\W_]*)?3(?:\.0)?\b"),
+    ("gpl-2.0", "gnu foundation", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+as[\W_]+published[\W_]+by[\W_]+the[\W_]+free[\W_]+software[\W_]+foundation[\W_]+(?:either[\W_]+)?version[\W_]+2(?:\.0)?\b"),
+    ("gpl-3.0", "gnu foundation", r"gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+as[\W_]+published[\W_]+by[\W_]+the[\W_]+free[\W_]+software[\W_]+foundation[\W_]+(?:either[\W_]+)?version[\W_]+3(?:\.0)?\b"),
+    ("gpl-2.0", "gnu version", r"version[\W_]+2[\W_]+of[\W_]+the[\W_]+gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e"),
+    ("gpl-3.0", "gnu version", r"version[\W_]+3[\W_]+of[\W_]+the[\W_]+gnu[\W_]+general[\W_]+public[\W_]+licen[cs]e"),
+    ("lgpl-2.1", "gnu foundation", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+as[\W_]+published[\W_]+by[\W_]+the[\W_]+free[\W_]+software[\W_]+foundation[\W_]+(?:either[\W_]+)?version[\W_]+2\.1\b"),
+    ("lgpl-3.0", "gnu foundation", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+as[\W_]+published[\W_]+by[\W_]+the[\W_]+free[\W_]+software[\W_]+foundation[\W_]+(?:either[\W_]+)?version[\W_]+3(?:\.0)?\b"),
+    ("lgpl-2.0", "lgpl", r"\blgpl[\W_]*(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("lgpl-2.1", "lgpl", r"\blgpl[\W_]*(?:version[\W_]*|v[\W_]*)?2\.1\b"),
+    ("lgpl-3.0", "lgpl", r"\blgpl[\W_]*(?:version[\W_]*|v[\W_]*)?3(?:\.0)?\b"),
+    ("agpl-3.0", "agpl", r"\bagpl[\W_]*(?:version[\W_]*|v[\W_]*)?3(?:\.0)?\b"),
+    ("apache-1.0", "apache", r"\bapache[\W_]+(?:version[\W_]*|v[\W_]*)?1\.0\b"),
+    ("apache-1.1", "apache", r"\bapache[\W_]+(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("apache-2.0", "apache", r"\bapache[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("apache-2.0", "apache", r"\bapache2(?:\.0)?\b"),
+    ("apache-2.0", "asl", r"\basl[\W_]*(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("mpl-1.0", "mpl", r"\bmpl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.0\b"),
+    ("mpl-1.1", "mpl", r"\bmpl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("mpl-2.0", "mpl", r"\bmpl[\W_]*(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("epl-1.0", "epl", r"\bepl[\W_]*(?:version[\W_]*|v[\W_]*)?1(?:\.0)?\b"),
+    ("epl-2.0", "epl", r"\bepl[\W_]*(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("eupl-1.1", "eupl", r"\beupl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("eupl-1.2", "eupl", r"\beupl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.2\b"),
+    ("cddl-1.0", "cddl", r"\bcddl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.0\b"),
+    ("cddl-1.1", "cddl", r"\bcddl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("bsl-1.0", "bsl", r"\bbsl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.0\b"),
+    ("osl-3.0", "osl", r"\bosl[\W_]*(?:version[\W_]*|v[\W_]*)?3\.0\b"),
+    ("afl-3.0", "afl", r"\bafl[\W_]*(?:version[\W_]*|v[\W_]*)?3\.0\b"),
+    ("ofl-1.1", "ofl", r"\bofl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("gfdl-1.3", "gfdl", r"\bgfdl[\W_]*(?:version[\W_]*|v[\W_]*)?1\.3\b"),
+    ("mit", "mit x11", r"\bmit[\W_]*x11\b(?:[\W_]+licen[cs]e)?"),
+    ("mit", "x11 licen", r"\bx11[\W_]+licen[cs]e"),
+    ("mit", "expat licen", r"\bexpat[\W_]+licen[cs]e"),
+    ("mit", "mit style", r"\bmit[\W_]+style[\W_]+licen[cs]e"),
+    ("lgpl-2.0", "gnu general", r"gnu[\W_]+(?:lesser|library)[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("lgpl-2.1", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2\.1\b"),
+    ("lgpl-3.0", "lesser", r"gnu[\W_]+lesser[\W_]+general[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?3(?:\.0)?\b"),
     ("lgpl", "lgpl", r"\blgpl\b"),
     ("agpl-3.0", "affero", r"gnu[\W_]+affero[\W_]+general[\W_]+public[\W_]+licen[cs]e"),
     ("agpl", "agpl", r"\bagpl\b"),
-    ("mpl-1.1", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1\.1\b"),
-    ("mpl-2.0", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
-    ("epl-1.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?\b"),
-    ("epl-2.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
+    ("mpl-1.1", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1\.1\b"),
+    ("mpl-2.0", "mozilla", r"mozilla[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
+    ("epl-1.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1(?:\.0)?\b"),
+    ("epl-2.0", "eclipse", r"eclipse[\W_]+public[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
     ("eupl-1.2", "european", r"european[\W_]+union[\W_]+public[\W_]+licen[cs]e"),
     ("cddl-1.0", "common development", r"common[\W_]+development[\W_]+and[\W_]+distribution[\W_]+licen[cs]e"),
     ("cpl-1.0", "common public", r"common[\W_]+public[\W_]+licen[cs]e"),
@@ -67,8 +100,8 @@ NAMES = (
     ("bsl-1.0", "boost", r"boost[\W_]+software[\W_]+licen[cs]e"),
     ("unlicense", "unlicense", r"\bunlicense\b"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b"),
-    ("artistic-1.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?1(?:\.0)?\b"),
-    ("artistic-2.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]+|v)?2(?:\.0)?\b"),
+    ("artistic-1.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?1(?:\.0)?\b"),
+    ("artistic-2.0", "artistic", r"artistic[\W_]+licen[cs]e[\W_]+(?:version[\W_]*|v[\W_]*)?2(?:\.0)?\b"),
     ("afl-3.0", "academic", r"academic[\W_]+free[\W_]+licen[cs]e"),
     ("osl-3.0", "open software", r"open[\W_]+software[\W_]+licen[cs]e"),
     ("psf-2.0", "python", r"python[\W_]+software[\W_]+foundation[\W_]+licen[cs]e"),
@@ -101,6 +134,35 @@ TEXTS = (
     ("public-domain", "disclaims", "the author disclaims copyright to this source code"),
 )
 
+#: (label, keyword, address) of the licences' own pages.
+LINKS = (
+    ("apache-1.0", "apache", r"apache\.org/licen[cs]es/licen[cs]e-1\.0"),
+    ("apache-1.1", "apache", r"apache\.org/licen[cs]es/licen[cs]e-1\.1"),
+    ("apache-2.0", "apache", r"apache\.org/licen[cs]es/licen[cs]e-2\.0"),
+    ("agpl-3.0", "agpl", r"gnu\.org/licen[cs]es/agpl-3\.0"),
+    ("gfdl-1.3", "fdl", r"gnu\.org/licen[cs]es/fdl-1\.3"),
+    ("gpl-1.0", "gpl", r"gnu\.org/licen[cs]es/(?:old-licenses/)?gpl-1\.0"),
+    ("gpl-2.0", "gpl", r"gnu\.org/licen[cs]es/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", "gpl", r"gnu\.org/licen[cs]es/gpl-3\.0"),
+    ("lgpl-2.0", "lgpl", r"gnu\.org/licen[cs]es/(?:old-licenses/)?lgpl-2\.0"),
+    ("lgpl-2.1", "lgpl", r"gnu\.org/licen[cs]es/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", "lgpl", r"gnu\.org/licen[cs]es/lgpl-3\.0"),
+    ("mpl-1.1", "mpl", r"mozilla\.org/mpl/1\.1"),
+    ("mpl-2.0", "mpl", r"mozilla\.org/mpl/2\.0"),
+    ("epl-1.0", "epl", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "epl", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("bsl-1.0", "boost", r"boost\.org/license_1_0"),
+    ("unlicense", "unlicense", r"unlicense\.org"),
+    ("wtfpl", "wtfpl", r"wtfpl\.net"),
+    ("ofl-1.1", "ofl", r"(?:scripts\.sil|openfontlicense)\.org/ofl"),
+    ("php-3.01", "php", r"php\.net/license"),
+    ("psf-2.0", "python", r"docs\.python\.org/3/license"),
+    ("odbl-1.0", "odbl", r"opendatacommons\.org/licen[cs]es/odbl"),
+    ("cc0-1.0", "creativecommons", r"creativecommons\.org/publicdomain/zero/1\.0"),
+)
+#: Licences that have a page of their label at the same address.
+OSI = ("afl-3.0", "agpl-3.0", "apache-1.1", "apache-2.0", "artistic-1.0", "artistic-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cddl-1.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mit-0", "mpl-1.1", "mpl-2.0", "ofl-1.1", "osl-3.0", "unlicense", "zlib")
+
 #: Creative Commons: parts and versions, from which their names are made.
 CC_PARTS = (("by", ""), ("by-sa", "sharealike"), ("by-nd", "noderivatives"), ("by-nc", "noncommercial"), ("by-nc-sa", "noncommercial[\\W_]+sharealike"), ("by-nc-nd", "noncommercial[\\W_]+noderivatives"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -120,7 +182,7 @@ def rules() -> list[tuple[str, str, str, int]]:
         for version in CC_VERSIONS:
             short = part.replace("-", r"[\W_]*")
             long = r"creative[\W_]+commons[\W_]+attribution" + (rf"[\W_]+{spelt}" if spelt else "")
-            tail = r"[\W_]+(?:v|version[\W_]+)?" + version.replace(".", r"\.") + r"\b"
+            tail = r"[\W_]+(?:version[\W_]*|v[\W_]*)?" + version.replace(".", r"\.") + r"\b"
             names.append((f"cc-{part}-{version}", "cc by", rf"\bcc[\W_]*{short}{tail}"))
             names.append((f"cc-{part}-{version}", "creative commons attribution", long + tail))
     made = [(label, key, form.replace("N", name), priority) for label, key, name in names for priority, form in FORMS]
@@ -132,6 +194,8 @@ def rules() -> list[tuple[str, str, str, int]]:
         for part, _ in CC_PARTS
         for version in CC_VERSIONS
     ]
+    made += [(label, key, address, 85) for label, key, address in LINKS]
+    made += [(label, "opensource", r"opensource\.org/licen[cs]es?/" + label.replace(".", r"\.") + r"\b", 85) for label in OSI]
     return sorted(made, key=lambda r: (-r[3], r[0], r[2]))
 
 
@@ -142,6 +206,15 @@ def _has(text: Column, keywords: str) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(text, F.lit(k)) for k in keywords.split(" ")])
 
 
+#: Keywords that stand at the start of a word in all matches, and are part of common words.
+WORD_STARTS = ("afl", "agpl", "asl", "bsl", "cddl", "epl", "eupl", "gpl", "lgpl", "mpl", "ofl", "osl")
+
+
+def _may_match(text: Column, keywords: str) -> Column:
+    """Whether the rules of these keywords are run on a text."""
+    return _has(text, keywords) & F.rlike(text, F.lit(rf"\b{keywords}")) if keywords in WORD_STARTS else _has(text, keywords)
+
+
 def _gates() -> list[str]:
     """Keywords of the rules and words of the base phrases, without those that hold a lesser one's."""
     every = sorted({key for _, key, _, _ in RULES} | {phrase for phrase, _ in PHRASES})
@@ -184,7 +257,7 @@ def detections(text: Column) -> Column:
     and stops are characters, from 0."""
     keys = sorted({key for _, key, _, _ in RULES})
     per_key = [
-        F.when(_has(text, key), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r)))).otherwise(
+        F.when(_may_match(text, key), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r)))).otherwise(
             F.array().cast("array<struct<start:int,stop:int,label:string,priority:int>>")
         )
         for key in keys

@@ -126,10 +126,12 @@ def _pack(capacity: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES) -> DataFrame:
-    """Add sequence_id and offset to rows of (doc_id, piece, length).
+    """Add sequence_id and offset to rows of (doc_id, piece, length), and the certificate of the
+    partition that packed them last: its ``bins``, and the ``bound`` below which no packing of
+    its pieces gets.  Where both are equal the partition is optimal.
 
-    Items must not be longer than ``capacity``.  Equal rows are packed as separate items.
-    The bin counts and bounds of the first round are in columns ``bins`` and ``bound``.
+    Items must not be longer than ``capacity``.  Equal rows are packed as separate items, items
+    of equal length in order of doc_id, then piece.
     """
     n = pieces.count()
     groups = max(1, -(-n // per_partition))
@@ -143,7 +145,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         bins, n_open, open_bins = packed.agg(F.count_if(F.expr("offset = 0")), F.count_if("open"), F.count_if(F.expr("open AND offset = 0"))).first()
         # a sequence is named by round, partition and bin
         name = F.lit(turn << 48) + F.shiftleft(F.col("key"), 24) + F.col("bin")
-        named = packed.select("open", "doc_id", "piece", "start", "length", "ids_crc32", name.alias("sequence_id"), "offset")
+        named = packed.select("open", "doc_id", "piece", "start", "length", "ids_crc32", name.alias("sequence_id"), "offset", "bins", "bound")
         if before is not None and bins >= before[1]:
             return done.unionByName(before[0])  # nothing is saved: the bins that were released stand
         final = named.where("NOT open").drop("open")
@@ -158,8 +160,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every
-    row: null texts are empty, null and repeated ids are packed like any other row, and an
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound) of every piece
+    of every row: null texts are empty, null and repeated ids are packed like any other row, and an
     empty table gives no row."""
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     return pack(materialise(pieces_of(docs, tokenizer, capacity, id_col, text_col), "op1-pieces"), capacity)

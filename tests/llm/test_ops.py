@@ -70,6 +70,8 @@ def test_op1_packs_everything_once(spark, sf_dir, coded, texts, odd, none):
     assert check_packed(rows, coded, texts) <= op1.lower_bound(np.array([r.length for r in rows]), op1.CAPACITY) + 1
     unique = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     check_packed(op1.pack_documents(unique).collect(), coded, {r.doc_id: r.text for r in unique.collect()})
+    parts = {(r.bins, r.bound) for r in rows}
+    assert len(parts) == 1 and all(bound <= bins <= bound + 1 for bins, bound in parts) and parts.pop()[0] == len({r.sequence_id for r in rows})
     whole = op1.pack_documents(odd).where("piece = 0").count()
     assert whole == odd.count() and op1.pack_documents(none).count() == 0
 
@@ -453,6 +455,20 @@ def test_op10_rules(spark):
     assert got[6] == ("apache", 0) and got[7] == ("mit", 1)
 
 
+NOTICES = {
+    "Mozilla Public License, v. 2.0": "mpl-2.0", "Eclipse Public License - v 2.0": "epl-2.0", "GNU Lesser General Public License, v. 3": "lgpl-3.0", "Artistic License v 2.0": "artistic-2.0", "Apache-2.0": "apache-2.0",
+    "Licensed under Apache 2.0": "apache-2.0", "MPL-2.0": "mpl-2.0", "GPL version 3": "gpl-3.0", "AGPLv3": "agpl-3.0", "EUPL v1.2": "eupl-1.2", "released under the MIT/X11 license": "mit", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "https://opensource.org/licenses/MIT": "mit", "LGPL-2.1": "lgpl-2.1", "GNU General Public License as published by the Free Software Foundation; either version 3 of the License": "gpl,gpl-3.0", "https://www.gnu.org/licenses/old-licenses/gpl-2.0.html": "gpl-2.0",
+    "https://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0", "EPL-2.0 OR GPL-2.0": "epl-2.0,gpl-2.0", "https://www.boost.org/LICENSE_1_0.txt": "bsl-1.0", "simplified examples of gplus and mplayer": "", "apache helicopters 2.0": "", "mit 11 x": "",
+}
+
+
+def test_op10_notices(spark):
+    df = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in op10.scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(NOTICES))] == list(NOTICES.values())
+
+
 def written_out(parsed, gap):
     """Texts that a rule's regex matches: each branch and option, with ``gap`` between words."""
     out = [""]
