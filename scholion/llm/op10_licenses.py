@@ -175,19 +175,24 @@ FORMS = (
 )
 SPDX = r"spdx-licen[cs]e-identifier:\s*"
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keywords, regex, priority), in order of their priority."""
-    names = list(NAMES)
+def names() -> list[tuple[str, str, str]]:
+    """(label, keywords, name): the hand-written names and those of Creative Commons."""
+    out = list(NAMES)
     for part, spelt in CC_PARTS:
         for version in CC_VERSIONS:
             short = part.replace("-", r"[\W_]*")
             long = r"creative[\W_]+commons[\W_]+attribution" + (rf"[\W_]+{spelt}" if spelt else "")
             tail = r"[\W_]+(?:version[\W_]*|v[\W_]*)?" + version.replace(".", r"\.") + r"\b"
-            names.append((f"cc-{part}-{version}", "cc by", rf"\bcc[\W_]*{short}{tail}"))
-            names.append((f"cc-{part}-{version}", "creative commons attribution", long + tail))
-    made = [(label, key, form.replace("N", name), priority) for label, key, name in names for priority, form in FORMS]
+            out.append((f"cc-{part}-{version}", "cc by", rf"\bcc[\W_]*{short}{tail}"))
+            out.append((f"cc-{part}-{version}", "creative commons attribution", long + tail))
+    return out
+
+
+def rules() -> list[tuple[str, str, str, int]]:
+    """(label, keywords, regex, priority), in order of their priority."""
+    made = [(label, key, form.replace("N", name), priority) for label, key, name in names() for priority, form in FORMS]
     made += [(label, key, r"[\W_]+".join(sentence.split(" ")), 75) for label, key, sentence in TEXTS]
-    labels = sorted({label for label, _, _ in names})
+    labels = sorted({label for label, _, _ in names()})
     made += [(label, "spdx", SPDX + label.replace(".", r"\.") + r"(?:-only|-or-later)?\b", 90) for label in labels]
     made += [
         (f"cc-{part}-{version}", "creativecommons", rf"creativecommons\.org/licen[cs]es/{part}/{version}".replace(".", r"\.").replace(r"\\.", r"\."), 85)
@@ -226,11 +231,22 @@ GATE = _gates()
 
 
 def _rule_array(keywords: str) -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rx).alias("regex"), F.lit(p).alias("priority")) for label, key, rx, p in RULES if key == keywords])
-
-
-def _spans(text: Column, rule: Column) -> Column:
-    """Intervals [start, stop) of all matches of a rule, from the pieces between them."""
+    """Rules of these keywords: what each must match to begin with, and its forms.  All forms of
+    a name hold the name, so they are tried only where it stands."""
+    named = {}
+    for label, key, name in names():
+        for priority, form in FORMS:
+            named[key, form.replace("N", name), priority] = name
+    grouped: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    for label, key, rx, priority in RULES:
+        if key == keywords:
+            grouped.setdefault((label, named.get((key, rx, priority), rx)), []).append((rx, priority))
+    forms = lambda rs: F.array(*[F.struct(F.lit(rx).alias("regex"), F.lit(p).alias("priority")) for rx, p in rs])
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(first).alias("first"), forms(rs).alias("forms")) for (label, first), rs in grouped.items()])
+
+
+def _spans(text: Column, label: Column, rule: Column) -> Column:
+    """Intervals [start, stop) of all matches of a form, from the pieces between them."""
     hits = F.regexp_extract_all(text, rule["regex"], F.lit(0))
     between = F.transform(F.slice(F.split(text, rule["regex"], -1), F.lit(1), F.size(hits)), lambda p: F.length(p))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
@@ -242,7 +258,12 @@ def _spans(text: Column, rule: Column) -> Column:
 
     pairs = F.zip_with(between, hits, lambda g, h: F.struct(g.alias("gap"), F.length(h).alias("size")))
     found = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-    return F.transform(found, lambda s: F.struct(s["start"], s["stop"], rule["label"].alias("label"), rule["priority"].alias("priority")))
+    return F.transform(found, lambda s: F.struct(s["start"], s["stop"], label.alias("label"), rule["priority"].alias("priority")))
+
+
+def _form_spans(text: Column, rule: Column) -> Column:
+    """Intervals of all forms of a rule."""
+    return F.flatten(F.transform(F.filter(rule["forms"], lambda f: F.rlike(text, f["regex"])), lambda f: _spans(text, rule["label"], f)))
 
 
 def _suppressed(x: Column, y: Column) -> Column:
@@ -257,7 +278,7 @@ def detections(text: Column) -> Column:
     and stops are characters, from 0."""
     keys = sorted({key for _, key, _, _ in RULES})
     per_key = [
-        F.when(_may_match(text, key), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["regex"])), lambda r: _spans(text, r)))).otherwise(
+        F.when(_may_match(text, key), F.flatten(F.transform(F.filter(_rule_array(key), lambda r: F.rlike(text, r["first"])), lambda r: _form_spans(text, r)))).otherwise(
             F.array().cast("array<struct<start:int,stop:int,label:string,priority:int>>")
         )
         for key in keys
