@@ -19,7 +19,7 @@ import math
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.llm.common import documents, materialise, private
@@ -34,6 +34,8 @@ BINS = {
     "symbols": (0.0, 0.002, 0.01, 0.02, 0.04, 0.08, 0.16),
     "word_length": (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 12.0),
     "digits": (0.0, 0.005, 0.02, 0.05, 0.1),
+    "capitals": (0.02, 0.05, 0.1, 0.3, 0.5),
+    "variety": (0.1, 0.2, 0.35, 0.5, 0.65, 0.8),
     "telling": (0.0, 1.0, 2.0, 4.0, 8.0),
 }
 STEPS = 30
@@ -79,6 +81,8 @@ def features(texts: DataFrame, lexicon: list[str]) -> DataFrame:
         "symbols": F.regexp_count(text, F.lit(r"[|#$%&*<>{}=_~^\\]")) / n,
         "word_length": F.char_length(text) / F.greatest(tokens, F.lit(1)),
         "digits": F.regexp_count(text, F.lit(r"[0-9]")) / n,
+        "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / n,
+        "variety": F.size(F.array_distinct(F.split(text, r"\s+"))) / F.greatest(tokens, F.lit(1)),
         "telling": F.size(found).cast("double") if lexicon else F.lit(0.0),
     }
 
@@ -92,20 +96,33 @@ def features(texts: DataFrame, lexicon: list[str]) -> DataFrame:
     return raw.select("doc_id", "tokens", *[binned(F.col(f"value_{k}"), BINS[k]).alias(f"bin_{k}") for k in BINS])
 
 
+def _alike(domain: int, feature: str) -> tuple[int, int]:
+    """Domains that share the distribution of a feature: telling words depend on toxicity alone,
+    the style of a text on its quality alone.  So the rarest domain, poor and toxic, is told by
+    what many other rows show."""
+    toxic, poor = domain % 2, domain // 2
+    return (toxic, toxic + 2) if feature == "telling" else (2 * poor, 2 * poor + 1)
+
+
 def posteriors(feats: DataFrame, labels: DataFrame) -> DataFrame:
     """Add p: the posterior of each of DOMAINS, by naive Bayes over the bins.  A domain of no
     labelled row has 0, unless none has any: then all are alike."""
     labelled = feats.join(labels, F.col("doc_id") == F.col("label_id"))
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"bin_{k}").alias("bin")) for k in BINS]))
     counted = labelled.select("domain", pairs.alias("x")).groupBy("domain", "x.feature", "x.bin").count().collect()  # domains x bins rows
-    n = {(r["domain"], r["feature"], r["bin"]): r["count"] for r in counted}
-    first = next(iter(BINS))
-    sizes = [sum(v for (d, f, _), v in n.items() if d == k and f == first) for k in range(len(DOMAINS))]
+    n: dict[tuple[int, str, int], int] = {}
+    sizes = [0] * len(DOMAINS)
+    for r in counted:
+        for d in _alike(r["domain"], r["feature"]):
+            n[d, r["feature"], r["bin"]] = n.get((d, r["feature"], r["bin"]), 0) + r["count"]
+        if r["feature"] == next(iter(BINS)):
+            sizes[r["domain"]] += r["count"]
     scores = []
     for d, size in enumerate(sizes):
         score = F.lit(math.log((size + 1) / (sum(sizes) + len(DOMAINS))))
         for f, ends in BINS.items():
-            logs = [math.log((n.get((d, f, b), 0) + 0.5) / (size + 0.5 * (len(ends) + 1))) for b in range(len(ends) + 1)]
+            rows = sum(n.get((d, f, b), 0) for b in range(len(ends) + 1))
+            logs = [math.log((n.get((d, f, b), 0) + 0.5) / (rows + 0.5 * (len(ends) + 1))) for b in range(len(ends) + 1)]
             score = score + F.element_at(F.array(*map(F.lit, logs)), F.col(f"bin_{f}") + 1)
         scores.append(score if size or not sum(sizes) else F.lit(float("-inf")))
     with_scores = feats.withColumn("scores", F.array(*scores))
@@ -187,6 +204,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
     return soft.withColumn("rate", F.round(rate, 9)).withColumn("copies", F.floor(F.col("rate") + share).cast("long"))
 
 
+def mix_report(rates: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """(domain, have, goal, reached, residual): expected tokens of each domain in the corpus, those
+    that the targets ask for, and those that the rates of ``mixing_rates`` give.  Residuals above
+    a millionth of all tokens are what bounds on the rates, or a fit that has not converged, leave."""
+    sums = lambda c: [F.sum(c * F.col("tokens") * F.col("p")[k]) for k in range(len(DOMAINS))]
+    one = rates.agg(F.array(*sums(F.lit(1.0))).alias("have"), F.array(*sums(F.col("rate"))).alias("reached"))
+    rows = one.select(F.posexplode(F.arrays_zip("have", "reached"))).select("pos", F.coalesce("col.have", F.lit(0.0)).alias("have"), F.coalesce("col.reached", F.lit(0.0)).alias("reached"))
+    share = F.when(F.col("have") > 0, F.element_at(F.array(*[F.lit(float(targets[d])) for d in DOMAINS]), F.col("pos") + 1)).otherwise(0.0)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    goal = F.coalesce(F.try_divide(F.col("share"), F.sum("share").over(every)), F.lit(0.0)) * F.sum("have").over(every)
+    out = rows.withColumn("share", share).withColumn("goal", goal)
+    return out.select(F.element_at(F.array(*map(F.lit, DOMAINS)), F.col("pos") + 1).alias("domain"), "have", "goal", "reached", (F.col("reached") - F.col("goal")).alias("residual"))
+
+
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says; with a ``max_rate`` of 1, no row is
     repeated, rows of domains in short supply all stay, and only what other domains have above
