@@ -224,6 +224,44 @@ def e3(spark, sf_dir):
     return assemble.assemble_folio(spans, _segments(spark, sf_dir))
 
 
+# All three forms of a reference, one of verses, and two that are rejected; folios of a
+# conversation are its id, then the next one's.
+FORMS_SQL = """SELECT DISTINCT conv_id AS ref_id, conv_id % 6 AS form, 1 + conv_id // 2 AS page, CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE 'b' END AS side FROM conversations"""
+
+
+def _formed_refs(spark, sf_dir):
+    c = _segments_ids(spark, sf_dir)
+    form, nxt = F.col("conv_id") % 6, F.col("conv_id") + 2
+    later = F.concat((1 + F.floor(nxt / 2)).cast("string"), F.when(nxt % 2 == 0, "a").otherwise("b"))
+    book = lambda *parts: F.concat(F.lit("Book "), *parts)
+    one, same, two = book("unit", F.lit(":2")), book("unit", F.lit(":1-2")), book("unit", F.lit(":2—"), later, F.lit(":1"))
+    ref = F.when(form == 0, one).when(form == 1, same).when(form == 2, two).when(form == 3, F.lit("Book without place")).otherwise(book("conv_id"))
+    kind = F.when(form == 4, "Biblical Story").when(form == 5, "Poem").when(form == 0, "MISHNAH").otherwise("sugya")
+    verses = F.when(form == 4, F.array(F.lit("Book 1:1"), F.lit("Book 1:2"), F.lit("Book 3:2"))).otherwise(F.array().cast("array<string>"))
+    return c.select(F.col("conv_id").alias("ref_id"), kind.alias("type"), ref.alias("full_ref"), verses.alias("ref_list"))
+
+
+@query("e1_reference_forms", f"""WITH c AS ({FORMS_SQL}), s AS (SELECT ref_id, form, page || side AS folio, 0 AS pos, CASE form WHEN 1 THEN 1 ELSE 2 END AS first, CASE form WHEN 2 THEN NULL ELSE 2 END AS last FROM c WHERE form < 3
+    UNION ALL SELECT ref_id, form, CASE side WHEN 'a' THEN page || 'b' ELSE (page + 1) || 'a' END, 1, 1, NULL FROM c WHERE form = 2 UNION ALL SELECT ref_id, form, (page + 1) || side, 2, 1, 1 FROM c WHERE form = 2)
+    SELECT ref_id, folio, pos AS folio_pos, first, last FROM s""")
+def e1b(spark, sf_dir):
+    """One segment, a range in a folio, a range over folios with the folio between."""
+    spans, _ = assemble.parse_folio_refs(_formed_refs(spark, sf_dir).where("type IN ('sugya', 'MISHNAH')"))
+    return spans.select("ref_id", "folio", "folio_pos", "first", "last")
+
+
+@query("e5_forms", f"""WITH c AS ({FORMS_SQL}), t AS (SELECT conv_id, turn + 1 AS n, role FROM conversations),
+  h AS (SELECT c.ref_id, 0 AS pos, n, role FROM c JOIN t ON t.conv_id = c.ref_id WHERE (form IN (0, 1, 2) AND n >= CASE form WHEN 1 THEN 1 ELSE 2 END AND (form = 2 OR n <= 2))
+    UNION ALL SELECT c.ref_id, 1, n, role FROM c JOIN t ON t.conv_id = c.ref_id + 1 WHERE form = 2 UNION ALL SELECT c.ref_id, 2, n, role FROM c JOIN t ON t.conv_id = c.ref_id + 2 WHERE form = 2 AND n = 1)
+  SELECT ref_id, 'passage' AS part, string_agg(role, '' ORDER BY pos, n, role) AS heb FROM h GROUP BY ref_id
+  UNION ALL SELECT ref_id, 'reject', NULL FROM c WHERE form IN (3, 5)""")
+def e5b(spark, sf_dir):
+    """Folios and their rejects: a reference of no form, a type that is not assembled."""
+    refs = _formed_refs(spark, sf_dir)
+    found, rejects = assemble.assemble_passages(refs.where("type <> 'Biblical Story'"), _segments(spark, sf_dir))
+    return found.select("ref_id", F.lit("passage").alias("part"), "heb").unionByName(rejects.select("ref_id", F.lit("reject").alias("part"), F.lit(None).cast("string").alias("heb")))
+
+
 def _verse_refs(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     refs = F.collect_list(F.concat(F.lit("Book "), (1 + F.col("conv_id")).cast("string"), F.lit(":"), (F.col("turn") + 1).cast("string")))
