@@ -8,8 +8,9 @@ away), and updates the sums on the way to the root.  The count of the edited doc
 root.
 
 Trees are stored as two arrays (characters and tokens of the leaves) beside the key of their
-text; edits arrive as a table.  A document's edits meet its tree in one join on small rows,
-and both meet its text in another, so that text is shuffled once.
+text; edits arrive as a table.  A filter of the edited ids, of a fixed size, tells which rows
+may have edits.  All others are answered from the stored sums, and their text is read where it
+stands; only texts that may have edits are shuffled, once, to meet their tree and their edits.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.llm.common import documents, materialise, ship
@@ -27,6 +28,8 @@ from scholion.llm.tokens import coder
 
 #: Chunks in a leaf.
 LEAF = 64
+#: Bits of the filter of edited ids: 16 MB, in at most 4096 rows that are broadcast.
+FILTER_BITS = 1 << 27
 _SPACE = re.compile(r"[\x09-\x0D\x20]+")
 _WHITE = "\x09\x0a\x0b\x0c\x0d\x20"
 
@@ -175,22 +178,56 @@ def apply_edits(trees: DataFrame, tokenizer: str | None = None, leaf: int = LEAF
     return trees.select("doc_id", "text", "chars", "tokens", "edits").mapInPandas(run, COUNTS)
 
 
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+
+
+def edit_filter(edits: DataFrame) -> DataFrame:
+    """(filter_row, bitmap): the bits of the ids that have edits, in rows of 32,768 bits."""
+    bits = edits.where("doc_id IS NOT NULL").select(_bit().alias("bit"))
+    return bits.groupBy(F.bitmap_bucket_number("bit").alias("filter_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+
+
+def _flagged(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false where the filter says that doc_id has no edit."""
+    place = F.bitmap_bit_position(_bit())
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.when(F.col("doc_id").isNotNull(), F.getbit(byte, (place % 8).cast("int")) == 1)
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(_bit()) == F.col("filter_row"), "left")
+    return met.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("filter_row", "bitmap")
+
+
 def count_with_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every row of ``docs``, whose stored ``trees`` are given, before and after the
     rows of ``edits`` (doc_id, seq, start, stop, new).
 
     The edits of one document are applied in order of seq (ties by place and text) by one task,
     as each depends on the text that the one before left.  Edits of unknown or null ids are
-    ignored; rows that repeat an id all take its edits.  A very long text is one row, as it is
-    in ``docs``.  An empty table gives no row.
+    ignored; rows that repeat an id all take its edits.  Rows without edits get their stored
+    sums, empty texts among them without a join (no token, one empty leaf).  Where the filter
+    takes an id for an edited one by chance, the row goes the longer way to the same counts.  A
+    very long text is one row, as it is in ``docs``.  An empty table gives no row.
     """
+    bits = edit_filter(edits)
+    texts, stored = _flagged(_texts(docs, id_col, text_col), bits), _flagged(trees, bits)
+    same = F.col("doc_id").eqNullSafe(F.col("tree_id")) & (F.col("text_key") == F.col("tree_key"))
+    tree_keys = [F.col("doc_id").alias("tree_id"), F.col("text_key").alias("tree_key")]
+
     listed = edits.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("edit_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", "new"))), lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["new"].alias("new"))).alias("edits")
     )
-    kept = trees.dropDuplicates(["doc_id", "text_key"]).join(listed, F.col("doc_id") == F.col("edit_id"), "left")
-    kept = kept.select(F.col("doc_id").alias("tree_id"), F.col("text_key").alias("tree_key"), "chars", "tokens", "edits")
-    same = F.col("doc_id").eqNullSafe(F.col("tree_id")) & (F.col("text_key") == F.col("tree_key"))
-    return apply_edits(_texts(docs, id_col, text_col).join(kept, same), tokenizer)
+    kept = stored.where("maybe").dropDuplicates(["doc_id", "text_key"]).join(listed, F.col("doc_id") == F.col("edit_id"), "left")
+    edited = apply_edits(texts.where("maybe").join(kept.select(*tree_keys, "chars", "tokens", "edits"), same), tokenizer)
+
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + x)
+    sums = stored.where("NOT maybe").select(*tree_keys, total.alias("total"), F.size("tokens").cast("long").alias("leaves"))
+    sums = sums.groupBy("tree_id", "tree_key").agg(F.max("total").alias("total"), F.max("leaves").alias("leaves"))
+    plain = texts.where("NOT maybe").select("doc_id", "text_key", (F.col("text") == "").alias("is_empty"))
+    none = F.lit(0).cast("long")
+    answer = lambda total, leaves: ["doc_id", total.alias("tokens_before"), total.alias("tokens_after"), leaves.alias("leaves"), none.alias("leaves_encoded"), none.alias("edits")]
+    summed = plain.where("NOT is_empty").join(sums, same).select(*answer(F.col("total"), F.col("leaves")))
+    empty = plain.where("is_empty").select(*answer(none, F.lit(1).cast("long")))
+    return edited.unionByName(summed).unionByName(empty)
 
 
 def edits_of(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import cached, documents, give_back, keep_only, materialise, private, ship
+from scholion.llm.common import HEAVY, cached, documents, give_back, keep_only, materialise, private, ship
 
 BANDS = 30
 ROWS = 5
@@ -180,15 +180,27 @@ class _Links:
 
     def __init__(self, spark: SparkSession, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.edges = self.tested = spark.createDataFrame([], "a long, b long")
+        self.tested = spark.createDataFrame([], "a long, b long")
         self.parts = spark.createDataFrame([], "doc_id long, component_id long")
 
     def test(self, pairs: DataFrame) -> None:
         found = materialise(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "op7-pairs")
         alike = F.col("shared") * 100 >= (F.col("m") + F.col("n") - F.col("shared")) * self.percent
         links = materialise(similarity(found, self.sets).where(alike).select("a", "b"), "op7-links")
-        self.tested, self.edges = self.tested.unionByName(found), self.edges.unionByName(links)
-        self.parts = components(self.edges)
+        self.tested = self.tested.unionByName(found)
+        self.join(links)
+
+    def join(self, links: DataFrame) -> None:
+        """Join components by new links: their ends are contracted to the components they are in,
+        so that only links between components are followed."""
+        ends = links
+        for end in ("a", "b"):
+            at = self.parts.select(F.col("doc_id").alias(end), F.col("component_id").alias("at"))
+            ends = ends.join(at, end, "left").withColumn(end, F.coalesce("at", end)).drop("at")
+        moved = components(ends.where("a <> b"))
+        to = moved.select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("to"))
+        old = self.parts.join(to, "component_id", "left").select("doc_id", F.coalesce("to", "component_id").alias("component_id"))
+        self.parts = materialise(old.unionByName(moved.join(self.parts, "doc_id", "left_anti")), "op7-parts")
 
     def placed(self, rows: DataFrame) -> DataFrame:
         return rows.drop("part").join(self.parts, "doc_id", "left").withColumn("part", F.coalesce("component_id", "doc_id")).drop("component_id")
@@ -245,6 +257,16 @@ class _Links:
         return one.join(two, "bucket").where(fits & first).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
 
 
+def _placed_in(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """``rows`` with the part of their text.  Texts of more than 1/HEAVY of all rows, fewer than
+    HEAVY of them, are broadcast, so no task of the join gets such a group."""
+    n = int(whole.agg(F.sum("n_rows")).first()[0] or 0)
+    large = (F.col("n_rows") * HEAVY) > n
+    tagged = rows.join(F.broadcast(whole.where(large).drop("n_rows")), ["low", "high"], "left")
+    rest = tagged.where("part IS NULL").drop("part").join(whole.where(~large).drop("n_rows"), ["low", "high"])
+    return tagged.where("part IS NOT NULL").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.  Shingles have ``size`` words.
 
@@ -259,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts.mapInPandas(_signatures(bands, rows, size), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "op7-signed"
     )
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    firsts = materialise(linkable.groupBy("low", "high").agg(F.min("doc_id").alias("rep")), "op7-firsts")
+    firsts = materialise(linkable.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "op7-firsts")
     same = [F.col("low") == F.col("f_low"), F.col("high") == F.col("f_high")]
     rep_rows = linkable.join(
         firsts.select(F.col("low").alias("f_low"), F.col("high").alias("f_high"), "rep"), [*same, F.col("doc_id") == F.col("rep")], "left_semi"
@@ -288,11 +310,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = state.parts
 
     whole = materialise(
-        firsts.join(parts.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("low", "high", F.coalesce("component_id", "rep").alias("part")),
+        firsts.join(parts.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("low", "high", "n_rows", F.coalesce("component_id", "rep").alias("part")),
         "op7-whole",
     )
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = linkable.drop("bands").join(whole, ["low", "high"]).select("doc_id", "n_shingles", F.col("part").alias("component_id"))
+    linked = _placed_in(linkable.drop("bands"), whole).select("doc_id", "n_shingles", F.col("part").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -127,6 +127,30 @@ def test_op2_counts_after_edits(spark, coded, odd, texts):
     assert op2.count_with_edits(odd, op2.build_trees(odd), edits).count() == odd.count()
     none = odd.where("false")
     assert op2.count_with_edits(none, op2.build_trees(none), edits).count() == 0
+    unedited = op2.count_with_edits(odd, op2.build_trees(odd), edits.where("false")).collect()
+    assert len(unedited) == odd.count() and all(r.tokens_before == r.tokens_after and r.leaves_encoded == r.edits == 0 for r in unedited)
+    assert sorted(r.tokens_after for r in unedited) == sorted(count(r.text or "") for r in odd.collect())
+
+
+@pytest.mark.parametrize("bits", [1, 7, 1 << 27])
+def test_op2_shuffles_edited_texts_only(spark, coded, odd, monkeypatch, bits):
+    """Counts do not depend on the filter: one bit takes every id for an edited one."""
+    count = lambda t: len(ids_of(coded, t)) // 4
+    monkeypatch.setattr(op2, "FILTER_BITS", bits)
+    edits = spark.createDataFrame([(5, 0, 4, 7, "dog"), (10, 0, 0, 5, ""), (None, 0, 0, 1, "x"), (999, 0, 0, 1, "x")], "doc_id long, seq int, start int, stop int, new string")
+    got = op2.count_with_edits(odd, op2.build_trees(odd), edits).collect()
+    want = []
+    for r in odd.collect():
+        before, after = r.text or "", r.text or ""
+        if r.doc_id == 5:
+            after = after[:4] + "dog" + after[7:]
+        if r.doc_id == 10:
+            after = after[5:]
+        want.append((str(r.doc_id), count(before), count(after), int(r.doc_id in (5, 10))))
+    assert sorted((str(r.doc_id), r.tokens_before, r.tokens_after, r.edits) for r in got) == sorted(want)
+    if bits > 7:
+        flags = {r.doc_id for r in op2._flagged(odd.select("doc_id"), op2.edit_filter(edits)).where("maybe").collect()}
+        assert flags == {5, 10}
 
 
 def test_op2_query(spark, sf_dir, coded, docs):
