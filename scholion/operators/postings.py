@@ -53,9 +53,9 @@ def build_postings(pairs: DataFrame, numbered: DataFrame) -> DataFrame:
     """(facet, value, bucket, n, places, bits) of (key, facet, value) and numbered passages."""
     at = pairs.join(numbered.select("key", "bucket", "place"), "key").groupBy("facet", "value", "bucket").agg(F.array_sort(F.collect_set("place")).alias("places"))
     counted = at.withColumn("n", F.size("places"))
-    # groups are together already: the bitmaps of the dense ones need no other exchange
-    dense = counted.where(F.col("n") >= DENSE).select("facet", "value", "bucket", "n", "places", F.explode("places").alias("place"))
-    dense = dense.groupBy("facet", "value", "bucket").agg(F.first("n").alias("n"), F.first("places").alias("places"), F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
+    # groups are together already: the dense ones need no other exchange, and their rows carry one place, never the list
+    dense = counted.where(F.col("n") >= DENSE).select("facet", "value", "bucket", F.explode("places").alias("place"))
+    dense = dense.groupBy("facet", "value", "bucket").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("place")).alias("places"), F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
     sparse = counted.where(F.col("n") < DENSE).select("facet", "value", "bucket", "n", "places", F.lit(None).cast("binary").alias("bits"))
     return sparse.unionByName(dense)
 
@@ -72,13 +72,18 @@ def _bitmaps(postings: DataFrame) -> DataFrame:
     return sparse.unionByName(postings.where("bits IS NOT NULL").select("facet", "bucket", "bits")).groupBy("facet", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def matching(postings: DataFrame, facets: dict[str, Sequence[str]]) -> DataFrame:
+def matching(postings: DataFrame, facets: dict[str, Sequence[str] | DataFrame]) -> DataFrame:
     """(bucket, bits) of the passages that have a value of every facet that is asked for."""
     asked = {f: v for f, v in facets.items() if v}
     wanted = F.lit(False)
     for facet, values in asked.items():
-        wanted = wanted | ((F.col("facet") == facet) & F.col("value").isin(*values))
-    found = _bitmaps(postings.where(wanted)).groupBy("bucket").agg(F.count("*").alias("facets"), F.bitmap_and_agg("bits").alias("bits"))
+        if not isinstance(values, DataFrame):
+            wanted = wanted | ((F.col("facet") == facet) & F.col("value").isin(*values))
+    kept = postings.where(wanted)
+    for facet, values in asked.items():
+        if isinstance(values, DataFrame):
+            kept = kept.unionByName(postings.where(F.col("facet") == facet).join(values.select("value").distinct(), "value", "left_semi"))
+    found = _bitmaps(kept).groupBy("bucket").agg(F.count("*").alias("facets"), F.bitmap_and_agg("bits").alias("bits"))
     return found.where(F.col("facets") == len(asked)).select("bucket", "bits")
 
 
@@ -88,9 +93,10 @@ def has_bit(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0
 
 
-def facet_passages(postings: DataFrame, numbered: DataFrame, **facets: Sequence[str]) -> DataFrame:
+def facet_passages(postings: DataFrame, numbered: DataFrame, **facets: Sequence[str] | DataFrame) -> DataFrame:
     """Numbered passages by type, entity, rel, source and book: any value within a
-    facet, every facet that has values; all of them where none has."""
+    facet, every facet that has values; all of them where none has.  Values are a list or, where
+    there are many, a table (value), of which every row counts as asked for."""
     if not any(facets.values()):
         return numbered
     hits = matching(postings, facets)
