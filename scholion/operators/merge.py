@@ -6,6 +6,8 @@ entity_type, final_name, names, merged).
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,10 +139,8 @@ def repoint_meta(meta: DataFrame, mapping: DataFrame, rel_map: DataFrame) -> Dat
 class _Names:
     """Which entities have which name while a component's rows are worked off."""
 
-    def __init__(self, hits: pd.DataFrame):
+    def __init__(self):
         self.of: dict[str, list[str]] = {}
-        for name, key in zip(hits["name"], hits["key"], strict=True):
-            self.of.setdefault(name, []).append(key)
         self.steps: dict[str, list[tuple[str, str, str | None]]] = {}
 
     def merge(self, final: str, names: list[str]) -> str:
@@ -168,13 +168,21 @@ class _Names:
 _REPLAYED = "list string, row long, status string, target_key string, pos int, kind string, key string, final_name string"
 
 
+#: Rows that one group works off, on average.
+ROWS = 4096
+
+
 def _replay(rows: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-    """One component's rows in order: the status of each, and the steps of each target."""
-    state, out = _Names(hits), []
+    """The rows of some components in order: the status of each, and the steps of each target."""
+    states: dict[str, _Names] = defaultdict(_Names)
+    for part, name, key in zip(hits["part"], hits["name"], hits["key"], strict=True):
+        states[part].of.setdefault(name, []).append(key)
+    out = []
     for r in rows.sort_values(["list", "row"]).itertuples():
-        out.append((r.list, r.row, state.merge(r.final_name, list(r.names)), None, None, None, None, None))
-    for target, steps in state.steps.items():
-        out += [(None, None, None, target, pos, *step) for pos, step in enumerate(steps)]
+        out.append((r.list, r.row, states[r.component].merge(r.final_name, list(r.names)), None, None, None, None, None))
+    for state in states.values():
+        for target, steps in state.steps.items():
+            out += [(None, None, None, target, pos, *step) for pos, step in enumerate(steps)]
     columns = ["list", "row", "status", "target_key", "pos", "kind", "key", "final_name"]
     return pd.DataFrame(out, columns=columns).astype({"row": "Int64", "pos": "Int32"})
 
@@ -184,9 +192,9 @@ def replay_merge(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataF
 
     Rows depend on each other only through names that they share, their final names among them;
     the components of that graph are found by pointer jumping, so a chain of n rows takes log n
-    rounds, and each is worked off in order in one group.  A group holds names and keys of a list
-    that is kept by hand, never entities.  A name of two entities stays ambiguous for good, so two
-    keys a name are enough.  A row is at its turn by list, then row.
+    rounds, and each is worked off in order in one group, together with others of its bin.
+    A group holds names and keys of a list that is kept by hand, never entities.  A name of two
+    entities stays ambiguous for good, so two keys a name are enough.  A row is at its turn by list, then row.
     """
     ship(rows.sparkSession)
     done = F.lower(F.trim(F.coalesce("merged", F.lit("")))).isin("true", "yes", "1")
@@ -203,7 +211,10 @@ def replay_merge(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataF
     turns = turns.select("component", "list", "row", "final_name", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
     known = entities.groupBy(F.concat_ws("\x1f", F.lit("name"), "entityType", F.lower("display_en_name")).alias("node"), F.lower("display_en_name").alias("name")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
     hits = known.join(parts, "node").select(F.col("component").alias("part"), "name", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
-    out = cut_lineage(turns.groupBy("component").cogroup(hits.groupBy("part")).applyInPandas(_replay, _REPLAYED), "merge-replayed")
+    # most components are a few rows: many of them share a call of Python, and no call has many rows of others
+    groups = max(1, -(-rows.count() // ROWS))
+    dealt = lambda df, by: df.withColumn(f"{by}_bin", F.pmod(F.xxhash64(by), F.lit(groups))).repartition(groups, f"{by}_bin").groupBy(f"{by}_bin")
+    out = cut_lineage(dealt(turns, "component").cogroup(dealt(hits, "part")).applyInPandas(_replay, _REPLAYED), "merge-replayed")
     own = out.where("status IS NOT NULL").select("list", "row", "status")
     statuses = rows.join(own, ["list", "row"], "left").withColumn("status", F.coalesce("ruled", "status")).drop("ruled")
     return statuses, out.where("kind IS NOT NULL").select("target_key", "pos", "kind", "key", "final_name")
