@@ -147,8 +147,11 @@ def generation_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     and siblings level; the first visit counts, smallest level first among equals; nodes that
     are not reached have level 0."""
     step = F.when(F.col("label").isin("Father", "Mother"), -1).otherwise(0)
-    moves = edges.select("center", F.col("source").alias("at"), F.col("target").alias("key"), step.alias("step"), "label").unionByName(
-        edges.select("center", F.col("target").alias("at"), F.col("source").alias("key"), (-step).alias("step"), "label")
+    # the rounds read what is stored: plans of nodes and edges would run again in each
+    nodes = cut_lineage(nodes.select("center", "key", "is_center"), "level-nodes")
+    edges = cut_lineage(edges.select("center", "source", "target", "label"), "level-edges")
+    moves = edges.select("center", F.col("source").alias("at"), F.col("target").alias("key"), step.alias("step")).unionByName(
+        edges.select("center", F.col("target").alias("at"), F.col("source").alias("key"), (-step).alias("step"))
     )
     levels = cut_lineage(nodes.where("is_center").select("center", "key", F.lit(0).alias("level")), "levels")
     frontier = levels
