@@ -68,13 +68,22 @@ def _small(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Entities whose trigrams one task makes.
+NAMED = 100_000
+
+
 def name_trigrams(entities: DataFrame) -> DataFrame:
-    """(trigram, key): all runs of three characters of an entity's names, once each."""
+    """(trigram, key): all runs of three characters of an entity's names, once for each row.
+
+    A row's runs are made distinct within the row, so nothing is grouped, and a task has NAMED
+    rows, however few files hold them.
+    """
     empty = F.array().cast("array<string>")
     names = F.concat(F.array(*NAME_COLUMNS), *[F.coalesce(c, empty) for c in NAME_LISTS])
-    each = entities.select("key", F.explode(F.array_distinct(F.array_compact(names))).alias("name")).select("key", _small(F.col("name")).alias("name"))
-    grams = F.transform(F.sequence(F.lit(1), F.char_length("name") - 2), lambda i: F.substr("name", i, F.lit(3)))
-    return each.where("char_length(name) >= 3").select(F.explode(F.array_distinct(grams)).alias("trigram"), "key").distinct()
+    dealt = entities.select("key", F.array_distinct(F.transform(F.array_compact(names), _small)).alias("names")).repartition(max(1, -(-entities.count() // NAMED)), "key")
+    grams = lambda name: F.transform(F.sequence(F.lit(1), F.char_length(name) - 2), lambda i: F.substr(name, i, F.lit(3)))
+    long = F.filter("names", lambda name: F.char_length(name) >= 3)
+    return dealt.select(F.explode(F.array_distinct(F.flatten(F.transform(long, grams)))).alias("trigram"), "key")
 
 
 def required_texts(pattern: str) -> list[set[str]] | None:
@@ -126,7 +135,7 @@ def search_names_indexed(entities: DataFrame, trigrams: DataFrame, pattern: str,
         return search_names(entities, pattern, entity_type, literal)
     hits = None
     for grams in needed:
-        own = trigrams.where(F.col("trigram").isin(*sorted(grams))).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("key")
+        own = trigrams.where(F.col("trigram").isin(*sorted(grams))).groupBy("key").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select("key")
         hits = own if hits is None else hits.unionByName(own)
     return search_names(entities.join(hits, "key", "left_semi"), pattern, entity_type, literal)
 
