@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholion import dims
 from scholion.functions.text import match_fixed
-from scholion.operators.lookup import unenriched_entities
+from scholion.operators.lookup import bridge, has_metadata
 
 ENUMS = {"timePeriod": dims.TIME_PERIODS, "placeType": dims.PLACE_TYPES, "symbolType": dims.SYMBOL_TYPES}
 #: Fields that a patch may set, by the entity types that have them; None is every type.
@@ -111,7 +111,8 @@ def add_display_names(patches: DataFrame, entities: DataFrame) -> DataFrame:
 
 def enrichment_worklist(meta: DataFrame, entities: DataFrame) -> DataFrame:
     """(key, todo): passages with entities to enrich, and these as JSON in key order."""
-    todo = unenriched_entities(meta, entities).join(entities.select(F.col("key").alias("entity_key"), "display_en_name", "entityType"), "entity_key")
+    lacking = entities.where(~has_metadata()).select(F.col("key").alias("entity_key"), "display_en_name", "entityType")
+    todo = bridge(meta, "entity_keys", "entity_key").join(lacking, "entity_key")
     return todo.groupBy("key").agg(F.to_json(F.array_sort(F.collect_list(F.struct("entity_key", "display_en_name", "entityType")))).alias("todo"))
 
 

@@ -93,7 +93,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """passage_meta: (key, source_type, summary_en, summary_heb, passage_types, entity_keys, rel_keys)."""
-    ents = derive(spark, sf_dir, "passage_entity").groupBy("key").agg(F.array_sort(F.collect_set("entity_key")).alias("entity_keys"))
+    ents = mentions(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_set("entity_key")).alias("entity_keys"))
     rows = derive(spark, sf_dir, "passage_rows")
     return rows.join(ents, "key").select(
         "key", F.substring("key", 1, 2).alias("source_type"), "summary_en", "summary_heb", F.array("passage_type").alias("passage_types"), "entity_keys", F.array("rel_key").alias("rel_keys")
