@@ -110,16 +110,43 @@ def build_entities(ents: DataFrame, existing: DataFrame | None = None, strict: b
     return out.join(old, "identity", "left").withColumn("is_new", F.col("old_key").isNull()).withColumn("key", F.coalesce("old_key", entity_key(F.col("identity")))).drop("old_key")
 
 
+def with_entity_keys(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows with an ``identity`` (which may be null) and the ``key`` of its entity, null without one.
+
+    Entities of more than a thousandth of all mentions (fewer than 1,000) are met by a
+    broadcast, and their rows spread by passage: else one task would get all rows of one entity.
+    """
+    total = entities.agg(F.sum("mentions").alias("total"))
+    common = entities.crossJoin(F.broadcast(total)).where("mentions * 1000 > total").select("identity", F.col("key").alias("common_key"))
+    met = mentions.join(F.broadcast(common), "identity", "left")
+    at = F.coalesce(F.when(F.col("common_key").isNull(), F.col("identity")), F.concat(F.lit("\x1f"), F.coalesce("passage", F.lit(""))))
+    rare = entities.select(F.col("identity").alias("at"), F.col("key").alias("rare_key"))
+    return met.withColumn("at", at).join(rare, "at", "left").withColumn("key", F.coalesce("common_key", "rare_key")).drop("at", "common_key", "rare_key")
+
+
+#: Mentions that one task of resolve_term_keys joins, about.
+MENTIONS = 500_000
+
+
 def resolve_term_keys(terms: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(passage, term, key) for (passage, term): the passage's own mention first, by
     category order, else any entity of the name by category order; numbers are found by their
-    passage only.  Null where nothing has the name."""
+    passage only.  Null where nothing has the name.  Only mentions that a term of their passage
+    names get a key."""
     rank = F.broadcast(dims.entity_types(terms.sparkSession).select(F.col("entity_type").alias("category"), F.col("ordinal").alias("rank")))
     low = terms.select("passage", "term", F.lower("term").alias("low")).distinct()
-    keyed = with_identity(mentions).join(entities.select("identity", "key"), "identity").join(rank, "category")
-    local = keyed.groupBy("passage", F.lower("name").alias("low")).agg(F.min_by("key", F.struct("rank", "key")).alias("local_key"))
+    own = with_identity(mentions).join(rank, "category").select("passage", F.lower("name").alias("low"), "identity", "rank")
+    at = ["passage", "low"]
+    # tasks of a bounded number of rows; fewer than the usual partitions would be shuffled again
+    spark = terms.sparkSession
+    parts = (entities.agg(F.sum("mentions")).first()[0] or 0) // MENTIONS
+    if parts > spark.sparkContext.defaultParallelism:
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        low, own = low.repartition(parts, *at), own.repartition(parts, *at)
+    named = low.join(own, at, "left")
+    local = with_entity_keys(named, entities).groupBy("passage", "term", "low").agg(F.min_by("key", F.struct("rank", "key")).alias("local_key"))
     by_name = entities.where("category <> 'Number'").join(rank, "category").groupBy(F.lower("name").alias("low")).agg(F.min_by("key", F.struct("rank", "key")).alias("any_key"))
-    return low.join(local, ["passage", "low"], "left").join(by_name, "low", "left").select("passage", "term", F.coalesce("local_key", "any_key").alias("key"))
+    return local.join(by_name, "low", "left").select("passage", "term", F.coalesce("local_key", "any_key").alias("key"))
 
 
 def build_rels(rels: DataFrame, term_keys: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -143,7 +170,7 @@ def build_meta(passages: DataFrame, mentions: DataFrame, entities: DataFrame, pa
     """Passages (key, ...) with the sorted sets of their entity and rel keys, empty for
     passages that mention nothing."""
     empty = F.array().cast("array<string>")
-    ek = with_identity(mentions).join(entities.select("identity", "key"), "identity").groupBy(F.col("passage").alias("p")).agg(F.array_sort(F.collect_set("key")).alias("entity_keys"))
+    ek = with_entity_keys(with_identity(mentions).select("passage", "identity").distinct(), entities).groupBy(F.col("passage").alias("p")).agg(F.array_sort(F.collect_set("key")).alias("entity_keys"))
     rk = passage_rels.groupBy(F.col("passage").alias("q")).agg(F.array_sort(F.collect_set("rel_key")).alias("rel_keys"))
     out = passages.join(ek, F.col("key") == F.col("p"), "left").join(rk, F.col("key") == F.col("q"), "left").drop("p", "q")
     return out.withColumn("entity_keys", F.coalesce("entity_keys", empty)).withColumn("rel_keys", F.coalesce("rel_keys", empty))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from scholion.functions import text
+from scholion.functions.shared import cut_lineage
 from scholion.operators import enrich, extract, merge, resolve
 from scholion.plans.derived import derive, meta
 from scholion.plans.registry import query
@@ -283,7 +284,7 @@ def _graph(spark, sf_dir):
 )
 def g8(spark, sf_dir):
     m = _long_mentions(spark, sf_dir)
-    e = resolve.build_entities(m)
+    e = cut_lineage(resolve.build_entities(m), "term-entities")
     terms = _sql(spark, sf_dir, GRAPH_RELS).select("passage", F.col("term2").alias("term"))
     keyed = resolve.resolve_term_keys(terms, m, e)
     return keyed.where("key IS NOT NULL").select("passage", "term", F.lit(True).alias("found"))
@@ -304,7 +305,7 @@ def g8b(spark, sf_dir):
     m = _long_mentions(spark, sf_dir)
     rels = _sql(spark, sf_dir, GRAPH_RELS)
     terms = rels.select("passage", F.col("term1").alias("term")).unionByName(rels.select("passage", F.col("term2").alias("term")))
-    return resolve.resolve_term_keys(terms, m, resolve.build_entities(m))
+    return resolve.resolve_term_keys(terms, m, cut_lineage(resolve.build_entities(m), "term-entities"))
 
 
 @query("g9_rels", f"WITH {KEYED_SQL} SELECT DISTINCT 'r' || substring(sha256(rel_type || chr(31) || key1 || chr(31) || key2), 1, 24) AS key, rel_type, key1 AS term1, key2 AS term2 FROM keyed WHERE key1 IS NOT NULL AND key2 IS NOT NULL")
