@@ -92,11 +92,19 @@ def navigation_links(entities: DataFrame, rels: DataFrame, keys: DataFrame | Non
 def family_graph(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with the sibling classes of ``family_classes`` written out as edges."""
     nodes, edges, classes = family_classes(entities, rels, centers, depth)
-    members = classes.select("center", "parent", F.explode("members").alias("self"))
-    pairs = expand_classes(classes, members, ("center",)).where("self < sibling")
+    # a class of one row has its pairs within it; only larger ones are joined
+    small = classes.where(F.col("n") <= MEMBERS).select("center", "members", F.explode("members").alias("self"))
+    small = small.select("center", "self", F.explode(F.filter("members", lambda x: x > F.col("self"))).alias("sibling"))
+    large = classes.where(F.col("n") > MEMBERS)
+    pairs = expand_classes(large, large.select("center", "parent", F.explode("members").alias("self")), ("center",)).where("self < sibling").unionByName(small).distinct()
     return nodes, edges.unionByName(pairs.select("center", F.col("self").alias("source"), F.col("sibling").alias("target"), F.lit("Sibling").alias("label"), F.lit("sibling").alias("kind")))
 
 
+def family_nodes(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int) -> DataFrame:
+    """The nodes of ``family_classes`` alone, without keeping an edge."""
+    return _grown(entities, rels, centers, depth, [])[0]
+
+
 def family_classes(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, sibling classes) within ``depth`` hops (1 to 10) of each centre (key).
 
@@ -106,6 +114,20 @@ def family_classes(entities: DataFrame, rels: DataFrame, centers: DataFrame, dep
     siblings are always complete, and children of one known parent are one class (center, parent,
     n, part, members).  An unknown centre has no graph.
     """
+    nodes_out, nodes, edges = _grown(entities, rels, centers, depth, ["rel_key", "rel_type", "term1", "term2"])
+    # an edge that was met twice is one of its pair, as are rels of one type
+    pair = Window.partitionBy("center", "rel_type", F.least("term1", "term2"), F.greatest("term1", "term2")).orderBy("rel_key")
+    real = edges.withColumn("n", F.row_number().over(pair)).where("n = 1")
+    label = F.when(F.col("rel_type") == "childOfFather", "Father").when(F.col("rel_type") == "childOfMother", "Mother").otherwise("Spouse")
+    shown = real.select("center", F.col("term1").alias("source"), F.col("term2").alias("target"), label.alias("label"), F.lit("rel").alias("kind"))
+    child = edges.where("rel_type <> 'spouseOf'").select("center", F.col("term1").alias("key"), F.col("term2").alias("parent")).distinct().join(nodes.select("center", "key"), ["center", "key"], "left_semi")
+    classes = cut_lineage(sibling_classes(child.select("center", "parent", F.col("key").alias("self")), ("center",)), "sibling-classes")
+    return nodes_out, shown, classes
+
+
+def _grown(entities: DataFrame, rels: DataFrame, centers: DataFrame, depth: int, kept: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of ``family_classes``, as stored (center, key, hop), and the columns ``kept`` of
+    the edges met, each as often as it was met."""
     depth = max(1, min(MAX_DEPTH, depth))
     known = entities.where("entityType = 'Person'").select("key", F.col("display_en_name").alias("name"), "isWoman")
     family = rels.where(F.col("rel_type").isin(*dims.FAMILY_RELS)).select(F.col("key").alias("rel_key"), "rel_type", "term1", "term2")
@@ -117,7 +139,7 @@ def family_classes(entities: DataFrame, rels: DataFrame, centers: DataFrame, dep
     edges = None
     frontier = nodes
     for hop in range(1, depth + 1):
-        met = cut_lineage(frontier.select("center", F.col("key").alias("at")).join(looks, "at").select("center", "next", "rel_key", "rel_type", "term1", "term2"), "met")
+        met = cut_lineage(frontier.select("center", F.col("key").alias("at")).join(looks, "at").select("center", "next", *kept), "met")
         edges = met.drop("next") if edges is None else edges.unionByName(met.drop("next"))
         fresh = met.select("center", F.col("next").alias("key")).distinct().join(exists, "key", "left_semi").join(nodes, ["center", "key"], "left_anti")
         frontier = cut_lineage(fresh.select("center", "key", F.lit(hop).alias("hop")), "frontier")
@@ -127,19 +149,12 @@ def family_classes(entities: DataFrame, rels: DataFrame, centers: DataFrame, dep
     parent_rels = family.where("rel_type <> 'spouseOf'")
     parents = parent_rels.select(F.col("term1").alias("child"), F.col("term2").alias("parent"), "rel_key", "rel_type")
     own = nodes.where("hop = 0").select("center").join(parents.select(F.col("child").alias("center"), "parent"), "center")
-    added = cut_lineage(own.join(parents, "parent").select("center", "rel_key", "rel_type", F.col("child").alias("term1"), F.col("parent").alias("term2")), "siblings")
-    new = added.select("center", F.col("term1").alias("key")).distinct().join(exists, "key", "left_semi").join(nodes, ["center", "key"], "left_anti")
+    added = own.join(parents, "parent").select("center", F.col("child").alias("key"), "rel_key", "rel_type", F.col("child").alias("term1"), F.col("parent").alias("term2"))
+    added = cut_lineage(added.select("center", "key", *kept), "siblings")
+    new = added.select("center", "key").distinct().join(exists, "key", "left_semi").join(nodes, ["center", "key"], "left_anti")
     nodes = cut_lineage(nodes.unionByName(new.select("center", "key", F.lit(2).alias("hop"))), "all-nodes")
-    edges = cut_lineage(edges.unionByName(added.select(*edges.columns)).dropDuplicates(["center", "rel_key"]), "all-edges")
-
-    pair = Window.partitionBy("center", "rel_type", F.least("term1", "term2"), F.greatest("term1", "term2")).orderBy("rel_key")
-    real = edges.withColumn("n", F.row_number().over(pair)).where("n = 1")
-    label = F.when(F.col("rel_type") == "childOfFather", "Father").when(F.col("rel_type") == "childOfMother", "Mother").otherwise("Spouse")
-    shown = real.select("center", F.col("term1").alias("source"), F.col("term2").alias("target"), label.alias("label"), F.lit("rel").alias("kind"))
-    child = edges.where("rel_type <> 'spouseOf'").select("center", F.col("term1").alias("key"), F.col("term2").alias("parent")).distinct().join(nodes.select("center", "key"), ["center", "key"], "left_semi")
-    classes = cut_lineage(sibling_classes(child.select("center", "parent", F.col("key").alias("self")), ("center",)), "sibling-classes")
     nodes_out = nodes.join(known, "key").select("center", "key", "hop", "name", (F.col("key") == F.col("center")).alias("is_center"), F.coalesce("isWoman", F.lit(False)).alias("is_woman"))
-    return nodes_out, shown, classes
+    return nodes_out, nodes, edges.unionByName(added.select(*edges.columns))
 
 
 def generation_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
