@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -31,6 +32,16 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
+    """(key, rank): row numbers from 1 in an order over all rows, counted range by range and not in one task."""
+    rows = df.repartitionByRange(order).sortWithinPartitions(order).select("key", F.monotonically_increasing_id().alias("at"))
+    # the upper bits are the range, the lower 33 the row in it
+    stored = cut_lineage(rows, "ranges").selectExpr("key", "shiftright(at, 33) AS range", "at & 8589934591 AS row")
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    starts = stored.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("start"))
+    return stored.join(F.broadcast(starts), "range").select("key", (F.col("start") + F.col("row") + 1).alias(name))
+
+
 def stored_still(df: DataFrame) -> bool:
     """Whether the files of a stored table are there."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

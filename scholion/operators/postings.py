@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.keys import SORT_COLS, src_type_of, with_citation
@@ -23,41 +23,73 @@ from scholion.functions.shared import cut_lineage
 BUCKET, FILL = 32768, 12288
 #: Postings of so many places or more have a bitmap.
 DENSE = 512
+#: Groups of passages that a task gathers values of, at most.
+GROUPS = 8
 
 
-def number_passages(meta: DataFrame) -> DataFrame:
-    """Add bucket and place to rows of distinct keys.
+def _groups(meta: DataFrame) -> int:
+    return max(1, -(-meta.count() // FILL))
+
+
+def _group(by: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(groups))
+
+
+def number_passages(meta: DataFrame, by: str = "key") -> DataFrame:
+    """Add bucket and place to rows of distinct keys (``by``).
 
     Keys are dealt to groups by hash and ranked there; a group of FILL keys on average has
     room for two buckets, so that none is overfull.
     """
-    groups = max(1, -(-meta.count() // FILL))
-    dealt = meta.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    ranked = dealt.selectExpr("*", "row_number() OVER (PARTITION BY group ORDER BY key) - 1 AS rank")
+    dealt = meta.withColumn("group", _group(by, _groups(meta)))
+    ranked = dealt.withColumn("rank", F.dense_rank().over(Window.partitionBy("group").orderBy(by)) - 1)
     room = F.when(F.col("rank") < 2 * BUCKET, F.col("rank")).otherwise(F.raise_error(F.lit("a group of passages has more than two buckets")).cast("int"))
     placed = ranked.withColumn("rank", room).withColumn("bucket", (2 * F.col("group") + F.floor(F.col("rank") / BUCKET)).cast("long"))
     return placed.withColumn("place", (F.col("rank") % BUCKET).cast("int")).drop("group", "rank")
 
 
+def source_and_book(key: Column) -> tuple[Column, Column]:
+    return src_type_of(key), F.try_element_at(F.split(key, "_"), F.lit(2))
+
+
 def facet_pairs(meta: DataFrame) -> DataFrame:
     """(key, facet, value) of metadata: passage types, entities, rels, source type, book."""
     part = lambda facet, values: meta.select("key", F.lit(facet).alias("facet"), values.alias("value"))
     arrays = [part(facet, F.explode(F.array_distinct(c))) for facet, c in (("type", "passage_types"), ("entity", "entity_keys"), ("rel", "rel_keys"))]
-    pairs = part("source", src_type_of(F.col("key"))).unionByName(part("book", F.try_element_at(F.split("key", "_"), F.lit(2))))
+    source, book = source_and_book(F.col("key"))
+    pairs = part("source", source).unionByName(part("book", book))
     for p in arrays:
         pairs = pairs.unionByName(p)
     return pairs.where("value IS NOT NULL")
 
 
-def build_postings(pairs: DataFrame, numbered: DataFrame) -> DataFrame:
-    """(facet, value, bucket, n, places, bits) of (key, facet, value) and numbered passages."""
-    at = pairs.join(numbered.select("key", "bucket", "place"), "key").groupBy("facet", "value", "bucket").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    counted = at.withColumn("n", F.size("places"))
-    # groups are together already: the dense ones need no other exchange, and their rows carry one place, never the list
-    dense = counted.where(F.col("n") >= DENSE).select("facet", "value", "bucket", F.explode("places").alias("place"))
-    dense = dense.groupBy("facet", "value", "bucket").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("place")).alias("places"), F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
-    sparse = counted.where(F.col("n") < DENSE).select("facet", "value", "bucket", "n", "places", F.lit(None).cast("binary").alias("bits"))
-    return sparse.unionByName(dense)
+def _bits_of(places: Column) -> Column:
+    """The bitmap of sorted distinct places: zeros between ones, eight of them a byte, the lowest bit first."""
+    ones = F.transform(places, lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.lit("1")))
+    octets = F.regexp_extract_all(F.rpad(F.array_join(ones, ""), BUCKET, "0"), F.lit(".{8}"), F.lit(0))
+    return F.unhex(F.array_join(F.transform(octets, lambda o: F.lpad(F.conv(F.reverse(o), 2, 16), 2, "0")), ""))
+
+
+def build_postings(pairs: DataFrame, numbered: DataFrame, by: str = "key", items: Column | None = None) -> DataFrame:
+    """(facet, value, bucket, n, places, bits) of (key, facet, value) and all numbered passages.
+
+    Rows go to the group of their passage, where they meet its number and values are gathered: one exchange for all.
+    Where rows are more than pairs, ``items`` makes an array of (facet, value) of each after that exchange, from its
+    columns; numbered passages are then such rows too, so what a passage has by itself is not shuffled a second time.
+    """
+    groups = _groups(numbered)
+    own = numbered if items is not None else numbered.select(by, "bucket", "place")
+    items = F.array(F.struct("facet", "value")) if items is None else items
+    rows = pairs.unionByName(own, allowMissingColumns=True).where(F.col(by).isNotNull()).withColumn("group", _group(by, groups))
+    # more groups in a task would not fit its memory
+    usual, parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // GROUPS
+    rows = rows.repartition(parts, "group") if parts > usual else rows.repartition("group")
+    passage = Window.partitionBy("group", by)
+    met = rows.withColumns({c: F.max(c).over(passage) for c in ("bucket", "place")}).where("bucket IS NOT NULL")
+    right = F.when(F.floor(F.col("bucket") / 2) == F.col("group"), F.col("bucket")).otherwise(F.raise_error(F.lit("not all of the numbered passages")).cast("long"))
+    at = met.select("group", right.alias("bucket"), "place", F.inline(items).alias("facet", "value")).where("value IS NOT NULL")
+    counted = at.groupBy("group", "facet", "value", "bucket").agg(F.array_sort(F.collect_set("place")).alias("places")).withColumn("n", F.size("places"))
+    return counted.select("facet", "value", "bucket", "n", "places", F.when(F.col("n") >= DENSE, _bits_of(F.col("places"))).alias("bits"))
 
 
 def store_postings(postings: DataFrame, label: str = "postings") -> DataFrame:

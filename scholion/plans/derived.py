@@ -91,6 +91,12 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", MENTIONS), **tables(spark, sf_dir, "orders", "lineitem"))
 
 
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """passage_rows with the keys of order and customer in place of their rel."""
+    sql = DERIVED["passage_rows"].replace("SELECT", "SELECT o_orderkey AS id, o_custkey,", 1)
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), **tables(spark, sf_dir, "orders")).drop("rel_key")
+
+
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """passage_meta: (key, source_type, summary_en, summary_heb, passage_types, entity_keys, rel_keys)."""
     ents = mentions(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_set("entity_key")).alias("entity_keys"))
