@@ -153,7 +153,8 @@ def build_rels(rels: DataFrame, term_keys: DataFrame, existing: DataFrame | None
     """(rels, passage rels, rejects).  Rels have one row for each (type, term1, term2); a
     passage keeps its tie to a rel that another passage had first; unresolved terms reject."""
     side = lambda n: term_keys.select("passage", F.col("term").alias(f"term{n}"), F.col("key").alias(f"key{n}"))
-    keyed = rels.join(side(1), ["passage", "term1"], "left").join(side(2), ["passage", "term2"], "left")
+    # all three results read it
+    keyed = cut_lineage(rels.join(side(1), ["passage", "term1"], "left").join(side(2), ["passage", "term2"], "left"), "keyed-rels")
     rejects = keyed.where("key1 IS NULL OR key2 IS NULL").select(*rels.columns)
     natural = F.concat_ws("\x1f", "rel_type", "key1", "key2")
     good = keyed.where("key1 IS NOT NULL AND key2 IS NOT NULL").withColumn("made", F.concat(F.lit("r"), F.substring(F.sha2(natural, 256), 1, 24)))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholion.functions.shared import cut_lineage
 from scholion.operators import imports
 from scholion.plans.derived import PK
 from scholion.plans.registry import query
@@ -15,15 +17,15 @@ from scholion.sources import io
 # fixed intervals.
 LINES = f"""SELECT {PK.replace('o_orderkey', 'l_orderkey')} AS passage, l_orderkey, l_partkey,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn, l_suppkey % 9 AS f, 'supplier ' || CAST(l_suppkey % 3 AS STRING) AS who FROM lineitem"""
-ENTS = f"""SELECT passage, l_orderkey, rn,
-  CASE (l_orderkey + rn) % 10 WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'Plant' ELSE 'Symbol' END WHEN 3 THEN 'TribeOfIsrael' WHEN 4 THEN 'Nation' WHEN 5 THEN 'Number' WHEN 6 THEN CASE WHEN l_partkey % 2 = 0 THEN 'TribeOfIsrael' ELSE 'Junk' END WHEN 7 THEN 'Animal' WHEN 9 THEN 'Symbol' ELSE 'Person' END AS category,
+ENT_COLS = """  CASE (l_orderkey + rn) % 10 WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'Plant' ELSE 'Symbol' END WHEN 3 THEN 'TribeOfIsrael' WHEN 4 THEN 'Nation' WHEN 5 THEN 'Number' WHEN 6 THEN CASE WHEN l_partkey % 2 = 0 THEN 'TribeOfIsrael' ELSE 'Junk' END WHEN 7 THEN 'Animal' WHEN 9 THEN 'Symbol' ELSE 'Person' END AS category,
   CASE (l_orderkey + rn) % 10 WHEN 0 THEN who WHEN 1 THEN 'fig tree' WHEN 2 THEN 'King' WHEN 3 THEN 'dan' WHEN 4 THEN 'egyptians' WHEN 5 THEN CASE l_partkey % 4 WHEN 0 THEN 'many' WHEN 1 THEN '3/4' WHEN 2 THEN 'thirty seven' ELSE '1,000' END
     WHEN 6 THEN 'atlantis' WHEN 7 THEN ' ' WHEN 8 THEN 'DAN''s son' ELSE 'FIG tree' END AS raw,
   CASE l_partkey % 3 WHEN 0 THEN 'mONEY' WHEN 1 THEN 'People' ELSE 'what' END AS number_category, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'cubits' END AS en_unit,
-  CASE WHEN l_partkey % 7 = 0 THEN 'a b c d e f g' ELSE 'Yard ' || CAST(l_partkey % 4 AS STRING) END AS en_context FROM ({LINES})"""
-RELS = f"""SELECT passage, l_orderkey, rn,
-  CASE f WHEN 0 THEN 'spokeWith' WHEN 1 THEN 'spokeWith' WHEN 2 THEN 'disagreedWith' WHEN 4 THEN 'associatedWithPlace' WHEN 5 THEN 'oddRel' WHEN 7 THEN 'EnemyOf' WHEN 8 THEN 'childOfFather' ELSE 'comparedTo' END AS rel_field,
-  CASE f WHEN 0 THEN upper(who) WHEN 1 THEN 'dan' WHEN 3 THEN 'fig trees' WHEN 6 THEN '' WHEN 8 THEN 'dan' ELSE who END AS term1, CASE f WHEN 1 THEN who WHEN 3 THEN 'egypt' WHEN 4 THEN 'egypt' WHEN 7 THEN 'egypt' ELSE 'dan' END AS term2 FROM ({LINES})"""
+  CASE WHEN l_partkey % 7 = 0 THEN 'a b c d e f g' ELSE 'Yard ' || CAST(l_partkey % 4 AS STRING) END AS en_context"""
+REL_COLS = """  CASE f WHEN 0 THEN 'spokeWith' WHEN 1 THEN 'spokeWith' WHEN 2 THEN 'disagreedWith' WHEN 4 THEN 'associatedWithPlace' WHEN 5 THEN 'oddRel' WHEN 7 THEN 'EnemyOf' WHEN 8 THEN 'childOfFather' ELSE 'comparedTo' END AS rel_field,
+  CASE f WHEN 0 THEN upper(who) WHEN 1 THEN 'dan' WHEN 3 THEN 'fig trees' WHEN 6 THEN '' WHEN 8 THEN 'dan' ELSE who END AS term1, CASE f WHEN 1 THEN who WHEN 3 THEN 'egypt' WHEN 4 THEN 'egypt' WHEN 7 THEN 'egypt' ELSE 'dan' END AS term2"""
+ENTS, RELS = (f"""SELECT passage, l_orderkey, rn,
+{columns} FROM ({LINES})""" for columns in (ENT_COLS, REL_COLS))
 
 IMPORT_SQL = f"""
 WITH readable AS (SELECT DISTINCT passage, l_orderkey FROM ({LINES}) WHERE l_orderkey % 13 <> 0),
@@ -68,13 +70,19 @@ UNION ALL SELECT DISTINCT 'reject', passage, 'document/', '', 'A1', 1 FROM ({LIN
 def documents(spark, sf_dir):
     """(key, text): JSON documents, some in an envelope, some written as a JSON string, some cut off."""
     lines = {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}
-    rows = lambda sql: spark.sql(re.sub(r"\bFROM lineitem", "FROM {lineitem}", sql), **lines)
-    item = lambda x: F.struct(x["raw"].alias("en_name"), x["number_category"].alias("number_category"), x["en_unit"].alias("en_unit"), x["en_context"].alias("en_context"))
-    e = rows(ENTS).groupBy("passage", "l_orderkey", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "raw", "number_category", "en_unit", "en_context"))), item).alias("items"))
-    e = e.groupBy("passage", "l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("category", "items"))).alias("Entities"))
-    term = lambda x: F.struct(x["term1"].alias("term1"), x["term2"].alias("term2"))
-    r = rows(RELS).groupBy("passage", "rel_field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term1", "term2"))), term).alias("items"))
-    r = r.groupBy("passage").agg(F.map_from_entries(F.collect_list(F.struct("rel_field", "items"))).alias("Rel"))
+    sql = re.sub(r"\bFROM lineitem", "FROM {lineitem}", f"SELECT passage, l_orderkey, rn, {ENT_COLS}, {REL_COLS} FROM ({LINES})")
+    fields = ("category", "raw", "number_category", "en_unit", "en_context", "rel_field", "term1", "term2")
+    # an order's lines are together already, from the window: nothing else is shuffled
+    orders = spark.sql(sql, **lines).groupBy("l_orderkey", "passage").agg(F.array_sort(F.collect_list(F.struct("rn", *fields))).alias("lines"))
+
+    def by(name: str, item) -> Column:
+        """The items of each value of a field, in the order of the lines."""
+        of = lambda v: F.struct(v, F.transform(F.filter("lines", lambda x: x[name] == v), item))
+        return F.map_from_entries(F.transform(F.array_distinct(F.col(f"lines.{name}")), of))
+
+    entity = lambda x: F.struct(x["raw"].alias("en_name"), x["number_category"].alias("number_category"), x["en_unit"].alias("en_unit"), x["en_context"].alias("en_context"))
+    rel = lambda x: F.struct(x["term1"].alias("term1"), x["term2"].alias("term2"))
+    maps = orders.select("passage", "l_orderkey", by("category", entity).alias("Entities"), by("rel_field", rel).alias("Rel"))
     k = F.col("l_orderkey")
     summary = F.concat(F.lit("this is order "), k.cast("string"))
     types = F.when(k % 2 == 0, F.array(F.lit("law"), F.lit("nothing"), F.lit("LAW"))).otherwise(F.array(F.lit("Story")))
@@ -83,13 +91,15 @@ def documents(spark, sf_dir):
     # a JSON document may be written as a JSON string
     quoted = F.concat(F.lit('"'), F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     text = F.when(k % 13 == 0, F.substring(body, 1, 40)).when(k % 5 == 0, quoted).otherwise(body)
-    return e.join(r, "passage").select(F.col("passage").alias("key"), text.alias("text"))
+    return maps.select(F.col("passage").alias("key"), text.alias("text"))
 
 
 @query("g11_import", IMPORT_SQL)
 def import_documents(spark, sf_dir):
     """All four tables of an import: entities, rels, metadata and rejects."""
-    g = imports.import_graph(*io.parse_keyed(documents(spark, sf_dir), io.EXTRACTION_FILE))
+    # what is read more than once is worked out once
+    g = imports.import_graph(*io.parse_keyed(documents(spark, sf_dir), io.EXTRACTION_FILE, stored=True))
+    g |= {t: cut_lineage(g[t], f"import-{t}") for t in ("rels", "meta")}
     number = F.when(F.col("category") == "Number", F.concat_ws("|", "number_category", "en_unit", "en_context")).otherwise("")
     ents = g["entities"].select("key", "category", "name", number.alias("number"), "mentions")
     label = F.concat("category", F.lit(":"), "name")

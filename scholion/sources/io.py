@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholion import dims
+from scholion.functions.shared import cut_lineage
 
 ENTITY_ITEM = "array<struct<en_name:string,number_category:string,en_unit:string,en_context:string>>"
 EXTRACTION = f"en_summary string, heb_summary string, passage_types array<string>, Entities map<string,{ENTITY_ITEM}>, Rel map<string,array<struct<term1:string,term2:string>>>"
@@ -28,13 +29,18 @@ def read_keyed_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return parse_keyed(files.select(key.alias("key"), text.alias("text")), schema)
 
 
-def parse_keyed(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """A1: (rows, rejects) of JSON documents as text (key, text)."""
+def parse_keyed(raw: DataFrame, schema: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A1: (rows, rejects) of JSON documents as text (key, text); where ``stored``, documents are
+    made and parsed once for both."""
     inner = F.from_json(F.concat(F.lit('{"s":'), "text", F.lit("}")), "s string")["s"]
     raw = raw.withColumn("text", F.when(F.startswith("text", F.lit('"')), inner).otherwise(F.col("text")))
     full = T._parse_datatype_string(schema).add("_corrupt", "string")
     parsed = raw.withColumn("j", F.from_json("text", full, {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("j").isNull() | F.col("j._corrupt").isNotNull() | ~F.startswith("text", F.lit("{"))
+    if stored:
+        kept = parsed.select("key", bad.alias("bad"), F.when(bad, F.col("text")).alias("text"), F.when(~bad, F.col("j").dropFields("_corrupt")).alias("j"))
+        parsed, bad = cut_lineage(kept, "parsed"), F.col("bad")
+        return parsed.where(~bad).select("key", "j.*"), parsed.where(bad).select("key", "text")
     rows = parsed.where(~bad).select("key", "j.*").drop("_corrupt")
     return rows, parsed.where(bad).select("key", "text")
 
