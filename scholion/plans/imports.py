@@ -73,7 +73,7 @@ def documents(spark, sf_dir):
     sql = re.sub(r"\bFROM lineitem", "FROM {lineitem}", f"SELECT passage, l_orderkey, rn, {ENT_COLS}, {REL_COLS} FROM ({LINES})")
     fields = ("category", "raw", "number_category", "en_unit", "en_context", "rel_field", "term1", "term2")
     # an order's lines are together already, from the window: nothing else is shuffled
-    orders = spark.sql(sql, **lines).groupBy("l_orderkey", "passage").agg(F.array_sort(F.collect_list(F.struct("rn", *fields))).alias("lines"))
+    orders = spark.sql(sql, **lines).groupBy("l_orderkey", "passage").agg(F.sort_array(F.collect_list(F.struct("rn", *fields))).alias("lines"))
 
     def by(name: str, item) -> Column:
         """The items of each value of a field, in the order of the lines."""
